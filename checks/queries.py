@@ -80,8 +80,8 @@ def bm25_topk_padded(spark, d):
 # --- dense ---------------------------------------------------------------------------
 
 def _encoded(spark, d):
-    queries = V.ENCODER.encode(V.queries(spark, d), "text").select("query_id", "embedding")
-    docs = V.ENCODER.encode(V.documents(spark, d), "text").select("doc_id", "embedding")
+    queries = V.ENCODER.encode(V.queries(spark, d), "text", keep=["query_id"])
+    docs = V.ENCODER.encode(V.documents(spark, d), "text", keep=["doc_id"])
     return queries, docs
 
 
@@ -104,7 +104,7 @@ def dense_topk_ann(spark, d):
 
 @query
 def embed_documents(spark, d):
-    embedded = V.ENCODER.encode(V.documents(spark, d), "text")
+    embedded = V.ENCODER.encode(V.documents(spark, d), "text", keep=["doc_id"])
     return embedded.select("doc_id", F.posexplode("embedding").alias("pos", "value")).where("value > 0").select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), F.round(F.col("value").cast("double"), 6).alias("value")
     )

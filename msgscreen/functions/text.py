@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from msgscreen.functions.bind import bind
+
 #: Every code point that Python counts as whitespace; all of them lie at or below U+3000.
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
-# An explicit class: the Unicode \s of the JVM lacks the four ASCII separators.
-_RUN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]+"
+# The Unicode \s of the JVM lacks the four ASCII separators that Python includes.
+_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
 def strip(text: Column) -> Column:
@@ -36,30 +38,22 @@ def term_counts(tokens_: Column) -> Column:
     """``array<struct<term, tf>>`` of one row: sort the tokens, cut at the runs.
 
     Stays inside the row, so counting terms of whole documents needs no shuffle.
-    The one-element ``transform`` calls bind an intermediate result once.
     """
 
     def cut(ordered: Column) -> Column:
         starts = F.array_compact(
             F.transform(
                 ordered,
-                lambda term, i: F.when(
-                    (i == 0) | (term != F.coalesce(F.get(ordered, i - 1), F.lit(""))), i
-                ),
+                lambda term, i: F.when((i == 0) | (term != F.coalesce(F.get(ordered, i - 1), F.lit(""))), i),
             )
         )
-        return F.transform(
-            F.array(starts),
-            lambda s: F.transform(
-                s,
-                lambda at, j: F.struct(
-                    F.get(ordered, at).alias("term"),
-                    (F.coalesce(F.get(s, j + 1), F.size(ordered)) - at).cast("int").alias("tf"),
-                ),
-            ),
-        )[0]
-
-    return F.transform(F.array(F.sort_array(tokens_)), cut)[0]
+        return bind(starts, lambda s: F.transform(s, lambda at, j: run(ordered, s, at, j)))
+
+    def run(ordered: Column, starts: Column, at: Column, j: Column) -> Column:
+        end = F.coalesce(F.get(starts, j + 1), F.size(ordered))
+        return F.struct(F.get(ordered, at).alias("term"), (end - at).cast("int").alias("tf"))
+
+    return bind(F.sort_array(tokens_), cut)
 
 
 def validation_error(text: Column, min_length: int = 5) -> Column:

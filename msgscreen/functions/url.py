@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from msgscreen.functions import lexicons
+from msgscreen.functions.bind import bind
 from msgscreen.functions.text import strip
 
 # Letters, numbers and underscore: what Python's \w covers.
@@ -50,10 +51,7 @@ def lexicon_hits(url: Column, words: Sequence[str] = lexicons.WORDS, distinct: b
     """Lexicon entries contained in the lower-cased URL, in lexicon order."""
     entries = list(dict.fromkeys(words)) if distinct else list(words)
     lexicon = F.array(*[F.lit(w) for w in entries])
-    # The outer one-element transform lower-cases once instead of once per word.
-    return F.transform(
-        F.array(F.lower(url)), lambda low: F.filter(lexicon, lambda word: F.contains(low, word))
-    )[0]
+    return bind(F.lower(url), lambda low: F.filter(lexicon, lambda word: F.contains(low, word)))
 
 
 def url_features(
@@ -66,28 +64,39 @@ def url_features(
 ) -> Column:
     """Struct of 13 features of a URL."""
     parts = url_parts(url, assume_scheme)
-    domain, scheme = parts["domain"], parts["scheme"]
-    labels = F.split(domain, r"\.")
-    extra = F.greatest(F.size(labels) - 2, F.lit(0))
-    return F.struct(
-        url.alias("url"),
-        domain.alias("domain"),
-        F.array_join(F.slice(labels, F.lit(1), extra), ".").alias("subdomain"),
-        parts["path"].alias("path"),
-        scheme.alias("scheme"),
-        F.length(url).alias("url_length"),
-        domain.rlike(_IPV4).alias("has_ip"),
-        F.contains(url, F.lit("@")).alias("has_at"),
-        (F.length(domain) - F.length(F.replace(domain, F.lit("-"), F.lit("")))).alias("dash_count"),
-        extra.alias("subdomain_count"),
-        (scheme == "https").alias("is_https"),
-        F.concat(F.lit("."), F.element_at(labels, -1)).isin(list(tlds)).alias("suspicious_tld"),
-        lexicon_hits(url, words, distinct_words).alias("suspicious_words"),
-    )
+    pieces = F.struct(*[parts[name].alias(name) for name in ("scheme", "domain", "path")])
+
+    def features(piece: Column) -> Column:
+        domain, scheme = piece["domain"], piece["scheme"]
+        return bind(F.split(domain, r"\."), lambda labels: struct(piece, domain, scheme, labels))
+
+    def struct(piece: Column, domain: Column, scheme: Column, labels: Column) -> Column:
+        extra = F.greatest(F.size(labels) - 2, F.lit(0))
+        return F.struct(
+            url.alias("url"),
+            domain.alias("domain"),
+            F.array_join(F.slice(labels, F.lit(1), extra), ".").alias("subdomain"),
+            piece["path"].alias("path"),
+            scheme.alias("scheme"),
+            F.length(url).alias("url_length"),
+            domain.rlike(_IPV4).alias("has_ip"),
+            F.contains(url, F.lit("@")).alias("has_at"),
+            (F.length(domain) - F.length(F.replace(domain, F.lit("-"), F.lit("")))).alias("dash_count"),
+            extra.alias("subdomain_count"),
+            (scheme == "https").alias("is_https"),
+            F.concat(F.lit("."), F.element_at(labels, -1)).isin(list(tlds)).alias("suspicious_tld"),
+            lexicon_hits(url, words, distinct_words).alias("suspicious_words"),
+        )
+
+    return bind(pieces, features)
 
 
 def features_to_text(features: Column, lang: str = "en") -> Column:
     """The features as 13 labelled lines, in the wording of ``lang``."""
+    return bind(features, lambda f: _feature_lines(f, lang))
+
+
+def _feature_lines(features: Column, lang: str) -> Column:
     wording = lexicons.FEATURE_TEXT[lang]
 
     def line(name: str, value: Column) -> Column:

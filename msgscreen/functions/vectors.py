@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from msgscreen.functions.bind import bind
+
 
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(
@@ -22,9 +24,9 @@ def l2_norm(v: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """Unit vector of ``v``; the zero vector stays as it is."""
-    return F.transform(
-        F.array(l2_norm(v)),
+    return bind(
+        l2_norm(v),
         lambda norm: F.when(norm == 0, v).otherwise(
             F.transform(v, lambda x: (x.cast("double") / norm).cast("float"))
         ),
-    )[0]
+    )

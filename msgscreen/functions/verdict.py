@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from msgscreen.functions.bind import bind
+from msgscreen.functions.text import strip
+
 _WS = r"[\s\x1c-\x1f]*"
 _THINK = r"(?s)<think>.*?</think>"
 _FENCED = r"(?sU)```(?:json)?" + _WS + r"(\{.*?\})" + _WS + "```"
@@ -25,19 +28,18 @@ def extract_json(raw: Column, mode: str = "fenced") -> Column:
     ``greedy``: outermost braces of the untouched answer.
     ``fallback``: as ``fenced``, else the stripped answer itself.
     """
-    from msgscreen.functions.text import strip
 
     def found(text: Column, pattern: str, group: int) -> Column:
         return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
+    def pick(spoken: Column) -> Column:
+        choices = [found(spoken, _FENCED, 1), found(spoken, _BRACES, 0)]
+        return F.coalesce(*choices, strip(spoken)) if mode == "fallback" else F.coalesce(*choices)
+
     if mode == "greedy":
         return found(raw, _BRACES, 0)
-    spoken = F.regexp_replace(raw, _THINK, "")
-    json = F.coalesce(found(spoken, _FENCED, 1), found(spoken, _BRACES, 0))
-    if mode == "fenced":
-        return json
-    if mode == "fallback":
-        return F.coalesce(json, strip(spoken))
+    if mode in ("fenced", "fallback"):
+        return bind(F.regexp_replace(raw, _THINK, ""), pick)
     raise ValueError(f"unknown mode {mode!r}")
 
 
@@ -132,17 +134,20 @@ def normalise_verdicts(
     """
     if labels not in ("two", "three"):
         raise ValueError(f"labels must be 'two' or 'three', not {labels!r}")
-    staged = responses.withColumn(
-        "_json", F.when(F.coalesce(F.length(raw), F.lit(0)) > 0, extract_json(F.col(raw), mode))
-    ).withColumn("_v", F.try_parse_json("_json"))
+    json = F.when(F.coalesce(F.length(raw), F.lit(0)) > 0, extract_json(F.col(raw), mode))
+    absent = F.lit("json_parse" if mode == "fallback" else "no_json")
+
+    def fault(text: Column) -> Column:
+        return F.when(text.isNull() | (text == ""), absent).otherwise(bind(F.try_parse_json(text), bad_shape))
+
+    def bad_shape(parsed: Column) -> Column:
+        return F.when(parsed.isNull(), F.lit("json_parse")).when(
+            ~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit("not_an_object")
+        )
+
+    staged = responses.withColumn("_json", json)
+    staged = staged.withColumns({"_v": F.try_parse_json("_json"), "error_type": bind(F.col("_json"), fault)})
     v = F.col("_v")
-    missing = F.col("_json").isNull() | (F.col("_json") == "")
-    error = (
-        F.when(missing, F.lit("json_parse" if mode == "fallback" else "no_json"))
-        .when(v.isNull(), F.lit("json_parse"))
-        .when(~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit("not_an_object"))
-    )
-    staged = staged.withColumn("error_type", error)
     bad = F.col("error_type").isNotNull()
 
     def text(name: str, default: str = "") -> Column:

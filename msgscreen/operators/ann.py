@@ -38,7 +38,7 @@ def _nearest(centroids, count: int) -> Column:
         )
 
     nearest.__annotations__ = {}
-    return F.arrow_udf(nearest, "array<int>", F.ArrowUDFType.SCALAR)
+    return F.arrow_udf(nearest, "array<int>", F.ArrowUDFType.SCALAR).asNondeterministic()
 
 
 @dataclass(frozen=True)

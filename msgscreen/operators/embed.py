@@ -15,39 +15,27 @@ from msgscreen.schema import VECTOR
 
 
 class Encoder(Protocol):
-    """Adds a column of unit vectors to a table."""
+    """Adds a column of unit vectors to a table.
 
-    def encode(self, df: DataFrame, text: str, out: str = "embedding") -> DataFrame: ...
-
-
-def _unit_counts(dim: int):
-    """Vectorised udf: bucket numbers of a row -> unit vector of bucket counts."""
+    ``keep`` names the columns that stay (all by default); leaving out the text spares
+    its way through the Python worker.
+    """
 
-    def count(buckets):
-        import numpy as np
-        import pyarrow as pa
+    def encode(
+        self, df: DataFrame, text: str, out: str = "embedding", keep: Sequence[str] | None = None
+    ) -> DataFrame: ...
 
-        n = len(buckets)
-        sizes = buckets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        flat = buckets.flatten().to_numpy(zero_copy_only=False)
-        rows = np.repeat(np.arange(n, dtype="int64"), sizes)
-        m = np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim).astype("float64")
-        norm = np.sqrt((m * m).sum(axis=1))
-        norm[norm == 0] = 1.0
-        unit = (m / norm[:, None]).astype("float32")
-        offsets = pa.array(np.arange(n + 1, dtype="int32") * dim)
-        return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))
 
-    count.__annotations__ = {}
-    return F.arrow_udf(count, VECTOR, F.ArrowUDFType.SCALAR)
+def _schema_with(df: DataFrame, keep: Sequence[str], out: str) -> T.StructType:
+    return T.StructType([*[df.schema[name] for name in keep], T.StructField(out, VECTOR, True)])
 
 
 @dataclass(frozen=True)
 class HashingEncoder:
     """Term counts hashed into ``dim`` buckets, L2-normalised.
 
-    A stand-in with no semantics. Hashing runs in the JVM; only bucket numbers
-    cross to Python, where one ``bincount`` per Arrow batch counts them. No shuffle.
+    A stand-in with no semantics. Hashing runs in the JVM; only bucket numbers cross to
+    Python, where one ``bincount`` per block of rows counts them. No shuffle.
     ``md5`` buckets can be reproduced by any engine, ``xxhash64`` is faster.
     """
 
@@ -64,8 +52,34 @@ class HashingEncoder:
             return F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(self.dim)).cast("int"))
         raise ValueError(f"unknown hash {self.hash!r}")
 
-    def encode(self, df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
-        return df.withColumn(out, _unit_counts(self.dim)(self.buckets(F.coalesce(F.col(text), F.lit("")))))
+    def encode(
+        self, df: DataFrame, text: str, out: str = "embedding", keep: Sequence[str] | None = None
+    ) -> DataFrame:
+        keep, dim = list(df.columns if keep is None else keep), self.dim
+        hashed = df.select(*keep, self.buckets(F.coalesce(F.col(text), F.lit(""))).alias(out))
+
+        def unit_counts(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                # Blocks bound the counting matrix whatever the dimension.
+                for at in range(0, batch.num_rows, 4096):
+                    block = batch.slice(at, 4096)
+                    n, buckets = block.num_rows, block[out]
+                    sizes = buckets.value_lengths().to_numpy(zero_copy_only=False)
+                    flat = buckets.flatten().to_numpy(zero_copy_only=False)
+                    rows = np.repeat(np.arange(n, dtype="int64"), sizes)
+                    m = np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim).astype("float64")
+                    norm = np.sqrt((m * m).sum(axis=1))
+                    norm[norm == 0] = 1.0
+                    unit = (m / norm[:, None]).astype("float32")
+                    vectors = pa.ListArray.from_arrays(
+                        pa.array(np.arange(n + 1, dtype="int32") * dim), pa.array(unit.ravel())
+                    )
+                    yield pa.RecordBatch.from_arrays([*[block[c] for c in keep], vectors], [*keep, out])
+
+        return hashed.mapInArrow(unit_counts, _schema_with(df, keep, out))
 
 
 @dataclass(frozen=True)
@@ -79,9 +93,11 @@ class BatchEncoder:
     batch: int = 64
     normalise: bool = True
 
-    def encode(self, df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+    def encode(
+        self, df: DataFrame, text: str, out: str = "embedding", keep: Sequence[str] | None = None
+    ) -> DataFrame:
         load, size, unit = self.load, self.batch, self.normalise
-        schema = T.StructType([*df.schema.fields, T.StructField(out, VECTOR, True)])
+        keep = list(df.columns if keep is None else keep)
 
         def run(frames: Iterator) -> Iterator:
             import numpy as np
@@ -95,11 +111,14 @@ class BatchEncoder:
                         norm = np.sqrt((part.astype("float64") ** 2).sum(axis=1, keepdims=True))
                         part = (part / np.where(norm == 0, 1.0, norm)).astype("float32")
                     vectors.extend(part)
-                frame[out] = vectors
-                yield frame
+                kept = frame[keep].copy()
+                kept[out] = vectors
+                yield kept
 
-        return df.mapInPandas(run, schema)
+        return df.mapInPandas(run, _schema_with(df, keep, out))
 
 
-def embed(df: DataFrame, encoder: Encoder, text: str = "text", out: str = "embedding") -> DataFrame:
-    return encoder.encode(df, text, out)
+def embed(
+    df: DataFrame, encoder: Encoder, text: str = "text", out: str = "embedding", keep: Sequence[str] | None = None
+) -> DataFrame:
+    return encoder.encode(df, text, out, keep)

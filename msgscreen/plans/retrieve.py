@@ -38,7 +38,7 @@ def hybrid_search(
 ) -> DataFrame:
     """``(query_id, doc_id, rank, rrf_score, source)`` for a table of queries."""
     clean = queries.select("query_id", normalise(F.col(text)).alias("text"))
-    encoded = encoder.encode(clean, "text").select("query_id", "embedding")
+    encoded = encoder.encode(clean, "text", keep=["query_id"])
     dense = dense_topk(encoded, vectors, candidates)
     lexical = bm25_topk(clean, index, candidates, pad=pad)
     return rrf_fuse([dense, lexical], k, constant)
@@ -62,9 +62,7 @@ def knowledge_search(
     used, and chunks that share a hash are told apart by ranking the winners once more.
     """
     value = normalise(F.col(text)) if normalised else F.col(text)
-    encoded = encoder.encode(queries.select("query_id", value.alias("text")), "text").select(
-        "query_id", "embedding"
-    )
+    encoded = encoder.encode(queries.select("query_id", value.alias("text")), "text", keep=["query_id"])
     ident = F.col(key) if key else F.xxhash64("source_name", "chunk_id")
     keyed = chunks.withColumn("doc_id", ident)
     winners = dense_topk(encoded, keyed, k).select("query_id", "doc_id").distinct()

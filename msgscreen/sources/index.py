@@ -87,7 +87,5 @@ def build_retrieval_system(
     if force_rebuild or not path_exists(spark, f"{lexical}/corpus_stats/_SUCCESS"):
         save_lexical_index(docs, lexical, text)
     if force_rebuild or not path_exists(spark, f"{vectors}/_SUCCESS"):
-        encoder.encode(docs.select("doc_id", text), text).select("doc_id", "embedding").write.mode(
-            "overwrite"
-        ).parquet(vectors)
+        encoder.encode(docs.select("doc_id", text), text, keep=["doc_id"]).write.mode("overwrite").parquet(vectors)
     return load_lexical_index(spark, lexical), spark.read.schema(schema.VECTORS).parquet(vectors)
