@@ -142,19 +142,19 @@ def rrf_fuse(spark, d):
     return fusion.rrf_fuse([longest, drawn], 10).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
-def _hybrid(spark, d):
-    index, stored = V.retrieval_system(spark, d)
-    return retrieve.hybrid_search(V.queries(spark, d), index, stored, V.ENCODER)
-
-
 @query
 def hybrid_search(spark, d):
-    return _hybrid(spark, d).withColumn("rrf_score", F.round("rrf_score", 9))
+    index, stored = V.retrieval_system(spark, d)
+    run = retrieve.hybrid_search(V.queries(spark, d), index, stored, V.ENCODER)
+    return run.withColumn("rrf_score", F.round("rrf_score", 9))
 
 
 def _cases(spark, d):
-    queries = V.table(spark, d, "benchmark").count()
-    return fusion.gather(_hybrid(spark, d), V.corpus(spark, d), queries * retrieve.FINAL)
+    index, stored = V.retrieval_system(spark, d)
+    queries = V.queries(spark, d)
+    rows = queries.count()
+    run = retrieve.hybrid_search(queries, index, stored, V.ENCODER, query_rows=rows)
+    return fusion.gather(run, V.corpus(spark, d), rows * retrieve.FINAL)
 
 
 @query
@@ -434,7 +434,9 @@ def kb_search(spark, d):
     chunks = chunking.chunk_documents(docs)
     # Document number and chunk number in one BIGINT: unique below 2**20 chunks a document.
     key = F.substring("source_name", 4, 20).cast("bigint") * (1 << 20) + F.col("chunk_id")
-    stored = V.ENCODER.encode(chunks.withColumn("chunk_key", key), "chunk")
+    path = scale.scratch_path(spark, "chunks")
+    corpus_source.write_table(V.ENCODER.encode(chunks.withColumn("chunk_key", key), "chunk"), path)
+    stored = spark.read.parquet(path)
     return retrieve.knowledge_search(V.queries(spark, d), stored, V.ENCODER, key="chunk_key")
 
 

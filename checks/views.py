@@ -42,7 +42,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     risk = F.when(F.col("quality") == 0, "critical").when(F.col("quality") == 1, "low")
     attack = F.when(F.col("toxic") == 1, "threat").when(F.col("toxic") == 0, "none")
     return (
-        table(spark, sf_dir, "documents")
+        spark.read.parquet(f"{sf_dir}/documents.parquet")
         .join(table(spark, sf_dir, "labels"), "doc_id", "left")
         .select(
             "doc_id", "text", label.alias("label"), F.col("lang").alias("language"),
@@ -57,10 +57,21 @@ def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SYSTEMS: dict = {}
+
+
+def index_home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/msgscreen/{spark.sparkContext.applicationId}/index"
+
+
 def retrieval_system(spark: SparkSession, sf_dir: str):
-    """Stored index of the documents, built once per session."""
-    path = f"{shared_dir(spark)}/msgscreen/{spark.sparkContext.applicationId}/index"
-    return build_retrieval_system(documents(spark, sf_dir), path, ENCODER, encoder_name="md5_64")
+    """Stored index of the documents: built on first use, then handed out again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SYSTEMS:
+        _SYSTEMS[key] = build_retrieval_system(
+            documents(spark, sf_dir), index_home(spark), ENCODER, encoder_name="md5_64"
+        )
+    return _SYSTEMS[key]
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:

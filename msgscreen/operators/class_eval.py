@@ -45,43 +45,54 @@ def class_scores(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def validity(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Total, valid and invalid rows, accuracy and mean latency over valid rows."""
-    valid = F.col("pred_label").isin(VALID)
-    n_valid = F.sum(F.when(valid, F.col("n")).otherwise(0))
-    right = F.sum(F.when(valid & (F.col("true_label") == F.col("pred_label")), F.col("n")).otherwise(0))
-    return counts.groupBy(*keys).agg(
-        F.sum("n").alias("total"),
-        n_valid.alias("valid"),
-        (F.sum("n") - n_valid).alias("errors"),
-        (right / F.nullif(n_valid, F.lit(0))).alias("accuracy"),
-        (F.sum(F.when(valid, F.col("seconds"))) / F.nullif(n_valid, F.lit(0))).alias("avg_time"),
-    )
-
-
 def summary(predictions: DataFrame, keys: list[str] = ("model",), digits: int = 4) -> DataFrame:
-    """One row per model with every rate; models without a valid row are left out."""
-    keys = list(keys)
-    counts = tally(predictions, keys)
-
-    def of(name: str, label: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("class") == label, F.col(name))), F.lit(0.0))
-
-    rates = class_scores(counts, keys).groupBy(*keys).agg(
-        of("precision", POSITIVE).alias("precision"),
-        of("recall", POSITIVE).alias("recall"),
-        of("f1", POSITIVE).alias("f1_phishing"),
-        of("f1", NEGATIVE).alias("f1_legitimate"),
-        F.avg("f1").alias("f1_macro"),
-    )
-    joined = validity(counts, keys).where("valid > 0").join(rates, keys)
+    """One row per model with every rate; models without a valid row are left out.
 
-    def rounded(name: str, places: int = digits) -> Column:
-        return F.bround(F.round(F.col(name), 12), places).alias(name)
+    One pass: the tally is summed conditionally. A true label outside the valid ones can
+    only be missed, so it enters the macro mean as a class with F1 0.
+    """
+    keys = list(keys)
+    true, pred, n = F.col("true_label"), F.col("pred_label"), F.col("n")
+    valid = pred.isin(VALID)
 
-    return joined.select(
-        *keys, rounded("accuracy"), rounded("precision"), rounded("recall"), rounded("f1_phishing"),
-        rounded("f1_legitimate"), rounded("f1_macro"), rounded("avg_time", 2), "valid", "errors",
+    def rows(condition: Column) -> Column:
+        return F.sum(F.when(condition, n).otherwise(0))
+
+    sums = {"total": F.sum("n"), "valid": rows(valid), "right": rows(valid & (true == pred))}
+    for label in VALID:
+        sums[f"tp_{label}"] = rows((true == label) & (pred == label))
+        sums[f"pred_{label}"] = rows(pred == label)
+        sums[f"true_{label}"] = rows(valid & (true == label))
+    sums["others"] = F.count_distinct(F.when(valid & ~true.isin(VALID), true))
+    sums["seconds"] = F.sum(F.when(valid, F.col("seconds")))
+    wide = tally(predictions, keys).groupBy(*keys).agg(*[c.alias(name) for name, c in sums.items()])
+
+    def f1(label: str) -> Column:
+        return _ratio(2 * F.col(f"tp_{label}"), F.col(f"pred_{label}") + F.col(f"true_{label}"))
+
+    def present(label: str) -> Column:
+        return F.when(F.col(f"pred_{label}") + F.col(f"true_{label}") > 0, 1).otherwise(0)
+
+    classes = present(POSITIVE) + present(NEGATIVE) + F.col("others")
+    rates = {
+        "accuracy": F.col("right") / F.col("valid"),
+        "precision": _ratio(F.col(f"tp_{POSITIVE}"), F.col(f"pred_{POSITIVE}")),
+        "recall": _ratio(F.col(f"tp_{POSITIVE}"), F.col(f"true_{POSITIVE}")),
+        "f1_phishing": f1(POSITIVE),
+        "f1_legitimate": f1(NEGATIVE),
+        "f1_macro": (f1(POSITIVE) + f1(NEGATIVE)) / classes,
+    }
+
+    def rounded(value: Column, places: int) -> Column:
+        # Rounding at 12 digits first removes the order of summation.
+        return F.bround(F.round(value, 12), places)
+
+    return wide.where("valid > 0").select(
+        *keys,
+        *[rounded(value, digits).alias(name) for name, value in rates.items()],
+        rounded(F.col("seconds") / F.col("valid"), 2).alias("avg_time"),
+        "valid",
+        (F.col("total") - F.col("valid")).alias("errors"),
     )
 
 
@@ -113,24 +124,28 @@ def confusion_matrix(predictions: DataFrame, keys: list[str] = ("model",)) -> Da
 def report(predictions: DataFrame, keys: list[str] = ("model",)) -> DataFrame:
     """Per-class rows, then ``accuracy``, ``macro avg`` and ``weighted avg``."""
     keys = list(keys)
-    counts = tally(predictions, keys)
-    scores = class_scores(counts, keys)
+    scores = class_scores(tally(predictions, keys), keys)
     rates = ["precision", "recall", "f1"]
-    classes = scores.select(*keys, "class", *rates, "support")
-    macro = scores.groupBy(*keys).agg(
-        F.lit("macro avg").alias("class"), *[F.avg(r).alias(r) for r in rates], F.sum("support").alias("support")
-    )
-    weighted = scores.groupBy(*keys).agg(
-        F.lit("weighted avg").alias("class"),
-        *[_ratio(F.sum(F.col(r) * F.col("support")), F.sum("support")).alias(r) for r in rates],
+    # Every valid row has its prediction among the classes, so the true positives of all
+    # classes are the right answers and the supports add up to the valid rows.
+    totals = scores.groupBy(*keys).agg(
         F.sum("support").alias("support"),
+        _ratio(F.sum("tp"), F.sum("support")).alias("accuracy"),
+        *[F.avg(r).alias(f"macro_{r}") for r in rates],
+        *[_ratio(F.sum(F.col(r) * F.col("support")), F.sum("support")).alias(f"weighted_{r}") for r in rates],
     )
     none = F.lit(None).cast("double")
-    accuracy = validity(counts, keys).where("valid > 0").select(
-        *keys, F.lit("accuracy").alias("class"), none.alias("precision"), none.alias("recall"),
-        F.col("accuracy").alias("f1"), F.col("valid").alias("support"),
+
+    def line(name: str, values: list[Column]) -> Column:
+        return F.struct(F.lit(name).alias("class"), *[v.alias(r) for v, r in zip(values, rates)])
+
+    lines = F.array(
+        line("accuracy", [none, none, F.col("accuracy")]),
+        line("macro avg", [F.col(f"macro_{r}") for r in rates]),
+        line("weighted avg", [F.col(f"weighted_{r}") for r in rates]),
     )
-    every = classes.unionByName(accuracy).unionByName(macro).unionByName(weighted)
+    overall = totals.select(*keys, "support", F.inline(lines))
+    every = scores.select(*keys, "class", *rates, "support").unionByName(overall)
     return every.select(*keys, "class", *[F.round(r, 6).alias(r) for r in rates], "support")
 
 

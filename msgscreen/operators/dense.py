@@ -139,17 +139,20 @@ def dense_topk(
     exclude_self: bool = False,
     plan: str = "auto",
     fragments: int | None = None,
+    query_bytes: int | None = None,
 ) -> DataFrame:
     """``(query_id, doc_id, rank, score)``: the k largest inner products per query.
 
     ``queries(query_id, embedding)``, ``corpus(doc_id, embedding)``. Scores are rounded
     to 6 digits before ranking; ties go to the lower ``doc_id``. ``exclude_self`` drops
-    pairs with equal ids before ranking.
+    pairs with equal ids before ranking. ``query_bytes`` is a proven bound of the query
+    side (rows * dimension * 8); without it the side is measured.
     """
     queries = queries.select("query_id", "embedding")
     corpus = corpus.select("doc_id", "embedding")
     if plan == "auto":
-        plan = "broadcast" if measured_bytes(queries) <= BROADCAST_BYTES else "fragments"
+        size = measured_bytes(queries) if query_bytes is None else query_bytes
+        plan = "broadcast" if size <= BROADCAST_BYTES else "fragments"
     if plan == "broadcast":
         partial = _scan_with_broadcast(queries, corpus, k, exclude_self)
     elif plan == "fragments":

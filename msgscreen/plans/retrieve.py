@@ -24,6 +24,12 @@ KNOWLEDGE = 3
 SAMPLE = 100
 
 
+def _vector_bytes(encoder: Encoder, rows: int | None) -> int | None:
+    """Bound of a query matrix when its row count and dimension are known beforehand."""
+    dim = getattr(encoder, "dim", None)
+    return None if dim is None or rows is None else rows * (dim * 8 + 16)
+
+
 def hybrid_search(
     queries: DataFrame,
     index: LexicalIndex,
@@ -35,11 +41,16 @@ def hybrid_search(
     constant: int = RRF_K,
     pad: bool = False,
     text: str = "text",
+    query_rows: int | None = None,
 ) -> DataFrame:
-    """``(query_id, doc_id, rank, rrf_score, source)`` for a table of queries."""
+    """``(query_id, doc_id, rank, rrf_score, source)`` for a table of queries.
+
+    ``query_rows`` is the counted number of queries, where the caller has it already.
+    """
+    query_rows = queries.count() if query_rows is None else query_rows
     clean = queries.select("query_id", normalise(F.col(text)).alias("text"))
     encoded = encoder.encode(clean, "text", keep=["query_id"])
-    dense = dense_topk(encoded, vectors, candidates)
+    dense = dense_topk(encoded, vectors, candidates, query_bytes=_vector_bytes(encoder, query_rows))
     lexical = bm25_topk(clean, index, candidates, pad=pad)
     return rrf_fuse([dense, lexical], k, constant)
 
@@ -53,6 +64,7 @@ def knowledge_search(
     normalised: bool = False,
     key: str | None = None,
     text: str = "text",
+    query_rows: int | None = None,
 ) -> DataFrame:
     """``(query_id, rank, score, source_name, chunk_id, chunk)``: best chunks per query.
 
@@ -65,8 +77,10 @@ def knowledge_search(
     encoded = encoder.encode(queries.select("query_id", value.alias("text")), "text", keep=["query_id"])
     ident = F.col(key) if key else F.xxhash64("source_name", "chunk_id")
     keyed = chunks.withColumn("doc_id", ident)
-    winners = dense_topk(encoded, keyed, k).select("query_id", "doc_id").distinct()
-    rows = gather(winners, keyed.withColumnRenamed("embedding", "_v"), queries.count() * k)
+    query_rows = queries.count() if query_rows is None else query_rows
+    top = dense_topk(encoded, keyed, k, query_bytes=_vector_bytes(encoder, query_rows))
+    winners = top.select("query_id", "doc_id").distinct()
+    rows = gather(winners, keyed.withColumnRenamed("embedding", "_v"), query_rows * k)
     scored = rows.join(encoded, "query_id").withColumn(
         "score", F.round(inner_product(F.col("embedding"), F.col("_v")), 6)
     )

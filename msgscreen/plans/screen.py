@@ -53,12 +53,13 @@ def build_prompts(
     template: str = TEMPLATES["screen"],
 ) -> tuple[DataFrame, DataFrame]:
     """``(query_id, prompt)`` and the gathered cases behind each prompt."""
-    run = hybrid_search(queries, index, vectors, encoder, k=k)
-    cases = gather(run, corpus, queries.count() * k)
+    rows = queries.count()
+    run = hybrid_search(queries, index, vectors, encoder, k=k, query_rows=rows)
+    cases = gather(run, corpus, rows * k)
     knowledge = None
     if chunks is not None:
         knowledge = knowledge_blocks(
-            queries.select("query_id"), knowledge_search(queries, chunks, encoder)
+            queries.select("query_id"), knowledge_search(queries, chunks, encoder, query_rows=rows)
         )
     return prompts(queries, context_blocks(cases, style), knowledge, template), cases
 
@@ -112,14 +113,17 @@ def screen_messages(
     vectors: DataFrame,
     encoder: Encoder,
     responses: DataFrame,
-    chunks: DataFrame | None = None,
     **options,
 ) -> DataFrame:
-    """Validate, route, retrieve and join the answers ``(query_id, model, raw, seconds)``."""
+    """Validate, route, retrieve and join the answers ``(query_id, model, raw, seconds)``.
+
+    The answers come from ``build_prompts`` + ``ask`` or from any offline batch.
+    """
     routed = route_messages(messages)
     queries = routed.where("search_text IS NOT NULL").select(
         "query_id", F.col("search_text").alias("text")
     )
-    run = hybrid_search(queries, index, vectors, encoder)
-    cases = gather(run, corpus, queries.count() * FINAL)
+    rows = messages.count()  # at least the number of accepted messages
+    run = hybrid_search(queries, index, vectors, encoder, query_rows=rows)
+    cases = gather(run, corpus, rows * FINAL)
     return attach_verdicts(routed, cases, responses, **options)
