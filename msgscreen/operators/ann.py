@@ -6,11 +6,12 @@ operator is reported by ``recall_against``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgscreen.operators.dense import score_fragments
@@ -20,25 +21,30 @@ from msgscreen.scale import top_rows
 CELL_ROWS = 100_000
 
 
-def _nearest(centroids, count: int) -> Column:
-    """Vectorised udf: the ``count`` nearest centroids of each vector, nearest first."""
+def _with_nearest(df: DataFrame, ident: str, centroids, count: int) -> DataFrame:
+    """``(ident, embedding, cells)``: the ``count`` nearest centroids of each vector, nearest first."""
 
-    def nearest(vectors):
+    def nearest(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        n = len(vectors)
-        if not n:
-            return pa.array([], pa.list_(pa.int32()))
-        v = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(n, -1)
-        distance = (centroids**2).sum(axis=1)[None, :] - 2.0 * v @ centroids.T
-        order = np.argsort(distance, axis=1, kind="stable")[:, :count].astype("int32")
-        return pa.ListArray.from_arrays(
-            pa.array(np.arange(n + 1, dtype="int32") * order.shape[1]), pa.array(order.ravel())
-        )
-
-    nearest.__annotations__ = {}
-    return F.arrow_udf(nearest, "array<int>", F.ArrowUDFType.SCALAR).asNondeterministic()
+        lengths = (centroids**2).sum(axis=1)[None, :]
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            v = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(n, -1)
+            order = np.argsort(lengths - 2.0 * v @ centroids.T, axis=1, kind="stable")[:, :count].astype("int32")
+            cells = pa.ListArray.from_arrays(
+                pa.array(np.arange(n + 1, dtype="int32") * order.shape[1]), pa.array(order.ravel())
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch[ident], batch["embedding"], cells], [ident, "embedding", "cells"]
+            )
+
+    return df.select(ident, "embedding").mapInArrow(
+        nearest, f"{ident} bigint, embedding array<float>, cells array<int>"
+    )
 
 
 @dataclass(frozen=True)
@@ -54,8 +60,8 @@ def build_cells(corpus: DataFrame, cells: int = 16, seed: int = 42, iterations:
     features = corpus.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(features)
     centroids = np.array(model.clusterCenters())
-    vectors = corpus.select("doc_id", "embedding").withColumn(
-        "cell", _nearest(centroids, 1)(F.col("embedding"))[0]
+    vectors = _with_nearest(corpus, "doc_id", centroids, 1).select(
+        "doc_id", "embedding", F.col("cells")[0].alias("cell")
     )
     return CellIndex(vectors, centroids)
 
@@ -81,8 +87,8 @@ def ann_topk(
     placed = index.vectors.withColumn(
         "frag", (F.get(starts, cell) + F.pmod(F.xxhash64("doc_id"), F.get(splits, cell))).cast("int")
     )
-    probing = queries.select(
-        "query_id", "embedding", F.explode(_nearest(index.centroids, probes)(F.col("embedding"))).alias("cell")
+    probing = _with_nearest(queries, "query_id", index.centroids, probes).select(
+        "query_id", "embedding", F.explode("cells").alias("cell")
     ).select(
         "query_id",
         "embedding",
