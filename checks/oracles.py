@@ -56,6 +56,7 @@ SELECT n, round(avgdl, 6) AS avgdl, round(avg_idf, 6) AS avg_idf FROM cs, avg_ra
 TOPK = f"WITH {INDEX}, {_bm25(BENCH)} SELECT query_id, doc_id, rank, score FROM lex"
 ORACLES["bm25_topk"] = TOPK
 ORACLES["bm25_topk_joined"] = TOPK
+ORACLES["bm25_topk_blocked"] = TOPK
 ORACLES["bm25_topk_padded"] = f"""WITH {INDEX},
 qs AS ({BENCH} UNION ALL SELECT page_id + 1000000, url FROM pages),
 {_bm25('SELECT * FROM qs')},

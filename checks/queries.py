@@ -70,6 +70,12 @@ def bm25_topk_joined(spark, d):
     return lexical.bm25_topk(V.queries(spark, d), index, plan="join")
 
 
+@query
+def bm25_topk_blocked(spark, d):
+    index, _ = V.retrieval_system(spark, d)
+    return lexical.bm25_topk(V.queries(spark, d), index, plan="fragments", fragments=8)
+
+
 @query
 def bm25_topk_padded(spark, d):
     pages = V.table(spark, d, "pages").select((F.col("page_id") + 1_000_000).alias("query_id"), F.col("url").alias("text"))

@@ -3,17 +3,22 @@
 The index is four tables: ``doc_terms`` (one row per document with its term counts),
 ``postings`` clustered by term, ``term_stats`` and one row of ``corpus_stats``.
 
-Two scoring plans with the same result:
+Three scoring plans with the same result:
 
 * ``scan``: the query terms, measured first, go to every executor; ``doc_terms`` is
   scanned once and never shuffled, each task returns at most k rows per query. Stop
   words cost arithmetic, not shuffle.
-* ``join``: query terms meet ``postings`` on the term. Right for few queries against a
-  stored index, and for query sides beyond the broadcast bound (AQE splits hot terms).
+* ``fragments``: for a query side beyond the broadcast bound. Documents are hashed by id
+  into fragments of bounded bytes, queries are sent to every fragment and stream past it.
+* ``join``: few query terms meet the term-clustered ``postings`` of a stored index, which
+  reads a small part of them.
+
+(query, document) pairs exist only inside a task; none of the plans shuffles them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgscreen.functions.text import term_counts, tokens
-from msgscreen.operators.blocks import running_best
+from msgscreen.operators.blocks import best_k, running_best
 from msgscreen.scale import BROADCAST_BYTES, measured_bytes, top_rows
 
 # BM25 parameters and the share of the mean idf that floors negative ones.
@@ -29,6 +34,9 @@ K1 = 1.5
 B = 0.75
 IDF_FLOOR = 0.25
 
+#: Bytes of document terms (as JSON text, an upper bound) held by one fragment.
+FRAGMENT_BYTES = 256 << 20
+
 #: Below this many query-term rows the term-clustered postings are read instead of all documents.
 FEW_QUERY_TERMS = 256
 
@@ -92,45 +100,88 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _weights(terms: DataFrame, index: LexicalIndex, small: bool) -> DataFrame:
+    """``(query_id, term, w)`` with w = count in the query * idf; unknown terms drop out."""
     side = F.broadcast(terms) if small else terms
     return index.term_stats.join(side, "term").select(
         "query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")
     )
 
 
-def _scored_by_join(terms: DataFrame, index: LexicalIndex, small: bool, k1: float, b: float) -> DataFrame:
-    weights = _weights(terms, index, small)
-    avgdl = index.corpus_stats.select("avgdl").scalar()
+def _average_length(index: LexicalIndex):
+    return index.corpus_stats.select("avgdl").scalar().cast("double")
+
+
+def _scored_by_join(terms: DataFrame, index: LexicalIndex, k1: float, b: float) -> DataFrame:
+    weights = _weights(terms, index, True)
     tf = F.col("tf").cast("double")
-    part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
-    if small:
-        # Cut the postings to the query vocabulary, bring each document to one task, and
-        # only then meet the queries: (query, document) pairs never cross the network.
-        vocabulary = F.broadcast(terms.select("term").distinct())
-        hits = (
-            index.postings.join(vocabulary, "term", "left_semi")
-            .repartition("doc_id")
-            .join(F.broadcast(weights), "term")
-        )
-    else:
-        hits = index.postings.join(weights, "term")
+    part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / _average_length(index)))
+    # Cut the postings to the query vocabulary, bring each document to one task, and only
+    # then meet the queries, so pairs are summed where they arise.
+    vocabulary = F.broadcast(terms.select("term").distinct())
     return (
-        hits.groupBy("doc_id", "query_id")
+        index.postings.join(vocabulary, "term", "left_semi")
+        .repartition("doc_id")
+        .join(F.broadcast(weights), "term")
+        .groupBy("doc_id", "query_id")
         .agg(F.round(F.sum(part), 6).alias("score"))
         .select("query_id", "doc_id", "score")
     )
 
 
+def _block_scorer(k1: float, b: float):
+    """Dense scores of a block: a few hundred queries against the documents of a task."""
+
+    def flatten(column, value: str):
+        """List column of (term, value) structs -> row number, term, value."""
+        import numpy as np
+
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = column.flatten()
+        rows = np.repeat(np.arange(len(column)), sizes)
+        return rows, flat.field("term"), flat.field(value).to_numpy(zero_copy_only=False)
+
+    def gains(doc, tf, dl, mean):
+        """Length-normalised term frequency of every posting."""
+        tf = tf.astype("float64")
+        return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc].astype("float64") / mean))
+
+    def by_code(code, *columns):
+        """Sort columns by term code; returns them and where each code begins."""
+        import numpy as np
+
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        codes = np.unique(code)
+        return codes, np.searchsorted(code, codes), np.searchsorted(code, codes, "right"), [c[order] for c in columns]
+
+    def scores(queries, documents, shape):
+        """Sum weight * gain over the shared terms; pairs without one stay at minus infinity."""
+        import numpy as np
+
+        total, hit = np.zeros(shape), np.zeros(shape, dtype=bool)
+        q_codes, q_from, q_to, (q, w) = queries
+        d_codes, d_from, d_to, (d, gain) = documents
+        _, at_q, at_d = np.intersect1d(q_codes, d_codes, assume_unique=True, return_indices=True)
+        for i, j in zip(at_q, at_d):
+            qs, ds = slice(q_from[i], q_to[i]), slice(d_from[j], d_to[j])
+            cell = np.ix_(q[qs], d[ds])
+            total[cell] += w[qs, None] * gain[None, ds]
+            hit[cell] = True
+        total[~hit] = -np.inf
+        return total
+
+    return flatten, gains, by_code, scores
+
+
 def _scored_by_scan(terms: DataFrame, index: LexicalIndex, k: int, k1: float, b: float) -> DataFrame:
-    spark = index.doc_terms.sparkSession
-    avgdl = index.corpus_stats.select("avgdl").scalar()
     table = (
         _weights(terms, index, True)
-        .select("query_id", "term", "w", avgdl.cast("double").alias("avgdl"))
+        .withColumn("avgdl", _average_length(index))
         .toArrow()  # bounded: the caller measured the query terms
     )
-    shared = spark.sparkContext.broadcast(table.combine_chunks())
+    shared = index.doc_terms.sparkSession.sparkContext.broadcast(table.combine_chunks())
     collect = running_best(k)
+    flatten, gains, by_code, scores = _block_scorer(k1, b)
 
     def scan(batches: Iterator) -> Iterator:
         import numpy as np
@@ -141,65 +192,104 @@ def _scored_by_scan(terms: DataFrame, index: LexicalIndex, k: int, k1: float, b:
         if not weights.num_rows:
             return
         query_ids, q_no = np.unique(weights["query_id"].to_numpy(), return_inverse=True)
-        coded = weights["term"].combine_chunks().dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        by_term = np.argsort(coded.indices.to_numpy(), kind="stable")
-        codes = coded.indices.to_numpy()[by_term]
-        q_no, w = q_no[by_term], weights["w"].to_numpy()[by_term]
-        begin = np.searchsorted(codes, np.arange(len(coded.dictionary) + 1))
+        coded = pa.concat_arrays(weights["term"].chunks).dictionary_encode()
+        code, w = coded.indices.to_numpy(), weights["w"].to_numpy()
         mean = weights["avgdl"][0].as_py()
+        groups = []
+        for at in range(0, len(query_ids), 1024):
+            mine = (q_no >= at) & (q_no < at + 1024)
+            groups.append((at, min(1024, len(query_ids) - at), by_code(code[mine], q_no[mine] - at, w[mine])))
         add, results = collect(query_ids)
-
-        def score(ids, dl, doc, term, tf):
-            """Dense (queries x documents) scores of one block; unmatched pairs stay out."""
-            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / mean))
-            order = np.argsort(term, kind="stable")
-            doc, term, gain = doc[order], term[order], gain[order]
-            edges = np.flatnonzero(np.diff(term)) + 1
-            for at in range(0, len(query_ids), 1024):
-                size = min(1024, len(query_ids) - at)
-                total = np.zeros((size, len(ids)))
-                hit = np.zeros((size, len(ids)), dtype=bool)
-                for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(term)]):
-                    if lo == hi:
-                        continue
-                    lines = slice(begin[term[lo]], begin[term[lo] + 1])
-                    q, weight = q_no[lines], w[lines]
-                    if len(query_ids) > 1024:
-                        inside = (q >= at) & (q < at + size)
-                        q, weight = q[inside] - at, weight[inside]
-                    if not len(q):
-                        continue
-                    cell = np.ix_(q, doc[lo:hi])
-                    total[cell] += weight[:, None] * gain[None, lo:hi]
-                    hit[cell] = True
-                total[~hit] = -np.inf
-                add(at, ids, total)
-
         for batch in batches:
             for part in range(0, batch.num_rows, 2048):
                 rows = batch.slice(part, 2048)
-                terms_col = rows["terms"]
-                sizes = terms_col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                flat = terms_col.flatten()
-                code = pc.index_in(flat.field("term"), value_set=coded.dictionary)
-                known = code.is_valid().to_numpy(zero_copy_only=False)
+                doc, term, tf = flatten(rows["terms"], "tf")
+                found = pc.index_in(term, value_set=coded.dictionary)
+                known = found.is_valid().to_numpy(zero_copy_only=False)
                 if not known.any():
                     continue
-                doc = np.repeat(np.arange(rows.num_rows), sizes)[known]
-                score(
-                    rows["doc_id"].to_numpy(),
-                    rows["dl"].to_numpy().astype("float64"),
-                    doc,
-                    code.drop_null().to_numpy(),
-                    flat.field("tf").to_numpy()[known].astype("float64"),
-                )
+                doc, ids = doc[known], rows["doc_id"].to_numpy()
+                gain = gains(doc, tf[known], rows["dl"].to_numpy(), mean)
+                documents = by_code(found.drop_null().to_numpy(), doc, gain)
+                for at, size, queries in groups:
+                    add(at, ids, scores(queries, documents, (size, len(ids))))
         yield from results()
 
     return index.doc_terms.mapInArrow(scan, "query_id bigint, doc_id bigint, score double")
 
 
+def _scored_by_fragments(
+    terms: DataFrame, index: LexicalIndex, k: int, k1: float, b: float, fragments: int
+) -> DataFrame:
+    """One shuffle by fragment; inside a partition documents come first, then queries stream past."""
+    kind = "array<struct<term:string,tf:int,w:double>>"
+    nothing = F.lit(None).cast("double")
+    docs = index.doc_terms.select(
+        F.pmod(F.xxhash64("doc_id"), F.lit(fragments)).cast("int").alias("frag"), F.lit(0).alias("side"),
+        F.col("doc_id").alias("id"), "dl", nothing.alias("avgdl"),
+        F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), nothing.alias("w"))).cast(kind).alias("terms"),
+    )
+    no_count = F.lit(None).cast("int")
+    # A list per query is as long as its message has distinct words.
+    asked = (
+        _weights(terms, index, False)
+        .groupBy("query_id")
+        .agg(F.collect_list(F.struct("term", no_count.alias("tf"), "w")).cast(kind).alias("terms"))
+        .select(
+            F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("frag"), F.lit(1).alias("side"),
+            F.col("query_id").alias("id"), no_count.alias("dl"), _average_length(index).alias("avgdl"), "terms",
+        )
+    )
+    ordered = docs.unionByName(asked).repartition(fragments, "frag").sortWithinPartitions("frag", "side")
+    best = best_k(k)
+    flatten, gains, by_code, scores = _block_scorer(k1, b)
+
+    def stream(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        current, held, block = None, [], None
+        for batch in batches:
+            frag, side = batch["frag"].to_numpy(), batch["side"].to_numpy()
+            edges = np.flatnonzero((np.diff(frag) != 0) | (np.diff(side) != 0)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(frag)]):
+                if lo == hi:
+                    continue
+                if frag[lo] != current:
+                    current, held, block = frag[lo], [], None
+                rows = batch.slice(lo, hi - lo)
+                if side[lo] == 0:
+                    held.append(rows)
+                    continue
+                if block is None:
+                    if not held:
+                        continue
+                    mine = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    doc, term, tf = flatten(mine["terms"], "tf")
+                    coded = term.dictionary_encode()
+                    gain = gains(doc, tf, mine["dl"].to_numpy(), rows["avgdl"][0].as_py())
+                    block = (mine["id"].to_numpy(), coded.dictionary, by_code(coded.indices.to_numpy(), doc, gain))
+                    held = []
+                ids, vocabulary, documents = block
+                step = max(1, (1 << 22) // len(ids))
+                for at in range(0, rows.num_rows, step):
+                    part = rows.slice(at, step)
+                    q, term, w = flatten(part["terms"], "w")
+                    found = pc.index_in(term, value_set=vocabulary)
+                    known = found.is_valid().to_numpy(zero_copy_only=False)
+                    if not known.any():
+                        continue
+                    queries = by_code(found.drop_null().to_numpy(), q[known], w[known])
+                    line, docs_, top = best(ids, scores(queries, documents, (part.num_rows, len(ids))))
+                    yield pa.record_batch(
+                        [pa.array(part["id"].to_numpy()[line]), pa.array(docs_), pa.array(top)],
+                        names=["query_id", "doc_id", "score"],
+                    )
+
+    return ordered.mapInArrow(stream, "query_id bigint, doc_id bigint, score double")
+
+
 def bm25_topk(
     queries: DataFrame,
     index: LexicalIndex,
@@ -208,6 +298,7 @@ def bm25_topk(
     text: str = "text",
     pad: bool = False,
     plan: str = "auto",
+    fragments: int | None = None,
     k1: float = K1,
     b: float = B,
 ) -> DataFrame:
@@ -218,16 +309,20 @@ def bm25_topk(
     lists with zero-score documents, lowest ids first.
     """
     terms = query_terms(queries, text)
-    small = measured_bytes(terms) <= BROADCAST_BYTES
-    if plan == "auto":
-        few = index.stored and terms.limit(FEW_QUERY_TERMS + 1).count() <= FEW_QUERY_TERMS
-        plan = "scan" if small and not few else "join"
+    if plan != "fragments":
+        small = measured_bytes(terms) <= BROADCAST_BYTES
+        if plan == "auto":
+            few = index.stored and terms.limit(FEW_QUERY_TERMS + 1).count() <= FEW_QUERY_TERMS
+            plan = "join" if few else "scan" if small else "fragments"
+        elif not small:
+            raise ValueError("the query side is beyond the broadcast bound; use plan='fragments'")
     if plan == "scan":
-        if not small:
-            raise ValueError("the query side is beyond the broadcast bound; use plan='join'")
         scored = _scored_by_scan(terms, index, k, k1, b)
     elif plan == "join":
-        scored = _scored_by_join(terms, index, small, k1, b)
+        scored = _scored_by_join(terms, index, k1, b)
+    elif plan == "fragments":
+        count = fragments or max(1, math.ceil(measured_bytes(index.doc_terms) / FRAGMENT_BYTES))
+        scored = _scored_by_fragments(terms, index, k, k1, b, count)
     else:
         raise ValueError(f"unknown plan {plan!r}")
     order = [F.desc("score"), F.asc("doc_id")]
