@@ -493,7 +493,9 @@ SELECT name, pages, strftime(added_at, '%Y-%m-%d %H:%M:%S') AS added_date, path
 ORACLES["registry_delete"] = f"""WITH {REGISTRY}
 SELECT 'doc' || c_custkey || '.pdf' AS name, pages, TIMESTAMP '2025-01-01 00:00:00' AS added_at, path, 'delete' AS op, c_custkey AS seq,
     a.name IS NOT NULL AS found FROM customer LEFT JOIN active a ON a.name = 'doc' || c_custkey || '.pdf'"""
-ORACLES["registry_status"] = f"WITH {REGISTRY} SELECT count(*) AS documents FROM active"
+_PROFILE = ORACLES["corpus_profile"].removeprefix(f"WITH {CORPUS}")
+ORACLES["registry_status"] = f"""WITH {REGISTRY}, {CORPUS}
+SELECT 'documents' AS dimension, 'active' AS value, count(*) AS n FROM active UNION ALL {_PROFILE}"""
 ORACLES["visible_chunks"] = f"""WITH {REGISTRY}, {_chunks("SELECT 'doc' || doc_id || '.pdf' AS source_name, text FROM documents", 'ch', 'source_name')}
 SELECT source_name, chunk_id FROM ch WHERE source_name NOT IN (SELECT name FROM latest WHERE op = 'delete')"""
 

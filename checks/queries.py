@@ -473,7 +473,7 @@ def registry_delete(spark, d):
 
 @query
 def registry_status(spark, d):
-    return registry.status(V.registry_log(spark, d))
+    return registry.status(V.registry_log(spark, d), profile.corpus_profile(V.corpus(spark, d)))
 
 
 @query

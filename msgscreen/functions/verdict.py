@@ -126,11 +126,13 @@ def normalise_verdicts(
     labels: str = "three",
     mode: str = "fenced",
     round_confidence: bool = True,
+    models: list[str] | None = None,
 ) -> DataFrame:
     """Add the typed verdict fields to a table of raw answers.
 
     Every row stays: an answer without usable JSON gets label ``error``, risk 0 and
-    ``error_type`` (``no_json``, ``json_parse`` or ``not_an_object``).
+    ``error_type`` (``no_json``, ``json_parse`` or ``not_an_object``; ``unknown_model`` for an
+    answer under a name outside ``models``).
     """
     if labels not in ("two", "three"):
         raise ValueError(f"labels must be 'two' or 'three', not {labels!r}")
@@ -146,7 +148,10 @@ def normalise_verdicts(
         )
 
     staged = responses.withColumn("_json", json)
-    staged = staged.withColumns({"_v": F.try_parse_json("_json"), "error_type": bind(F.col("_json"), fault)})
+    error = bind(F.col("_json"), fault)
+    if models is not None:
+        error = F.when(~F.col("model").isin(models), F.lit("unknown_model")).otherwise(error)
+    staged = staged.withColumns({"_v": F.try_parse_json("_json"), "error_type": error})
     v = F.col("_v")
     bad = F.col("error_type").isNotNull()
 

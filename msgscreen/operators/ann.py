@@ -53,11 +53,17 @@ class CellIndex:
     centroids: object  # cells x dim; its size is set by the caller, not by the data
 
 
-def build_cells(corpus: DataFrame, cells: int = 16, seed: int = 42, iterations: int = 10) -> CellIndex:
-    """Fit cells on all vectors and assign each vector to its nearest one."""
+def build_cells(
+    corpus: DataFrame, cells: int = 16, seed: int = 42, iterations: int = 10, fit_on: DataFrame | None = None
+) -> CellIndex:
+    """Fit cells and assign every vector of the corpus to its nearest one.
+
+    ``fit_on`` may name fewer vectors to place the centroids by; it changes the layout of
+    the cells, never which vectors are searchable.
+    """
     import numpy as np
 
-    features = corpus.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    features = (corpus if fit_on is None else fit_on).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(features)
     centroids = np.array(model.clusterCenters())
     vectors = _with_nearest(corpus, "doc_id", centroids, 1).select(

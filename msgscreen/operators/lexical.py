@@ -34,8 +34,8 @@ K1 = 1.5
 B = 0.75
 IDF_FLOOR = 0.25
 
-#: Bytes of document terms (as JSON text, an upper bound) held by one fragment.
-FRAGMENT_BYTES = 256 << 20
+#: Tokens of the documents held by one fragment while its queries stream past.
+FRAGMENT_TOKENS = 8_000_000
 
 #: Below this many query-term rows the term-clustered postings are read instead of all documents.
 FEW_QUERY_TERMS = 256
@@ -218,6 +218,12 @@ def _scored_by_scan(terms: DataFrame, index: LexicalIndex, k: int, k1: float, b:
     return index.doc_terms.mapInArrow(scan, "query_id bigint, doc_id bigint, score double")
 
 
+def _fragment_count(index: LexicalIndex) -> int:
+    """From the lengths alone; the term lists are not read for it."""
+    tokens_ = index.doc_terms.agg(F.sum(F.col("dl").cast("bigint"))).first()[0] or 0
+    return max(1, math.ceil(tokens_ / FRAGMENT_TOKENS))
+
+
 def _scored_by_fragments(
     terms: DataFrame, index: LexicalIndex, k: int, k1: float, b: float, fragments: int
 ) -> DataFrame:
@@ -321,7 +327,7 @@ def bm25_topk(
     elif plan == "join":
         scored = _scored_by_join(terms, index, k1, b)
     elif plan == "fragments":
-        count = fragments or max(1, math.ceil(measured_bytes(index.doc_terms) / FRAGMENT_BYTES))
+        count = fragments or _fragment_count(index)
         scored = _scored_by_fragments(terms, index, k, k1, b, count)
     else:
         raise ValueError(f"unknown plan {plan!r}")

@@ -61,9 +61,12 @@ def visible_chunks(chunks: DataFrame, log: DataFrame) -> DataFrame:
     return chunks.join(gone, "source_name", "left_anti")
 
 
-def status(log: DataFrame) -> DataFrame:
-    """Number of active documents (one row)."""
-    return active(log).agg(F.count("*").alias("documents"))
+def status(log: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """``(dimension, value, n)``: number of active documents, then the corpus profile if given."""
+    documents = active(log).agg(F.count("*").alias("n")).select(
+        F.lit("documents").alias("dimension"), F.lit("active").alias("value"), "n"
+    )
+    return documents if profile is None else documents.unionByName(profile)
 
 
 def history(log: DataFrame, width: int = HISTORY_PREVIEW) -> DataFrame:

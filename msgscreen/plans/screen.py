@@ -82,16 +82,12 @@ def ask(
     return prompt_table.select("query_id", "prompt").mapInPandas(run, schema.RESPONSES)
 
 
-def keep_known_models(responses: DataFrame, models: list[str]) -> DataFrame:
-    """Add ``unknown_model``; answers under an unlisted model name count as errors."""
-    return responses.withColumn("unknown_model", ~F.col("model").isin(models))
+def attach_verdicts(messages: DataFrame, cases: DataFrame, responses: DataFrame, **options) -> DataFrame:
+    """Finished analyses: message, verdict fields, similar cases. Error rows list no cases.
 
-
-def attach_verdicts(
-    messages: DataFrame, cases: DataFrame, responses: DataFrame, *, labels: str = "three", mode: str = "fenced"
-) -> DataFrame:
-    """Finished analyses: message, verdict fields, similar cases. Error rows list no cases."""
-    verdicts = normalise_verdicts(responses, labels=labels, mode=mode)
+    ``options`` go to ``normalise_verdicts``.
+    """
+    verdicts = normalise_verdicts(responses, **options)
     listed = similar_cases(cases)
     case_type = listed.schema["similar_cases"].dataType
     joined = messages.join(verdicts, "query_id", "left").join(listed, "query_id", "left")

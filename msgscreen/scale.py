@@ -12,7 +12,7 @@ import uuid
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,14 +41,6 @@ def measured_bytes(df: DataFrame) -> int:
     return int(df.agg(F.sum(row_width)).first()[0] or 0)
 
 
-def broadcast_checked(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
-    """``df`` marked for broadcast when its measured size allows it, and whether it was."""
-    limit = BROADCAST_BYTES if limit is None else limit
-    if measured_bytes(df) <= limit:
-        return F.broadcast(df), True
-    return df, False
-
-
 def broadcast_bounded(df: DataFrame, row_bound: int, row_bytes: int = 64) -> DataFrame:
     """Broadcast ``df`` when its size is proven by ``row_bound``, without running it.
 
@@ -69,13 +61,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if estimate < cores * (128 << 20) else df
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a fresh local one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="msgscreen-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_DIRS:
+        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="msgscreen-")
+    return _OWN_DIRS[app]
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
@@ -94,7 +91,5 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, rank:
     Spark turns the filter on ``row_number`` into a group limit that runs before
     the shuffle, so a group that holds a third of all rows sends ``k`` rows per task.
     """
-    from pyspark.sql import Window
-
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)

@@ -27,6 +27,16 @@ def fingerprint(docs: DataFrame, text: str = "text") -> str:
     return f"{row['n']}_{abs(int(row['h'] or 0)):x}"
 
 
+def file_fingerprint(files: DataFrame) -> str:
+    """Hash of paths, sizes and change times of the files behind a plain file scan.
+
+    Reads no data columns, so it suits corpora too large to be hashed at every start.
+    """
+    meta = files.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    row = meta.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*meta.columns).cast("decimal(20,0)")).alias("h")).first()
+    return f"f{row['n']}_{abs(int(row['h'] or 0)):x}"
+
+
 def save_lexical_index(docs: DataFrame, path: str, text: str = "text") -> None:
     """Write the index tables. Texts are tokenised once; the rest derives from the stored counts.
 
@@ -74,15 +84,17 @@ def build_retrieval_system(
     *,
     text: str = "text",
     encoder_name: str = "default",
+    mark: str | None = None,
     force_rebuild: bool = False,
 ) -> tuple[LexicalIndex, DataFrame]:
     """Lexical index and vectors of ``docs(doc_id, text)``, built unless already stored.
 
     Artefacts live under a folder named by the corpus fingerprint, so those of another
     corpus are never picked up; each part counts as stored once its success mark exists.
+    ``mark`` replaces the content fingerprint, e.g. by ``file_fingerprint``.
     """
     spark = docs.sparkSession
-    home = f"{path}/{fingerprint(docs, text)}"
+    home = f"{path}/{mark or fingerprint(docs, text)}"
     lexical, vectors = f"{home}/lexical", f"{home}/vectors/{encoder_name}"
     if force_rebuild or not path_exists(spark, f"{lexical}/corpus_stats/_SUCCESS"):
         save_lexical_index(docs, lexical, text)

@@ -97,7 +97,7 @@ def test_registry(spark, tmp_path):
     stored_log = arrivals.load_registry(spark, f"{tmp_path}/log")
     listed = {r.name: (r.pages, r.added_date, r.path) for r in registry.listing(stored_log).collect()}
     assert listed == {"a.pdf": (5, "2024-01-02 00:00:00", "p/a"), "b.pdf": (0, "2024-01-01 00:00:00", "")}
-    assert registry.status(stored_log).first().documents == 2
+    assert registry.status(stored_log).first().n == 2
     ask = spark.createDataFrame([("a.pdf", 9), ("zz.pdf", 10)], "name string, seq long").withColumn(
         "requested_at", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
     )
@@ -144,6 +144,10 @@ def test_stored_index_and_fingerprint(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == before
     stored.build_retrieval_system(docs.where("doc_id > 0"), str(tmp_path), ENCODER)
     assert len(list(tmp_path.iterdir())) == 2
+    docs.write.parquet(f"{tmp_path}/src")
+    marks = {stored.file_fingerprint(spark.read.parquet(f"{tmp_path}/src")) for _ in range(2)}
+    docs.write.mode("append").parquet(f"{tmp_path}/src")
+    assert len(marks) == 1 and stored.file_fingerprint(spark.read.parquet(f"{tmp_path}/src")) not in marks
 
 
 def test_corpus_readers(spark, tmp_path):

@@ -196,3 +196,21 @@ def test_fusion_bound(spark):
         queries, lexical.build_lexical_index(docs), encoder.encode(docs, "text", keep=["doc_id"]), encoder
     ).collect()
     assert len(run) == 10 and all(0 < r.rrf_score <= 2 / 61 for r in run)
+
+
+def test_benchmark_of_encoders(spark, tmp_path):
+    from msgscreen.plans.benchmark import benchmark_encoders
+
+    rows = [(i, f"{'pay now' if i % 2 else 'team lunch'} w{i % 7}", "phishing" if i % 2 else "legitimate") for i in range(60)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string, label string")
+
+    def broken():
+        raise RuntimeError("no such model")
+
+    encoders = {"small": HashingEncoder(16), "wide": HashingEncoder(64), "gone": BatchEncoder(broken)}
+    got = {r.model: r for r in benchmark_encoders(corpus, encoders, sample_size=20, output_csv=f"{tmp_path}/b").collect()}
+    assert set(got) == {"small", "wide"}
+    row = got["wide"]
+    assert (row.n, row.dim, row.queries, row.index_size_mb) == (60, 64, 20, 0.01)
+    assert row.precision > 0.9 and row.hit_rate == 1.0 and row.encoding_time_s > 0 and row.avg_search_time_ms > 0
+    assert spark.read.option("header", True).csv(f"{tmp_path}/b").count() == 2

@@ -38,6 +38,12 @@ def test_fallback_of_other_json(spark):
     assert {r.error_type for r in verdict.normalise_verdicts(df, mode="fallback").collect()} == {"not_an_object"}
 
 
+def test_unknown_model(spark):
+    df = spark.createDataFrame([("m1", '{"label":"phishing"}'), ("m9", '{"label":"phishing"}')], "model string, raw string")
+    got = {r.model: (r.label, r.error_type) for r in verdict.normalise_verdicts(df, models=["m1"]).collect()}
+    assert got == {"m1": ("phishing", None), "m9": ("error", "unknown_model")}
+
+
 def test_rounding_is_pythons(spark):
     rng = random.Random(5)
     values = [i / 1000 for i in range(1001)] + [rng.random() for _ in range(3000)] + [0.0, 1.0, 1e-9, 0.004999, 0.005, 0.995]
