@@ -111,6 +111,7 @@ knn AS (SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_i
     FROM pairs QUALIFY rank <= 5)
 """
 ORACLES["knn_leave_one_out"] = f"WITH {KNN} SELECT * FROM knn"
+ORACLES["dense_topk_ann_every_cell"] = ORACLES["knn_leave_one_out"]
 ORACLES["index_size"] = """SELECT label::VARCHAR AS label, count(*) AS n, max(len(embedding)) AS dim,
 round(sum(len(embedding)) * 4 / 1048576.0, 2) AS index_size_mb FROM embeddings GROUP BY label"""
 
@@ -355,6 +356,8 @@ ORACLES["sample_stratified"] = f"""WITH {CORPUS}
 SELECT doc_id, label FROM corpus WHERE label IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id), doc_id) <= 50"""
 
+ORACLES["sample_head"] = f"SELECT * FROM ({ORACLES['sample_stratified']}) ORDER BY doc_id LIMIT 100"
+
 
 def _metrics(name: str, queries: str, embedding: str) -> str:
     return f"""

@@ -40,7 +40,7 @@ def query(build: Query) -> Query:
 
 @query
 def bm25_postings_stats(spark, d):
-    index = lexical.build_lexical_index(V.documents(spark, d))
+    index, _ = V.retrieval_system(spark, d)
     return index.postings.groupBy("term").agg(
         F.count("*").alias("df"), F.sum("tf").alias("total_tf"), F.max("dl").cast("bigint").alias("longest")
     )
@@ -48,13 +48,13 @@ def bm25_postings_stats(spark, d):
 
 @query
 def bm25_idf(spark, d):
-    stats = lexical.build_lexical_index(V.documents(spark, d)).term_stats
+    stats = V.retrieval_system(spark, d)[0].term_stats
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
 def bm25_corpus_stats(spark, d):
-    stats = lexical.build_lexical_index(V.documents(spark, d)).corpus_stats
+    stats = V.retrieval_system(spark, d)[0].corpus_stats
     return stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
 
 
@@ -108,6 +108,14 @@ def dense_topk_ann(spark, d):
     return ann.ann_topk(queries, ann.build_cells(corpus), k=5, exclude_self=True)
 
 
+@query
+def dense_topk_ann_every_cell(spark, d):
+    """Probing every cell must give the exact result."""
+    corpus = V.labelled_vectors(spark, d).select("doc_id", "embedding")
+    queries = corpus.withColumnRenamed("doc_id", "query_id")
+    return ann.ann_topk(queries, ann.build_cells(corpus, cells=8), k=5, probes=8, exclude_self=True)
+
+
 @query
 def embed_documents(spark, d):
     embedded = V.ENCODER.encode(V.documents(spark, d), "text", keep=["doc_id"])
@@ -359,6 +367,12 @@ def sample_simple(spark, d):
     return sampling.simple_sample(V.table(spark, d, "documents").select("doc_id", "lang"), 100)
 
 
+@query
+def sample_head(spark, d):
+    rows = sampling.stratified_sample(V.corpus(spark, d).select("doc_id", "label"), 50)
+    return sampling.head(rows, 100, "doc_id").select("doc_id", "label")
+
+
 @query
 def sample_stratified(spark, d):
     return sampling.stratified_sample(V.corpus(spark, d).select("doc_id", "label"), 50)

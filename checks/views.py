@@ -51,6 +51,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without its texts, spread over the cores."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    label = F.when(F.col("quality") == 0, "phishing").when(F.col("quality") == 1, "legitimate")
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
+        "doc_id", label.alias("label"), F.col("lang").alias("language")
+    )
+
+
 def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("doc_id"), "embedding", F.col("label").cast("string").alias("label")
@@ -93,7 +102,7 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = corpus(spark, sf_dir).where("label IS NOT NULL").select("doc_id", "label", "language")
+    labelled = labelled_ids(spark, sf_dir).where("label IS NOT NULL")
     digest = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("model")))
     first = F.left(digest, F.lit(1))
     other = F.when(F.col("label") == "phishing", "legitimate").otherwise("phishing")
@@ -110,7 +119,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw model answers, one per document, in every shape that models produce."""
-    rows = corpus(spark, sf_dir).select("doc_id", F.coalesce("label", F.lit("unsure")).alias("label"), "language")
+    rows = labelled_ids(spark, sf_dir).select("doc_id", F.coalesce("label", F.lit("unsure")).alias("label"), "language")
     number = F.col("doc_id").cast("string")
     digit = F.left(F.md5(F.concat(number, F.lit(":r"))), F.lit(1))
     plain = F.concat(

@@ -50,7 +50,7 @@ def url_parts(url: Column, assume_scheme: bool = False) -> dict[str, Column]:
 def lexicon_hits(url: Column, words: Sequence[str] = lexicons.WORDS, distinct: bool = False) -> Column:
     """Lexicon entries contained in the lower-cased URL, in lexicon order."""
     entries = list(dict.fromkeys(words)) if distinct else list(words)
-    lexicon = F.array(*[F.lit(w) for w in entries])
+    lexicon = F.split(F.lit("\n".join(entries)), "\n")  # folds to one constant array
     return bind(F.lower(url), lambda low: F.filter(lexicon, lambda word: F.contains(low, word)))
 
 

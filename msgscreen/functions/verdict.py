@@ -46,19 +46,24 @@ def extract_json(raw: Column, mode: str = "fenced") -> Column:
 def python_round2(value: Column) -> Column:
     """Round a double in [0, 1] to two digits, half to even on its exact binary value.
 
-    Scaling by 2**60 is exact for every double of at least 2**-8 (smaller ones round
-    to 0 either way), so the comparison with the half is made on integers.
+    Scaling by 2**60 is exact for every double of at least 2**-8 (smaller ones round to 0
+    either way). Split into high and low 30 bits, hundredfold values fit a BIGINT, so whole
+    and rest come out of integer arithmetic.
     """
-    unit = 1 << 60
-    scaled = (value * F.lit(float(unit))).cast("bigint").cast("decimal(19,0)") * F.lit(100).cast("decimal(3,0)")
-    whole = F.floor(scaled / F.lit(unit).cast("decimal(19,0)")).cast("decimal(19,0)")
-    # The quotient above may be rounded, so settle the unit digit on exact remainders.
-    rest = scaled - whole * F.lit(unit).cast("decimal(19,0)")
-    whole = F.when(rest < 0, whole - 1).when(rest >= unit, whole + 1).otherwise(whole)
-    rest = scaled - whole * F.lit(unit).cast("decimal(19,0)")
-    half = F.lit(unit // 2).cast("decimal(19,0)")
-    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    return (whole + F.when(up, 1).otherwise(0)).cast("double") / F.lit(100.0)
+    part = 1 << 30
+
+    def settle(scaled: Column) -> Column:
+        low = scaled.bitwiseAND(F.lit(part - 1)) * 100
+        high = F.shiftright(scaled, 30) * 100 + F.shiftright(low, 30)
+        return bind(F.struct(high.alias("high"), low.bitwiseAND(F.lit(part - 1)).alias("low")), nearest)
+
+    def nearest(s: Column) -> Column:
+        whole, rest = F.shiftright(s["high"], 30), s["high"].bitwiseAND(F.lit(part - 1))
+        half = F.lit(part >> 1)
+        up = (rest > half) | ((rest == half) & ((s["low"] > 0) | (whole.bitwiseAND(F.lit(1)) == 1)))
+        return (whole + F.when(up, 1).otherwise(0)).cast("double") / F.lit(100.0)
+
+    return bind((value * F.lit(float(1 << 60))).cast("bigint"), settle)
 
 
 def _kind(variant: Column) -> Column:
@@ -67,36 +72,36 @@ def _kind(variant: Column) -> Column:
 
 def confidence_value(parsed: Column) -> Column:
     """Confidence clamped to [0, 1]: words low/medium/high, numbers and booleans count, else 0."""
-    field = F.try_variant_get(parsed, "$.confidence", "variant")
-    kind = _kind(field)
-    word = F.lower(F.try_variant_get(parsed, "$.confidence", "string"))
-    by_word = F.lit(0.0)
-    for name, value in CONFIDENCE_WORDS.items():
-        by_word = F.when(word == name, F.lit(value)).otherwise(by_word)
-    number = F.try_variant_get(parsed, "$.confidence", "double")
-    value = (
-        F.when(kind == "STRING", by_word)
-        .when(kind == "BOOLEAN", F.when(word == "true", 1.0).otherwise(0.0))
-        .otherwise(F.coalesce(number, F.lit(0.0)))
-    )
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+
+    def value(field: Column) -> Column:
+        word = F.lower(F.try_variant_get(field, "$", "string"))
+        by_word = F.lit(0.0)
+        for name, score in CONFIDENCE_WORDS.items():
+            by_word = F.when(word == name, F.lit(score)).otherwise(by_word)
+        number = F.coalesce(F.try_variant_get(field, "$", "double"), F.lit(0.0))
+        return (
+            F.when(_kind(field) == "STRING", by_word)
+            .when(_kind(field) == "BOOLEAN", F.when(word == "true", 1.0).otherwise(0.0))
+            .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+        )
+
+    return bind(F.try_variant_get(parsed, "$.confidence", "variant"), value)
 
 
 def risk_value(parsed: Column) -> Column:
     """Integer score: numbers truncate, digit strings parse, everything else is 0."""
-    field = F.try_variant_get(parsed, "$.risk_score", "variant")
-    kind = _kind(field)
-    word = F.trim(F.try_variant_get(parsed, "$.risk_score", "string"))
-    digits = F.when(word.rlike(r"^[+-]?\d{1,18}$"), word.try_cast("bigint"))
-    number = F.try_variant_get(parsed, "$.risk_score", "double")
-    truncated = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
-    return F.coalesce(
-        F.when(kind == "STRING", digits)
-        .when(kind == "BOOLEAN", F.when(word == "true", 1).otherwise(0))
-        .otherwise(truncated)
-        .cast("bigint"),
-        F.lit(0).cast("bigint"),
-    )
+
+    def value(field: Column) -> Column:
+        word = F.trim(F.try_variant_get(field, "$", "string"))
+        number = F.try_variant_get(field, "$", "double")
+        score = (
+            F.when(_kind(field) == "STRING", F.when(word.rlike(r"^[+-]?\d{1,18}$"), word.try_cast("bigint")))
+            .when(_kind(field) == "BOOLEAN", F.when(word == "true", 1).otherwise(0))
+            .otherwise(F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)))
+        )
+        return F.coalesce(score.cast("bigint"), F.lit(0).cast("bigint"))
+
+    return bind(F.try_variant_get(parsed, "$.risk_score", "variant"), value)
 
 
 def label_two_way(label: Column) -> Column:

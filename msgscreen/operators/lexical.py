@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from msgscreen.functions.text import term_counts, tokens
 from msgscreen.operators.blocks import best_k, running_best
-from msgscreen.scale import BROADCAST_BYTES, measured_bytes, top_rows
+from msgscreen.scale import BROADCAST_BYTES, measured, top_rows
 
 # BM25 parameters and the share of the mean idf that floors negative ones.
 K1 = 1.5
@@ -316,9 +316,10 @@ def bm25_topk(
     """
     terms = query_terms(queries, text)
     if plan != "fragments":
-        small = measured_bytes(terms) <= BROADCAST_BYTES
+        rows, size = measured(terms)
+        small = size <= BROADCAST_BYTES
         if plan == "auto":
-            few = index.stored and terms.limit(FEW_QUERY_TERMS + 1).count() <= FEW_QUERY_TERMS
+            few = index.stored and rows <= FEW_QUERY_TERMS
             plan = "join" if few else "scan" if small else "fragments"
         elif not small:
             raise ValueError("the query side is beyond the broadcast bound; use plan='fragments'")

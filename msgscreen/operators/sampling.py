@@ -20,6 +20,11 @@ def simple_sample(df: DataFrame, n: int, id_col: str = "doc_id", seed: int = SEE
     return df.withColumn("_key", draw_key(id_col, seed)).orderBy("_key", id_col).limit(n).drop("_key")
 
 
+def head(df: DataFrame, n: int, key: str) -> DataFrame:
+    """First n rows by an explicit key; each task keeps n."""
+    return df.orderBy(key).limit(n)
+
+
 def stratified_sample(
     df: DataFrame, n: int, by: str = "label", id_col: str = "doc_id", seed: int = SEED
 ) -> DataFrame:

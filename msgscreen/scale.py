@@ -35,10 +35,15 @@ def _width(field: T.StructField) -> Column:
     return F.coalesce(width.cast("long"), F.lit(8).cast("long"))
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of plain values in ``df``, summed on the cluster (one row comes back)."""
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of plain values in ``df``, summed on the cluster (one row comes back)."""
     row_width = reduce(add, [_width(f) for f in df.schema.fields])
-    return int(df.agg(F.sum(row_width)).first()[0] or 0)
+    row = df.agg(F.count("*"), F.sum(row_width)).first()
+    return int(row[0]), int(row[1] or 0)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    return measured(df)[1]
 
 
 def broadcast_bounded(df: DataFrame, row_bound: int, row_bytes: int = 64) -> DataFrame:

@@ -41,10 +41,15 @@ def with_norm_text(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("norm_text", normalise(F.col(text)))
 
 
-def read_or_empty(spark: SparkSession, path: str, table_schema: T.StructType) -> DataFrame:
-    """The parquet table at ``path``, or an empty frame of its schema when there is none."""
+def read_or_empty(
+    spark: SparkSession, path: str, table_schema: T.StructType, tolerant: bool = False
+) -> DataFrame:
+    """The parquet table at ``path``, or an empty frame of its schema when there is none.
+
+    ``tolerant`` skips unreadable files, for which Spark logs a warning, instead of failing.
+    """
     if path_exists(spark, path):
-        return spark.read.schema(table_schema).parquet(path)
+        return spark.read.schema(table_schema).option("ignoreCorruptFiles", tolerant).parquet(path)
     return spark.createDataFrame([], table_schema)
 
 

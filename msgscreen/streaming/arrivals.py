@@ -93,8 +93,9 @@ def append_registry(log_rows: DataFrame, path: str, version: int) -> None:
     _write_version(log_rows, path, version)
 
 
-def load_registry(spark: SparkSession, path: str) -> DataFrame:
-    return read_or_empty(spark, path, schema.REGISTRY_LOG)
+def load_registry(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
+    """The operation log; ``tolerant`` reads an unreadable registry as an empty one."""
+    return read_or_empty(spark, path, schema.REGISTRY_LOG, tolerant)
 
 
 def append_history(analyses: DataFrame, path: str, version: int) -> None:

@@ -95,6 +95,9 @@ def test_registry(spark, tmp_path):
     )
     arrivals.append_registry(df, f"{tmp_path}/log", 0)
     stored_log = arrivals.load_registry(spark, f"{tmp_path}/log")
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("not a table")
+    assert arrivals.load_registry(spark, f"{tmp_path}/bad", tolerant=True).count() == 0
     listed = {r.name: (r.pages, r.added_date, r.path) for r in registry.listing(stored_log).collect()}
     assert listed == {"a.pdf": (5, "2024-01-02 00:00:00", "p/a"), "b.pdf": (0, "2024-01-01 00:00:00", "")}
     assert registry.status(stored_log).first().n == 2
