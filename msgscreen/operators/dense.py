@@ -84,7 +84,7 @@ def score_fragments(
     both = corpus.select("frag", F.lit(0).alias("side"), F.col("doc_id").alias("id"), "embedding").unionByName(
         queries.select("frag", F.lit(1).alias("side"), F.col("query_id").alias("id"), "embedding")
     )
-    ordered = both.repartition(fragments, "frag").sortWithinPartitions("frag", "side")
+    ordered = both.repartitionById(fragments, F.col("frag")).sortWithinPartitions("frag", "side")
     matrix = _matrix()
     best = best_k(k)
 

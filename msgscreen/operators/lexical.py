@@ -246,7 +246,11 @@ def _scored_by_fragments(
             F.col("query_id").alias("id"), no_count.alias("dl"), _average_length(index).alias("avgdl"), "terms",
         )
     )
-    ordered = docs.unionByName(asked).repartition(fragments, "frag").sortWithinPartitions("frag", "side")
+    ordered = (
+        docs.unionByName(asked)
+        .repartitionById(fragments, F.col("frag"))  # one fragment per task, no collisions
+        .sortWithinPartitions("frag", "side")
+    )
     best = best_k(k)
     flatten, gains, by_code, scores = _block_scorer(k1, b)
 
