@@ -205,3 +205,22 @@ def test_samples(spark):
     assert sampling.simple_sample(df, 99).count() == 30
     assert {r[0]: r[1] for r in sampling.stratified_sample(df, 4).groupBy("label").count().collect()} == {"phishing": 4, "legitimate": 4}
     assert {r.label for r in sampling.short_classes(df, 16).collect()} == {"phishing", "legitimate"}
+
+
+def test_screening_stream_with_retrieval_equals_batch(spark, tmp_path):
+    corpus = spark.createDataFrame(corpus_rows(), schema.CORPUS)
+    docs = corpus.select("doc_id", "text")
+    index, vectors = build_lexical_index(docs), ENCODER.encode(docs, "text", keep=["doc_id"])
+    messages = [(i, f"please verify account {i}") for i in range(8)]
+    for part in (messages[:4], messages[4:]):
+        spark.createDataFrame(part, "query_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def analyse(batch):
+        return retrieve.hybrid_search(batch, index, vectors, ENCODER)
+
+    stream = spark.readStream.schema("query_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    arrivals.screen_stream(stream, f"{tmp_path}/log", f"{tmp_path}/cp", analyse).awaitTermination()
+    columns = ["query_id", "doc_id", "rank", "rrf_score"]
+    got = spark.read.parquet(f"{tmp_path}/log").select(columns).collect()
+    want = analyse(spark.createDataFrame(messages, "query_id long, text string")).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 40
