@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgscreen.llm import decontaminate, language_id, packing, toxicity
+from msgscreen.llm import decontaminate, language_id, packing, pivots, secrets, toxicity, url_rules
 from msgscreen.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,26 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("hits.item_ids").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("hits.item_ids", ","), 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("page_id", *[F.col(f"judged.{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("secrets.base")
+    count = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return found.select(
+        "doc_id", *count, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets.spans")).alias("spans")
+    )
+
+
+@query
+def op10_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = pivots.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    vectors = vectors.select("vec_id", pivots.scaled(F.col("v")).alias("v"))
+    return pivots.topk(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
