@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgscreen.llm import decontaminate, language_id, packing, pivots, secrets, toxicity, url_rules
+from msgscreen.llm import bottomk, decontaminate, language_id, packing, pivots, secrets, toxicity, url_rules
 from msgscreen.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op10_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = pivots.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     vectors = vectors.select("vec_id", pivots.scaled(F.col("v")).alias("v"))
     return pivots.topk(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query
+def op6_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.linked(table(spark, sf_dir, "documents"))
