@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgscreen.llm import bottomk, decontaminate, language_id, packing, pivots, secrets, toxicity, url_rules
+from msgscreen.llm import bottomk, decontaminate, language_id, packing, pivots, secrets, suffix_dedup, toxicity, url_rules
 from msgscreen.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,12 @@ def op10_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.linked(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
