@@ -23,12 +23,12 @@ def _words(column: str) -> str:
 # --- lexical -------------------------------------------------------------------------
 
 INDEX = f"""
-toks AS (SELECT doc_id, unnest({_words('text')}) AS term FROM documents),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL),
-dl AS (SELECT d.doc_id, coalesce(sum(tf), 0) AS dl FROM documents d LEFT JOIN tf USING (doc_id) GROUP BY 1),
+toks AS MATERIALIZED (SELECT doc_id, unnest({_words('text')}) AS term FROM documents),
+tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL),
+dl AS MATERIALIZED (SELECT d.doc_id, coalesce(sum(tf), 0) AS dl FROM documents d LEFT JOIN tf USING (doc_id) GROUP BY 1),
 cs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, cs),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, cs),
 avg_raw AS (SELECT avg(raw) AS avg_idf FROM raw),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * avg_idf ELSE raw END AS idf FROM raw, avg_raw)
 """
@@ -112,6 +112,18 @@ knn AS (SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_i
 """
 ORACLES["knn_leave_one_out"] = f"WITH {KNN} SELECT * FROM knn"
 ORACLES["dense_topk_ann_every_cell"] = ORACLES["knn_leave_one_out"]
+BY_LABEL = f"""{KNN},
+cent AS (SELECT (row_number() OVER (ORDER BY label::VARCHAR)) AS cell, embedding FROM (
+    SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1)),
+near AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY list_inner_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])
+    - 2 * list_inner_product(e.embedding::DOUBLE[], c.embedding::DOUBLE[]), cell) AS r FROM embeddings e, cent c),
+probed AS (SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank FROM pairs
+    JOIN near d ON d.vec_id = doc_id AND d.r = 1 JOIN near q ON q.vec_id = query_id AND q.r <= 3 AND q.cell = d.cell QUALIFY rank <= 5)
+"""
+ORACLES["dense_topk_ann_by_label"] = f"WITH {BY_LABEL} SELECT * FROM probed"
+ORACLES["ann_recall"] = f"""WITH {BY_LABEL}, r AS (SELECT query_id, count(p.doc_id) / count(*) AS recall
+    FROM knn LEFT JOIN probed p USING (query_id, doc_id) GROUP BY query_id)
+SELECT round(avg(recall), 6) AS recall, count(*) AS queries FROM r"""
 ORACLES["index_size"] = """SELECT label::VARCHAR AS label, count(*) AS n, max(len(embedding)) AS dim,
 round(sum(len(embedding)) * 4 / 1048576.0, 2) AS index_size_mb FROM embeddings GROUP BY label"""
 
@@ -145,16 +157,12 @@ corpus AS (SELECT d.doc_id, d.text, d.lang AS language, d.source AS channel,
 """
 ORACLES["similar_cases"] = f"""WITH {HYBRID}, {CORPUS}
 SELECT query_id, count(*) OVER (PARTITION BY query_id) AS retrieved_examples, (rank - 1)::BIGINT AS pos,
-    CASE WHEN length(text) > 120 THEN left(text, 120) || '...' ELSE text END AS preview,
+    CASE WHEN length(text) > 120 THEN left(text, 120) || '...' ELSE text END AS preview, text,
     label, language, attack_type, risk_level, channel FROM hybrid JOIN corpus USING (doc_id)"""
 
 
-def title_lead(gap: str) -> str:
-    return "\n" if gap == " " else "\n\n"
-
-
 def _layout(gap: str) -> str:
-    lead = title_lead(gap)
+    lead = "\n" if gap == " " else "\n\n"
     fields = [("Text", "text"), ("Label", "label"), ("Language", "language"), ("Attack Type", "attack_type"), ("Risk Level", "risk_level")]
     body = " || ".join(f"'{lead}{title}:{gap}' || coalesce({column}, 'None')" for title, column in fields)
     return f"""
@@ -169,9 +177,12 @@ ORACLES["context_block_spaced"] = "WITH {}, {}, {} SELECT * FROM blocks".format(
 
 ORACLES["normalise_text"] = f"""SELECT doc_id, {_norm('text')} AS norm_text, len({_words('text')}) AS n_tokens FROM documents"""
 ORACLES["load_corpus"] = f"""WITH {CORPUS}
-SELECT doc_id, label, language, channel, length({_norm('text')}) AS n FROM corpus WHERE doc_id % 7 <> 0"""
+SELECT doc_id, text, {_norm('text')} AS norm_text, label, language, attack_type, risk_level, channel FROM corpus WHERE doc_id % 7 <> 0"""
+ORACLES["corpus_header_rows"] = f"""WITH {CORPUS}
+SELECT doc_id, label, language, channel, {_norm('text')} AS norm_text FROM corpus"""
 ORACLES["validate_messages"] = """
-WITH m AS (SELECT conv_id, turn, regexp_replace(left(text, turn * 3), '^\\s+|\\s+$', '', 'g') AS text FROM conversations)
+WITH m AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations
+    UNION ALL SELECT conv_id, turn + 1000, left(md5(text), (turn % 7)::INT) FROM conversations)
 SELECT conv_id, turn, text, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 5 THEN 'too_short' END AS error FROM m"""
 
 URLS = """
@@ -345,9 +356,11 @@ FALLBACK = _parsed("coalesce(fenced, trim(said))", "json_parse")
 ORACLES["verdict_errors"] = f"""WITH {RESPONSES}, {FALLBACK}
 SELECT error_type, count(*) AS n FROM verdicts WHERE error_type IS NOT NULL GROUP BY 1"""
 ORACLES["prediction_rows"] = f"""WITH {RESPONSES}, {FALLBACK}
-SELECT model, language, truth AS true_label, label AS pred_label,
+SELECT model, truth AS true_label, label AS pred_label, confidence, risk AS risk_score, coalesce(j ->> '$.attack_type', '') AS attack_type,
+    CASE WHEN error_type IS NOT NULL THEN 'Please try again.' ELSE coalesce(j ->> '$.recommendation', '') END AS recommendation,
+    CASE WHEN error_type IS NOT NULL THEN 'Analysis failed: ' || error_type ELSE coalesce(j ->> '$.explanation', '') END AS explanation,
     '[' || coalesce(array_to_string(list_transform(j ->> '$.suspicious_elements[*]', lambda e: '''' || e || ''''), ', '), '') || ']' AS suspicious,
-    count(*) AS n FROM verdicts GROUP BY ALL"""
+    (query_id % 100) / 100.0::DOUBLE AS response_time, language FROM verdicts"""
 
 # --- samples and retrieval metrics -----------------------------------------------------
 
@@ -467,16 +480,17 @@ SELECT page_id, variant, name, CASE WHEN name = '' THEN 'no_name' WHEN NOT ends_
 DOC_CHUNKS = _chunks("SELECT doc_id::VARCHAR AS source_name, text FROM documents", "ch", "source_name")
 ORACLES["chunk_documents"] = f"WITH {DOC_CHUNKS} SELECT * FROM ch"
 ORACLES["kb_ingest_stream"] = ORACLES["chunk_documents"]
-ORACLES["assemble_pages"] = """SELECT 'conv' || conv_id || '.pdf' AS name, turn // 1024 AS part_no, count(*) AS n_pages,
+ORACLES["assemble_pages"] = """SELECT 'conv' || conv_id || '.pdf' AS name, count(*) AS n_pages,
 string_agg(text || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY ALL"""
 HOST_PAGES = """SELECT name AS source_name, string_agg(html || chr(10), '' ORDER BY page_id) AS text FROM (
     SELECT regexp_extract(url, '^[a-z]+://[^/:?#]*\\.([a-z]+)', 1) || '.pdf' AS name, page_id, html FROM pages) GROUP BY name"""
 ORACLES["chunk_pages"] = "WITH {} SELECT * FROM ch".format(_chunks(HOST_PAGES, "ch", "source_name"))
-KB = f"""{_chunks('SELECT doc_id, text FROM documents', 'ch', 'doc_id')},
-{_vectors('kv', 'SELECT doc_id * 1048576 + chunk_id AS key, chunk AS text FROM ch', 'key')},
+KB = f"""{_chunks("SELECT 'doc' || doc_id AS source_name, text FROM documents", 'ch', 'source_name')},
+ck AS MATERIALIZED (SELECT *, ('0x' || left(md5(source_name || ':' || chunk_id), 15))::BIGINT AS key FROM ch),
+{_vectors('kv', 'SELECT key, chunk AS text FROM ck', 'key')},
 {_dense(BENCH, 'kb', 'kv_v', 'key', 3)},
-hits AS (SELECT query_id, rank, score, 'doc' || (key // 1048576) AS source_name, key % 1048576 AS chunk_id, chunk
-    FROM kb JOIN ch ON ch.doc_id = key // 1048576 AND ch.chunk_id = key % 1048576)
+hits AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_name, chunk_id))::INT AS rank,
+    score, source_name, chunk_id, chunk FROM kb JOIN ck USING (key))
 """
 ORACLES["kb_search"] = f"WITH {KB} SELECT * FROM hits"
 ORACLES["knowledge_block"] = f"""WITH {KB}
@@ -526,3 +540,14 @@ ORACLES["screen_stream"] = f"""WITH s AS (SELECT conv_id * 1000 + turn AS query_
 SELECT query_id, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 5 THEN 'too_short' END AS error,
     CASE WHEN length(text) >= 5 THEN CASE WHEN {_is_url('text')} THEN 'url' ELSE 'message' END END AS channel,
     length(text) >= 5 AND {_is_url('text')} AS is_url, CASE WHEN length(text) >= 5 THEN text END AS search_text FROM s"""
+
+# --- sinks read back ---------------------------------------------------------------------
+
+ORACLES["kb_two_sources"] = """WITH {} SELECT source_name, chunk_id, chunk FROM ch""".format(_chunks("""
+    SELECT doc_id::VARCHAR AS source_name, CASE WHEN doc_id % 3 <> 0 THEN text WHEN doc_id % 2 = 0 THEN 'gone'
+        WHEN doc_id % 10 = 3 THEN 'zz again ' || text ELSE 'again ' || text END AS text
+    FROM documents WHERE doc_id % 5 <> 0""", "ch", "source_name"))
+ORACLES["registry_round_trip"] = ORACLES["registry_listing"]
+ORACLES["report_round_trip"] = ORACLES["classification_summary"]
+ORACLES["history_append"] = ORACLES["history_recent"]
+ORACLES["history_clear"] = f"SELECT * FROM ({ORACLES['history_recent']}) WHERE label = 'phishing'"

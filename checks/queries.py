@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,6 +109,26 @@ def dense_topk_ann(spark, d):
     return ann.ann_topk(queries, ann.build_cells(corpus), k=5, exclude_self=True)
 
 
+def _by_label(spark, d):
+    """Cells around the lowest id of each label: centroids that SQL can name."""
+    corpus = V.labelled_vectors(spark, d)
+    first = scale.top_rows(corpus, ["label"], [F.asc("doc_id")], 1).select(F.col("label").alias("cell"), "embedding")
+    vectors = corpus.select("doc_id", "embedding")
+    queries = vectors.withColumnRenamed("doc_id", "query_id")
+    return ann.ann_topk(queries, ann.cells_of(vectors, first), k=5, probes=3, exclude_self=True)
+
+
+@query
+def dense_topk_ann_by_label(spark, d):
+    return _by_label(spark, d)
+
+
+@query
+def ann_recall(spark, d):
+    per_query = ann.recall_against(_by_label(spark, d), knn_leave_one_out(spark, d))
+    return per_query.agg(F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("queries"))
+
+
 @query
 def dense_topk_ann_every_cell(spark, d):
     """Probing every cell must give the exact result."""
@@ -176,7 +197,7 @@ def similar_cases(spark, d):
     listed = fusion.similar_cases(_cases(spark, d))
     return listed.select("query_id", "retrieved_examples", F.posexplode("similar_cases").alias("pos", "c")).select(
         "query_id", F.col("retrieved_examples").cast("bigint").alias("retrieved_examples"),
-        F.col("pos").cast("bigint").alias("pos"), text.preview(F.col("c.text"), registry.CASE_PREVIEW).alias("preview"),
+        F.col("pos").cast("bigint").alias("pos"), text.preview(F.col("c.text"), registry.CASE_PREVIEW).alias("preview"), "c.text",
         "c.label", "c.language", "c.attack_type", "c.risk_level", "c.channel",
     )
 
@@ -210,16 +231,33 @@ def load_corpus(spark, d):
     )
     corpus_source.write_table(full.select(*schema.CORPUS.fieldNames()), path)
     loaded = corpus_source.load_corpus(spark, path)
-    return loaded.select("doc_id", "label", "language", "channel", F.length("norm_text").cast("bigint").alias("n"))
+    return loaded
+
+
+@query
+def corpus_header_rows(spark, d):
+    """CSV whose column names stand in the second record, one file below a preamble."""
+    path = scale.scratch_path(spark, "csv")
+    names = schema.CORPUS.fieldNames()
+    full = corpus_source.with_norm_text(V.corpus(spark, d)).select(*[F.col(n).cast("string").alias(n) for n in names])
+    top = spark.createDataFrame([("0", *["preamble"] + [None] * (len(names) - 2)), ("1", *names[1:])], ", ".join(f"`{n}` string" for n in names))
+    top = top.withColumn("doc_id", F.when(F.col("doc_id") == "0", "exported corpus").otherwise("doc_id"))
+    rows = top.withColumn("_o", F.when(F.col("text") == "preamble", 0).otherwise(1)).unionByName(full.withColumn("_o", F.lit(2)))
+    lines = rows.repartitionByRange(1, "_o").sortWithinPartitions("_o").drop("_o")
+    lines.write.option("header", False).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("nullValue", "").csv(path)
+    return corpus_source.load_corpus(spark, path, "csv", header_row=1).select("doc_id", "label", "language", "channel", "norm_text")
 
 
 @query
 def validate_messages(spark, d):
-    rows = V.table(spark, d, "conversations").select(
-        "conv_id", "turn",
-        F.concat(F.lit("  "), F.left("text", (F.col("turn") * 3).cast("int")), F.lit("\n")).alias("text"),
+    turns = V.table(spark, d, "conversations")
+    whole = turns.select("conv_id", "turn", F.concat(F.lit("  "), "text", F.lit("\n")).alias("text"))
+    # Besides, messages that are empty or too short.
+    short = turns.select(
+        F.col("conv_id"), (F.col("turn") + 1000).alias("turn"),
+        F.concat(F.lit(" "), F.left(F.md5("text"), (F.col("turn") % 7).cast("int")), F.lit("\t")).alias("text"),
     )
-    return text.validate_messages(rows)
+    return text.validate_messages(whole.unionByName(short))
 
 
 @query
@@ -357,7 +395,10 @@ def prediction_rows(spark, d):
     truth = V.corpus(spark, d).select(F.col("doc_id").alias("query_id"), F.col("label").alias("true_label"), "language")
     answers = verdict.normalise_verdicts(V.responses(spark, d), mode="fallback")
     rows = verdict.prediction_rows(answers.join(truth, "query_id"))
-    return rows.groupBy("model", "language", "true_label", "pred_label", "suspicious").agg(F.count("*").alias("n"))
+    return rows.select(
+        "model", "true_label", "pred_label", "confidence", "risk_score", "attack_type", "recommendation", "explanation",
+        "suspicious", "response_time", "language",
+    )
 
 
 # --- samples and retrieval metrics -----------------------------------------------------
@@ -452,12 +493,8 @@ def chunk_pages(spark, d):
 def kb_search(spark, d):
     docs = V.documents(spark, d).withColumn("source_name", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
     chunks = chunking.chunk_documents(docs)
-    # Document number and chunk number in one BIGINT: unique below 2**20 chunks a document.
-    key = F.substring("source_name", 4, 20).cast("bigint") * (1 << 20) + F.col("chunk_id")
-    path = scale.scratch_path(spark, "chunks")
-    corpus_source.write_table(V.ENCODER.encode(chunks.withColumn("chunk_key", key), "chunk"), path)
-    stored = spark.read.parquet(path)
-    return retrieve.knowledge_search(V.queries(spark, d), stored, V.ENCODER, key="chunk_key")
+    chunks = scale.stored(V.ENCODER.encode(chunks, "chunk", keep=["source_name", "chunk_id", "chunk"]), "chunks")
+    return retrieve.knowledge_search(V.queries(spark, d), chunks, V.ENCODER)
 
 
 @query
@@ -540,8 +577,27 @@ def _stream(spark, d, name):
 def kb_ingest_stream(spark, d):
     home = scale.scratch_path(spark, "kb")
     docs = _stream(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_name"), "text")
-    arrivals.ingest_documents(docs, f"{home}/chunks", f"{home}/checkpoint", V.ENCODER).awaitTermination()
-    return arrivals.load_chunks(spark, f"{home}/chunks").select("source_name", "chunk_id", "chunk")
+    arrivals.ingest_documents(docs, home, f"{home}-checkpoint", V.ENCODER).awaitTermination()
+    return arrivals.load_chunks(spark, home).select("source_name", "chunk_id", "chunk")
+
+
+@query
+def kb_two_sources(spark, d):
+    """Two sources under one folder: names re-added, emptied, given twice, deleted."""
+    home = scale.scratch_path(spark, "kb")
+    docs = V.documents(spark, d).withColumn("source_name", F.col("doc_id").cast("string"))
+    day = lambda n: dt.datetime(2025, 1, n)
+    arrivals.add_documents(docs.select("source_name", "text"), home, V.ENCODER, 0, sink="first", added_at=day(1))
+    again = docs.where("doc_id % 3 = 0").select(
+        "source_name", F.when(F.col("doc_id") % 2 == 0, "gone").otherwise(F.concat(F.lit("again "), "text")).alias("text")
+    )
+    twice = again.where("source_name LIKE '%3'").withColumn("text", F.concat(F.lit("zz "), "text"))
+    arrivals.add_documents(again.unionByName(twice), home, V.ENCODER, 0, sink="second", added_at=day(2))
+    requests = docs.where("doc_id % 5 = 0").select(
+        F.col("source_name").alias("name"), F.lit(day(3)).cast("timestamp_ntz").alias("requested_at"), F.col("doc_id").alias("seq")
+    )
+    arrivals.delete_documents(spark, home, requests, 0)
+    return arrivals.load_chunks(spark, home).select("source_name", "chunk_id", "chunk")
 
 
 @query
@@ -552,3 +608,41 @@ def screen_stream(spark, d):
     )
     arrivals.screen_stream(turns, f"{home}/log", f"{home}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{home}/log").select("query_id", "error", "channel", "is_url", "search_text")
+
+
+# --- sinks read back ---------------------------------------------------------------------
+
+@query
+def registry_round_trip(spark, d):
+    path = scale.scratch_path(spark, "registry")
+    log = V.registry_log(spark, d)
+    for i in range(2):
+        arrivals.append_registry(log.where(F.col("seq") % 2 == i), path, i, sink=f"s{i}")
+    return registry.listing(arrivals.load_registry(spark, path, tolerant=True))
+
+
+@query
+def report_round_trip(spark, d):
+    path = scale.scratch_path(spark, "report")
+    report = class_eval.summary(V.predictions(spark, d))
+    corpus_source.write_csv(report, path)
+    return spark.read.schema(report.schema).option("header", True).option("escape", '"').csv(path)
+
+
+@query
+def history_append(spark, d):
+    path = scale.scratch_path(spark, "history")
+    log = V.analysis_log(spark, d)
+    for i in range(3):
+        arrivals.append_history(log.where(F.col("seq") % 3 == i), path, i)
+    return registry.history(arrivals.load_history(spark, path))
+
+
+@query
+def history_clear(spark, d):
+    path = scale.scratch_path(spark, "history")
+    log = V.analysis_log(spark, d)
+    arrivals.append_history(log, path, 0)
+    corpus_source.clear_history(spark, path, confirm=True)
+    arrivals.append_history(log.where("label = 'phishing'"), path, 1)
+    return registry.history(arrivals.load_history(spark, path))

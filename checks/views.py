@@ -6,19 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgscreen.operators.embed import HashingEncoder
-from msgscreen.scale import shared_dir, spread
+from msgscreen.scale import shared_dir
 from msgscreen.sources.index import build_retrieval_system
 
 #: Buckets by md5, so that SQL can form the same vectors.
 ENCODER = HashingEncoder(dim=64, hash="md5")
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 MODELS = ["model_a", "model_b", "model_c"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; those with long texts are one row group, so they are spread over the cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +49,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus without its texts, spread over the cores."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    """The corpus without its texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     label = F.when(F.col("quality") == 0, "phishing").when(F.col("quality") == 1, "legitimate")
     return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
         "doc_id", label.alias("label"), F.col("lang").alias("language")

@@ -94,8 +94,12 @@ def risk_value(parsed: Column) -> Column:
     def value(field: Column) -> Column:
         word = F.trim(F.try_variant_get(field, "$", "string"))
         number = F.try_variant_get(field, "$", "double")
+        digits = F.regexp_replace(word, r"^([+-]?)0+(?=\d)", "$1")
+        # Beyond 64 bits the score saturates; its band is the same.
+        extreme = F.when(F.startswith(digits, F.lit("-")), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
+        parsed_digits = F.coalesce(digits.try_cast("bigint"), extreme)
         score = (
-            F.when(_kind(field) == "STRING", F.when(word.rlike(r"^[+-]?\d{1,18}$"), word.try_cast("bigint")))
+            F.when(_kind(field) == "STRING", F.when(word.rlike(r"^[+-]?\d+$"), parsed_digits))
             .when(_kind(field) == "BOOLEAN", F.when(word == "true", 1).otherwise(0))
             .otherwise(F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)))
         )
@@ -137,7 +141,7 @@ def normalise_verdicts(
 
     Every row stays: an answer without usable JSON gets label ``error``, risk 0 and
     ``error_type`` (``no_json``, ``json_parse`` or ``not_an_object``; ``unknown_model`` for an
-    answer under a name outside ``models``).
+    answer under a name outside ``models``; the exception's name where the model failed).
     """
     if labels not in ("two", "three"):
         raise ValueError(f"labels must be 'two' or 'three', not {labels!r}")
@@ -154,6 +158,8 @@ def normalise_verdicts(
 
     staged = responses.withColumn("_json", json)
     error = bind(F.col("_json"), fault)
+    if "error" in responses.columns:  # the model failed on this message
+        error = F.coalesce(F.col("error"), error)
     if models is not None:
         error = F.when(~F.col("model").isin(models), F.lit("unknown_model")).otherwise(error)
     staged = staged.withColumns({"_v": F.try_parse_json("_json"), "error_type": error})
@@ -166,6 +172,7 @@ def normalise_verdicts(
         )
 
     label = F.try_variant_get(v, "$.label", "string")
+    v_elements = F.try_variant_get(v, "$.suspicious_elements", "variant")
     confidence = F.when(bad, F.lit(0.0)).otherwise(confidence_value(v))
     staged = staged.withColumns(
         {
@@ -182,6 +189,8 @@ def normalise_verdicts(
             "suspicious_elements": F.when(bad, F.array().cast("array<string>")).otherwise(
                 F.coalesce(
                     F.try_variant_get(v, "$.suspicious_elements", "array<string>"),
+                    # A single element may come without its list.
+                    F.when(_kind(v_elements) == "STRING", F.array(F.try_variant_get(v, "$.suspicious_elements", "string"))),
                     F.array().cast("array<string>"),
                 )
             ),

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgscreen.operators.dense import score_fragments
-from msgscreen.scale import top_rows
+from msgscreen.scale import BROADCAST_BYTES, measured_bytes, top_rows
 
 #: Vectors held by one fragment of a cell; larger cells are split by a hash of the id.
 CELL_ROWS = 100_000
@@ -72,6 +72,22 @@ def build_cells(
     return CellIndex(vectors, centroids)
 
 
+def cells_of(corpus: DataFrame, centroids: DataFrame) -> CellIndex:
+    """Cells around given centroids ``(cell, embedding)``, numbered in the order of ``cell``.
+
+    The table is bounded by its number of cells; it is measured before it is fetched.
+    """
+    import numpy as np
+
+    size = measured_bytes(centroids)
+    if size > BROADCAST_BYTES:
+        raise ValueError(f"{size} bytes of centroids; at most {BROADCAST_BYTES} are sent to every task")
+    rows = centroids.orderBy("cell").select(F.col("embedding").cast("array<double>").alias("v")).collect()
+    places = np.array([r["v"] for r in rows])
+    vectors = _with_nearest(corpus, "doc_id", places, 1).select("doc_id", "embedding", F.col("cells")[0].alias("cell"))
+    return CellIndex(vectors, places)
+
+
 def ann_topk(
     queries: DataFrame, index: CellIndex, k: int = 20, probes: int = 4, exclude_self: bool = False
 ) -> DataFrame:

@@ -11,8 +11,8 @@ from msgscreen.functions.text import WHITESPACE, strip
 CHUNK_CHARS = 500
 MIN_CHARS = 50
 
-#: Pages handled together by one row of a prefix sum or of an assembled text.
-PAGES_PER_PART = 1024
+#: Pages handled together by one row of a prefix sum.
+PAGES_PER_BLOCK = 1024
 
 # Fixed value: the only accepted suffix, compared with its case.
 SUFFIX = ".pdf"
@@ -42,25 +42,24 @@ def chunk_documents(
     ).where(F.length("chunk") > MIN_CHARS).withColumn("chunk_id", F.col("chunk_id").cast("bigint"))
 
 
-def assemble_pages(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
-    """``(name, part_no, n_pages, text)``: page texts in order, a newline after each.
+def assemble_pages(pages: DataFrame) -> DataFrame:
+    """``(name, n_pages, text)``: page texts in order, a newline after each; a NULL page counts as empty.
 
-    A document of fewer pages than ``pages_per_part`` is one row. A longer one is cut into
-    parts whose texts concatenate to the document, so no task ever holds more than one part.
+    One row per document, so a document must fit a row; ``chunk_pages`` chunks those that do not.
     """
+    page = F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))
     return (
-        pages.groupBy("name", F.floor(F.col("page_no") / pages_per_part).alias("part_no"))
-        .agg(F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("_p"))
+        pages.groupBy("name")
+        .agg(F.sort_array(F.collect_list(page)).alias("_p"))
         .select(
             "name",
-            "part_no",
             F.size("_p").cast("bigint").alias("n_pages"),
-            F.concat(F.array_join(F.col("_p.text"), "\n", ""), F.lit("\n")).alias("text"),
+            F.concat(F.array_join(F.col("_p.text"), "\n"), F.lit("\n")).alias("text"),
         )
     )
 
 
-def chunk_pages(pages: DataFrame, size: int = CHUNK_CHARS, pages_per_block: int = PAGES_PER_PART) -> DataFrame:
+def chunk_pages(pages: DataFrame, size: int = CHUNK_CHARS, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
     """Chunks of page tables, equal to chunking the assembled document.
 
     Where a page starts inside its document comes from a two-level running sum (blocks,
@@ -72,7 +71,7 @@ def chunk_pages(pages: DataFrame, size: int = CHUNK_CHARS, pages_per_block: int
         "name",
         "page_no",
         F.floor(F.col("page_no") / pages_per_block).alias("block"),
-        F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" ")).alias("piece"),
+        F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit(" ")).alias("piece"),
     )
     white = F.lit(WHITESPACE)
     lengths = flat.select(
@@ -81,27 +80,32 @@ def chunk_pages(pages: DataFrame, size: int = CHUNK_CHARS, pages_per_block: int
         (F.length("piece") - F.length(F.ltrim("piece", white))).alias("lead"),
         F.length(F.rtrim("piece", white)).alias("tail"),
     )
-    blocks = lengths.groupBy("name", "block").agg(F.sum("len").alias("block_len"))
-    by_name = Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("name", "block", F.coalesce(F.sum("block_len").over(by_name), F.lit(0)).alias("base"))
     in_block = (
         Window.partitionBy("name", "block").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
     )
+    inside = lengths.withColumn("inner", F.coalesce(F.sum("len").over(in_block), F.lit(0)))
+    solid = F.col("tail") > 0
+    # A block is one row: its length, and where its first and last visible characters stand in it.
+    blocks = inside.groupBy("name", "block").agg(
+        F.sum("len").alias("block_len"),
+        F.min(F.when(solid, F.col("inner") + F.col("lead"))).alias("solid_from"),
+        F.max(F.when(solid, F.col("inner") + F.col("tail"))).alias("solid_to"),
+    )
+    whole = Window.partitionBy("name")
+    by_name = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("base", F.coalesce(F.sum("block_len").over(by_name), F.lit(0))).select(
+        "name", "block", "base",
+        F.min(F.col("base") + F.col("solid_from")).over(whole).alias("first"),
+        F.max(F.col("base") + F.col("solid_to")).over(whole).alias("last"),
+    )
     placed = (
-        lengths.withColumn("inner", F.coalesce(F.sum("len").over(in_block), F.lit(0)))
-        .join(blocks, ["name", "block"])
+        inside.join(blocks.where("first IS NOT NULL"), ["name", "block"])
         .withColumn("start", F.col("base") + F.col("inner"))
     )
-    solid = F.col("tail") > 0
-    bounds = placed.groupBy("name").agg(
-        F.min(F.when(solid, F.col("start") + F.col("lead"))).alias("first"),
-        F.max(F.when(solid, F.col("start") + F.col("tail"))).alias("last"),
-    ).where("first IS NOT NULL")
     low = F.greatest("start", "first") - F.col("first")
     high = F.least(F.col("start") + F.col("len"), F.col("last")) - F.col("first")
     cuts = (
-        placed.join(bounds, "name")
-        .withColumn("lo", low)
+        placed.withColumn("lo", low)
         .withColumn("hi", high)
         .where("lo < hi")
         .join(flat.select("name", "block", "page_no", "piece"), ["name", "block", "page_no"])

@@ -150,9 +150,9 @@ def report(predictions: DataFrame, keys: list[str] = ("model",)) -> DataFrame:
 
 
 def crosstab(
-    predictions: DataFrame, values: list[str] | None = ("phishing", "legitimate", "unknown", "error")
+    predictions: DataFrame, values: list[str] | None = None
 ) -> DataFrame:
-    """Model x predicted label, zeros filled. ``values=None`` takes the labels that occur."""
+    """Model x predicted label, zeros filled: all labels that occur, or the ``values`` asked for."""
     counts = tally(predictions, ["model"]).groupBy("model")
     return counts.pivot("pred_label", list(values) if values else None).agg(F.sum("n")).na.fill(0)
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -325,12 +326,13 @@ def bm25_topk(
         if plan == "auto":
             few = index.stored and rows <= FEW_QUERY_TERMS
             plan = "join" if few else "scan" if small else "fragments"
-        elif not small:
-            raise ValueError("the query side is beyond the broadcast bound; use plan='fragments'")
-    if plan == "scan":
-        scored = _scored_by_scan(terms, index, k, k1, b)
-    elif plan == "join":
-        scored = _scored_by_join(terms, index, k1, b)
+    if plan in ("scan", "join"):
+        # Query sides beyond the bound go in batches of whole queries that fit, one scan each.
+        batches = max(1, math.ceil(size / BROADCAST_BYTES))
+        part = F.pmod(F.xxhash64("query_id"), F.lit(batches))
+        sides = [terms.where(part == i) for i in range(batches)] if batches > 1 else [terms]
+        one = (lambda t: _scored_by_scan(t, index, k, k1, b)) if plan == "scan" else (lambda t: _scored_by_join(t, index, k1, b))
+        scored = reduce(DataFrame.unionByName, [one(t) for t in sides])
     elif plan == "fragments":
         count = fragments or _fragment_count(index)
         scored = _scored_by_fragments(terms, index, k, k1, b, count)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from msgscreen.operators.embed import Encoder
 from msgscreen.operators.fusion import gather, similar_cases
 from msgscreen.operators.lexical import LexicalIndex
 from msgscreen.plans.retrieve import FINAL, hybrid_search, knowledge_search
+from msgscreen.scale import stored
 
 
 def route_messages(messages: DataFrame, lang: str = "en", strict_urls: bool = False) -> DataFrame:
@@ -64,30 +66,51 @@ def build_prompts(
     return prompts(queries, context_blocks(cases, style), knowledge, template), cases
 
 
-def ask(
-    prompt_table: DataFrame, model: str, respond: Callable[[], Callable[[list[str]], list[str]]]
-) -> DataFrame:
-    """Responses from the user's own model: ``respond()`` loads it once per task process."""
+Responder = Callable[[], Callable[[list[str]], list[str]]]
+
+
+def ask(prompt_table: DataFrame, model: str, respond: Responder) -> DataFrame:
+    """Responses from the user's own model: ``respond()`` loads it once per task process.
+
+    A batch that fails is asked again text by text; a text that fails then has no answer but the
+    name of the exception in ``error``, and becomes an error verdict. Failing to load fails the job.
+    """
 
     def run(frames: Iterator) -> Iterator:
         import time
 
         answer = respond()
         for frame in frames:
+            texts = frame["prompt"].tolist()
             start = time.perf_counter()
-            raw = answer(frame["prompt"].tolist())
+            try:
+                raw, errors = list(answer(texts)), [None] * len(texts)
+            except Exception:
+                raw, errors = [], []
+                for text in texts:
+                    try:
+                        raw.append(answer([text])[0])
+                        errors.append(None)
+                    except Exception as error:  # the message's own failure, reported in its row
+                        raw.append(None)
+                        errors.append(type(error).__name__)
             each = (time.perf_counter() - start) / max(1, len(frame))
-            yield frame[["query_id"]].assign(model=model, raw=raw, seconds=each)
+            yield frame[["query_id"]].assign(model=model, raw=raw, seconds=each, error=errors)
 
     return prompt_table.select("query_id", "prompt").mapInPandas(run, schema.RESPONSES)
 
 
+def ask_models(prompt_table: DataFrame, responders: dict[str, Responder]) -> DataFrame:
+    """Responses of several models to the same prompts."""
+    return reduce(DataFrame.unionByName, [ask(prompt_table, name, respond) for name, respond in responders.items()])
+
+
 def attach_verdicts(messages: DataFrame, cases: DataFrame, responses: DataFrame, **options) -> DataFrame:
     """Finished analyses: message, verdict fields, similar cases. Error rows list no cases.
 
     ``options`` go to ``normalise_verdicts``.
     """
-    verdicts = normalise_verdicts(responses, **options)
+    verdicts = normalise_verdicts(responses, **options).drop("error")  # told by error_type
     listed = similar_cases(cases)
     case_type = listed.schema["similar_cases"].dataType
     joined = messages.join(verdicts, "query_id", "left").join(listed, "query_id", "left")
@@ -108,18 +131,32 @@ def screen_messages(
     index: LexicalIndex,
     vectors: DataFrame,
     encoder: Encoder,
-    responses: DataFrame,
+    responses: DataFrame | dict[str, Responder],
+    *,
+    chunks: DataFrame | None = None,
+    k: int = FINAL,
+    style: str = "compact",
+    template: str = TEMPLATES["screen"],
     **options,
 ) -> DataFrame:
-    """Validate, route, retrieve and join the answers ``(query_id, model, raw, seconds)``.
+    """Validate, route, retrieve cases and knowledge, build prompts, get answers, finish the verdicts.
 
-    The answers come from ``build_prompts`` + ``ask`` or from any offline batch.
+    ``responses`` are answers of an offline batch ``(query_id, model, raw, seconds)`` or the models to
+    ask, by name. Routing, encoding and retrieval run once; the result carries ``prompt`` and
+    ``knowledge`` beside the verdict (a row per message and model). ``options`` go to ``normalise_verdicts``.
     """
-    routed = route_messages(messages)
-    queries = routed.where("search_text IS NOT NULL").select(
-        "query_id", F.col("search_text").alias("text")
-    )
-    rows = messages.count()  # at least the number of accepted messages
-    run = hybrid_search(queries, index, vectors, encoder, query_rows=rows)
-    cases = gather(run, corpus, rows * FINAL)
-    return attach_verdicts(routed, cases, responses, **options)
+    routed = stored(route_messages(messages), "routed")
+    queries = routed.where("search_text IS NOT NULL").select("query_id", F.col("search_text").alias("text"))
+    rows = queries.count()
+    run = hybrid_search(queries, index, vectors, encoder, k=k, query_rows=rows)
+    cases = stored(gather(run, corpus, rows * k), "cases")
+    known = queries.select("query_id").withColumn("knowledge", F.lit(""))
+    if chunks is not None:
+        hits = knowledge_search(queries, chunks, encoder, query_rows=rows)
+        known = stored(knowledge_blocks(queries.select("query_id"), hits), "knowledge")
+    table = prompts(queries, context_blocks(cases, style), known, template)
+    if isinstance(responses, dict):
+        table = stored(table, "prompts")
+        responses = ask_models(table, responses)
+    finished = attach_verdicts(routed, cases, responses, **options)
+    return finished.join(table, "query_id", "left").join(known, "query_id", "left")

@@ -7,6 +7,7 @@ session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -55,25 +56,20 @@ def broadcast_bounded(df: DataFrame, row_bound: int, row_bytes: int = 64) -> Dat
     return F.broadcast(df) if row_bound * row_bytes <= BROADCAST_BYTES else df
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread an input too small to fill the cores; larger inputs pass untouched.
-
-    A file of one row group is one task whatever the number of cores. The planner's
-    size estimate decides, so a large table is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if estimate < cores * (128 << 20) else df
-
-
 _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only where none is configured."""
+    """The folder of ``spark.checkpoint.dir``, which all executors see.
+
+    Where it is unset, a session in one process (tests) gets a fresh folder; on a cluster that
+    would be a disk of its own for every machine, so the setting is demanded.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="msgscreen-")
@@ -85,6 +81,19 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/msgscreen/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, however often it is used."""
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that is no longer needed."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path))

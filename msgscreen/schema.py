@@ -29,9 +29,14 @@ VECTORS = _struct(doc_id=T.LongType(), embedding=VECTOR)
 
 DOC_PAGES = _struct(name=T.StringType(), page_no=T.LongType(), text=T.StringType())
 
+#: ``sink`` and ``version`` name the stream and batch that wrote a row; they are folders.
 KB_CHUNKS = _struct(
     source_name=T.StringType(), chunk_id=T.LongType(), chunk=T.StringType(), embedding=VECTOR,
-    version=T.LongType(),
+    sink=T.StringType(), version=T.LongType(),
+)
+#: One row per document and version, also for documents without a chunk.
+KB_DOCUMENTS = _struct(
+    source_name=T.StringType(), chunks=T.LongType(), added_at=T.TimestampNTZType(), sink=T.StringType(), version=T.LongType(),
 )
 
 REGISTRY_LOG = _struct(
@@ -41,9 +46,9 @@ REGISTRY_LOG = _struct(
 
 ANALYSIS_LOG = _struct(
     ts=T.TimestampNTZType(), seq=T.LongType(), text=T.StringType(), label=T.StringType(),
-    risk_level=T.StringType(), version=T.LongType(),
+    risk_level=T.StringType(), sink=T.StringType(), version=T.LongType(),
 )
 
 RESPONSES = _struct(
-    query_id=T.LongType(), model=T.StringType(), raw=T.StringType(), seconds=T.DoubleType(),
+    query_id=T.LongType(), model=T.StringType(), raw=T.StringType(), seconds=T.DoubleType(), error=T.StringType(),
 )

@@ -13,10 +13,14 @@ SETTINGS = {
 }
 
 
-def build_session(app: str = "msgscreen", master: str | None = None, **extra: str) -> SparkSession:
+def build_session(
+    app: str = "msgscreen", master: str | None = None, shared_folder: str | None = None, **extra: str
+) -> SparkSession:
+    """``shared_folder`` is where intermediate tables go; every executor must see it."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    folder = {"spark.checkpoint.dir": shared_folder} if shared_folder else {}
+    for key, value in {**SETTINGS, **folder, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,26 +15,29 @@ from msgscreen.scale import path_exists
 
 
 def load_corpus(
-    spark: SparkSession, path: str, fmt: str = "parquet", header_row: int = 0, text_column: str = "norm_text"
+    spark: SparkSession, path: str, fmt: str = "parquet", header_row: int = 0, text_column: str = "norm_text",
+    multi_line: bool = True,
 ) -> DataFrame:
     """Labelled corpus with an explicit schema; rows without normalised text are dropped.
 
-    For CSV, ``header_row=1`` reads files whose column names stand in the second line;
-    the line above them is skipped as a comment-free preamble. Rows keep their ``doc_id``.
+    For CSV, ``header_row=1`` reads files whose column names stand in the second record; the record
+    above them is skipped. Exactly these two are left out: any other row whose ``doc_id`` is not a
+    number fails the read. Rows keep their ``doc_id``. ``multi_line`` allows line breaks inside quotes,
+    at the price of one task per file.
     """
     reader = spark.read.schema(schema.CORPUS)
     if fmt == "csv":
-        reader = reader.option("multiLine", True).option("escape", '"')
+        reader = reader.option("multiLine", multi_line).option("escape", '"').option("mode", "FAILFAST")
         if header_row == 0:
             df = reader.option("header", True).option("enforceSchema", False).csv(path)
         else:
             # Every column is read as text so that the preamble and header survive to be filtered.
             names = schema.CORPUS.fieldNames()
             texts = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-            raw = spark.read.schema(texts).option("multiLine", True).option("escape", '"').csv(path)
-            df = raw.where(F.col("doc_id").try_cast("bigint").isNotNull()).withColumn(
-                "doc_id", F.col("doc_id").cast("bigint")
-            )
+            # ``header`` drops the first record of each file, here the preamble; the names are found by equality.
+            raw = spark.read.schema(texts).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+            named = reduce(and_, [F.col(n).eqNullSafe(F.lit(n)) for n in names])
+            df = raw.where(~named).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     else:
         df = reader.format(fmt).load(path)
     return df.na.drop(subset=[text_column])

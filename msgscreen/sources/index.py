@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,22 @@ def file_fingerprint(files: DataFrame) -> str:
     return f"f{row['n']}_{abs(int(row['h'] or 0)):x}"
 
 
+def encoder_mark(encoder: Encoder, name: str | None = None) -> str:
+    """Folder name of an encoder: its class and parameters, and the id that the user gives it.
+
+    A callable among the parameters is known by its qualified name only, so a user model should
+    come with a ``name`` that changes with the model.
+    """
+
+    def shown(value) -> str:
+        return f"{value.__module__}.{value.__qualname__}" if callable(value) else repr(value)
+
+    kind = type(encoder)
+    fields = sorted(getattr(encoder, "__dict__", {}).items())
+    text = f"{kind.__module__}.{kind.__qualname__}({', '.join(f'{k}={shown(v)}' for k, v in fields)}){name or ''}"
+    return f"{name or kind.__name__}-{hashlib.md5(text.encode()).hexdigest()[:12]}"
+
+
 def save_lexical_index(docs: DataFrame, path: str, text: str = "text") -> None:
     """Write the index tables. Texts are tokenised once; the rest derives from the stored counts.
 
@@ -83,7 +101,7 @@ def build_retrieval_system(
     encoder: Encoder,
     *,
     text: str = "text",
-    encoder_name: str = "default",
+    encoder_name: str | None = None,
     mark: str | None = None,
     force_rebuild: bool = False,
 ) -> tuple[LexicalIndex, DataFrame]:
@@ -91,13 +109,18 @@ def build_retrieval_system(
 
     Artefacts live under a folder named by the corpus fingerprint, so those of another
     corpus are never picked up; each part counts as stored once its success mark exists.
-    ``mark`` replaces the content fingerprint, e.g. by ``file_fingerprint``.
+    ``mark`` replaces the content fingerprint, e.g. by ``file_fingerprint``. Vectors are kept per
+    encoder (``encoder_mark``), and their dimension is compared with the encoder's on load.
     """
     spark = docs.sparkSession
     home = f"{path}/{mark or fingerprint(docs, text)}"
-    lexical, vectors = f"{home}/lexical", f"{home}/vectors/{encoder_name}"
+    lexical, vectors = f"{home}/lexical", f"{home}/vectors/{encoder_mark(encoder, encoder_name)}"
     if force_rebuild or not path_exists(spark, f"{lexical}/corpus_stats/_SUCCESS"):
         save_lexical_index(docs, lexical, text)
     if force_rebuild or not path_exists(spark, f"{vectors}/_SUCCESS"):
         encoder.encode(docs.select("doc_id", text), text, keep=["doc_id"]).write.mode("overwrite").parquet(vectors)
-    return load_lexical_index(spark, lexical), spark.read.schema(schema.VECTORS).parquet(vectors)
+    kept = spark.read.schema(schema.VECTORS).parquet(vectors)
+    first, dim = kept.select(F.size("embedding")).first(), getattr(encoder, "dim", None)
+    if first is not None and dim is not None and first[0] != dim:
+        raise ValueError(f"stored vectors at {vectors} have {first[0]} dimensions, the encoder gives {dim}")
+    return load_lexical_index(spark, lexical), kept

@@ -1,21 +1,29 @@
 """Arriving documents and messages as micro-batches.
 
-Every sink is idempotent: a batch writes its own ``version=<batch id>`` folder in
-overwrite mode, so a batch replayed after a lost driver replaces itself.
+Every sink is idempotent: a batch writes its own ``sink=<name>/version=<batch id>`` folder in
+overwrite mode, so a batch replayed after a lost driver replaces itself, and two streams (each
+under a name of its own) never overwrite each other.
+
+A knowledge base is a folder of three tables: ``chunks``, ``documents`` (a row per document and
+version, written last, also when no chunk survived) and ``registry`` (the operation log).
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from msgscreen import schema
+from msgscreen.operators import registry
 from msgscreen.operators.chunking import chunk_documents
 from msgscreen.operators.embed import Encoder
 from msgscreen.plans.screen import route_messages
+from msgscreen.scale import top_rows
 from msgscreen.sources.corpus import read_or_empty
 
 
@@ -26,46 +34,88 @@ def _start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint
     return writer.start()
 
 
-def _write_version(df: DataFrame, path: str, version: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+def _write_version(df: DataFrame, path: str, version: int, sink: str) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/sink={sink}/version={version}")
+
+
+def _sink_name(checkpoint: str) -> str:
+    """A stream is known by its checkpoint: the same one goes on, another one is another stream."""
+    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
 
 def ingest_documents(
-    docs: DataFrame, path: str, checkpoint: str, encoder: Encoder, *, once: bool = True
+    docs: DataFrame, path: str, checkpoint: str, encoder: Encoder, *, sink: str | None = None, once: bool = True
 ) -> StreamingQuery:
-    """Chunk, encode and append a stream (or batch source) of ``(source_name, text)``."""
+    """Chunk, encode and append a stream of ``(source_name, text)`` to the knowledge base at ``path``."""
+    name = sink or _sink_name(checkpoint)
 
-    def sink(batch: DataFrame, version: int) -> None:
-        add_documents(batch, path, encoder, version)
+    def add(batch: DataFrame, version: int) -> None:
+        add_documents(batch, path, encoder, version, sink=name)
 
-    return _start(docs, sink, checkpoint, once)
+    return _start(docs, add, checkpoint, once)
 
 
-def add_documents(docs: DataFrame, path: str, encoder: Encoder, version: int) -> DataFrame:
-    """Append one batch of documents; returns chunk counts per document as a lazy frame.
-
-    Documents too short for a chunk count 0. Work grows with the batch, not with the table.
+def add_documents(
+    docs: DataFrame,
+    path: str,
+    encoder: Encoder,
+    version: int,
+    *,
+    sink: str = "batch",
+    added_at: dt.datetime | None = None,
+    order: list[Column] | None = None,
+) -> DataFrame:
+    """Add one batch of documents: chunks, document rows, registry rows. Returns ``(source_name, chunks, pages)``.
+
+    A name given twice in the batch counts once: the row that comes first in ``order`` (by default the
+    greatest text) is taken. Documents too short for a chunk count 0 and replace what they had before.
+    Work grows with the batch, not with the table. ``added_at`` (now) orders versions over all sinks.
     """
-    chunks = encoder.encode(chunk_documents(docs), "chunk")
-    _write_version(chunks, path, version)
-    written = docs.sparkSession.read.schema(
-        schema.KB_CHUNKS
-    ).parquet(f"{path}/version={version}")
+    spark = docs.sparkSession
+    at = F.lit(added_at or dt.datetime.now(dt.UTC).replace(tzinfo=None)).cast("timestamp_ntz")
+    unique = top_rows(docs, ["source_name"], order or [F.desc("text")], 1).drop("rank")
+    chunks = encoder.encode(chunk_documents(unique), "chunk", keep=["source_name", "chunk_id", "chunk"])
+    _write_version(chunks, f"{path}/chunks", version, sink)
+    here = f"sink={sink}/version={version}"
+    written = spark.read.schema(schema.KB_CHUNKS).parquet(f"{path}/chunks/{here}")
     counted = written.groupBy("source_name").agg(F.count("*").alias("chunks"))
-    return docs.select("source_name").distinct().join(counted, "source_name", "left").select(
-        "source_name", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("chunks", F.lit(0)).alias("pages")
+    rows = unique.select("source_name").join(counted, "source_name", "left").select(
+        "source_name", F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"), at.alias("added_at")
     )
-
-
-def load_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of the newest version of each document; empty when nothing was stored.
-
-    Versions per document are counted first (one row each), so a document with a third of
-    all chunks is filtered by a join that AQE may split, not sorted in one task.
+    log = registry.upsert_rows(rows.select(
+        F.col("source_name").alias("name"), F.col("chunks").alias("pages"), "added_at",
+        F.col("source_name").alias("path"), F.lit(version).cast("bigint").alias("seq"),
+    ))
+    _write_version(log, f"{path}/registry", version, sink)
+    _write_version(rows, f"{path}/documents", version, sink)
+    done = spark.read.schema(schema.KB_DOCUMENTS).parquet(f"{path}/documents/{here}")
+    return done.select("source_name", "chunks", F.col("chunks").alias("pages"))
+
+
+def delete_documents(
+    spark: SparkSession, path: str, requests: DataFrame, version: int, *, sink: str = "deletes"
+) -> DataFrame:
+    """Delete documents by ``(name, requested_at, seq)``; returns ``(name, found)``."""
+    outcome = registry.delete_rows(load_registry(spark, f"{path}/registry"), requests)
+    _write_version(outcome, f"{path}/delete_requests", version, sink)
+    done = spark.read.schema(outcome.schema).parquet(f"{path}/delete_requests/sink={sink}/version={version}")
+    _write_version(done.where("found").drop("found"), f"{path}/registry", version, sink)
+    return done.select("name", "found")
+
+
+def load_chunks(spark: SparkSession, path: str, deleted: bool = False) -> DataFrame:
+    """Chunks of the newest version of each document that is not deleted; empty when nothing was stored.
+
+    The newest version comes from the document rows (one per document and version), so a document
+    re-added without a chunk has none. A document with a third of all chunks is filtered by joins
+    that AQE may split, not sorted in one task.
     """
-    every = read_or_empty(spark, path, schema.KB_CHUNKS)
-    newest = every.groupBy("source_name").agg(F.max("version").alias("version"))
-    return every.join(newest, ["source_name", "version"], "left_semi")
+    every = read_or_empty(spark, f"{path}/chunks", schema.KB_CHUNKS)
+    known = read_or_empty(spark, f"{path}/documents", schema.KB_DOCUMENTS)
+    order = [F.desc("added_at"), F.desc("version"), F.desc("sink")]
+    newest = top_rows(known, ["source_name"], order, 1).select("source_name", "sink", "version")
+    chunks = every.join(newest, ["source_name", "sink", "version"], "left_semi")
+    return chunks if deleted else registry.visible_chunks(chunks, load_registry(spark, f"{path}/registry"))
 
 
 def screen_stream(
@@ -74,6 +124,7 @@ def screen_stream(
     checkpoint: str,
     analyse: Callable[[DataFrame], DataFrame] | None = None,
     *,
+    sink: str | None = None,
     once: bool = True,
 ) -> StreamingQuery:
     """Score arriving ``(query_id, ts, text)`` and append to the analysis log.
@@ -82,15 +133,17 @@ def screen_stream(
     ranks inside one micro-batch. Without it the routed messages are stored.
     """
 
-    def sink(batch: DataFrame, version: int) -> None:
-        _write_version((analyse or route_messages)(batch), path, version)
+    name = sink or _sink_name(checkpoint)
+
+    def score(batch: DataFrame, version: int) -> None:
+        _write_version((analyse or route_messages)(batch), path, version, name)
 
-    return _start(messages, sink, checkpoint, once)
+    return _start(messages, score, checkpoint, once)
 
 
-def append_registry(log_rows: DataFrame, path: str, version: int) -> None:
+def append_registry(log_rows: DataFrame, path: str, version: int, sink: str = "batch") -> None:
     """Append registry operations of one batch."""
-    _write_version(log_rows, path, version)
+    _write_version(log_rows, path, version, sink)
 
 
 def load_registry(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
@@ -98,9 +151,9 @@ def load_registry(spark: SparkSession, path: str, tolerant: bool = False) -> Dat
     return read_or_empty(spark, path, schema.REGISTRY_LOG, tolerant)
 
 
-def append_history(analyses: DataFrame, path: str, version: int) -> None:
+def append_history(analyses: DataFrame, path: str, version: int, sink: str = "batch") -> None:
     """Append analyses ``(ts, seq, text, label, risk_level)`` of one batch."""
-    _write_version(analyses.select("ts", "seq", "text", "label", "risk_level"), path, version)
+    _write_version(analyses.select("ts", "seq", "text", "label", "risk_level"), path, version, sink)
 
 
 def load_history(spark: SparkSession, path: str) -> DataFrame:

@@ -41,7 +41,12 @@ def test_confusion_and_crosstab(spark):
     cells = {(r.true_label, r.pred_label): r.n for r in class_eval.confusion_matrix(df).where("model = 'qwen32b'").collect()}
     assert cells == {("phishing", "phishing"): 50, ("phishing", "legitimate"): 0, ("legitimate", "phishing"): 44, ("legitimate", "legitimate"): 6}
     row = class_eval.crosstab(df).where("model = 'llama70b'").first()
+    assert (row.phishing, row.legitimate) == (63, 37)
+    row = class_eval.crosstab(df, ["phishing", "legitimate", "unknown", "error"]).where("model = 'llama70b'").first()
     assert (row.phishing, row.legitimate, row.unknown, row.error) == (63, 37, 0, 0)
+    fifth = df.unionByName(df.limit(1).withColumn("pred_label", F.lit("spam")).withColumn("model", F.lit("new")))
+    row = class_eval.crosstab(fifth).where("model = 'new'").first()
+    assert (row.spam, row.phishing, row.legitimate) == (1, 0, 0)
     report = {r["class"]: r for r in class_eval.report(df).where("model = 'llama70b'").collect()}
     assert report["accuracy"].f1 == 0.77 and report["weighted avg"].support == 100
 

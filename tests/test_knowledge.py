@@ -44,11 +44,16 @@ def test_chunk_pages_equals_chunks_of_assembled(spark):
         assert got == want
     whole = {r.name: r.text for r in chunking.assemble_pages(pages).collect()}
     assert whole == {n: "".join(p + "\n" for p in ps) for n, ps in docs.items()}
-    parts = chunking.assemble_pages(pages, 5).orderBy("name", "part_no").collect()
-    joined = {}
-    for r in parts:
-        joined[r.name] = joined.get(r.name, "") + r.text
-    assert joined == whole and max(r.n_pages for r in parts) <= 5
+
+
+def test_long_documents_and_null_pages(spark):
+    rows = [("long.pdf", i, None if i % 7 == 0 else f"page {i} text") for i in range(1, 2500)]
+    pages = spark.createDataFrame(rows + [("nulls.pdf", 0, None), ("nulls.pdf", 1, "z" * 60), ("nulls.pdf", 2, None)], schema.DOC_PAGES)
+    whole = {r.name: (r.n_pages, r.text) for r in chunking.assemble_pages(pages).collect()}
+    text = "".join((t or "") + "\n" for _, _, t in rows)
+    assert whole == {"long.pdf": (2499, text), "nulls.pdf": (3, "\n" + "z" * 60 + "\n\n")}
+    got = {(r.source_name, r.chunk_id): r.chunk for r in chunking.chunk_pages(pages).collect()}
+    assert got == {(n, i): c for n, (_, t) in whole.items() for i, c in enumerate(chunk_python(t))}
 
 
 def test_accepted_names(spark):
@@ -72,6 +77,14 @@ def test_stream_equals_batch_and_replaces(spark, tmp_path):
     for _ in range(2):
         counts = {r.source_name: r.chunks for r in arrivals.add_documents(again, f"{tmp_path}/kb", ENCODER, 7).collect()}
     assert counts == {"s0": 1, "short": 0}
+    # A second stream into the same folder starts at batch 0 and must not touch the first one's rows.
+    spark.createDataFrame([("other", "more " * 60)], "source_name string, text string").write.parquet(f"{tmp_path}/in2")
+    second = spark.readStream.schema("source_name string, text string").parquet(f"{tmp_path}/in2")
+    arrivals.ingest_documents(second, f"{tmp_path}/kb", f"{tmp_path}/cp2", ENCODER).awaitTermination()
+    assert arrivals.load_chunks(spark, f"{tmp_path}/kb").where("source_name = 'other'").count() == 1
+    emptied = spark.createDataFrame([("other", "tiny"), ("other", "smaller")], "source_name string, text string")
+    assert [(r.source_name, r.chunks) for r in arrivals.add_documents(emptied, f"{tmp_path}/kb", ENCODER, 8).collect()] == [("other", 0)]
+    assert {r.name for r in registry.active(arrivals.load_registry(spark, f"{tmp_path}/kb/registry")).collect()} == {"other", "short", *(f"s{i}" for i in range(6))}
     now = arrivals.load_chunks(spark, f"{tmp_path}/kb")
     assert now.where("source_name = 's0'").count() == 1 and now.count() == got.where("source_name <> 's0'").count() + 1
 
@@ -147,6 +160,11 @@ def test_stored_index_and_fingerprint(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == before
     stored.build_retrieval_system(docs.where("doc_id > 0"), str(tmp_path), ENCODER)
     assert len(list(tmp_path.iterdir())) == 2
+    # Another encoder under the same path gets vectors of its own.
+    _, wide = stored.build_retrieval_system(docs, str(tmp_path), HashingEncoder(32, "md5"))
+    assert len(wide.first().embedding) == 32
+    _, narrow = stored.build_retrieval_system(docs, str(tmp_path), ENCODER)
+    assert len(narrow.first().embedding) == 16
     docs.write.parquet(f"{tmp_path}/src")
     marks = {stored.file_fingerprint(spark.read.parquet(f"{tmp_path}/src")) for _ in range(2)}
     docs.write.mode("append").parquet(f"{tmp_path}/src")
@@ -164,6 +182,9 @@ def test_corpus_readers(spark, tmp_path):
     for name, row in (("h0.csv", 0), ("h1.csv", 1)):
         got = source.load_corpus(spark, f"{tmp_path}/{name}", "csv", header_row=row).collect()
         assert [(r.doc_id, r.text, r.label) for r in got] == [(1, 'a, "b"\nc', "phishing")]
+    (tmp_path / "bad.csv").write_text("title,,,,,,,\n" + head + "\n" + body + "x7,t,n,phishing,en,none,low,sms\n", encoding="utf-8")
+    with pytest.raises(Exception, match="x7"):
+        source.load_corpus(spark, f"{tmp_path}/bad.csv", "csv", header_row=1).collect()
     source.write_csv(df.select("doc_id", "label"), f"{tmp_path}/out")
     assert spark.read.option("header", True).csv(f"{tmp_path}/out").columns == ["doc_id", "label"]
 
@@ -196,6 +217,23 @@ def test_screening_end_to_end(spark):
     assert (rows[2].label, rows[2].risk_level, rows[2].confidence_pct, rows[2].retrieved_examples) == ("phishing", "critical", 90, 5)
     assert len(rows[2].similar_cases) == 5 and rows[2].similar_cases[0].channel == "sms"
     assert rows[1].label == "error" and rows[1].similar_cases == [] and rows[3].label is None
+    assert rows[1].prompt and rows[3].prompt is None
+
+    def breaks():
+        def answer(texts):
+            if any("meeting at ten" in t for t in texts):
+                raise TimeoutError("no answer")
+            return ['{"label":"legitimate","confidence":"high","risk_score":5}' for _ in texts]
+
+        return answer
+
+    both = screen.screen_messages(
+        messages, corpus, index, vectors, ENCODER, {"m1": respond, "m2": breaks}, chunks=chunks
+    ).collect()
+    told = {(r.query_id, r.model): r for r in both}
+    assert (told[5, "m2"].label, told[5, "m2"].error_type) == ("error", "TimeoutError") and told[1, "m2"].label == "legitimate"
+    assert told[2, "m1"].label == "phishing" and "verify account guide" in told[2, "m1"].knowledge and told[3, None].error == "too_short"
+    assert {k: r.prompt for (k, m), r in told.items() if m == "m1"} == prompts
 
 
 def test_samples(spark):

@@ -209,8 +209,8 @@ def test_benchmark_of_encoders(spark, tmp_path):
 
     encoders = {"small": HashingEncoder(16), "wide": HashingEncoder(64), "gone": BatchEncoder(broken)}
     got = {r.model: r for r in benchmark_encoders(corpus, encoders, sample_size=20, output_csv=f"{tmp_path}/b").collect()}
-    assert set(got) == {"small", "wide"}
+    assert set(got) == {"small", "wide", "gone"} and got["gone"].precision is None and got["gone"].error
     row = got["wide"]
     assert (row.n, row.dim, row.queries, row.index_size_mb) == (60, 64, 20, 0.01)
-    assert row.precision > 0.9 and row.hit_rate == 1.0 and row.encoding_time_s > 0 and row.avg_search_time_ms > 0
-    assert spark.read.option("header", True).csv(f"{tmp_path}/b").count() == 2
+    assert row.precision > 0.9 and row.hit_rate == 1.0 and row.encoding_time_s > 0 and row.load_time_s > 0 and row.avg_search_time_ms > 0
+    assert spark.read.option("header", True).csv(f"{tmp_path}/b").count() == 3

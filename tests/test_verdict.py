@@ -58,3 +58,14 @@ def test_greedy_and_list_text(spark):
     assert (row.g, row.f) == ('{a}</think> {"b":1}', '{"b":1}')
     items = spark.createDataFrame([(["a", "it's"],), ([],)], "v array<string>")
     assert [r[0] for r in items.select(verdict.quoted_list(F.col("v"))).collect()] == [str(["a", "it's"]), "[]"]
+
+
+def test_long_scores_and_single_elements(spark):
+    raw = [
+        (1, '{"label":"phishing","risk_score":"1234567890123456789012345"}'), (2, '{"label":"phishing","risk_score":"-1234567890123456789012345"}'),
+        (3, '{"label":"phishing","risk_score":"0000000000000000000000042","suspicious_elements":"one link"}'),
+    ]
+    rows = verdict.normalise_verdicts(spark.createDataFrame([(i, "m", r, 1.0) for i, r in raw], "query_id long, model string, raw string, seconds double"))
+    got = {r.query_id: r for r in rows.collect()}
+    assert [got[i].risk_level for i in (1, 2, 3)] == ["critical", "low", "medium"] and got[3].risk_score == 42
+    assert got[3].suspicious_elements == ["one link"] and got[1].suspicious_elements == []
