@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from msgscreen.scale import scratch_path, shared_dir
+
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: ASCII white space: what ``bytes.split()`` splits on, the complement of ``[^\x20\x09-\x0D]``.
 BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
@@ -99,21 +100,15 @@ def fold(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees; a session without one (tests) gets one under its warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
-
-
 def scratch(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_folder(spark)}/llm/{purpose}-{uuid.uuid4().hex}"
+    return scratch_path(spark, f"llm-{purpose}")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: files in the shared folder, lineage cut."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(f"{shared_folder(df.sparkSession)}/llm")
+        sc.setCheckpointDir(f"{shared_dir(df.sparkSession)}/checkpoints")
     return df.checkpoint()
 
 

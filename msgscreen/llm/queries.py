@@ -26,9 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.ToxicityModel:
     """Fitted on the labelled rows whose fold is not 0."""
-    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select("doc_id", "text").where(fold(F.col("doc_id"), 5) != 0).join(labels, "doc_id")
-    return toxicity.fit(known)
+    learnt = fold(F.col("doc_id"), 5) != 0
+    return toxicity.fit(docs.where(learnt), table(spark, sf_dir, "labels").where(learnt))
 
 
 @query

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds of the fitting: labelled rows, and words with a weight of their own.
@@ -75,19 +75,20 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def _sampled(labelled: DataFrame, text: str, label: str, key: str, max_rows: int) -> DataFrame:
-    """At most half of ``max_rows`` of each class, lowest hashes of the id first."""
-    from pyspark.sql import Window
+def _sampled(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, max_rows: int) -> DataFrame:
+    """Texts of at most half of ``max_rows`` rows of each class, lowest hashes of the id first.
 
-    rows = labelled.where(F.col(label).isin(0, 1)).select(
-        F.col(text).alias("text"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key)).alias("h"), F.col(key).alias("k")
-    )
+    Only ids and labels are shuffled; the ids chosen, at most ``max_rows``, go to where the texts are.
+    """
     order = Window.partitionBy("y").orderBy("h", "k")
-    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_rows // 2).select("text", "y", "h")
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    present = known.join(docs.select(F.col(key).alias("k")), "k", "left_semi").withColumn("h", F.xxhash64("k"))
+    chosen = present.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_rows // 2).select("k", "y")
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("text", "y")
 
 
 def fit(
-    labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
+    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
     identity_terms: dict[str, str] | None = None, max_rows: int = MAX_ROWS, steps: int = STEPS,
     counterfactual: float = COUNTERFACTUAL,
 ) -> ToxicityModel:
@@ -102,7 +103,7 @@ def fit(
                 ["y", "words", "swaps"],
             )
 
-    sample = _sampled(labelled, text, label, key, max_rows).repartition(FIT_TASKS)
+    sample = _sampled(docs, labels, text, label, key, max_rows).repartition(FIT_TASKS)
     rows = sample.mapInArrow(features, "y int, words array<string>, swaps array<string>").persist()
     try:
         totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
