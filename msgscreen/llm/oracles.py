@@ -11,11 +11,32 @@ iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFG
 win AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM (
     SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM iw WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
-at AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM dw, sizes WHERE len(w) >= n),
-found AS (SELECT a.r, a.p, a.n, win.item_id FROM (SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM at) a JOIN win USING (n, g)),
+placed AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM dw, sizes WHERE len(w) >= n),
+found AS (SELECT a.r, a.p, a.n, win.item_id FROM (SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM placed) a JOIN win USING (n, g)),
 hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS q FROM found) GROUP BY r),
 items AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM found) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
+
+ORACLES["op2_url_rules"] = r"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '(?s)^[^?#]*(\?[^#]*)', 1) AS query, row_number() OVER () AS r FROM cut),
+rules(rule, h, p, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+    ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+best AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM parts, rules
+    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
+patterns(regex, n, verdict) AS (VALUES
+    ('/login(?:[^A-Za-z0-9_%-]|$)', 7, 'block'), ('/signup(?:[^A-Za-z0-9_%-]|$)', 8, 'block'), ('/cart(?:[^A-Za-z0-9_%-]|$)', 6, 'block'),
+    ('/checkout(?:[^A-Za-z0-9_%-]|$)', 10, 'block'), ('/wp-login\.php', 13, 'block'), ('/cgi-bin/', 9, 'block'),
+    ('^(?:[^/?]*\.)?doubleclick\.net(?:[^A-Za-z0-9_%-]|$)', 18, 'block'), ('^(?:[^/?]*\.)?xxx/', 6, 'block'),
+    ('(?:^|[^A-Za-z0-9_%-])casino(?:[^A-Za-z0-9_%-]|$)', 8, 'block'), ('(?:^|[^A-Za-z0-9_%-])porn(?:[^A-Za-z0-9_%-]|$)', 6, 'block'),
+    ('(?:^|[^A-Za-z0-9_%-])torrent(?:[^A-Za-z0-9_%-]|$)', 9, 'block'), ('\.exe$', 5, 'block'), ('\.zip$', 5, 'block'), ('\.apk$', 5, 'block'),
+    ('(?:^|[^A-Za-z0-9_%-])sessionid(?:[^A-Za-z0-9_%-]|$)', 11, 'block'), ('(?:^|[^A-Za-z0-9_%-])print(?:[^A-Za-z0-9_%-]|$)1$', 9, 'block'),
+    ('^(?:[^/?]*\.)?wikipedia\.org/wiki/', 21, 'allow')),
+other AS (SELECT r, arg_max(patterns.verdict, n) AS verdict FROM parts, patterns WHERE regexp_matches(host || path || query, regex) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(best.verdict, other.verdict, 'allow') AS verdict
+FROM parts LEFT JOIN best USING (r) LEFT JOIN other USING (r)
+"""

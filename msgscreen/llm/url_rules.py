@@ -2,7 +2,7 @@
 
 A rule is (verdict, pattern). In a pattern ``||`` at the front anchors at a host and its subdomains, ``|`` at
 either end anchors there, ``*`` stands for anything and ``^`` for a separator (anything but a letter, digit,
-``_``, ``-``, ``.``, ``%``; or the end). A pattern is matched against host and path joined, with the query string.
+``_``, ``-``, ``%``; or the start or end). A pattern is matched against host and path joined, with the query string.
 
 Tokens are runs of lower-cased letters and digits. A literal token of a rule counts only if the pattern
 fixes both its neighbours, so that every matching URL has it as a token of its own. Each rule is filed
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RULES = 2_000
+SEPARATOR = r"[^A-Za-z0-9_%\-]"
 
 HOST_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: Rules of the method beyond the host rules: pages that are no prose, adult and gambling hosts, binaries.
@@ -58,11 +59,14 @@ def tokens_of(text: Column) -> Column:
 
 def rule_regex(pattern: Column) -> Column:
     """Java regular expression of a pattern."""
-    body = F.regexp_replace(pattern, r"^\|\|?|\|$", "")
+    body = F.regexp_replace(pattern, r"^\|\|?|^\^|\|$", "")
     body = F.regexp_replace(body, r"([\\.+?()\[\]{}$|/-])", r"\\$1")
-    body = F.replace(F.replace(body, F.lit("^"), F.lit(r"(?:[^A-Za-z0-9_.%\-]|$)")), F.lit("*"), F.lit(".*"))
-    front = F.when(pattern.startswith("||"), r"^(?:[^/?]*\.)?").when(pattern.startswith("|"), "^").otherwise("")
-    back = F.when(pattern.rlike(r"[^|]\|$"), "$").otherwise("")
+    body = F.replace(F.replace(body, F.lit("^"), F.lit(rf"(?:{SEPARATOR}|\z)")), F.lit("*"), F.lit(".*"))
+    front = (
+        F.when(pattern.startswith("||"), r"^(?:[^/?]*\.)?").when(pattern.startswith("|"), "^")
+        .when(pattern.startswith("^"), rf"(?:^|{SEPARATOR})").otherwise("")
+    )
+    back = F.when(pattern.rlike(r"[^|]\|$"), r"\z").otherwise("")
     return F.concat(F.lit("(?s)"), front, body, back)
 
 
