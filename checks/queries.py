@@ -74,7 +74,7 @@ def bm25_topk_joined(spark, d):
 @query
 def bm25_topk_blocked(spark, d):
     index, _ = V.retrieval_system(spark, d)
-    return lexical.bm25_topk(V.queries(spark, d), index, plan="fragments", fragments=8)
+    return lexical.bm25_topk(V.queries(spark, d), index, plan="fragments", fragments=8, blocks=4)
 
 
 @query
@@ -99,7 +99,7 @@ def dense_topk(spark, d):
 
 @query
 def dense_topk_blocked(spark, d):
-    return dense.dense_topk(*_encoded(spark, d), plan="fragments", fragments=8)
+    return dense.dense_topk(*_encoded(spark, d), plan="fragments", fragments=8, blocks=4)
 
 
 @query

@@ -5,8 +5,8 @@ Two plans with the same result:
 * ``broadcast``: the query matrix, measured first, goes to every executor; the
   vectors are scanned once and never shuffled.
 * ``fragments``: for a query side beyond the broadcast bound. Vectors are hashed by
-  id into fragments of bounded bytes, queries are sent to every fragment, and a task
-  streams the queries of a fragment past its block of vectors.
+  id into fragments of bounded bytes, queries into blocks; a task streams one block of
+  queries past one fragment, and the tasks' best rows are merged in levels.
 
 In both, a task returns at most k rows per query; pairs are never written out.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgscreen.operators.blocks import best_k, running_best
-from msgscreen.scale import BROADCAST_BYTES, measured_bytes, top_rows
+from msgscreen.scale import BROADCAST_BYTES, block_count, block_pairs, measured_bytes, merged_best
 
 #: Bytes of vectors held by one fragment while its queries stream past.
 FRAGMENT_BYTES = 128 << 20
@@ -141,6 +141,7 @@ def dense_topk(
     exclude_self: bool = False,
     plan: str = "auto",
     fragments: int | None = None,
+    blocks: int | None = None,
     query_bytes: int | None = None,
 ) -> DataFrame:
     """``(query_id, doc_id, rank, score)``: the k largest inner products per query.
@@ -152,24 +153,21 @@ def dense_topk(
     """
     queries = queries.select("query_id", "embedding")
     corpus = corpus.select("doc_id", "embedding")
+    size = query_bytes
+    if size is None and (plan == "auto" or plan == "fragments" and blocks is None):
+        size = measured_bytes(queries)
     if plan == "auto":
-        size = measured_bytes(queries) if query_bytes is None else query_bytes
         plan = "broadcast" if size <= BROADCAST_BYTES else "fragments"
+    tasks = 1
     if plan == "broadcast":
         partial = _scan_with_broadcast(queries, corpus, k, exclude_self)
     elif plan == "fragments":
-        count = fragments or fragment_count(corpus)
-        partial = score_fragments(
-            queries.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))),
-            corpus.withColumn("frag", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")),
-            k,
-            count,
-            exclude_self,
-        )
+        count, per = fragments or fragment_count(corpus), blocks or block_count(size)
+        tasks = count * per
+        partial = score_fragments(*block_pairs(queries, corpus, count, per), k, tasks, exclude_self)
     else:
         raise ValueError(f"unknown plan {plan!r}")
-    ranked = top_rows(partial, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
-    return ranked.select("query_id", "doc_id", "rank", "score")
+    return merged_best(partial, k, tasks)
 
 
 def index_size_mb(vectors: DataFrame, by: list[str] = ()) -> DataFrame:

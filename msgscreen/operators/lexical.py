@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from msgscreen.functions.text import term_counts, tokens
 from msgscreen.operators.blocks import best_k, running_best
-from msgscreen.scale import BROADCAST_BYTES, measured, top_rows
+from msgscreen.scale import BROADCAST_BYTES, block_count, block_pairs, measured, merged_best, top_rows
 
 # BM25 parameters and the share of the mean idf that floors negative ones.
 K1 = 1.5
@@ -226,14 +226,13 @@ def _fragment_count(index: LexicalIndex) -> int:
 
 
 def _scored_by_fragments(
-    terms: DataFrame, index: LexicalIndex, k: int, k1: float, b: float, fragments: int
+    terms: DataFrame, index: LexicalIndex, k: int, k1: float, b: float, fragments: int, blocks: int
 ) -> DataFrame:
-    """One shuffle by fragment; inside a partition documents come first, then queries stream past."""
+    """One shuffle by (fragment, query block); inside a partition documents come first, then queries stream past."""
     kind = "array<struct<term:string,tf:int,w:double>>"
     nothing = F.lit(None).cast("double")
     docs = index.doc_terms.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(fragments)).cast("int").alias("frag"), F.lit(0).alias("side"),
-        F.col("doc_id").alias("id"), "dl", nothing.alias("avgdl"),
+        "doc_id", F.lit(0).alias("side"), F.col("doc_id").alias("id"), "dl", nothing.alias("avgdl"),
         F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), nothing.alias("w"))).cast(kind).alias("terms"),
     )
     no_count = F.lit(None).cast("int")
@@ -243,13 +242,13 @@ def _scored_by_fragments(
         .groupBy("query_id")
         .agg(F.collect_list(F.struct("term", no_count.alias("tf"), "w")).cast(kind).alias("terms"))
         .select(
-            F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("frag"), F.lit(1).alias("side"),
-            F.col("query_id").alias("id"), no_count.alias("dl"), _average_length(index).alias("avgdl"), "terms",
+            "query_id", F.lit(1).alias("side"), F.col("query_id").alias("id"), no_count.alias("dl"), _average_length(index).alias("avgdl"), "terms",
         )
     )
+    asked, docs = block_pairs(asked, docs, fragments, blocks)
     ordered = (
-        docs.unionByName(asked)
-        .repartitionById(fragments, F.col("frag"))  # one fragment per task, no collisions
+        docs.drop("doc_id").unionByName(asked.drop("query_id"))
+        .repartitionById(fragments * blocks, F.col("frag"))  # one pair of blocks per task, no collisions
         .sortWithinPartitions("frag", "side")
     )
     best = best_k(k)
@@ -310,6 +309,7 @@ def bm25_topk(
     pad: bool = False,
     plan: str = "auto",
     fragments: int | None = None,
+    blocks: int | None = None,
     k1: float = K1,
     b: float = B,
 ) -> DataFrame:
@@ -320,7 +320,8 @@ def bm25_topk(
     lists with zero-score documents, lowest ids first.
     """
     terms = query_terms(queries, text)
-    if plan != "fragments":
+    tasks = 1
+    if plan != "fragments" or blocks is None:
         rows, size = measured(terms)
         small = size <= BROADCAST_BYTES
         if plan == "auto":
@@ -335,12 +336,14 @@ def bm25_topk(
         scored = reduce(DataFrame.unionByName, [one(t) for t in sides])
     elif plan == "fragments":
         count = fragments or _fragment_count(index)
-        scored = _scored_by_fragments(terms, index, k, k1, b, count)
+        per = blocks or block_count(size)
+        tasks = count * per
+        scored = _scored_by_fragments(terms, index, k, k1, b, count, per)
     else:
         raise ValueError(f"unknown plan {plan!r}")
     order = [F.desc("score"), F.asc("doc_id")]
     if not pad:
-        return top_rows(scored, ["query_id"], order, k).select("query_id", "doc_id", "rank", "score")
+        return merged_best(scored, k, tasks)
     # Fewer than k documents match a short list, so among the 2k lowest ids at least k do not.
     lowest = index.doc_terms.select("doc_id").orderBy("doc_id").limit(2 * k)
     fill = queries.select(

@@ -99,6 +99,43 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path))
 
 
+#: Tasks whose best rows meet in one step of ``merged_best``.
+FAN_IN = 64
+#: Bytes of queries that one block of a blocked plan sends past a fragment.
+QUERY_BLOCK_BYTES = 32 << 20
+
+
+def block_count(query_bytes: int) -> int:
+    return max(1, -(-query_bytes // QUERY_BLOCK_BYTES))
+
+
+def block_pairs(queries: DataFrame, corpus: DataFrame, fragments: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Number both sides by ``frag`` so that a task meets one fragment of the corpus with one block of queries.
+
+    Queries go to each fragment under their own block, fragments to each block.
+    """
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    q = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("frag", every(fragments))
+    c = corpus.withColumn("frag", F.pmod(F.xxhash64("doc_id"), F.lit(fragments)).cast("int")).withColumn("_b", every(blocks))
+    number = (F.col("frag") * blocks + F.col("_b")).cast("int")
+    return q.withColumn("frag", number).drop("_b"), c.withColumn("frag", number).drop("_b")
+
+
+def merged_best(partial: DataFrame, k: int, tasks: int) -> DataFrame:
+    """Best k ``(query_id, doc_id, rank, score)`` of what ``tasks`` tasks found.
+
+    With many tasks their rows meet in groups of ``FAN_IN`` first, so that no shuffle gathers
+    queries x k x tasks rows by query alone.
+    """
+    order = [F.desc("score"), F.asc("doc_id")]
+    if tasks > FAN_IN:
+        grouped = partial.withColumn("_g", F.floor(F.spark_partition_id() / FAN_IN))
+        partial = top_rows(grouped, ["query_id", "_g"], order, k).drop("_g", "rank")
+    return top_rows(partial, ["query_id"], order, k).select("query_id", "doc_id", "rank", "score")
+
+
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of every key group, ranked from 1.
 

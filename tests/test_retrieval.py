@@ -214,3 +214,38 @@ def test_benchmark_of_encoders(spark, tmp_path):
     assert (row.n, row.dim, row.queries, row.index_size_mb) == (60, 64, 20, 0.01)
     assert row.precision > 0.9 and row.hit_rate == 1.0 and row.encoding_time_s > 0 and row.load_time_s > 0 and row.avg_search_time_ms > 0
     assert spark.read.option("header", True).csv(f"{tmp_path}/b").count() == 3
+
+
+def test_plans_are_equal_around_their_bounds(spark, monkeypatch):
+    """Batches of a broadcast, blocks of queries and merging in levels change plans, never rows."""
+    from msgscreen import scale
+    from msgscreen.operators import dense, lexical
+
+    texts = [(i, f"w{i % 7} w{i % 5} w{i % 11} x{i}") for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} w{i % 11}") for i in range(30)], "query_id long, text string")
+    index = lexical.build_lexical_index(docs)
+    encoder = HashingEncoder(16)
+    asked, vectors = encoder.encode(queries, "text", keep=["query_id"]), encoder.encode(docs, "text", keep=["doc_id"])
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(lexical.bm25_topk(queries, index, 4)), rows(dense.dense_topk(asked, vectors, 4))
+    monkeypatch.setattr(scale, "FAN_IN", 2)
+    monkeypatch.setattr(scale, "QUERY_BLOCK_BYTES", 1000)
+    for bound in (100, 1 << 20):
+        monkeypatch.setattr(lexical, "BROADCAST_BYTES", bound * 20)
+        monkeypatch.setattr(dense, "BROADCAST_BYTES", bound)
+        for plan in ("auto", "scan", "join", "fragments"):
+            assert rows(lexical.bm25_topk(queries, index, 4, plan=plan, fragments=3)) == want[0], (bound, plan)
+        for plan in ("auto", "broadcast", "fragments"):
+            assert rows(dense.dense_topk(asked, vectors, 4, plan=plan, fragments=3)) == want[1], (bound, plan)
+
+
+def test_a_task_meets_one_block_of_queries(spark):
+    from msgscreen.scale import block_pairs
+
+    q = spark.range(50).select(F.col("id").alias("query_id"))
+    c = spark.range(90).select(F.col("id").alias("doc_id"))
+    q, c = block_pairs(q, c, 4, 4)
+    met = q.join(c, "frag")
+    assert met.count() == 50 * 90 and met.select("query_id", "doc_id").distinct().count() == 50 * 90
+    assert met.groupBy("frag").agg(F.countDistinct("query_id").alias("n")).agg(F.max("n")).first()[0] < 30
