@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text is built. A text is parsed greedily into the longest
-phrases that occur in that language's text; n characters in p phrases against N characters of training
+phrases (of at most ``LONGEST`` characters) that occur in that language's text; n characters in p phrases against N characters of training
 text estimate the cross entropy p * log2(N) / n bits a character. The language needing the fewest
 normalised phrases wins.
 
@@ -29,9 +29,16 @@ CHARS_PER_LANGUAGE = 40_000
 #: Characters with a symbol of their own; the rest share one.
 SYMBOLS = 63
 SPAN = 256
+#: A phrase ends after so many characters: a passage copied from a training text counts as language, not as a copy.
+LONGEST = 8
 UNDETERMINED = "und"
 RESULT = "struct<lang:string,score:double>"
-_LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """Lower-cased words, one blank between them: digits, marks and junk say nothing about the language."""
+    return _OTHER.sub(" ", text.lower()).strip()
 
 
 def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
@@ -104,6 +111,7 @@ class Parser:
         for k, table in enumerate(self.tables):
             state = np.zeros(grid.shape[1], np.int32)
             count = np.zeros(grid.shape[1], np.int32)
+            depth = np.zeros(grid.shape[1], np.int8)
             fresh = table[: self.width].copy()
             fresh[fresh < 0] = 0
             for row in grid:
@@ -114,6 +122,11 @@ class Parser:
                 unknown = (table[symbol] < 0) & (symbol != pad)
                 count[miss] += unknown  # a character the language does not have is a phrase
                 following[miss] = fresh[symbol]
+                depth[miss] = 0
+                depth += following > 0
+                full = np.flatnonzero(depth == LONGEST)
+                count[full] += 1
+                following[full] = depth[full] = 0
                 state = following
             count += state > 0
             total[:, k] = np.bincount(of_span, count, minlength=len(texts))
@@ -121,10 +134,11 @@ class Parser:
 
     def judge(self, texts: list[str | None]) -> list[dict]:
         out = [{"lang": UNDETERMINED, "score": 0.0} for _ in texts]
-        asked = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        cleaned = [letters(t) if t else "" for t in texts]
+        asked = [i for i, t in enumerate(cleaned) if any(map(str.isalpha, t))]
         if not asked or not self.tables:
             return out
-        lowered = [texts[i].lower() for i in asked]
+        lowered = [cleaned[i] for i in asked]
         sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
         bits = self.phrases(lowered) * np.log2(np.maximum(self.model.sizes, 2)) / sizes[:, None]
         best = bits.argmin(axis=1)
@@ -148,7 +162,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     texts: dict[str, str] = {}
     for r in sample.orderBy("lang", "n").select("lang", F.left("text", F.lit(chars)).alias("text")).collect():
         have = texts.get(r["lang"], "")
-        texts[r["lang"]] = (have + r["text"].lower() + "\n")[:chars]
+        texts[r["lang"]] = f"{have} {letters(r['text'])}"[:chars]
     languages = sorted(texts)
     counts: dict[str, int] = {}
     for t in texts.values():

@@ -89,7 +89,7 @@ def test_parse_is_greedy():
             part, at = asked[a : a + language_id.SPAN], 0
             while at < len(part):
                 n = 1
-                while at + n < len(part) and part[at : at + n + 1] in text:
+                while n < language_id.LONGEST and at + n < len(part) and part[at : at + n + 1] in text:
                     n += 1
                 want, at = want + 1, at + n
         assert parser.phrases([asked]).tolist() == [[want]]
