@@ -8,9 +8,10 @@
    values, and only these are indexed: values of lines that many documents carry stay out of the lists.
 3. Lists are joined through hubs, not all pairs: each list has one hub, its members are paired with it. A pair's
    overlap in the bottom-k of the union estimates its similarity; what may reach t is verified on the full
-   sets. Links give components. Lists whose members lie in more than one component get another hub; what is
-   still apart after ``HUB_ROUNDS`` rounds meets every list member of other components, so no pair of
-   unequal components that shares an indexed value goes unjudged.
+   sets. Links give components. Lists whose members lie in more than one component get another hub. Members of
+   lists that are still shared by components after ``HUB_ROUNDS`` rounds are listed anew by the rarest
+   shingles of their full sets, and pairs of different components in one such list are all judged: no
+   pair that the sketches let through stays unjudged, and passages short of t never pair documents.
 
 Hot lists and hubs are salted into groups of about ``GROUP`` members; copies are never expanded; components
 are found by label rounds on Spark tables in the shared folder. Nothing of corpus size reaches the driver.
@@ -228,7 +229,10 @@ def linked(
     label, rest = None, None
     for turn in range(HUB_ROUNDS + 1):
         members = postings if label is None else postings.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        pairs = _hub_pairs(members, turn, percent) if turn < HUB_ROUNDS else _pairs_apart(members, percent)
+        if turn < HUB_ROUNDS:
+            pairs = _hub_pairs(members, turn, percent)
+        else:
+            pairs = _pairs_apart(_full_postings(members, texts, size, percent).join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")), percent)
         likely = checkpointed(_meet(pairs, bits, _estimator(k, percent), "a bigint, b bigint, est double"))
         if turn == 0:
             # Every member tries its likeliest hub first; the others only matter if that leaves it apart.
@@ -280,6 +284,29 @@ def _hub_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.select("a", F.col("id").alias("b")).distinct()
 
 
+def _full_postings(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Exact lists for the members of lists that components still share: (id, n, value).
+
+    Of the shingles that two of these documents share, each is listed under its rarest: so many that a partner
+    of similarity t cannot avoid them all. A passage of less than a share t of a document is never listed.
+    """
+    mixed = members.groupBy("value").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last")
+    asked = members.join(mixed.select("value"), "value", "left_semi").select("id").distinct()
+
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [u.view(np.int64) for u in sets_of([zlib.decompress(t) for t in batch.to_pylist()], size)]
+            yield pa.array(rows, pa.list_(pa.int64()))
+
+    whole = texts.join(asked, "id").select("id", F.arrow_udf(sets, "array<bigint>")(F.col("payload")).alias("s"))
+    values = checkpointed(whole.select("id", F.size("s").cast("bigint").alias("n"), F.explode("s").alias("value")))
+    shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    owned = values.join(shared, "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("vs"))
+    room = F.size("vs") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    listed = owned.where(room > 0).select("id", "n", F.explode(F.slice("vs", F.lit(1), room)).alias("v"))
+    return checkpointed(listed.select("id", "n", F.col("v.value").alias("value")))
+
+
 def _pairs_apart(members: DataFrame, percent: int) -> DataFrame:
     """Members outside the largest component of their list with all members of other components."""
     sizes = members.groupBy("value", "comp").agg(F.count("*").alias("m"))
