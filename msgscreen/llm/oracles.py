@@ -40,3 +40,39 @@ other AS (SELECT r, arg_max(patterns.verdict, n) AS verdict FROM parts, patterns
 SELECT page_id, host, path, rule, coalesce(best.verdict, other.verdict, 'allow') AS verdict
 FROM parts LEFT JOIN best USING (r) LEFT JOIN other USING (r)
 """
+
+ORACLES["op10_pivots"] = """
+WITH x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+    FROM x q JOIN x d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM pairs QUALIFY rank <= 5
+"""
+
+ORACLES["op3_suffix_dedup"] = """
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS MATERIALIZED (SELECT doc_id, p, md5_number(b[p + 1:p + 50]) AS w FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 49)) AS p FROM d)),
+first AS MATERIALIZED (SELECT w, min(doc_id) AS m FROM s GROUP BY w HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, p, lag(p, 1, -100) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM s JOIN first USING (w) WHERE m < doc_id),
+runs AS (SELECT doc_id, p, sum((p - q > 50)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM gone),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z, row_number() OVER (PARTITION BY doc_id ORDER BY min(p)) AS k FROM runs GROUP BY doc_id, r),
+cut AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM spans),
+kept AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last,
+    string_agg(hex(b[before + 1:a]), '' ORDER BY a) AS head FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(head, '') || hex(b[coalesce(last, 0) + 1:]))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op6_bottom_k"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS p FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT b, m FROM reach JOIN links ON a = id),
+comp AS (SELECT id, min(m) AS m FROM reach GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, doc_id = m AS kept FROM d LEFT JOIN n USING (doc_id) JOIN comp ON id = doc_id
+"""
