@@ -70,8 +70,8 @@ WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(
 s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS g
     FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS p FROM d WHERE len(w) > 0)),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
-links AS MATERIALIZED (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
 reach(id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT b, m FROM reach JOIN links ON a = id),
 comp AS (SELECT id, min(m) AS m FROM reach GROUP BY id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, doc_id = m AS kept FROM d LEFT JOIN n USING (doc_id) JOIN comp ON id = doc_id
