@@ -197,17 +197,34 @@ class ChunkCounts:
         self.pair_count = np.bincount(self.pair_at[use], minlength=len(keys))
 
 
-def _short(words: np.ndarray) -> bytes:
-    """The upper 48 bits: enough to tell the successors of one context apart."""
-    return np.ascontiguousarray(words.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+#: Bytes of a hash that are sent: enough to tell the contexts of a shard, and the successors of a context, apart.
+CONTEXT_BYTES, WORD_BYTES = 6, 5
 
 
-def _long(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def _short(hashes: np.ndarray, size: int) -> bytes:
+    """The upper bytes of the hashes."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 8 - size :]).tobytes()
+
+
+def _long(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, 8 - size :] = np.frombuffer(raw, np.uint8).reshape(-1, size)
     return out.view(np.uint64).ravel()
 
 
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in one byte each; 255 and more follow in full."""
+    large = counts >= 255
+    return np.int64(len(counts)).tobytes() + np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes()
+
+
+def _large(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    counts = np.frombuffer(raw[8 : 8 + n], np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw[8 + n :], np.int64)
+    return counts
+
+
 # --- the two passes -------------------------------------------------------------------
 
 
@@ -218,12 +235,12 @@ def _first_pass(given: DataFrame, shards: int, cut: int) -> tuple[int, int, np.n
         once, every = np.zeros(CLASSES), np.zeros(CLASSES)
         for batch in batches:
             texts = encoded(batch.column("text"))
-            for a, b in blocks(texts, CHUNK_BYTES // 2):
+            for a, b in blocks(texts, 2 * CHUNK_BYTES):
                 _, context, word = tokens(texts[a:b])
                 values, count = np.unique(word, return_counts=True)
                 shard = _shard(values, shards)
                 order = np.argsort(shard, kind="stable")
-                rows = [(s, values[order[r]].tobytes(), count[order[r]].astype(np.int64).tobytes()) for s, r in _runs(shard[order])]
+                rows = [(s, values[order[r]].tobytes(), _small(count[order[r]])) for s, r in _runs(shard[order])]
                 keys, first, pair = np.unique(pair_key(context, word), return_index=True, return_counts=True)
                 owner, at = np.unique(context[first], return_inverse=True)
                 total = np.bincount(at, pair, minlength=len(owner))
@@ -242,7 +259,7 @@ def _first_pass(given: DataFrame, shards: int, cut: int) -> tuple[int, int, np.n
             row = (-1, 0, 0, np.sum([np.frombuffer(x) for x in a], axis=0).tobytes(), np.sum([np.frombuffer(x) for x in b], axis=0).tobytes())
         else:
             values, at = np.unique(np.frombuffer(b"".join(a), np.uint64), return_inverse=True)
-            count = np.bincount(at, np.frombuffer(b"".join(b), np.int64), minlength=len(values)).astype(np.int64)
+            count = np.bincount(at, np.concatenate([_large(x) for x in b]), minlength=len(values)).astype(np.int64)
             hot = count >= cut
             row = (0, int(count.sum()), len(values), values[hot].tobytes(), count[hot].tobytes())
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -296,13 +313,13 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
         chunk, held = table.column("chunk")[0].as_py(), counts_of(table)
         rows = []
         for s, r in _runs(held.word_shard):
-            rows.append((s, chunk, 1, held.words[r].tobytes(), held.word_count[r].astype(np.uint32).tobytes(), None, None))
+            rows.append((s, chunk, 1, held.words[r].tobytes(), _small(held.word_count[r]), None, None))
         context, word = held.pairs
         for s, r in _runs(held.pair_shard):
             own = context[r]
             first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            size = np.diff(np.append(first, len(own))).astype(np.uint32)
-            rows.append((s, chunk, 2, own[first].tobytes(), size.tobytes(), _short(word[r]), held.pair_count[r].astype(np.uint32).tobytes()))
+            size = np.diff(np.append(first, len(own)))
+            rows.append((s, chunk, 2, _short(own[first], CONTEXT_BYTES), _small(size), _short(word[r], WORD_BYTES), _small(held.pair_count[r])))
         kinds = (pa.int32(),) * 3 + (pa.binary(),) * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "chunk", "kind", "a", "b", "c", "d"])
 
@@ -314,14 +331,14 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
         asked = [r for r in rows if r[1] == 1]
         if asked:
             values, at = np.unique(np.frombuffer(b"".join(r[2] for r in asked), np.uint64), return_inverse=True)
-            count = np.bincount(at, np.frombuffer(b"".join(r[3] for r in asked), np.uint32), minlength=len(values)).astype(np.uint64)
+            count = np.bincount(at, np.concatenate([_large(r[3]) for r in asked]), minlength=len(values)).astype(np.uint64)
             back = np.split(count[at], np.cumsum([len(r[2]) // 8 for r in asked])[:-1])
             out += [(r[0], 1, shard, b.tobytes()) for r, b in zip(asked, back)]
         asked = [r for r in rows if r[1] == 2]
         if asked:
-            context = np.concatenate([np.repeat(np.frombuffer(r[2], np.uint64), np.frombuffer(r[3], np.uint32)) for r in asked])
-            word = np.concatenate([_long(r[4]) for r in asked])
-            seen = np.concatenate([np.frombuffer(r[5], np.uint32) for r in asked])
+            context = np.concatenate([np.repeat(_long(r[2], CONTEXT_BYTES), _large(r[3])) for r in asked])
+            word = np.concatenate([_long(r[4], WORD_BYTES) for r in asked])
+            seen = np.concatenate([_large(r[5]) for r in asked])
             order = np.lexsort((word, context))
             c, w = context[order], word[order]
             first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))))
@@ -331,9 +348,10 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
             c, w = c[first], w[first]
             owner, of = np.unique(c, return_inverse=True)
             whole = np.bincount(of, count, minlength=len(owner))
-            place = np.minimum(np.searchsorted(hot, owner), max(len(hot) - 1, 0))
+            short = _long(_short(hot, CONTEXT_BYTES), CONTEXT_BYTES)  # in the same order
+            place = np.minimum(np.searchsorted(short, owner), max(len(hot) - 1, 0))
             if len(hot):
-                known = hot[place] == owner
+                known = short[place] == owner
                 whole[known] = hot_counts[place[known]]
             whole = whole[of]
             trained = count > 0
@@ -347,7 +365,7 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
                     del trie
                 else:
                     answers = np.full(len(at), MISSING, np.uint16)
-            back = np.split(answers, np.cumsum([len(r[4]) // 6 for r in asked])[:-1])
+            back = np.split(answers, np.cumsum([len(r[4]) // WORD_BYTES for r in asked])[:-1])
             out += [(r[0], 2, shard, b.tobytes()) for r, b in zip(asked, back)]
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["chunk", "kind", "shard", "a"])
