@@ -161,6 +161,10 @@ SELECT query_id, count(*) OVER (PARTITION BY query_id) AS retrieved_examples, (r
     label, language, attack_type, risk_level, channel FROM hybrid JOIN corpus USING (doc_id)"""
 
 
+ORACLES["gather_cases"] = f"""WITH {HYBRID}, {CORPUS}
+SELECT query_id, rank, doc_id, text, label, language, attack_type, risk_level, channel FROM hybrid JOIN corpus USING (doc_id)"""
+
+
 def _layout(gap: str) -> str:
     lead = "\n" if gap == " " else "\n\n"
     fields = [("Text", "text"), ("Label", "label"), ("Language", "language"), ("Attack Type", "attack_type"), ("Risk Level", "risk_level")]

@@ -26,6 +26,7 @@ from msgscreen.operators import (
 )
 from msgscreen.plans import retrieve, screen
 from msgscreen.sources import corpus as corpus_source
+from msgscreen.sources import index as index_source
 from msgscreen.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,6 +203,19 @@ def similar_cases(spark, d):
     )
 
 
+@query
+def gather_cases(spark, d):
+    """Winners out of a case table of many folders."""
+    index, stored = V.retrieval_system(spark, d)
+    path = scale.scratch_path(spark, "cases")
+    index_source.save_cases(V.corpus(spark, d), path, 64)
+    queries = V.queries(spark, d)
+    rows = queries.count()
+    run = retrieve.hybrid_search(queries, index, stored, V.ENCODER, query_rows=rows)
+    found = fusion.gather(run, index_source.load_cases(spark, path), rows * retrieve.FINAL, parts=64)
+    return found.select("query_id", "rank", "doc_id", "text", "label", "language", "attack_type", "risk_level", "channel")
+
+
 @query
 def context_block(spark, d):
     return context.context_blocks(_cases(spark, d))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from msgscreen.scale import broadcast_bounded, top_rows
@@ -39,14 +39,23 @@ def rrf_fuse(runs: list[DataFrame], k: int = 5, constant: int = RRF_K) -> DataFr
     )
 
 
-def gather(run: DataFrame, corpus: DataFrame, row_bound: int | None = None) -> DataFrame:
+def case_part(doc_id: Column, parts: int) -> Column:
+    """Folder of a case in a case table of so many folders."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(parts)).cast("int")
+
+
+def gather(run: DataFrame, corpus: DataFrame, row_bound: int | None = None, parts: int | None = None) -> DataFrame:
     """Corpus columns of every ranked row.
 
     With ``row_bound`` (queries * k) proven small, the run is broadcast and the corpus
-    is neither shuffled nor sorted; otherwise Spark joins on ``doc_id``.
+    is neither shuffled nor sorted; otherwise Spark joins on ``doc_id``. From a case table
+    (``save_cases`` with ``parts`` folders) only the folders that hold a winner are read.
     """
-    side = run if row_bound is None else broadcast_bounded(run, row_bound)
-    return corpus.join(side, "doc_id")
+    if parts is None:
+        return corpus.join(run if row_bound is None else broadcast_bounded(run, row_bound), "doc_id")
+    keyed = run.where("rank > 0").withColumn("part", case_part(F.col("doc_id"), parts))
+    keyed = keyed if row_bound is None else broadcast_bounded(keyed, row_bound)
+    return corpus.join(keyed, ["part", "doc_id"]).drop("part")
 
 
 def similar_cases(gathered: DataFrame, fields: list[str] = CASE_FIELDS) -> DataFrame:

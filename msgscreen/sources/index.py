@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from msgscreen import schema
 from msgscreen.operators.embed import Encoder
+from msgscreen.operators.fusion import case_part
 from msgscreen.operators.lexical import (
     LexicalIndex,
     build_doc_terms,
@@ -124,3 +125,13 @@ def build_retrieval_system(
     if first is not None and dim is not None and first[0] != dim:
         raise ValueError(f"stored vectors at {vectors} have {first[0]} dimensions, the encoder gives {dim}")
     return load_lexical_index(spark, lexical), kept
+
+
+def save_cases(corpus: DataFrame, path: str, parts: int) -> None:
+    """Case table of ``parts`` folders by a hash of the id, from which ``gather`` reads only what it needs."""
+    placed = corpus.withColumn("part", case_part(F.col("doc_id"), parts))
+    placed.repartition(F.col("part")).write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def load_cases(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -61,5 +61,9 @@ def test_every_query_equals_its_sql(spark):
     assert not wrong
 
 
+def test_gather_reads_only_the_folders_of_winners(spark):
+    assert "dynamicpruning" in plan_of(entry.queries()["gather_cases"](spark, DATA)).lower()
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["query_id", "doc_id", "rank", "rrf_score", "source"]
