@@ -243,7 +243,8 @@ def linked(
             if rest is not None:
                 likely, rest = likely.unionAll(_apart(rest, label)).distinct(), None
         links = checkpointed(_meet(likely, texts, _verifier(size, percent), "a bigint, b bigint"))
-        label = _merged(label, links)
+        if label is None or not links.isEmpty():
+            label = _merged(label, links)
 
     named = reps.join(label.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("sig", F.coalesce("comp", "rep").alias("comp"))
     found = filled.select("id", "n", "sig").join(named, "sig").select("id", "n", "comp")
