@@ -286,7 +286,7 @@ def _hub_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def _full_postings(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Exact lists for the members of lists that components still share: (id, n, value).
+    """Exact lists for the members of lists that components still share: (id, n, value, rest), ``rest`` values from here on.
 
     Of the shingles that two of these documents share, each is listed under its rarest: so many that a partner
     of similarity t cannot avoid them all. A passage of less than a share t of a document is never listed.
@@ -304,8 +304,8 @@ def _full_postings(members: DataFrame, texts: DataFrame, size: int, percent: int
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     owned = values.join(shared, "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("vs"))
     room = F.size("vs") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    listed = owned.where(room > 0).select("id", "n", F.explode(F.slice("vs", F.lit(1), room)).alias("v"))
-    return checkpointed(listed.select("id", "n", F.col("v.value").alias("value")))
+    listed = owned.where(room > 0).select("id", "n", F.size("vs").alias("m"), F.posexplode(F.slice("vs", F.lit(1), room)).alias("at", "v"))
+    return checkpointed(listed.select("id", "n", F.col("v.value").alias("value"), (F.col("m") - F.col("at")).cast("bigint").alias("rest")))
 
 
 def _pairs_apart(members: DataFrame, percent: int) -> DataFrame:
@@ -313,8 +313,12 @@ def _pairs_apart(members: DataFrame, percent: int) -> DataFrame:
     sizes = members.groupBy("value", "comp").agg(F.count("*").alias("m"))
     main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("c")).where("c > 1")
     listed = members.join(main.select("value", "main"), "value")
-    few = listed.where("comp <> main").select("value", F.col("id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
+    few = listed.where("comp <> main").select(
+        "value", F.col("id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("rest").alias("arest")
+    )
+    # At the first value that two sets share, all they share is still ahead in both lists.
+    enough = F.least("rest", "arest") * (100 + percent) >= (F.col("n") + F.col("an")) * percent
     met = listed.join(few, "value").where(
-        (F.col("comp") != F.col("ac")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("id"))) & _fits("n", "an", percent)
+        (F.col("comp") != F.col("ac")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("id"))) & _fits("n", "an", percent) & enough
     )
     return met.select("a", F.col("id").alias("b")).distinct()
