@@ -2,17 +2,18 @@
 
 Probability of a word w after v: (1 - g) * c(v w) / c(v) + g * p1(w), where p1 is the add-one unigram
 probability and the weight g depends on the size class of c(v). g is the share of tokens whose bigram occurs
-once (leave-one-out estimate of unseen successors), summed over all blocks of the training text.
+once in the whole training text (leave-one-out estimate of unseen successors): shards sum singletons and tokens by
+size class over their merged counts, Spark adds the sums up, and the score step applies the weights.
 
 A shard owns a range of contexts and keeps them as a trie whose levels are files mapped into memory:
 * contexts, sorted, and the shard's words, sorted: Elias-Fano sequences;
 * pointers from contexts to their successors: a monotone Elias-Fano sequence;
 * successors, as word numbers counted from the context's own base, so that the whole level is monotone;
-* the first summand above, quantised to 1/4096 of a decade.
+* the counts, exact below 2**15 and above it to 1/1024 of an octave.
 A query finds context and word, then searches the successor among those of the context only.
 
 Chunks of documents send their distinct words and bigrams with training counts, packed, to shards and get
-counts and codes back in the order sent; texts move by one shuffle. Contexts of more than a fraction of a
+counts back in the order sent; texts move by one shuffle. Contexts of more than a fraction of a
 shard's load (at most 8 a shard, found in the first pass with their counts) are split over all shards by
 successor. Shards and chunks grow in number with the input, not in size.
 
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ from msgscreen.llm.common import BLANK, LOWER, Words, blocks, encoded, mix
 
 CHUNK_BYTES = 8 << 20
 BEGIN, END = np.uint64(1), np.uint64(2)
-STEP = 4096
-MISSING = 0xFFFF
+#: Counts below EXACT are their own code; an octave above it has STEP codes.
+EXACT, STEP = 1 << 15, 1024
 CLASSES = 64
 _BYTE_RANK = np.array([[(v >> b) & 1 for b in range(8)] for v in range(256)], np.uint8)
 _BYTE_COUNT = _BYTE_RANK.sum(axis=1).astype(np.int64)
@@ -106,7 +108,7 @@ class EliasFano:
 
 
 class Trie:
-    """Bigrams of a shard: distinct (context, word) sorted, with quantised probabilities."""
+    """Bigrams of a shard: distinct (context, word) sorted, with quantised counts."""
 
     def __init__(self, folder: str, context: np.ndarray, word: np.ndarray, code: np.ndarray):
         contexts, first = np.unique(context, return_index=True)
@@ -122,8 +124,8 @@ class Trie:
         self.codes = np.load(path, mmap_mode="r")
 
     def codes_of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of (context, word) pairs, ``MISSING`` where the bigram does not occur."""
-        out = np.full(len(word), MISSING, np.uint16)
+        """Codes of (context, word) pairs, 0 where the bigram does not occur."""
+        out = np.zeros(len(word), np.uint16)
         wide, of = np.unique(context, return_inverse=True)
         place = self.contexts.find(wide)[of]
         wide, of = np.unique(word, return_inverse=True)
@@ -156,7 +158,30 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def size_class(count: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(count, 1))).astype(np.int64)
+    return np.frexp(np.maximum(count, 1).astype(float))[1].astype(np.int64) - 1
+
+
+def quantised(count: np.ndarray) -> np.ndarray:
+    """Codes of counts in two bytes; a count and its code are of one size class."""
+    part, power = np.frexp(np.maximum(count, 1).astype(float))
+    step = np.minimum(np.floor(np.log2(2 * part) * STEP), STEP - 1)
+    code = EXACT + (power - 16) * STEP + step
+    return np.where(count < EXACT, count, np.minimum(code, 0xFFFF)).astype(np.uint16)
+
+
+def restored(code: np.ndarray) -> np.ndarray:
+    over = np.maximum(code.astype(np.int64) - EXACT, 0)
+    return np.where(code < EXACT, code, EXACT * 2.0 ** ((over + 0.5) / STEP))
+
+
+def weights_of(once: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Weight of each size class, falling with the size; ``once`` of its ``every`` tokens are of single n-grams."""
+    weights, last = np.ones(CLASSES), 1.0
+    for k in range(CLASSES):
+        if every[k] > 0:
+            last = min(last, max((once[k] + 0.5) / (every[k] + 1), 1e-3))
+        weights[k] = min(last, 0.999)
+    return weights
 
 
 def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -228,62 +253,34 @@ def _large(raw: bytes) -> np.ndarray:
 # --- the two passes -------------------------------------------------------------------
 
 
-def _first_pass(given: DataFrame, shards: int, cut: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    """Training tokens, distinct ones, words seen ``cut`` times or more with counts, weight of each size class."""
+def _first_pass(given: DataFrame, shards: int, cut: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Training tokens, distinct ones, words seen ``cut`` times or more with counts."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, every = np.zeros(CLASSES), np.zeros(CLASSES)
         for batch in batches:
             texts = encoded(batch.column("text"))
             for a, b in blocks(texts, 2 * CHUNK_BYTES):
-                _, context, word = tokens(texts[a:b])
-                values, count = np.unique(word, return_counts=True)
+                values, count = np.unique(tokens(texts[a:b])[2], return_counts=True)
                 shard = _shard(values, shards)
                 order = np.argsort(shard, kind="stable")
                 rows = [(s, values[order[r]].tobytes(), _small(count[order[r]])) for s, r in _runs(shard[order])]
-                keys, first, pair = np.unique(pair_key(context, word), return_index=True, return_counts=True)
-                owner, at = np.unique(context[first], return_inverse=True)
-                total = np.bincount(at, pair, minlength=len(owner))
-                kind = size_class(total)
-                once += np.bincount(kind, np.bincount(at, pair == 1, minlength=len(owner)), minlength=CLASSES)[:CLASSES]
-                every += np.bincount(kind, total, minlength=CLASSES)[:CLASSES]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["shard", "a", "b"])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1], pa.int32()), pa.array([once.tobytes()], pa.binary()), pa.array([every.tobytes()], pa.binary())], ["shard", "a", "b"]
-        )
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches))
         a, b = (got.column(c).to_pylist() for c in ("a", "b"))
-        if got.column("shard")[0].as_py() < 0:
-            row = (-1, 0, 0, np.sum([np.frombuffer(x) for x in a], axis=0).tobytes(), np.sum([np.frombuffer(x) for x in b], axis=0).tobytes())
-        else:
-            values, at = np.unique(np.frombuffer(b"".join(a), np.uint64), return_inverse=True)
-            count = np.bincount(at, np.concatenate([_large(x) for x in b]), minlength=len(values)).astype(np.int64)
-            hot = count >= cut
-            row = (0, int(count.sum()), len(values), values[hot].tobytes(), count[hot].tobytes())
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["shard", "n", "v", "a", "b"])
+        values, at = np.unique(np.frombuffer(b"".join(a), np.uint64), return_inverse=True)
+        count = np.bincount(at, np.concatenate([_large(x) for x in b]), minlength=len(values)).astype(np.int64)
+        hot = count >= cut
+        row = (int(count.sum()), len(values), values[hot].tobytes(), count[hot].tobytes())
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["n", "v", "a", "b"])
 
     counted = given.where("train").select("text").mapInArrow(local, "shard int, a binary, b binary")
-    # The class sums of all tasks meet under a salted shard -1; each is two short vectors.
-    salted = counted.withColumn("salt", F.when(F.col("shard") < 0, F.pmod(F.xxhash64("a", "b"), F.lit(64))).otherwise(0))
-    rows = salted.groupBy("shard", "salt").applyInArrow(reduce, "shard int, n bigint, v bigint, a binary, b binary").collect()  # at most 8 words a shard
-    known = [r for r in rows if r["shard"] >= 0]
-    n, v = sum(r["n"] for r in known), sum(r["v"] for r in known)
-    hot = np.frombuffer(b"".join(r["a"] for r in known), np.uint64)
-    counts = np.frombuffer(b"".join(r["b"] for r in known), np.int64)
-    once = np.sum([np.frombuffer(r["a"]) for r in rows if r["shard"] < 0], axis=0) + np.zeros(CLASSES)
-    every = np.sum([np.frombuffer(r["b"]) for r in rows if r["shard"] < 0], axis=0) + np.zeros(CLASSES)
-    weights, last, ratio = np.ones(CLASSES), 1.0, 1.0
-    for k in range(CLASSES):
-        if every[k] > 0:
-            here = min(last, max((once[k] + 0.5) / (every[k] + 1), 1e-3))
-            ratio, last = min(1.0, max(0.7, here / last)) if k else 1.0, here
-        else:
-            last = max(last * ratio, 1e-3)  # larger classes than a block has: the fall goes on
-        weights[k] = min(last, 0.999)
-    return n, v, hot, counts, weights
+    rows = counted.groupBy("shard").applyInArrow(reduce, "n bigint, v bigint, a binary, b binary").collect()  # at most 8 words a shard
+    hot = np.frombuffer(b"".join(r["a"] for r in rows), np.uint64)
+    counts = np.frombuffer(b"".join(r["b"] for r in rows), np.int64)
+    return sum(r["n"] for r in rows), sum(r["v"] for r in rows), hot, counts
 
 
 def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -291,7 +288,7 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
     given = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     total = int(given.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n = max(16, -(-total // chunk_bytes))
-    n_train, n_distinct, hot, hot_counts, weights = _first_pass(given, n, max(2, total // (16 * n)))
+    n_train, n_distinct, hot, hot_counts = _first_pass(given, n, max(2, total // (16 * n)))
     hot_counts = np.append(hot_counts[np.argsort(hot)], 0)
     hot = np.append(np.sort(hot), BEGIN)
     order = np.argsort(hot)
@@ -355,25 +352,41 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
                 whole[known] = hot_counts[place[known]]
             whole = whole[of]
             trained = count > 0
-            share = (1 - weights[size_class(whole)]) * count / np.maximum(whole, 1)
-            with np.errstate(divide="ignore"):
-                code = np.minimum(np.round(-np.log10(np.maximum(share, 1e-300)) * STEP), MISSING - 1)
+            kind = size_class(whole)
+            sums = [np.bincount(kind, x, minlength=CLASSES).astype(np.int64) for x in (count == 1, count)]
+            out.append((shard % n, 3, shard, np.stack(sums).tobytes()))  # to any chunk
             with tempfile.TemporaryDirectory() as folder:
                 if trained.any():
-                    trie = Trie(folder, c[trained], w[trained], code[trained])
+                    trie = Trie(folder, c[trained], w[trained], quantised(count[trained]))
                     answers = trie.codes_of(c, w)[at]
                     del trie
                 else:
-                    answers = np.full(len(at), MISSING, np.uint16)
+                    answers = np.zeros(len(at), np.uint16)
             back = np.split(answers, np.cumsum([len(r[4]) // WORD_BYTES for r in asked])[:-1])
             out += [(r[0], 2, shard, b.tobytes()) for r, b in zip(asked, back)]
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["chunk", "kind", "shard", "a"])
 
+    result_types = [("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                    ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
     result = "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, CLASSES), np.int64)
+        for batch in batches:
+            for a in batch.column("a").filter(pc.equal(batch.column("kind"), 3)).to_pylist():
+                held += np.frombuffer(a, np.int64).reshape(2, CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), *map(pa.array, held)], ["class", "once", "every"])
+
     def score(table: pa.Table, notes: pa.Table) -> pa.Table:
-        held, m = counts_of(table), table.num_rows
+        m = table.num_rows
+        if not m:  # a chunk without texts has only sums
+            return pa.table([[]] * len(result_types), schema=pa.schema(result_types))
+        held = counts_of(table)
+        sums = np.zeros((2, CLASSES))
+        for r in table.column("sums")[0].as_py():
+            sums[:, r["class"]] = r["once"], r["every"]
+        weights = weights_of(*sums)
         said = sorted(zip(*(notes.column(c).to_pylist() for c in ("kind", "shard", "a"))), key=lambda r: r[:2])
         count = np.frombuffer(b"".join(a for k, _, a in said if k == 1), np.uint64).astype(np.int64)
         code = np.frombuffer(b"".join(a for k, _, a in said if k == 2), np.uint16)
@@ -384,16 +397,18 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
         before = np.concatenate(([0], of_word[:-1])) if len(of_word) else of_word
         before = np.where(held.context == BEGIN, end[0] if len(end) else 0, before)
         g = np.where(before > 0, weights[size_class(before)], 1.0)
-        pair = code[held.pair_at]
-        share = np.where(pair == MISSING, 0.0, 10.0 ** (-pair.astype(np.float64) / STEP))
+        share = (1 - g) * np.minimum(restored(code[held.pair_at]) / np.maximum(before, 1), 1)
         p1 = single[held.word_at]
-        sums = lambda x: np.bincount(held.doc, x, minlength=m)
+        by_doc = lambda x: np.bincount(held.doc, x, minlength=m)
         columns = [
             pa.array(table.column("id").to_pylist(), pa.int64()), pa.array(table.column("train").to_pylist(), pa.bool_()),
-            pa.array(np.bincount(held.doc, minlength=m), pa.int64()), pa.array(sums(of_word > 0).astype(np.int64), pa.int64()),
-            pa.array([n_train] * m, pa.int64()), pa.array(sums(np.log10(p1))), pa.array(sums(np.log10(share + g * p1))),
+            pa.array(np.bincount(held.doc, minlength=m), pa.int64()), pa.array(by_doc(of_word > 0).astype(np.int64), pa.int64()),
+            pa.array([n_train] * m, pa.int64()), pa.array(by_doc(np.log10(p1))), pa.array(by_doc(np.log10(share + g * p1))),
         ]
-        return pa.table(columns, names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table(columns, schema=pa.schema(result_types))
 
-    replies = texts.groupBy("chunk").applyInArrow(send, note).groupBy("shard").applyInArrow(answer, "chunk int, kind int, shard int, a binary")
-    return texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, result)
+    # The shuffle of the replies is used twice: for the sums, and for the scores.
+    replies = texts.groupBy("chunk").applyInArrow(send, note).groupBy("shard").applyInArrow(answer, "chunk int, kind int, shard int, a binary").repartition(n, "chunk")
+    by_class = replies.mapInArrow(sums_of, "class bigint, once bigint, every bigint").groupBy("class").agg(F.sum("once").alias("once"), F.sum("every").alias("every"))
+    sums = by_class.agg(F.collect_list(F.struct("class", "once", "every")).alias("sums"))
+    return texts.crossJoin(F.broadcast(sums)).groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, result)

@@ -134,6 +134,71 @@ def test_ngram_mass(spark):
     assert start[300].n_tokens == 1 and all(s < 0 for s in got.values())
 
 
+def brute_scores(made, is_train):
+    """Scores of all texts by counts in dictionaries."""
+    def grams(t):
+        own = ["<"] + [w.lower() for w in t.split()] + [None]
+        return [tuple(own[max(0, i - ORDER + 1) : i + 1]) for i in range(1, len(own))]
+
+    one: dict = {}
+    high: list = [{} for _ in range(ORDER - 1)]
+    starts: list = [{} for _ in range(ORDER - 1)]
+    for i, t in made:
+        for gram in grams(t) if is_train(i) else ():
+            one[gram[-1]] = one.get(gram[-1], 0) + 1
+            for k in range(2, len(gram) + 1):
+                g, c = high[k - 2], starts[k - 2]
+                g[gram[-k:]], c[gram[-k:-1]] = g.get(gram[-k:], 0) + 1, c.get(gram[-k:-1], 0) + 1
+    n, weights = sum(one.values()), []
+    for g, c in zip(high, starts):
+        once, every = np.zeros(64), np.zeros(64)
+        for gram, count in g.items():
+            kind = c[gram[:-1]].bit_length() - 1
+            once[kind] += count == 1
+            every[kind] += count
+        weights.append(ngram_lm.weights_of(once, every))
+    out = {}
+    for i, t in made:
+        total = 0.0
+        for gram in grams(t):
+            p = (one.get(gram[-1], 0) + 1) / (n + len(one) + 1)
+            for k in range(2, len(gram) + 1):
+                seen = starts[k - 2].get(gram[-k:-1], 0)
+                if seen:
+                    w = weights[k - 2][seen.bit_length() - 1]
+                    p = (1 - w) * high[k - 2].get(gram[-k:], 0) / seen + w * p
+            total += math.log10(p)
+        out[i] = total
+    return out
+
+
+ORDER = 2
+
+
+def test_ngram_scores_are_those_of_the_whole_text(spark):
+    """Neither partitions nor batches, chunks or split contexts move a score."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(80)]
+    made = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(80)], k=rng.randint(0, 60)))) for i in range(300)]
+    want = brute_scores(made, lambda i: i < 200)
+    for parts, batch, chunk in ((1, 10_000, 8 << 20), (7, 5, 8 << 20), (3, 50, 2000)):
+        docs = spark.createDataFrame(made, "doc_id bigint, text string").repartition(parts)
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = {r.doc_id: r.score for r in ngram_lm.scored(docs, F.col("doc_id") < 200, chunk_bytes=chunk).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_counts_keep_their_class():
+    count = np.unique(np.concatenate([np.arange(70_000), 2 ** np.arange(46), 2 ** np.arange(1, 46) - 1]))
+    back = ngram_lm.restored(ngram_lm.quantised(count))
+    assert (back[:32768] == count[:32768]).all() and (np.abs(back - count) <= count / 2000).all()
+    assert (ngram_lm.size_class(back) == ngram_lm.size_class(count)).all()
+
+
 def test_no_training_text(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     got = ngram_lm.scored(docs, F.lit(False)).collect()
