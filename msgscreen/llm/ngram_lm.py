@@ -1,21 +1,24 @@
-"""Language-model scores from Elias-Fano n-gram tries (order 2), built and queried in shards.
+"""Language-model scores from Elias-Fano n-gram tries (order 3), built and queried in shards.
 
-Probability of a word w after v: (1 - g) * c(v w) / c(v) + g * p1(w), where p1 is the add-one unigram
-probability and the weight g depends on the size class of c(v). g is the share of tokens whose bigram occurs
-once in the whole training text (leave-one-out estimate of unseen successors): shards sum singletons and tokens by
-size class over their merged counts, Spark adds the sums up, and the score step applies the weights.
+Probability of a word w after u v: (1 - g3) * c(u v w) / c(u v) + g3 * p2(w), with p2 = (1 - g2) * c(v w) / c(v) +
+g2 * p1(w), where p1 is the add-one unigram probability, and the weights g3 and g2 depend on the size classes of
+c(u v) and c(v). A weight is the share of tokens whose n-gram occurs once in the whole training text (leave-one-out
+estimate of unseen successors): shards sum singletons and tokens by size class over their merged counts, Spark adds
+the sums up, and the score step applies the weights. The first word of a text has only the text's beginning before it.
 
-A shard owns a range of contexts and keeps them as a trie whose levels are files mapped into memory:
+A shard owns a range of first words and keeps their n-grams as a trie whose levels are files mapped into memory:
 * contexts, sorted, and the shard's words, sorted: Elias-Fano sequences;
-* pointers from contexts to their successors: a monotone Elias-Fano sequence;
-* successors, as word numbers counted from the context's own base, so that the whole level is monotone;
+* for each level, pointers from contexts to their successors: a monotone Elias-Fano sequence;
+* successors, as word numbers counted from the context's own base, so that a whole level is monotone;
 * the counts, exact below 2**15 and above it to 1/1024 of an octave.
-A query finds context and word, then searches the successor among those of the context only.
+A query finds context and word, then searches the successor among those of the context only. Where it is stands
+for the context one level down.
 
-Chunks of documents send their distinct words and bigrams with training counts, packed, to shards and get
+Chunks of documents send their distinct words, bigrams and trigrams with training counts, packed, to shards and get
 counts back in the order sent; texts move by one shuffle. Contexts of more than a fraction of a
 shard's load (at most 8 a shard, found in the first pass with their counts) are split over all shards by
-successor. Shards and chunks grow in number with the input, not in size.
+successor, and so are pairs of two such words: a pair is no more frequent than either. Shards and chunks grow
+in number with the input, not in size.
 
 Null and empty texts are the end token alone. Repeated rows count as often as they occur. Rows without an
 id are scored like others. Without training text every token has the probability 1.
@@ -107,37 +110,52 @@ class EliasFano:
         return out
 
 
-class Trie:
-    """Bigrams of a shard: distinct (context, word) sorted, with quantised counts."""
+class Level:
+    """One level of a trie: distinct (place of the context, word) sorted, with quantised counts."""
 
-    def __init__(self, folder: str, context: np.ndarray, word: np.ndarray, code: np.ndarray):
-        contexts, first = np.unique(context, return_index=True)
-        words, number = np.unique(word, return_inverse=True)
-        self.n_words = len(words)
-        base = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(np.append(first, len(context)))) * np.uint64(max(1, len(words)))
-        self.contexts = EliasFano(folder, "contexts", contexts)
-        self.words = EliasFano(folder, "words", words)
-        self.pointers = EliasFano(folder, "pointers", np.append(first, len(context)))
-        self.successors = EliasFano(folder, "successors", base + number.astype(np.uint64))
-        path = os.path.join(folder, "codes.npy")
+    def __init__(self, folder: str, name: str, n_contexts: int, place: np.ndarray, word: np.ndarray, words: EliasFano, code: np.ndarray):
+        self.n_contexts, self.words = n_contexts, words
+        self.pointers = EliasFano(folder, f"{name}.pointers", np.searchsorted(place, np.arange(n_contexts + 1)))
+        self.successors = EliasFano(folder, f"{name}.successors", self._wanted(place, words.find(word)))
+        path = os.path.join(folder, f"{name}.codes.npy")
         np.save(path, code.astype(np.uint16))
         self.codes = np.load(path, mmap_mode="r")
 
-    def codes_of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of (context, word) pairs, 0 where the bigram does not occur."""
-        out = np.zeros(len(word), np.uint16)
-        wide, of = np.unique(context, return_inverse=True)
-        place = self.contexts.find(wide)[of]
+    def _wanted(self, place: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return place.astype(np.uint64) * np.uint64(max(1, self.words.n)) + number.astype(np.uint64)
+
+    def find(self, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of the words after contexts at ``place``, -1 where the n-gram does not occur."""
+        out = np.full(len(word), -1, np.int64)
         wide, of = np.unique(word, return_inverse=True)
         number = self.words.find(wide)[of]
         use = np.flatnonzero((place >= 0) & (number >= 0))
         place, number = place[use], number[use]
-        wanted = place.astype(np.uint64) * np.uint64(max(1, self.n_words)) + number.astype(np.uint64)
-        at = self.successors.find(wanted, self.pointers[place].astype(np.int64), self.pointers[place + 1].astype(np.int64))
-        out[use[at >= 0]] = self.codes[at[at >= 0]]
+        out[use] = self.successors.find(self._wanted(place, number), self.pointers[place].astype(np.int64), self.pointers[place + 1].astype(np.int64))
+        return out
+
+    def codes_at(self, place: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(place), np.uint16)
+        out[place >= 0] = self.codes[place[place >= 0]]
         return out
 
 
+class Trie:
+    """N-grams of a shard: distinct (context, word) sorted, and below them (number of the pair, word) sorted."""
+
+    def __init__(self, folder: str, context: np.ndarray, word: np.ndarray, count: np.ndarray, below: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        pair, last, often = below
+        contexts, place = np.unique(context, return_inverse=True)
+        self.contexts = EliasFano(folder, "contexts", contexts)
+        words = EliasFano(folder, "words", np.unique(np.concatenate([word, last])))
+        self.second = Level(folder, "second", len(contexts), place, word, words, quantised(count))
+        self.third = Level(folder, "third", len(context), pair, last, words, quantised(often))
+
+    def places_of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        wide, of = np.unique(context, return_inverse=True)
+        return self.second.find(self.contexts.find(wide)[of], word)
+
+
 # --- tokens ---------------------------------------------------------------------------
 
 
@@ -211,7 +229,8 @@ class ChunkCounts:
         self.word_at = np.argsort(order)[self.word_at] if len(order) else self.word_at
         self.words, self.word_shard = values[order], shard[order]
         self.word_count = np.bincount(self.word_at[use], minlength=len(values))
-        keys, first, at = np.unique(pair_key(self.context, self.word), return_index=True, return_inverse=True)
+        pair = pair_key(self.context, self.word)
+        keys, first, at = np.unique(pair, return_index=True, return_inverse=True)
         context, word = self.context[first], self.word[first]
         split = np.isin(context, hot)
         shard = np.where(split, _shard(keys, shards), _shard(context, shards))
@@ -220,6 +239,18 @@ class ChunkCounts:
         self.pairs = context[order], word[order]
         self.pair_shard = shard[order]
         self.pair_count = np.bincount(self.pair_at[use], minlength=len(keys))
+        # Trigrams, by the place of the pair that begins them; those of two frequent words travel on their own.
+        self.third = np.flatnonzero(self.context != BEGIN)
+        keys, first, at = np.unique(pair_key(pair[self.third - 1], self.word[self.third]), return_index=True, return_inverse=True)
+        first = self.third[first]
+        place, word, key = self.pair_at[first - 1], self.word[first], pair[first - 1]
+        loose = np.isin(self.context[first - 1], hot) & np.isin(self.context[first], hot)
+        shard = np.where(loose, _shard(keys, shards), self.pair_shard[place])
+        order = np.lexsort((word, np.where(loose, key, place.astype(np.uint64)), shard, loose))
+        self.triple_at = np.argsort(order)[at] if len(order) else at
+        self.triples = place[order], key[order], word[order]
+        self.triple_shard, self.n_nested = shard[order], int((~loose).sum())
+        self.triple_count = np.bincount(self.triple_at[use[self.third]], minlength=len(keys))
 
 
 #: Bytes of a hash that are sent: enough to tell the contexts of a shard, and the successors of a context, apart.
@@ -250,6 +281,23 @@ def _large(raw: bytes) -> np.ndarray:
     return counts
 
 
+def _merged(context: np.ndarray, word: np.ndarray, seen: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct (context, word) in order, their summed counts, and the place of every given pair among them."""
+    order = np.lexsort((word, context))
+    c, w = context[order], word[order]
+    if not len(order):
+        return (c, w), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))))
+    at = np.empty(len(order), np.int64)
+    at[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    return (c[first], w[first]), np.add.reduceat(seen[order].astype(np.int64), first), at
+
+
+def _sums(kind: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """N-grams seen once, and tokens, by the size class of the context."""
+    return np.stack([np.bincount(kind, x, minlength=CLASSES)[:CLASSES].astype(np.int64) for x in (count == 1, count)])
+
+
 # --- the two passes -------------------------------------------------------------------
 
 
@@ -299,7 +347,7 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
     if not len(ends):  # fewer texts than the cut: they are no hot context either
         hot, hot_counts = hot[hot != BEGIN], hot_counts[hot != BEGIN]
     texts = given.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).repartition(n, "chunk")
-    note = "shard int, chunk int, kind int, a binary, b binary, c binary, d binary"
+    note = "shard int, chunk int, kind int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 
     def counts_of(table: pa.Table) -> ChunkCounts:
         raw = [t or b"" for t in table.column("text").cast(pa.large_binary()).to_pylist()]
@@ -310,20 +358,27 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
         chunk, held = table.column("chunk")[0].as_py(), counts_of(table)
         rows = []
         for s, r in _runs(held.word_shard):
-            rows.append((s, chunk, 1, held.words[r].tobytes(), _small(held.word_count[r]), None, None))
+            rows.append((s, chunk, 1, held.words[r].tobytes(), _small(held.word_count[r]), *[None] * 5))
         context, word = held.pairs
+        place, key, last = held.triples
         for s, r in _runs(held.pair_shard):
             own = context[r]
             first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             size = np.diff(np.append(first, len(own)))
-            rows.append((s, chunk, 2, _short(own[first], CONTEXT_BYTES), _small(size), _short(word[r], WORD_BYTES), _small(held.pair_count[r])))
-        kinds = (pa.int32(),) * 3 + (pa.binary(),) * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "chunk", "kind", "a", "b", "c", "d"])
+            a, b = np.searchsorted(place[: held.n_nested], (r.start, r.stop))
+            below = np.bincount(place[a:b] - r.start, minlength=r.stop - r.start)
+            rows.append((s, chunk, 2, _short(own[first], CONTEXT_BYTES), _small(size), _short(word[r], WORD_BYTES), _small(held.pair_count[r]),
+                         _small(below), _short(last[a:b], WORD_BYTES), _small(held.triple_count[a:b])))
+        for s, r in _runs(held.triple_shard[held.n_nested :]):
+            r = slice(r.start + held.n_nested, r.stop + held.n_nested)
+            rows.append((s, chunk, 3, key[r].tobytes(), None, _short(last[r], WORD_BYTES), _small(held.triple_count[r]), *[None] * 3))
+        kinds = (pa.int32(),) * 3 + (pa.binary(),) * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "chunk", "kind", *"abcdefg"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         shard = table.column("shard")[0].as_py()
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "kind", "a", "b", "c", "d"))))
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "kind", *"abcdefg"))))
         out = []
         asked = [r for r in rows if r[1] == 1]
         if asked:
@@ -331,18 +386,12 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
             count = np.bincount(at, np.concatenate([_large(r[3]) for r in asked]), minlength=len(values)).astype(np.uint64)
             back = np.split(count[at], np.cumsum([len(r[2]) // 8 for r in asked])[:-1])
             out += [(r[0], 1, shard, b.tobytes()) for r, b in zip(asked, back)]
+        sums = np.zeros((4, CLASSES), np.int64)
         asked = [r for r in rows if r[1] == 2]
         if asked:
             context = np.concatenate([np.repeat(_long(r[2], CONTEXT_BYTES), _large(r[3])) for r in asked])
             word = np.concatenate([_long(r[4], WORD_BYTES) for r in asked])
-            seen = np.concatenate([_large(r[5]) for r in asked])
-            order = np.lexsort((word, context))
-            c, w = context[order], word[order]
-            first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))))
-            count = np.add.reduceat(seen[order].astype(np.int64), first)
-            at = np.empty(len(order), np.int64)
-            at[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-            c, w = c[first], w[first]
+            (c, w), count, at = _merged(context, word, np.concatenate([_large(r[5]) for r in asked]))
             owner, of = np.unique(c, return_inverse=True)
             whole = np.bincount(of, count, minlength=len(owner))
             short = _long(_short(hot, CONTEXT_BYTES), CONTEXT_BYTES)  # in the same order
@@ -350,20 +399,45 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
             if len(hot):
                 known = short[place] == owner
                 whole[known] = hot_counts[place[known]]
-            whole = whole[of]
+            below = np.repeat(at, np.concatenate([_large(r[6]) for r in asked]))
+            last = np.concatenate([_long(r[7], WORD_BYTES) for r in asked])
+            (pair, x), often, at3 = _merged(below, last, np.concatenate([_large(r[8]) for r in asked]))
+            sums[:2] = _sums(size_class(whole[of]), count)
+            sums[2:] = _sums(size_class(count[pair]), often)
+            trained, deep = count > 0, often > 0
+            with tempfile.TemporaryDirectory() as folder:
+                if trained.any():
+                    number = np.cumsum(trained) - 1
+                    trie = Trie(folder, c[trained], w[trained], count[trained], (number[pair[deep]], x[deep], often[deep]))
+                    places = trie.places_of(c, w)
+                    second, third = trie.second.codes_at(places)[at], trie.third.codes_at(trie.third.find(places[pair], x))[at3]
+                    del trie
+                else:
+                    second, third = np.zeros(len(at), np.uint16), np.zeros(len(at3), np.uint16)
+            ends = [np.cumsum([len(r[k]) // WORD_BYTES for r in asked])[:-1] for k in (4, 7)]
+            for kind, answers, cut in ((2, second, ends[0]), (3, third, ends[1])):
+                out += [(r[0], kind, shard, b.tobytes()) for r, b in zip(asked, np.split(answers, cut))]
+        asked = [r for r in rows if r[1] == 3]
+        if asked:
+            context = np.concatenate([np.frombuffer(r[2], np.uint64) for r in asked])
+            word = np.concatenate([_long(r[4], WORD_BYTES) for r in asked])
+            (c, w), count, at = _merged(context, word, np.concatenate([_large(r[5]) for r in asked]))
+            # How often the pair occurs in all is known to the chunks' other shards: the sums go by pair.
+            owner, of = np.unique(c, return_inverse=True)
+            split = [np.bincount(of, x, minlength=len(owner)).astype(np.int64) for x in (count == 1, count)]
+            out.append((shard % n, 6, shard, np.stack([owner.view(np.int64), *split]).tobytes()))
             trained = count > 0
-            kind = size_class(whole)
-            sums = [np.bincount(kind, x, minlength=CLASSES).astype(np.int64) for x in (count == 1, count)]
-            out.append((shard % n, 3, shard, np.stack(sums).tobytes()))  # to any chunk
             with tempfile.TemporaryDirectory() as folder:
                 if trained.any():
-                    trie = Trie(folder, c[trained], w[trained], quantised(count[trained]))
-                    answers = trie.codes_of(c, w)[at]
+                    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    trie = Trie(folder, c[trained], w[trained], count[trained], none)
+                    answers = trie.second.codes_at(trie.places_of(c, w))[at]
                     del trie
                 else:
                     answers = np.zeros(len(at), np.uint16)
-            back = np.split(answers, np.cumsum([len(r[4]) // WORD_BYTES for r in asked])[:-1])
-            out += [(r[0], 2, shard, b.tobytes()) for r, b in zip(asked, back)]
+            back = np.split(answers, np.cumsum([len(r[2]) // 8 for r in asked])[:-1])
+            out += [(r[0], 4, shard, b.tobytes()) for r, b in zip(asked, back)]
+        out.append((shard % n, 5, shard, sums.tobytes()))  # to any chunk
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["chunk", "kind", "shard", "a"])
 
@@ -372,24 +446,30 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
     result = "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
     def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, CLASSES), np.int64)
+        held = np.zeros((4, CLASSES), np.int64)
+        names = ["class", "pair", "once", "every"]
         for batch in batches:
-            for a in batch.column("a").filter(pc.equal(batch.column("kind"), 3)).to_pylist():
-                held += np.frombuffer(a, np.int64).reshape(2, CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), *map(pa.array, held)], ["class", "once", "every"])
+            kind, a = batch.column("kind"), batch.column("a")
+            for x in a.filter(pc.equal(kind, 5)).to_pylist():
+                held += np.frombuffer(x, np.int64).reshape(4, CLASSES)
+            for x in a.filter(pc.equal(kind, 6)).to_pylist():
+                pair, once, every = np.frombuffer(x, np.int64).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), -1)), pa.array(pair), pa.array(once), pa.array(every)], names)
+        both = [pa.array(np.concatenate([held[k], held[k + 2]])) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * CLASSES)), pa.array(np.zeros(2 * CLASSES, np.int64)), *both], names)
 
     def score(table: pa.Table, notes: pa.Table) -> pa.Table:
         m = table.num_rows
         if not m:  # a chunk without texts has only sums
             return pa.table([[]] * len(result_types), schema=pa.schema(result_types))
         held = counts_of(table)
-        sums = np.zeros((2, CLASSES))
+        sums = np.zeros((2, 2 * CLASSES))
         for r in table.column("sums")[0].as_py():
             sums[:, r["class"]] = r["once"], r["every"]
-        weights = weights_of(*sums)
+        weights, deep = (weights_of(*sums[:, k : k + CLASSES]) for k in (0, CLASSES))
         said = sorted(zip(*(notes.column(c).to_pylist() for c in ("kind", "shard", "a"))), key=lambda r: r[:2])
         count = np.frombuffer(b"".join(a for k, _, a in said if k == 1), np.uint64).astype(np.int64)
-        code = np.frombuffer(b"".join(a for k, _, a in said if k == 2), np.uint16)
+        code, nested, loose = (np.frombuffer(b"".join(a for k, _, a in said if k == kind), np.uint16) for kind in (2, 3, 4))
         single = (count + 1) / (n_train + n_distinct + 1)
         of_word = count[held.word_at]
         # A context is the word before; a text's beginning counts as often as the end.
@@ -397,18 +477,27 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
         before = np.concatenate(([0], of_word[:-1])) if len(of_word) else of_word
         before = np.where(held.context == BEGIN, end[0] if len(end) else 0, before)
         g = np.where(before > 0, weights[size_class(before)], 1.0)
-        share = (1 - g) * np.minimum(restored(code[held.pair_at]) / np.maximum(before, 1), 1)
         p1 = single[held.word_at]
+        pairs = restored(code[held.pair_at])
+        p = (1 - g) * np.minimum(pairs / np.maximum(before, 1), 1) + g * p1
+        before = pairs[held.third - 1]
+        g = np.where(before > 0, deep[size_class(before)], 1.0)
+        often = restored(np.concatenate([nested, loose])[held.triple_at])
+        p[held.third] = (1 - g) * np.minimum(often / np.maximum(before, 1), 1) + g * p[held.third]
         by_doc = lambda x: np.bincount(held.doc, x, minlength=m)
         columns = [
             pa.array(table.column("id").to_pylist(), pa.int64()), pa.array(table.column("train").to_pylist(), pa.bool_()),
             pa.array(np.bincount(held.doc, minlength=m), pa.int64()), pa.array(by_doc(of_word > 0).astype(np.int64), pa.int64()),
-            pa.array([n_train] * m, pa.int64()), pa.array(by_doc(np.log10(p1))), pa.array(by_doc(np.log10(share + g * p1))),
+            pa.array([n_train] * m, pa.int64()), pa.array(by_doc(np.log10(p1))), pa.array(by_doc(np.log10(p))),
         ]
         return pa.table(columns, schema=pa.schema(result_types))
 
     # The shuffle of the replies is used twice: for the sums, and for the scores.
     replies = texts.groupBy("chunk").applyInArrow(send, note).groupBy("shard").applyInArrow(answer, "chunk int, kind int, shard int, a binary").repartition(n, "chunk")
-    by_class = replies.mapInArrow(sums_of, "class bigint, once bigint, every bigint").groupBy("class").agg(F.sum("once").alias("once"), F.sum("every").alias("every"))
+    # Pairs of two frequent words have their singletons in many shards; what they add up to gives the pair's class.
+    parts = replies.mapInArrow(sums_of, "class bigint, pair bigint, once bigint, every bigint").groupBy("class", "pair")
+    added = parts.agg(F.sum("once").alias("once"), F.sum("every").alias("every"))
+    own = F.length(F.bin(F.greatest("every", F.lit(1).cast("bigint")))) - 1 + CLASSES
+    by_class = added.groupBy(F.when(F.col("class") < 0, own).otherwise(F.col("class")).cast("bigint").alias("class")).agg(F.sum("once").alias("once"), F.sum("every").alias("every"))
     sums = by_class.agg(F.collect_list(F.struct("class", "once", "every")).alias("sums"))
     return texts.crossJoin(F.broadcast(sums)).groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, result)

@@ -172,7 +172,7 @@ def brute_scores(made, is_train):
     return out
 
 
-ORDER = 2
+ORDER = 3
 
 
 def test_ngram_scores_are_those_of_the_whole_text(spark):
