@@ -6,7 +6,8 @@ word, and ``COUNTERFACTUAL`` times the squared change of the score is added. Ter
 pulled to one weight, the neutral one, so that a mere mention of a group does not move the score.
 
 Fitting reads at most ``MAX_ROWS`` labelled texts (lowest hashes of the id, each class its half, all of them
-where there are fewer); gradient steps are Spark aggregates over that cached sample. Everything else covers
+where there are fewer). A class counts as often as it occurs among all labelled rows, whatever share of it was
+read, so that 0.5 means the same at every size. Gradient steps are Spark aggregates over that cached sample. Everything else covers
 all rows: scoring is one projection over whole texts with at most ``MAX_WORDS`` weights in the closure.
 
 A null or empty text has no words and gets the score of the intercept. Null labels teach nothing. Repeated
@@ -75,8 +76,9 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, max_rows: int) -> DataFrame:
-    """Texts of at most half of ``max_rows`` rows of each class, lowest hashes of the id first.
+def _sampled(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, max_rows: int) -> tuple[DataFrame, dict[int, float]]:
+    """Texts of at most half of ``max_rows`` rows of each class, lowest hashes of the id first, and how many
+    labelled rows one row of a class stands for.
 
     Only ids and labels are shuffled; the ids chosen, at most ``max_rows``, go to where the texts are.
     """
@@ -84,7 +86,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     present = known.join(docs.select(F.col(key).alias("k")), "k", "left_semi").withColumn("h", F.xxhash64("k"))
     chosen = present.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_rows // 2).select("k", "y")
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("text", "y")
+    stands = {r["y"]: max(1.0, r["n"] / (max_rows // 2)) for r in present.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("text", "y"), stands
 
 
 def fit(
@@ -103,8 +106,8 @@ def fit(
                 ["y", "words", "swaps"],
             )
 
-    sample = _sampled(docs, labels, text, label, key, max_rows).repartition(FIT_TASKS)
-    rows = sample.mapInArrow(features, "y int, words array<string>, swaps array<string>").persist()
+    sample, stands = _sampled(docs, labels, text, label, key, max_rows)
+    rows = sample.repartition(FIT_TASKS).mapInArrow(features, "y int, words array<string>, swaps array<string>").persist()
     try:
         totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
         positive, negative = totals.get(1, 0), totals.get(0, 0)
@@ -126,7 +129,7 @@ def fit(
         index = {w: i for i, w in enumerate(vocabulary)}
         encoded = rows.mapInArrow(_encoder(index), "y int, ids array<int>, pairs array<int>").persist()
         try:
-            weights = _descend(encoded, len(vocabulary), positive, negative, steps, counterfactual)
+            weights = _descend(encoded, len(vocabulary), positive, negative, stands, steps, counterfactual)
         finally:
             encoded.unpersist()
     finally:
@@ -145,10 +148,14 @@ def _encoder(index: dict[str, int]):
     return encode
 
 
-def _descend(rows: DataFrame, size: int, positive: int, negative: int, steps: int, counterfactual: float) -> np.ndarray:
-    """Adam on the full gradient; classes weigh by the root of their odds, so a rare class is heard."""
-    lift = (negative / positive) ** 0.5
-    total = positive * lift + negative
+def _descend(
+    rows: DataFrame, size: int, positive: int, negative: int, stands: dict[int, float], steps: int, counterfactual: float
+) -> np.ndarray:
+    """Adam on the full gradient; classes weigh by the root of their odds among all labelled rows, so a rare class is heard."""
+    odds = positive * stands[1] / (negative * stands[0])
+    held = np.array([stands[0], stands[1]])
+    each = held * [1.0, odds**-0.5]
+    total = positive * each[1] + negative * each[0]
 
     def gradient_of(weights: np.ndarray):
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +166,11 @@ def _descend(rows: DataFrame, size: int, positive: int, negative: int, steps: in
                 at, flat = np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy()
                 doc = np.repeat(np.arange(len(y)), at)
                 z = np.bincount(doc, weights[flat], minlength=len(y)) + weights[-1]
-                error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * np.where(y == 1, lift, 1.0) / total
+                error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * each[y] / total
                 g[:-1] += np.bincount(flat, error[doc], minlength=size)
                 g[-1] += error.sum()
                 a, b = pairs.flatten().to_numpy().reshape(-1, 2).T
-                change = 2 * counterfactual * (weights[a] - weights[b]) / total
+                change = 2 * counterfactual * (weights[a] - weights[b]) * np.repeat(held[y], np.diff(pairs.offsets.to_numpy()) // 2) / total
                 g[:-1] += np.bincount(a, change, minlength=size) - np.bincount(b, change, minlength=size)
             yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], ["g"])
 
@@ -171,7 +178,7 @@ def _descend(rows: DataFrame, size: int, positive: int, negative: int, steps: in
         return np.sum([np.frombuffer(r["g"]) for r in parts], axis=0)
 
     weights, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    weights[-1] = np.log(positive / negative)
+    weights[-1] = np.log(odds)
     for step in range(1, steps + 1):
         g = gradient_of(weights)
         g[:-1] += RIDGE * weights[:-1]

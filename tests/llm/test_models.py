@@ -58,6 +58,16 @@ def test_toxicity_without_labels(spark):
     assert toxicity.scored(docs.limit(0), model).collect() == []
 
 
+def test_toxicity_means_the_same_at_every_size(spark):
+    """With 13 % toxic labels of 1000, bounds of 2000 and 260 rows read 870 and 130 of the clean ones."""
+    rng = random.Random(9)
+    made = [(i, sentence(rng, NEUTRAL, 8) + (" scum" if i % 100 < 13 and i % 2 or i % 100 == 50 else ""), int(i % 100 < 13)) for i in range(1000)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, toxic int")
+    whole, part = (toxicity.fit(docs.drop("toxic"), docs.drop("text"), max_rows=n) for n in (2000, 260))
+    assert abs(whole.bias - part.bias) < 0.3
+    assert whole.scores([""])[0] < 0.5 and part.scores([""])[0] < 0.5
+
+
 LANGUAGES = {"aa": "ba be bi bo lo la ti", "bb": "krz zrk vsk tsch pfl mnt grd", "cc": "ouie aeio eau oui aia uei iou"}
 
 
