@@ -47,16 +47,19 @@ _CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{
 class Tokens:
     """Ids of whole texts. Word pieces repeat, so each is looked up once and its ids are kept."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        # An added token spans pieces: a text that could hold one goes to the tokenizer whole.
+        self.model.encode_special_tokens = not added_tokens
+        added = sorted({t.content for t in self.model.get_added_tokens_decoder().values() if t.content})
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.known: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [None if _PLAIN.search(t) else _CUT.findall(t) for t in texts]
+        cut = [None if _PLAIN.search(t) or self.added and self.added.search(t) else _CUT.findall(t) for t in texts]
         if len(self.known) > MEMORY_PIECES:
             self.known.clear()
         new = list(set().union(*[p for p in cut if p is not None]) - self.known.keys())
@@ -128,8 +131,12 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
 
 
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY,
-           doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per piece (``PIECES``). ``tokenizer`` is the path of a tokenizer file that workers can read."""
+           doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, added_tokens: bool = False) -> DataFrame:
+    """One row per piece (``PIECES``). ``tokenizer`` is the path of a tokenizer file that workers can read.
+
+    With ``added_tokens`` the literal of an added token in a text gets that token's id, as the file's tokenizer gives
+    it when left as loaded; without, a special one's literal is plain characters.
+    """
 
     def flush(first: int, keys: list, ids: list[np.ndarray]) -> tuple[pa.RecordBatch, int]:
         pieces = pack([len(i) for i in ids], capacity)
@@ -142,7 +149,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
         return pa.RecordBatch.from_arrays(columns, names), 1 + max(p[3] for p in pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Tokens(tokenizer)
+        model = Tokens(tokenizer, added_tokens)
         first = TaskContext.get().partitionId() << 36
         keys, ids, held = [], [], 0
         for batch in batches:

@@ -263,6 +263,28 @@ def test_pieces_give_the_ids_back(spark):
     assert packing.packed(docs.limit(0), PATH).collect() == []
 
 
+def test_added_tokens_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    texts = [t or "" for t in ODD] + ["a<|endoftext|>", "<|endoftext|><|endoftext|> b", "x <|endoftext|", "日本<|endoftext|>\n"]
+    model = Tokenizer.from_file(PATH)
+    got = packing.Tokens(PATH, added_tokens=True).ids(texts)
+    assert [g.tolist() for g in got] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in got[-1] and 50256 in got[-4] and 50256 not in got[-2]
+
+
+def test_op4_gives_the_ids_of_the_tokenizer_as_loaded(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from msgscreen.llm.queries import QUERIES
+
+    texts = [t or "" for t in ODD] + ["a<|endoftext|>b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    model = Tokenizer.from_file(PATH)
+    got = {r.doc_id: r.doc_tokens for r in QUERIES["op4_packing"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(model.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 def test_packing_balances_cost():
     rng = random.Random(8)
     lengths = [rng.randint(1, 2000) for _ in range(400)]
