@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 #: Lower-cased letters, digits and every byte of a multi-byte character.
 ALNUM = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 
+_BLANKS = re.compile(rb"[\x20\x09-\x0D]")
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of text handled by one numpy pass; longer single texts make a pass of their own.
 BLOCK_BYTES = 1 << 20
@@ -49,6 +51,18 @@ def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def pieces(text: bytes, limit: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """A long text cut at white space into parts of about ``limit`` bytes, so that one numpy pass stays bounded."""
+    start = 0
+    while len(text) - start > limit:
+        cut = _BLANKS.search(text, start + limit)
+        if cut is None:
+            break
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
 class Words:
     """The words of a block of texts: byte ranges, number of the text, 64-bit hash."""
 

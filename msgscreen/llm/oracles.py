@@ -76,3 +76,26 @@ reach(id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT b, m FROM reach JOIN
 comp AS (SELECT id, min(m) AS m FROM reach GROUP BY id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, doc_id = m AS kept FROM d LEFT JOIN n USING (doc_id) JOIN comp ON id = doc_id
 """
+
+#: Unsigned crc32 of the decimal id ``{id}``, bit by bit.
+CRC32 = """xor(list_reduce([4294967295] || list_transform(range(1, length({id}::VARCHAR) + 1), lambda k: ascii(({id}::VARCHAR)[k])::BIGINT),
+    lambda c, b: list_reduce([xor(c, b)] || [k::BIGINT for k in range(8)], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+ORACLES["op11_periodic_runs"] = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, @CRC AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sized AS (SELECT *, h // 10 AS g, len(w) AS n FROM d),
+tails AS (SELECT *, h % 10 = 0 AND n > 0 AS planted, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM sized),
+words AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END])
+    ELSE w END AS w FROM tails),
+windows AS MATERIALIZED (SELECT r, i, md5_number(array_to_string(w[i + 1:i + 8], ' ')) AS g FROM (SELECT r, w, unnest(range(0, n - 7)) AS i FROM words)),
+pairs AS (SELECT x.r, y.i - x.i AS q, x.i FROM windows x JOIN windows y ON x.r = y.r AND x.g = y.g AND x.i < y.i),
+islands AS (SELECT r, q, min(i) AS s, count(*) + 7 + q AS l FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM pairs) GROUP BY r, q, k),
+runs AS MATERIALIZED (SELECT r, s, l, min(q) AS q FROM islands WHERE l >= greatest(24, 3 * q) GROUP BY r, s, l),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY r),
+best AS (SELECT r, s, l, q FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY l::DOUBLE / q DESC, s, q) = 1),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t FROM (SELECT r, unnest(w) AS w, unnest(range(0, n)) AS i FROM words) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period, (1000 * l // q)::BIGINT AS exponent_milli,
+    sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM words LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+""".replace("@CRC", CRC32.format(id="doc_id"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgscreen.llm import (
-    bottomk, decontaminate, language_id, ngram_lm, packing, pivots, secrets, suffix_dedup, toxicity, url_rules,
+    bottomk, decontaminate, language_id, ngram_lm, packing, periodic, pivots, secrets, suffix_dedup, toxicity, url_rules,
 )
 from msgscreen.llm.common import fold
 
@@ -110,3 +110,37 @@ def op7_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = ngram_lm.scored(docs, fold(F.col("doc_id"), 7) != 2)
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def id_hash(key: Column) -> Column:
+    """Unsigned crc32 of the id as text; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the texts get a periodic tail first, as the contract of the query says."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = id_hash(F.col("doc_id"))
+    docs = docs.withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))))
+    g, n = F.floor(h / 10), F.size("words").cast("bigint")
+    docs = docs.select("doc_id", "text", "words", n.alias("n"), (g % n).alias("a"), (3 + g % 8).alias("parts"))
+    tail = F.col("n") - F.col("a")
+    period = (1 + F.floor(tail / F.col("parts"))).cast("int")
+    block = F.slice("words", (F.col("a") + 1).cast("int"), period)
+    repeated = F.slice(F.flatten(F.array_repeat(block, F.ceil(tail / period).cast("int"))), F.lit(1), tail.cast("int"))
+    tailed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), repeated), " ")
+    docs = docs.select("doc_id", F.when(F.col("n") > 0, tailed).otherwise(F.col("text")).alias("text"))
+    found = periodic.with_runs(docs)
+    runs = F.col("periodic.runs")
+    ratio = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]
+    order = lambda x, y: F.when(ratio(x, y) != 0, F.signum(ratio(y, x))).otherwise(
+        F.signum(F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["period"] - y["period"]))
+    ).cast("int")
+    listed = F.transform(runs, lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = F.get(F.array_sort(runs, order), F.lit(0))
+    return found.select(
+        "doc_id", F.size(runs).cast("bigint").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2(F.col("periodic.collapsed"), 256).alias("collapsed_sha256"),
+    )

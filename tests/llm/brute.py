@@ -90,3 +90,18 @@ def base_spans(text):
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
     return [(("assign", "access", "hex")[k], a, b) for a, k, b in sorted(found)]
+
+
+def runs(words, length=24, times=3):
+    """[(start, stop, smallest period)] of maximal runs, by start and period."""
+    best, n = {}, len(words)
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(length, times * q):
+                best[i, j + q] = min(q, best.get((i, j + q), q))
+            i = j + 1
+    return sorted(((s, e, q) for (s, e), q in best.items()), key=lambda r: (r[0], r[2]))
