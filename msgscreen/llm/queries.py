@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgscreen.llm import (
-    bottomk, decontaminate, language_id, ngram_lm, packing, periodic, pivots, secrets, suffix_dedup, toxicity, url_rules,
+    bottomk, decontaminate, language_id, ngram_lm, packing, periodic, pivots, secrets, simhash_bk, suffix_dedup, toxicity, url_rules,
 )
 from msgscreen.llm.common import fold
 
@@ -144,3 +144,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
         F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2(F.col("periodic.collapsed"), 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_bk.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))

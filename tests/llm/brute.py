@@ -105,3 +105,28 @@ def runs(words, length=24, times=3):
                 best[i, j + q] = min(q, best.get((i, j + q), q))
             i = j + 1
     return sorted(((s, e, q) for (s, e), q in best.items()), key=lambda r: (r[0], r[2]))
+
+
+def simhash(text, size=3):
+    import xxhash
+
+    words = WORD.findall((text or "").translate(LOWER))
+    shingles = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash_components(rows, radius=2):
+    """[(doc_id, fingerprint in hex, component)] of every row."""
+    prints = [simhash(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if rows[i][0] is not None and rows[j][0] is not None and bin(a ^ prints[j]).count("1") <= radius and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for g, (i, _) in zip(group, rows):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    return sorted(((i, f"{p:016x}", least.get(g) if i is not None else None) for (i, _), p, g in zip(rows, prints, group)), key=str)
