@@ -99,3 +99,24 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIG
     sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
 FROM words LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
 """.replace("@CRC", CRC32.format(id="doc_id"))
+
+ORACLES["op12_prefix_trie"] = r"""
+WITH t AS MATERIALIZED (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), md5(length(role) || ':' || role || text)) - 1 AS p
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (SELECT DISTINCT conv_id, @CRC % 6 AS h FROM t),
+rebuilt AS (SELECT c.conv_id, t.p, t.role, t.text FROM convs c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.p < c.h
+    UNION ALL SELECT t.conv_id, t.p, t.role, t.text FROM convs c JOIN t USING (conv_id) WHERE t.p >= c.h),
+turns AS (SELECT conv_id, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS d, md5(length(role) || ':' || role || text) AS k FROM rebuilt),
+lists AS (SELECT conv_id, coalesce(list(k ORDER BY d) FILTER (k IS NOT NULL), []) AS ks, coalesce(list(size ORDER BY d) FILTER (k IS NOT NULL), []) AS sizes
+    FROM convs LEFT JOIN turns USING (conv_id) GROUP BY conv_id),
+prefixes AS MATERIALIZED (SELECT conv_id, len(ks) AS n, d, md5(array_to_string(ks[1:d], ',')) AS node, CASE WHEN d > 0 THEN md5(array_to_string(ks[1:d - 1], ',')) END AS above,
+    CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM lists)),
+nodes AS MATERIALIZED (SELECT node, d, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * any_value(size) AS saved,
+    sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM prefixes GROUP BY node, d),
+children AS (SELECT above AS node, count(*) AS c FROM nodes WHERE d > 0 GROUP BY above),
+sums AS (SELECT p.node, p.d, sum(u.saved) AS saved, count(*) FILTER (children.node IS NULL) AS leaves
+    FROM nodes u LEFT JOIN children USING (node) JOIN prefixes p ON p.conv_id = u.conv_id AND p.d <= u.d GROUP BY p.node, p.d)
+SELECT v.conv_id, v.d::BIGINT AS depth, a.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(c, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+    sums.saved::BIGINT AS saved_tokens, v.ends AS ends_sha256
+FROM nodes v LEFT JOIN children USING (node) JOIN sums ON sums.node = v.node AND sums.d = v.d LEFT JOIN nodes a ON a.node = v.above AND a.d = v.d - 1
+""".replace("@CRC", CRC32.format(id="conv_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgscreen.llm import (
-    bottomk, decontaminate, language_id, ngram_lm, packing, periodic, pivots, secrets, simhash_bk, suffix_dedup, toxicity, url_rules,
+    bottomk, decontaminate, language_id, ngram_lm, packing, periodic, pivots, prefix_trie, secrets, simhash_bk, suffix_dedup, toxicity, url_rules,
 )
 from msgscreen.llm.common import fold
 
@@ -149,3 +149,22 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations borrow the first turns of the one whose id ends in 00 first, as the contract of the query says."""
+    turns, parts = prefix_trie.numbered(table(spark, sf_dir, "conversations"))
+    number = (F.col("place") - F.col("first") + F.col("before")).alias("number")
+    heads = (
+        turns.where(F.col("conv_id") % 100 == 0).join(parts, ["conv_id", "part"]).select("conv_id", number, "digest", "size").where("number < 5")
+        .groupBy(F.col("conv_id").alias("base")).agg(F.array_sort(F.collect_list(F.struct("number", "digest", "size"))).alias("head"))
+    )
+    convs = parts.select("conv_id").distinct().withColumn("h", (id_hash(F.col("conv_id")) % 6).cast("int"))
+    convs = convs.withColumn("base", F.col("conv_id") - F.col("conv_id") % 100).join(heads, "base", "left")
+    convs = convs.select("conv_id", "h", F.slice(F.coalesce("head", F.array().cast(heads.schema["head"].dataType)), F.lit(1), F.col("h")).alias("head"))
+    borrowed = convs.select("conv_id", F.inline("head")).select("conv_id", (F.col("number") + 1).alias("depth"), "digest", "size")
+    shift = convs.select("conv_id", "h", F.size("head").alias("taken"))
+    own = turns.join(parts.join(shift, "conv_id"), ["conv_id", "part"]).where(number >= F.col("h"))
+    own = own.select("conv_id", (number - F.col("h") + F.col("taken") + 1).alias("depth"), "digest", "size")
+    return prefix_trie.trie(borrowed.unionAll(own), convs).withColumnRenamed("saved", "saved_tokens")

@@ -130,3 +130,43 @@ def simhash_components(rows, radius=2):
         if i is not None:
             least[g] = min(i, least.get(g, i))
     return sorted(((i, f"{p:016x}", least.get(g) if i is not None else None) for (i, _), p, g in zip(rows, prints, group)), key=str)
+
+
+def trie(sequences):
+    """Rows of the trie of {conv_id: [(role, text)]}, by building every prefix."""
+    members = defaultdict(list)
+    for conv in sorted(sequences):
+        for d in range(len(sequences[conv]) + 1):
+            members[tuple(sequences[conv][:d])].append(conv)
+    children = defaultdict(list)
+    for prefix in members:
+        if prefix:
+            children[prefix[:-1]].append(prefix)
+    leaves, saved = {}, {}
+    for prefix in sorted(members, key=len, reverse=True):
+        below = children[prefix]
+        leaves[prefix] = sum(leaves[c] for c in below) or 1
+        last = len(prefix[-1][1]) if prefix else 0
+        saved[prefix] = (len(members[prefix]) - 1) * last + sum(saved[c] for c in below)
+    rows = []
+    for prefix, convs in members.items():
+        ends = ",".join(str(c) for c in convs if len(sequences[c]) == len(prefix))
+        above = members[prefix[:-1]][0] if prefix else None
+        rows.append((convs[0], len(prefix), above, len(convs), len(children[prefix]), leaves[prefix], saved[prefix], sha(ends)))
+    return sorted(rows, key=str)
+
+
+def rebuilt(rows):
+    """{conv_id: turns} as the registered query builds them from (conv_id, turn, role, text)."""
+    import zlib
+
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [(r, t) for _, _, r, t in sorted(v)] for c, v in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = own.get(c - c % 100, [])[:h] + turns[h:]
+    return out
