@@ -50,13 +50,18 @@ BENCH = "SELECT item_id AS query_id, text FROM benchmark"
 
 ORACLES["bm25_postings_stats"] = f"""WITH {INDEX}
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf, max(dl)::BIGINT AS longest FROM tf JOIN dl USING (doc_id) GROUP BY term"""
-ORACLES["bm25_idf"] = f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf"
 ORACLES["bm25_corpus_stats"] = f"""WITH {INDEX}
 SELECT n, round(avgdl, 6) AS avgdl, round(avg_idf, 6) AS avg_idf FROM cs, avg_raw"""
 TOPK = f"WITH {INDEX}, {_bm25(BENCH)} SELECT query_id, doc_id, rank, score FROM lex"
 ORACLES["bm25_topk"] = TOPK
 ORACLES["bm25_topk_joined"] = TOPK
 ORACLES["bm25_topk_blocked"] = TOPK
+ORACLES["bm25_incremental"] = TOPK
+ORACLES["bm25_incremental_idf"] = f"""SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END, 6) AS idf
+FROM (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw
+    FROM (SELECT DISTINCT doc_id, unnest({_words('text')}) AS term FROM documents) GROUP BY term)"""
+ORACLES["bm25_idf"] = ORACLES["bm25_incremental_idf"]
+ORACLES["bm25_compacted_stats"] = ORACLES["bm25_postings_stats"]
 ORACLES["bm25_topk_padded"] = f"""WITH {INDEX},
 qs AS ({BENCH} UNION ALL SELECT page_id + 1000000, url FROM pages),
 {_bm25('SELECT * FROM qs')},

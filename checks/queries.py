@@ -27,6 +27,7 @@ from msgscreen.operators import (
 from msgscreen.plans import retrieve, screen
 from msgscreen.sources import corpus as corpus_source
 from msgscreen.sources import index as index_source
+from msgscreen.sources import segments
 from msgscreen.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +51,7 @@ def bm25_postings_stats(spark, d):
 
 @query
 def bm25_idf(spark, d):
-    stats = V.retrieval_system(spark, d)[0].term_stats
+    stats = lexical.build_lexical_index(V.documents(spark, d)).term_stats
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -85,6 +86,29 @@ def bm25_topk_padded(spark, d):
     return lexical.bm25_topk(V.queries(spark, d).unionByName(pages), index, pad=True)
 
 
+@query
+def bm25_incremental(spark, d):
+    """Files added, changed and removed, documents removed by id: as if the index were new."""
+    index = segments.lexical_index(spark, V.changed_store(spark, d))
+    return lexical.bm25_topk(V.queries(spark, d), index, plan="scan")
+
+
+@query
+def bm25_incremental_idf(spark, d):
+    stats = segments.load_version(spark, V.changed_store(spark, d)).term_stats
+    return stats.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def bm25_compacted_stats(spark, d):
+    """Postings of a store after its segments were merged."""
+    store = V.changed_store(spark, d)
+    segments.compact(spark, store)
+    return segments.lexical_index(spark, store).postings.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("total_tf"), F.max("dl").cast("bigint").alias("longest")
+    )
+
+
 # --- dense ---------------------------------------------------------------------------
 
 def _encoded(spark, d):

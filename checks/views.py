@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgscreen.operators.embed import HashingEncoder
-from msgscreen.scale import shared_dir
+from msgscreen.scale import remove, scratch_path, shared_dir
+from msgscreen.sources import segments
 from msgscreen.sources.index import build_retrieval_system
 
 #: Buckets by md5, so that SQL can form the same vectors.
@@ -80,6 +81,44 @@ def retrieval_system(spark: SparkSession, sf_dir: str):
     return _SYSTEMS[key]
 
 
+_STORES: dict = {}
+
+
+def changed_store(spark: SparkSession, sf_dir: str) -> str:
+    """Index store of a folder whose files came, changed and went until it held the documents, no more.
+
+    At first a quarter of the documents is missing, a quarter has other texts, and files and rows of copies
+    are there that go later, as whole files or by their ids.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _STORES:
+        return _STORES[key]
+    docs, home = documents(spark, sf_dir), scratch_path(spark, "changing")
+    folder, store = f"{home}/files", f"{home}/store"
+    quarter = lambda n: docs.where(F.pmod("doc_id", F.lit(4)) == n)
+
+    def put(rows: DataFrame, name: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={name}")
+
+    def refresh() -> None:
+        corpus = spark.read.schema("doc_id bigint, text string, batch string").parquet(folder)
+        segments.refresh(corpus, folder, store)
+
+    copies = docs.where("doc_id % 20 = 2").withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
+    put(quarter(0), "0")
+    put(quarter(1).withColumn("text", F.concat(F.lit("an older wording of "), F.left("text", F.lit(200)))), "1")
+    put(quarter(2).unionByName(copies), "2")
+    put(copies.withColumn("doc_id", F.col("doc_id") + 1_000_000_000), "9")
+    refresh()
+    put(quarter(1), "1")
+    put(quarter(3), "3")
+    remove(spark, f"{folder}/batch=9")
+    refresh()
+    segments.remove_documents(spark, store, copies)
+    _STORES[key] = store
+    return store
+
+
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page URL and variants of it that carry the signals the features look for."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")

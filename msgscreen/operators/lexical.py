@@ -19,11 +19,11 @@ Three scoring plans with the same result:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from msgscreen.functions.text import term_counts, tokens
@@ -51,10 +51,10 @@ class LexicalIndex:
     stored: bool = False
 
 
-def build_doc_terms(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Term counts of every document, one row each; no shuffle."""
-    words = docs.select("doc_id", tokens(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("_t"))
-    return words.select("doc_id", F.size("_t").alias("dl"), term_counts(F.col("_t")).alias("terms"))
+def build_doc_terms(docs: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Term counts of every document, one row each, with the columns ``keep``; no shuffle."""
+    words = docs.select("doc_id", tokens(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("_t"), *keep)
+    return words.select("doc_id", F.size("_t").alias("dl"), term_counts(F.col("_t")).alias("terms"), *keep)
 
 
 def postings_of(doc_terms: DataFrame) -> DataFrame:
@@ -67,14 +67,17 @@ def length_stats(doc_terms: DataFrame) -> DataFrame:
 
 def term_stats_of(doc_terms: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Document frequency and floored idf per term, and the mean raw idf (one row)."""
-    n = lengths.select("n").scalar()
+    return idf_of(document_frequencies(doc_terms), lengths.select("n").scalar())
+
+
+def document_frequencies(doc_terms: DataFrame) -> DataFrame:
+    return doc_terms.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def idf_of(counts: DataFrame, n: Column) -> tuple[DataFrame, DataFrame]:
+    """``(term, df, idf)`` from ``(term, df)`` over ``n`` documents, and the mean raw idf (one row)."""
     df = F.col("df").cast("double")
-    raw = (
-        doc_terms.select(F.explode("terms.term").alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
-        .withColumn("raw", F.ln(n - df + 0.5) - F.ln(df + 0.5))
-    )
+    raw = counts.withColumn("raw", F.ln(n - df + 0.5) - F.ln(df + 0.5))
     mean = raw.agg(F.avg("raw").alias("avg_idf"))
     floored = F.when(F.col("raw") < 0, F.lit(IDF_FLOOR) * mean.scalar()).otherwise(F.col("raw"))
     return raw.select("term", "df", floored.alias("idf")), mean

@@ -99,6 +99,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path))
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is absent."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(jvm_path)] if files.exists(jvm_path) else []
+
+
 #: Tasks whose best rows meet in one step of ``merged_best``.
 FAN_IN = 64
 #: Bytes of queries that one block of a blocked plan sends past a fragment.
