@@ -56,6 +56,7 @@ TOPK = f"WITH {INDEX}, {_bm25(BENCH)} SELECT query_id, doc_id, rank, score FROM
 ORACLES["bm25_topk"] = TOPK
 ORACLES["bm25_topk_joined"] = TOPK
 ORACLES["bm25_topk_blocked"] = TOPK
+ORACLES["bm25_pruned"] = TOPK
 ORACLES["bm25_incremental"] = TOPK
 ORACLES["bm25_incremental_idf"] = f"""SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END, 6) AS idf
 FROM (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw
@@ -116,6 +117,7 @@ knn AS (SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_i
     FROM pairs QUALIFY rank <= 5)
 """
 ORACLES["knn_leave_one_out"] = f"WITH {KNN} SELECT * FROM knn"
+ORACLES["dense_topk_pruned"] = ORACLES["knn_leave_one_out"]
 ORACLES["dense_topk_ann_every_cell"] = ORACLES["knn_leave_one_out"]
 BY_LABEL = f"""{KNN},
 cent AS (SELECT (row_number() OVER (ORDER BY label::VARCHAR)) AS cell, embedding FROM (

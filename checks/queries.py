@@ -20,6 +20,7 @@ from msgscreen.operators import (
     fusion,
     lexical,
     profile,
+    pruned,
     registry,
     retrieval_eval,
     sampling,
@@ -86,6 +87,11 @@ def bm25_topk_padded(spark, d):
     return lexical.bm25_topk(V.queries(spark, d).unionByName(pages), index, pad=True)
 
 
+@query
+def bm25_pruned(spark, d):
+    return pruned.bm25_pruned(V.queries(spark, d), V.block_index(spark, d))
+
+
 @query
 def bm25_incremental(spark, d):
     """Files added, changed and removed, documents removed by id: as if the index were new."""
@@ -128,10 +134,10 @@ def dense_topk_blocked(spark, d):
 
 
 @query
-def dense_topk_ann(spark, d):
-    corpus = V.labelled_vectors(spark, d).select("doc_id", "embedding")
-    queries = corpus.withColumnRenamed("doc_id", "query_id")
-    return ann.ann_topk(queries, ann.build_cells(corpus), k=5, exclude_self=True)
+def dense_topk_pruned(spark, d):
+    """Neighbours of every vector, from the cells whose bound can hold them."""
+    queries = V.labelled_vectors(spark, d).select(F.col("doc_id").alias("query_id"), "embedding")
+    return pruned.dense_pruned(queries, V.cell_store(spark, d), 5, exclude_self=True, worthwhile=1.0)
 
 
 def _by_label(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from msgscreen.operators import pruned
 from msgscreen.operators.embed import HashingEncoder
 from msgscreen.scale import remove, scratch_path, shared_dir
 from msgscreen.sources import segments
@@ -81,6 +82,30 @@ def retrieval_system(spark: SparkSession, sf_dir: str):
     return _SYSTEMS[key]
 
 
+_BLOCKS: dict = {}
+
+
+def block_index(spark: SparkSession, sf_dir: str) -> pruned.BlockIndex:
+    """The stored index in blocks, built on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BLOCKS:
+        index, _ = retrieval_system(spark, sf_dir)
+        path = scratch_path(spark, "blocks")
+        pruned.save_blocks(index, path)
+        _BLOCKS[key] = pruned.load_blocks(spark, path, index)
+    return _BLOCKS[key]
+
+
+def cell_store(spark: SparkSession, sf_dir: str) -> pruned.BoundedCells:
+    """Vectors stored by cell with the bounds of each cell, placed on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, "cells")
+    if key not in _BLOCKS:
+        path = scratch_path(spark, "cells")
+        pruned.save_cells(labelled_vectors(spark, sf_dir).select("doc_id", "embedding"), path)
+        _BLOCKS[key] = pruned.load_cells(spark, path)
+    return _BLOCKS[key]
+
+
 _STORES: dict = {}
 
 

@@ -103,7 +103,7 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _weights(terms: DataFrame, index: LexicalIndex, small: bool) -> DataFrame:
+def query_weights(terms: DataFrame, index: LexicalIndex, small: bool) -> DataFrame:
     """``(query_id, term, w)`` with w = count in the query * idf; unknown terms drop out."""
     side = F.broadcast(terms) if small else terms
     return index.term_stats.join(side, "term").select(
@@ -111,14 +111,14 @@ def _weights(terms: DataFrame, index: LexicalIndex, small: bool) -> DataFrame:
     )
 
 
-def _average_length(index: LexicalIndex):
+def average_length(index: LexicalIndex):
     return index.corpus_stats.select("avgdl").scalar().cast("double")
 
 
 def _scored_by_join(terms: DataFrame, index: LexicalIndex, k1: float, b: float) -> DataFrame:
-    weights = _weights(terms, index, True)
+    weights = query_weights(terms, index, True)
     tf = F.col("tf").cast("double")
-    part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / _average_length(index)))
+    part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / average_length(index)))
     # Cut the postings to the query vocabulary, bring each document to one task, and only
     # then meet the queries, so pairs are summed where they arise.
     vocabulary = F.broadcast(terms.select("term").distinct())
@@ -179,8 +179,8 @@ def _block_scorer(k1: float, b: float):
 
 def _scored_by_scan(terms: DataFrame, index: LexicalIndex, k: int, k1: float, b: float) -> DataFrame:
     table = (
-        _weights(terms, index, True)
-        .withColumn("avgdl", _average_length(index))
+        query_weights(terms, index, True)
+        .withColumn("avgdl", average_length(index))
         .toArrow()  # bounded: the caller measured the query terms
     )
     shared = index.doc_terms.sparkSession.sparkContext.broadcast(table.combine_chunks())
@@ -228,32 +228,43 @@ def _fragment_count(index: LexicalIndex) -> int:
     return max(1, math.ceil(tokens_ / FRAGMENT_TOKENS))
 
 
-def _scored_by_fragments(
-    terms: DataFrame, index: LexicalIndex, k: int, k1: float, b: float, fragments: int, blocks: int
-) -> DataFrame:
-    """One shuffle by (fragment, query block); inside a partition documents come first, then queries stream past."""
-    kind = "array<struct<term:string,tf:int,w:double>>"
+_SIDE_TERMS = "array<struct<term:string,tf:int,w:double>>"
+
+
+def document_side(doc_terms: DataFrame, *keep: str) -> DataFrame:
+    """Documents as ``stream_scorer`` takes them."""
     nothing = F.lit(None).cast("double")
-    docs = index.doc_terms.select(
-        "doc_id", F.lit(0).alias("side"), F.col("doc_id").alias("id"), "dl", nothing.alias("avgdl"),
-        F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), nothing.alias("w"))).cast(kind).alias("terms"),
+    listed = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), nothing.alias("w")))
+    return doc_terms.select(
+        "doc_id", F.lit(0).alias("side"), F.col("doc_id").alias("id"), "dl", nothing.alias("avgdl"), listed.cast(_SIDE_TERMS).alias("terms"), *keep
     )
+
+
+def query_side(weights: DataFrame, average: Column) -> DataFrame:
+    """Queries as ``stream_scorer`` takes them; a list is as long as its message has distinct words."""
     no_count = F.lit(None).cast("int")
-    # A list per query is as long as its message has distinct words.
-    asked = (
-        _weights(terms, index, False)
-        .groupBy("query_id")
-        .agg(F.collect_list(F.struct("term", no_count.alias("tf"), "w")).cast(kind).alias("terms"))
-        .select(
-            "query_id", F.lit(1).alias("side"), F.col("query_id").alias("id"), no_count.alias("dl"), _average_length(index).alias("avgdl"), "terms",
-        )
+    listed = weights.groupBy("query_id").agg(F.collect_list(F.struct("term", no_count.alias("tf"), "w")).cast(_SIDE_TERMS).alias("terms"))
+    return listed.select(
+        "query_id", F.lit(1).alias("side"), F.col("query_id").alias("id"), no_count.alias("dl"), average.alias("avgdl"), "terms"
     )
-    asked, docs = block_pairs(asked, docs, fragments, blocks)
+
+
+def _scored_by_fragments(
+    terms: DataFrame, index: LexicalIndex, k: int, k1: float, b: float, fragments: int, blocks: int
+) -> DataFrame:
+    """One shuffle by (fragment, query block); inside a partition documents come first, then queries stream past."""
+    asked = query_side(query_weights(terms, index, False), average_length(index))
+    asked, docs = block_pairs(asked, document_side(index.doc_terms), fragments, blocks)
     ordered = (
         docs.drop("doc_id").unionByName(asked.drop("query_id"))
         .repartitionById(fragments * blocks, F.col("frag"))  # one pair of blocks per task, no collisions
         .sortWithinPartitions("frag", "side")
     )
+    return ordered.mapInArrow(stream_scorer(k, k1, b), "query_id bigint, doc_id bigint, score double")
+
+
+def stream_scorer(k: int, k1: float, b: float):
+    """Arrow task over rows sorted by (frag, side): the documents of a fragment are held while its queries pass."""
     best = best_k(k)
     flatten, gains, by_code, scores = _block_scorer(k1, b)
 
@@ -300,7 +311,7 @@ def _scored_by_fragments(
                         names=["query_id", "doc_id", "score"],
                     )
 
-    return ordered.mapInArrow(stream, "query_id bigint, doc_id bigint, score double")
+    return stream
 
 
 def bm25_topk(
