@@ -497,13 +497,13 @@ HOST_PAGES = """SELECT name AS source_name, string_agg(html || chr(10), '' ORDER
     SELECT regexp_extract(url, '^[a-z]+://[^/:?#]*\\.([a-z]+)', 1) || '.pdf' AS name, page_id, html FROM pages) GROUP BY name"""
 ORACLES["chunk_pages"] = "WITH {} SELECT * FROM ch".format(_chunks(HOST_PAGES, "ch", "source_name"))
 KB = f"""{_chunks("SELECT 'doc' || doc_id AS source_name, text FROM documents", 'ch', 'source_name')},
-ck AS MATERIALIZED (SELECT *, ('0x' || left(md5(source_name || ':' || chunk_id), 15))::BIGINT AS key FROM ch),
+ck AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY source_name, chunk_id) AS key FROM ch),
 {_vectors('kv', 'SELECT key, chunk AS text FROM ck', 'key')},
 {_dense(BENCH, 'kb', 'kv_v', 'key', 3)},
-hits AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_name, chunk_id))::INT AS rank,
-    score, source_name, chunk_id, chunk FROM kb JOIN ck USING (key))
+hits AS (SELECT query_id, rank, score, source_name, chunk_id, chunk FROM kb JOIN ck USING (key))
 """
 ORACLES["kb_search"] = f"WITH {KB} SELECT * FROM hits"
+ORACLES["kb_search_cells"] = ORACLES["kb_search"]
 ORACLES["knowledge_block"] = f"""WITH {KB}
 SELECT query_id, '\nPDF Knowledge:\n' || string_agg('\n    Document ' || rank || ':\n    ' || chunk || '\n\n    ', '' ORDER BY rank) AS knowledge
 FROM hits GROUP BY query_id"""

@@ -535,12 +535,18 @@ def chunk_pages(spark, d):
 
 @query
 def kb_search(spark, d):
-    docs = V.documents(spark, d).withColumn("source_name", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
-    chunks = chunking.chunk_documents(docs)
-    chunks = scale.stored(V.ENCODER.encode(chunks, "chunk", keep=["source_name", "chunk_id", "chunk"]), "chunks")
+    """The stored knowledge base: chunks were encoded when they were added."""
+    chunks = arrivals.load_chunks(spark, V.knowledge_base(spark, d))
     return retrieve.knowledge_search(V.queries(spark, d), chunks, V.ENCODER)
 
 
+@query
+def kb_search_cells(spark, d):
+    """The same out of the stored cells: all of them probed, and enough finalists, it must be the exact result."""
+    asked = V.ENCODER.encode(V.queries(spark, d), "text", keep=["query_id"])
+    return arrivals.chunk_hits(asked, V.knowledge_base(spark, d), retrieve.KNOWLEDGE, probes=16, refine=400)
+
+
 @query
 def registry_latest(spark, d):
     return registry.latest(V.registry_log(spark, d))

@@ -10,6 +10,7 @@ from msgscreen.operators.embed import HashingEncoder
 from msgscreen.scale import remove, scratch_path, shared_dir
 from msgscreen.sources import segments
 from msgscreen.sources.index import build_retrieval_system
+from msgscreen.streaming import arrivals
 
 #: Buckets by md5, so that SQL can form the same vectors.
 ENCODER = HashingEncoder(dim=64, hash="md5")
@@ -106,6 +107,19 @@ def cell_store(spark: SparkSession, sf_dir: str) -> pruned.BoundedCells:
     return _BLOCKS[key]
 
 
+def knowledge_base(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of a stored knowledge base: the documents as two batches, chunked, encoded and filed under cells, on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, "kb")
+    if key not in _BLOCKS:
+        path = scratch_path(spark, "knowledge")
+        docs = documents(spark, sf_dir).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source_name"), "text", "doc_id")
+        arrivals.add_documents(docs.where("doc_id % 2 = 0").drop("doc_id"), path, ENCODER, 0)
+        arrivals.fit_chunk_cells(spark, path, 16)
+        arrivals.add_documents(docs.where("doc_id % 2 <> 0").drop("doc_id"), path, ENCODER, 1)
+        _BLOCKS[key] = path
+    return _BLOCKS[key]
+
+
 _STORES: dict = {}
 
 

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgscreen.functions.text import normalise
-from msgscreen.functions.vectors import inner_product
 from msgscreen.operators.dense import dense_topk, index_size_mb
 from msgscreen.operators.embed import Encoder
-from msgscreen.operators.fusion import RRF_K, gather, rrf_fuse
+from msgscreen.operators.fusion import RRF_K, rrf_fuse
+from msgscreen.operators.keyed import keyed_topk
 from msgscreen.operators.lexical import LexicalIndex, bm25_topk
 from msgscreen.operators.retrieval_eval import mean_metrics, query_metrics
 from msgscreen.operators.sampling import SEED, simple_sample
-from msgscreen.scale import stored, top_rows
 
 # Width of the two candidate lists, final list, knowledge list, sample size.
 CANDIDATES = 20
@@ -55,12 +54,6 @@ def hybrid_search(
     return rrf_fuse([dense, lexical], k, constant)
 
 
-def chunk_key() -> Column:
-    """60 bits of a digest of a chunk's name and number: an id for ranking, the same in every engine."""
-    name = F.concat(F.col("source_name"), F.lit(":"), F.col("chunk_id").cast("string"))
-    return F.conv(F.left(F.md5(name), F.lit(15)), 16, 10).cast("bigint")
-
-
 def knowledge_search(
     queries: DataFrame,
     chunks: DataFrame,
@@ -73,25 +66,15 @@ def knowledge_search(
 ) -> DataFrame:
     """``(query_id, rank, score, source_name, chunk_id, chunk)``: best chunks per query.
 
-    ``chunks(source_name, chunk_id, chunk, embedding)``. The query text is encoded, once, as it is
-    unless ``normalised``. An empty table gives an empty result. Winners rank by score, name and number;
-    which of equal scores are winners is decided by ``chunk_key``. Chunks that share a key are told
-    apart by the score of their own vector.
+    ``chunks(source_name, chunk_id, chunk, embedding)`` as a knowledge base stores them; they are neither encoded nor
+    read twice. The query text is encoded as it is unless ``normalised``. An empty table gives an empty result. Equal
+    scores rank by name and number.
     """
     value = normalise(F.col(text)) if normalised else F.col(text)
     query_rows = queries.count() if query_rows is None else query_rows
     encoded = encoder.encode(queries.select("query_id", value.alias("text")), "text", keep=["query_id"])
-    encoded = stored(encoded, "queries")
-    keyed = chunks.withColumn("doc_id", chunk_key())
-    top = dense_topk(encoded, keyed, k, query_bytes=_vector_bytes(encoder, query_rows))
-    rows = gather(top.select("query_id", "doc_id"), keyed.withColumnRenamed("embedding", "_v"), query_rows * k)
-    scored = rows.join(encoded, "query_id").withColumn(
-        "score", F.round(inner_product(F.col("embedding"), F.col("_v")), 6)
-    )
-    order = [F.desc("score"), F.asc("source_name"), F.asc("chunk_id")]
-    return top_rows(scored, ["query_id"], order, k).select(
-        "query_id", "rank", "score", "source_name", "chunk_id", "chunk"
-    )
+    found = keyed_topk(encoded, chunks, k, ["source_name", "chunk_id"], ["chunk"], query_bytes=_vector_bytes(encoder, query_rows))
+    return found.select("query_id", "rank", "score", "source_name", "chunk_id", "chunk")
 
 
 def knn_leave_one_out(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

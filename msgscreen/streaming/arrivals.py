@@ -24,6 +24,7 @@ from msgscreen.operators.chunking import chunk_documents
 from msgscreen.operators.embed import Encoder
 from msgscreen.plans.screen import route_messages
 from msgscreen.scale import top_rows
+from msgscreen.sources import cells
 from msgscreen.sources.corpus import read_or_empty
 
 
@@ -70,6 +71,7 @@ def add_documents(
     A name given twice in the batch counts once: the row that comes first in ``order`` (by default the
     greatest text) is taken. Documents too short for a chunk count 0 and replace what they had before.
     Work grows with the batch, not with the table. ``added_at`` (now) orders versions over all sinks.
+    Where the knowledge base has cells (``fit_chunk_cells``), the batch's vectors are filed under theirs here, once.
     """
     spark = docs.sparkSession
     at = F.lit(added_at or dt.datetime.now(dt.UTC).replace(tzinfo=None)).cast("timestamp_ntz")
@@ -78,6 +80,8 @@ def add_documents(
     _write_version(chunks, f"{path}/chunks", version, sink)
     here = f"sink={sink}/version={version}"
     written = spark.read.schema(schema.KB_CHUNKS).parquet(f"{path}/chunks/{here}")
+    if cells.has_model(spark, f"{path}/cells"):
+        cells.add_vectors(written.select("source_name", "chunk_id", "embedding"), f"{path}/cells", version, sink)
     counted = written.groupBy("source_name").agg(F.count("*").alias("chunks"))
     rows = unique.select("source_name").join(counted, "source_name", "left").select(
         "source_name", F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"), at.alias("added_at")
@@ -118,6 +122,32 @@ def load_chunks(spark: SparkSession, path: str, deleted: bool = False) -> DataFr
     return chunks if deleted else registry.visible_chunks(chunks, load_registry(spark, f"{path}/registry"))
 
 
+def fit_chunk_cells(spark: SparkSession, path: str, count: int) -> None:
+    """Fit cells on the chunks that are there and file them; later batches are filed as they are added."""
+    every = read_or_empty(spark, f"{path}/chunks", schema.KB_CHUNKS)
+    cells.fit_cells(every, f"{path}/cells", count)
+    for row in every.select("sink", "version").distinct().collect():  # a row a batch
+        batch = every.where((F.col("sink") == row["sink"]) & (F.col("version") == row["version"]))
+        cells.add_vectors(batch.select("source_name", "chunk_id", "embedding"), f"{path}/cells", row["version"], row["sink"])
+
+
+def chunk_hits(
+    queries: DataFrame, path: str, k: int, *, probes: int = cells.PROBES, refine: int = cells.REFINE
+) -> DataFrame:
+    """``(query_id, rank, score, source_name, chunk_id, chunk)`` out of the cells nearest to ``queries(query_id, embedding)``.
+
+    An approximate twin of ``knowledge_search``: reads the probed folders of the cells and the texts of the winners.
+    """
+    spark = queries.sparkSession
+    kind = cells.load_rows(spark, f"{path}/cells")
+    shown = load_chunks(spark, path).select("source_name", "sink", "version").distinct()
+    live = kind.withColumn("sink", F.col("sink").cast("string")).withColumn("version", F.col("version").cast("bigint"))
+    live = live.join(shown, ["source_name", "sink", "version"], "left_semi")
+    found = cells.cell_topk(queries, f"{path}/cells", k, ["source_name", "chunk_id"], rows=live, probes=probes, refine=refine)
+    texts = load_chunks(spark, path).select("source_name", "chunk_id", "chunk")
+    return texts.join(found, ["source_name", "chunk_id"]).select("query_id", "rank", "score", "source_name", "chunk_id", "chunk")
+
+
 def screen_stream(
     messages: DataFrame,
     path: str,
