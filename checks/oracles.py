@@ -538,14 +538,25 @@ _MIDDLE, _TAIL = _REST.split("[[message]]")
 ORACLES["prompt_table"] = f"""WITH {HYBRID}, {CORPUS}, {_layout(' ')}
 SELECT b.query_id, '{_HEAD}' || coalesce(context, '') || '{_MIDDLE}' || text || '{_TAIL}' AS prompt
 FROM ({BENCH}) b LEFT JOIN blocks USING (query_id)"""
-ORACLES["screen_messages"] = f"""WITH {HYBRID}, {RESPONSES}, {_parsed()},
+LINKS = f"""links AS (SELECT query_id + 1000000000 AS query_id, 'http://secure-' || query_id || '.paypal.verify-account.tk/login?won=' || query_id AS url FROM ({BENCH})),
+{FULL.replace('FROM urls', 'FROM links').replace('page_id, variant', 'query_id')},
+asked AS MATERIALIZED (SELECT query_id, CASE WHEN {_is_url('text')} THEN 'url' ELSE 'message' END AS channel, text AS search FROM ({BENCH})
+    UNION ALL SELECT query_id, 'url', {_feature_text('en')} FROM feat)
+"""
+ASKED = "SELECT query_id, search AS text FROM asked"
+_HEAD2, _REST2 = context.TEMPLATES["screen"].split("[[context]]")
+_MIDDLE2, _TAIL2 = _REST2.split("[[message]]")
+_KNOWN = ORACLES["knowledge_block"].removeprefix(f"WITH {KB}")
+ORACLES["screen_messages"] = f"""WITH {LINKS}, {HYBRID.replace(BENCH, ASKED)}, {RESPONSES}, {_parsed()}, {_layout(' ')}, {KB.replace(BENCH, ASKED)},
+known AS ({_KNOWN}),
 cases AS (SELECT query_id, count(*) AS n, string_agg(coalesce(label, '-'), ',' ORDER BY rank) AS labels
     FROM hybrid JOIN corpus USING (doc_id) GROUP BY query_id)
-SELECT b.query_id, CASE WHEN {_is_url('b.text')} THEN 'url' ELSE 'message' END AS channel, v.label, v.risk_level,
-    trunc(v.confidence * 100)::BIGINT AS confidence_pct,
+SELECT b.query_id, channel, v.label, v.risk_level, trunc(v.confidence * 100)::BIGINT AS confidence_pct,
     CASE WHEN v.label = 'error' THEN 0 ELSE coalesce(c.n, 0) END AS retrieved_examples,
-    CASE WHEN v.label = 'error' THEN '' ELSE coalesce(c.labels, '') END AS case_labels
-FROM ({BENCH}) b LEFT JOIN verdicts v USING (query_id) LEFT JOIN cases c USING (query_id)"""
+    CASE WHEN v.label = 'error' THEN '' ELSE coalesce(c.labels, '') END AS case_labels, search AS search_text, coalesce(knowledge, '') AS knowledge,
+    '{_HEAD2}' || coalesce(context, '') || coalesce(knowledge, '') || '{_MIDDLE2}' || search || '{_TAIL2}' AS prompt
+FROM asked b LEFT JOIN verdicts v ON v.query_id = b.query_id % 1000000000 LEFT JOIN cases c ON c.query_id = b.query_id
+    LEFT JOIN blocks ON blocks.query_id = b.query_id LEFT JOIN known ON known.query_id = b.query_id"""
 ORACLES["screen_stream"] = f"""WITH s AS (SELECT conv_id * 1000 + turn AS query_id,
     regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE role = 'user')
 SELECT query_id, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 5 THEN 'too_short' END AS error,

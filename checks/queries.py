@@ -605,14 +605,20 @@ def knowledge_block(spark, d):
 
 @query
 def screen_messages(spark, d):
+    """Messages and links, with cases, knowledge, prompts and answers."""
     index, stored = V.retrieval_system(spark, d)
-    messages = V.queries(spark, d)
-    answers = V.responses(spark, d).join(messages.select("query_id"), "query_id", "left_semi")
-    rows = screen.screen_messages(messages, V.corpus(spark, d), index, stored, V.ENCODER, answers)
+    messages = V.messages(spark, d)
+    raw = V.responses(spark, d)
+    answers = raw.unionByName(raw.withColumn("query_id", F.col("query_id") + 1_000_000_000)).join(messages.select("query_id"), "query_id", "left_semi")
+    chunks = arrivals.load_chunks(spark, V.knowledge_base(spark, d))
+    rows = screen.screen_messages(
+        messages, V.case_table(spark, d), index, stored, V.ENCODER, answers, chunks=chunks, case_parts=V.CASE_PARTS
+    )
     return rows.select(
         "query_id", "channel", "label", "risk_level", F.col("confidence_pct").cast("bigint").alias("confidence_pct"),
         F.col("retrieved_examples").cast("bigint").alias("retrieved_examples"),
         F.array_join(F.transform("similar_cases", lambda c: F.coalesce(c["label"], F.lit("-"))), ",").alias("case_labels"),
+        "search_text", "knowledge", "prompt",
     )
 
 

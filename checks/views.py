@@ -9,7 +9,7 @@ from msgscreen.operators import pruned
 from msgscreen.operators.embed import HashingEncoder
 from msgscreen.scale import remove, scratch_path, shared_dir
 from msgscreen.sources import segments
-from msgscreen.sources.index import build_retrieval_system
+from msgscreen.sources.index import build_retrieval_system, load_cases, save_cases
 from msgscreen.streaming import arrivals
 
 #: Buckets by md5, so that SQL can form the same vectors.
@@ -107,6 +107,28 @@ def cell_store(spark: SparkSession, sf_dir: str) -> pruned.BoundedCells:
     return _BLOCKS[key]
 
 
+#: Folders of the case table.
+CASE_PARTS = 64
+
+
+def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as a stored case table, written on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, "cases")
+    if key not in _BLOCKS:
+        path = scratch_path(spark, "case-table")
+        save_cases(corpus(spark, sf_dir), path, CASE_PARTS)
+        _BLOCKS[key] = load_cases(spark, path)
+    return _BLOCKS[key]
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages to screen: every benchmark text, and a link for each."""
+    asked = queries(spark, sf_dir)
+    number = F.col("query_id").cast("string")
+    link = F.concat(F.lit("http://secure-"), number, F.lit(".paypal.verify-account.tk/login?won="), number)
+    return asked.unionByName(asked.select((F.col("query_id") + 1_000_000_000).alias("query_id"), link.alias("text")))
+
+
 def knowledge_base(spark: SparkSession, sf_dir: str) -> str:
     """Folder of a stored knowledge base: the documents as two batches, chunked, encoded and filed under cells, on first use."""
     key = (spark.sparkContext.applicationId, sf_dir, "kb")

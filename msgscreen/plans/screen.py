@@ -53,11 +53,15 @@ def build_prompts(
     k: int = FINAL,
     style: str = "compact",
     template: str = TEMPLATES["screen"],
+    case_parts: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(query_id, prompt)`` and the gathered cases behind each prompt."""
+    """``(query_id, prompt)`` and the gathered cases behind each prompt.
+
+    With ``case_parts`` the corpus is a case table of so many folders, read only where it holds a winner.
+    """
     rows = queries.count()
     run = hybrid_search(queries, index, vectors, encoder, k=k, query_rows=rows)
-    cases = gather(run, corpus, rows * k)
+    cases = gather(run, corpus, rows * k, case_parts)
     knowledge = None
     if chunks is not None:
         knowledge = knowledge_blocks(
@@ -137,19 +141,21 @@ def screen_messages(
     k: int = FINAL,
     style: str = "compact",
     template: str = TEMPLATES["screen"],
+    case_parts: int | None = None,
     **options,
 ) -> DataFrame:
     """Validate, route, retrieve cases and knowledge, build prompts, get answers, finish the verdicts.
 
     ``responses`` are answers of an offline batch ``(query_id, model, raw, seconds)`` or the models to
     ask, by name. Routing, encoding and retrieval run once; the result carries ``prompt`` and
-    ``knowledge`` beside the verdict (a row per message and model). ``options`` go to ``normalise_verdicts``.
+    ``knowledge`` beside the verdict (a row per message and model). With ``case_parts`` the corpus is a case table of
+    so many folders (``save_cases``), read only where it holds a winner. ``options`` go to ``normalise_verdicts``.
     """
     routed = stored(route_messages(messages), "routed")
     queries = routed.where("search_text IS NOT NULL").select("query_id", F.col("search_text").alias("text"))
     rows = queries.count()
     run = hybrid_search(queries, index, vectors, encoder, k=k, query_rows=rows)
-    cases = stored(gather(run, corpus, rows * k), "cases")
+    cases = stored(gather(run, corpus, rows * k, case_parts), "cases")
     known = queries.select("query_id").withColumn("knowledge", F.lit(""))
     if chunks is not None:
         hits = knowledge_search(queries, chunks, encoder, query_rows=rows)
