@@ -137,7 +137,7 @@ def dense_topk_blocked(spark, d):
 def dense_topk_pruned(spark, d):
     """Neighbours of every vector, from the cells whose bound can hold them."""
     queries = V.labelled_vectors(spark, d).select(F.col("doc_id").alias("query_id"), "embedding")
-    return pruned.dense_pruned(queries, V.cell_store(spark, d), 5, exclude_self=True, worthwhile=1.0)
+    return pruned.dense_pruned(queries, V.cell_store(spark, d), 5, exclude_self=True)
 
 
 def _by_label(spark, d):

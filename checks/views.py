@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from msgscreen.operators import pruned
 from msgscreen.operators.embed import HashingEncoder
+from msgscreen.operators.lexical import build_lexical_index
 from msgscreen.scale import remove, scratch_path, shared_dir
 from msgscreen.sources import segments
 from msgscreen.sources.index import build_retrieval_system, load_cases, save_cases
@@ -87,13 +88,12 @@ _BLOCKS: dict = {}
 
 
 def block_index(spark: SparkSession, sf_dir: str) -> pruned.BlockIndex:
-    """The stored index in blocks, built on first use."""
+    """A stored index in blocks, built on first use."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BLOCKS:
-        index, _ = retrieval_system(spark, sf_dir)
         path = scratch_path(spark, "blocks")
-        pruned.save_blocks(index, path)
-        _BLOCKS[key] = pruned.load_blocks(spark, path, index)
+        pruned.save_blocks(build_lexical_index(documents(spark, sf_dir)), path)
+        _BLOCKS[key] = pruned.load_blocks(spark, path)
     return _BLOCKS[key]
 
 

@@ -51,20 +51,22 @@ def running_best(k: int):
         scores = np.full((n, k), -np.inf)
 
         def add(at, block_ids, block_scores):
-            size = len(block_scores)
-            rows, new_ids, new_scores = best(block_ids, block_scores, scores[at : at + size, -1])
+            """``at``: the first of consecutive queries, or the numbers of those that the rows of scores belong to."""
+            lines = np.arange(at, at + len(block_scores)) if np.ndim(at) == 0 else at
+            rows, new_ids, new_scores = best(block_ids, block_scores, scores[lines, -1])
             touched = np.unique(rows)
             if not len(touched):
                 return
+            at = lines[touched]
             place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
             line = np.searchsorted(touched, rows)
             wide_ids = np.full((len(touched), 2 * k), np.iinfo("int64").max, dtype="int64")
             wide = np.full((len(touched), 2 * k), -np.inf)
-            wide_ids[:, :k], wide[:, :k] = ids[touched + at], scores[touched + at]
+            wide_ids[:, :k], wide[:, :k] = ids[at], scores[at]
             wide_ids[line, k + place], wide[line, k + place] = new_ids, new_scores
             order = np.lexsort((wide_ids, -wide), axis=1)[:, :k]
-            ids[touched + at] = np.take_along_axis(wide_ids, order, axis=1)
-            scores[touched + at] = np.take_along_axis(wide, order, axis=1)
+            ids[at] = np.take_along_axis(wide_ids, order, axis=1)
+            scores[at] = np.take_along_axis(wide, order, axis=1)
 
         def results():
             rows, cols = np.nonzero(np.isfinite(scores))

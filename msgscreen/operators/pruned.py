@@ -25,9 +25,11 @@ from pyspark.sql import types as T
 
 from msgscreen import schema
 from msgscreen.operators import ann
+from msgscreen.operators.blocks import running_best
 from msgscreen.operators.dense import dense_topk, score_fragments
 from msgscreen.operators.lexical import (
-    K1, B, LexicalIndex, average_length, document_side, query_side, query_terms, query_weights, stream_scorer,
+    K1, B, LexicalIndex, average_length, document_side, idf_of, length_stats, postings_of, query_side, query_terms, query_weights,
+    stream_scorer, term_stats_of,
 )
 from msgscreen.scale import BROADCAST_BYTES, broadcast_bounded, measured, measured_bytes, stored, top_rows
 
@@ -54,22 +56,58 @@ class BlockIndex:
     lexical: LexicalIndex  # term and corpus statistics
 
 
+def _peaks(batches: Iterator) -> Iterator:
+    """Largest count and least length of each (block, term) of a batch of documents."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        sizes = batch["terms"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = batch["terms"].flatten()
+        coded = flat.field("term").dictionary_encode()
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        block, dl = batch["block"].to_numpy()[row], batch["dl"].to_numpy()[row]
+        code, tf = coded.indices.to_numpy(), flat.field("tf").to_numpy()
+        order = np.lexsort((code, block))
+        if not len(order):
+            continue
+        block, dl, code, tf = block[order], dl[order], code[order], tf[order]
+        first = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (code[1:] != code[:-1]))))
+        columns = [coded.dictionary.take(pa.array(code[first])), pa.array(block[first]), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(dl, first))]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "block", "tf", "dl"])
+
+
 def save_blocks(index: LexicalIndex, path: str, block_docs: int = BLOCK_DOCS) -> None:
-    """Store the documents of an index in blocks of neighbouring ids, and the largest counts of each block."""
+    """Store the documents of an index in blocks of neighbours, the largest counts of each block, and the statistics.
+
+    Documents stay in the order and the tasks they are read in, so only the block maxima are shuffled, once, to lie
+    ranged by term.
+    """
     spark = index.doc_terms.sparkSession
-    ranged = index.doc_terms.select(*schema.DOC_TERMS.fieldNames()).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     # The number of a row: its partition above, its place in the partition in the 33 bits below.
     shelf, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     block = F.shiftleft(shelf, 33) + F.shiftright(place, block_docs.bit_length() - 1)
-    blocks = ranged.withColumn("_at", F.monotonically_increasing_id()).withColumns({"block": block, "shelf": shelf}).drop("_at")
-    blocks.write.mode("overwrite").partitionBy("shelf").parquet(f"{path}/doc_terms")
-    rows = spark.read.schema(DOC_BLOCKS).parquet(f"{path}/doc_terms").select("block", "dl", F.inline("terms"))
-    most = rows.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
-    most.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/block_max")
-
-
-def load_blocks(spark: SparkSession, path: str, index: LexicalIndex) -> BlockIndex:
-    return BlockIndex(spark.read.schema(DOC_BLOCKS).parquet(f"{path}/doc_terms"), spark.read.schema(BLOCK_MAX).parquet(f"{path}/block_max"), index)
+    numbered = index.doc_terms.select(*schema.DOC_TERMS.fieldNames(), F.monotonically_increasing_id().alias("_at"))
+    numbered.withColumns({"block": block, "shelf": shelf}).drop("_at").write.mode("overwrite").partitionBy("shelf").parquet(f"{path}/doc_terms")
+    rows = spark.read.schema(DOC_BLOCKS).parquet(f"{path}/doc_terms")
+    peaks = rows.select("block", "dl", "terms").mapInArrow(_peaks, BLOCK_MAX).repartitionByRange("term", "block")
+    most = peaks.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))  # where a block lies in two batches
+    most.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/block_max")
+    lengths = length_stats(rows)
+    term_stats, _ = term_stats_of(rows, lengths)
+    term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
+    kept = spark.read.schema(schema.TERM_STATS).parquet(f"{path}/term_stats")
+    _, mean = idf_of(kept.select("term", "df"), lengths.select("n").scalar())
+    lengths.withColumn("avg_idf", mean.scalar()).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+
+
+def load_blocks(spark: SparkSession, path: str) -> BlockIndex:
+    rows = spark.read.schema(DOC_BLOCKS).parquet(f"{path}/doc_terms")
+    doc_terms = rows.select(*schema.DOC_TERMS.fieldNames())
+    term_stats = spark.read.schema(schema.TERM_STATS).parquet(f"{path}/term_stats")
+    corpus_stats = spark.read.schema(schema.CORPUS_STATS).parquet(f"{path}/corpus_stats")
+    index = LexicalIndex(doc_terms, postings_of(doc_terms), term_stats, corpus_stats)
+    return BlockIndex(rows, spark.read.schema(BLOCK_MAX).parquet(f"{path}/block_max"), index)
 
 
 def _most(index: BlockIndex, weights: DataFrame, small: bool, k1: float, b: float) -> DataFrame:
@@ -209,62 +247,151 @@ def load_cells(spark: SparkSession, path: str) -> BoundedCells:
     return BoundedCells(load_vectors(spark, path), spark.read.schema(CELLS).parquet(f"{path}/cells"))
 
 
-def _bounded(queries: DataFrame, cells: DataFrame, first: int, later: bool) -> DataFrame:
-    """``(query_id, embedding, frag)``: the ``first`` cells of each query by bound, or the others that reach its ``floor``."""
+def _bounds(cells: DataFrame):
+    """``bounds(matrix)`` -> scores that each query can reach in each cell, and the numbers of the cells; None without cells."""
     import numpy as np
 
     if measured_bytes(cells) > BROADCAST_BYTES:
         raise ValueError("more cells than may be sent to every task; use fewer, larger ones")
     rows = cells.orderBy("cell").collect()
     if not rows:
-        return queries.select("query_id", "embedding", F.lit(0).alias("frag")).limit(0)
-    number = np.array([r["cell"] for r in rows], "int32")
+        return None
     centroid, radius = np.array([r["centroid"] for r in rows]), np.array([r["radius"] for r in rows])
 
+    def bounds(matrix):
+        return matrix @ centroid.T + np.sqrt((matrix * matrix).sum(axis=1))[:, None] * radius[None, :]
+
+    return bounds, np.array([r["cell"] for r in rows], "int32")
+
+
+def _matrix(column):
+    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
+
+
+def _chosen(bounds, part, first: int, later: bool):
+    """Which cells a batch of queries asks for: the ``first`` by bound, or the others that reach the ``floor``."""
+    import numpy as np
+
+    bound = bounds(_matrix(part["embedding"]))
+    chosen = np.zeros(bound.shape, bool)
+    np.put_along_axis(chosen, np.argsort(-bound, axis=1, kind="stable")[:, :first], True, axis=1)
+    if not later:
+        return chosen
+    return ~chosen & (bound >= (part["floor"].to_numpy(zero_copy_only=False) - SLACK)[:, None])
+
+
+def asked_cells(queries: DataFrame, cells: DataFrame, first: int, later: bool = False) -> DataFrame:
+    """``(query_id, embedding, frag)`` of the cells that each query asks for in one of the two rounds."""
+    bounds, number = _bounds(cells)
+
     def choose(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                q = part["embedding"].flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(part.num_rows, -1)
-                bound = q @ centroid.T + np.sqrt((q * q).sum(axis=1))[:, None] * radius[None, :]
-                order = np.argsort(-bound, axis=1, kind="stable")[:, :first]
-                chosen = np.zeros(bound.shape, bool)
-                np.put_along_axis(chosen, order, True, axis=1)
-                if later:
-                    floor = part["floor"].to_numpy(zero_copy_only=False)
-                    chosen = ~chosen & (bound >= (floor - SLACK)[:, None])
-                row, cell = np.nonzero(chosen)
-                yield pa.RecordBatch.from_arrays([part["query_id"].take(pa.array(row)), part["embedding"].take(pa.array(row)), pa.array(number[cell])], ["query_id", "embedding", "frag"])
+                row, cell = np.nonzero(_chosen(bounds, part, first, later))
+                taken = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part["query_id"].take(taken), part["embedding"].take(taken), pa.array(number[cell])], ["query_id", "embedding", "frag"])
 
     return queries.mapInArrow(choose, "query_id bigint, embedding array<float>, frag int")
 
 
+def cell_demand(queries: DataFrame, cells: DataFrame, first: int) -> dict[int, int]:
+    """How many queries ask for each cell in the second round: one row a cell comes back, none is sent anywhere."""
+    bounds, number = _bounds(cells)
+
+    def count(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(len(number), "int64")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                total += _chosen(bounds, batch.slice(at, 1024), first, True).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(number[total > 0]), pa.array(total[total > 0])], ["cell", "n"])
+
+    rows = queries.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    return {r["cell"]: r["n"] for r in rows}
+
+
 def dense_pruned(
-    queries: DataFrame, index: BoundedCells, k: int = 20, *, exclude_self: bool = False, first: int = FIRST_CELLS, worthwhile: float = WORTHWHILE
+    queries: DataFrame, index: BoundedCells, k: int = 20, *, exclude_self: bool = False, first: int = FIRST_CELLS,
+    worthwhile: float = WORTHWHILE, plan: str = "auto",
 ) -> DataFrame:
-    """``(query_id, doc_id, rank, score)``: the rows of ``dense_topk``; falls back to it where the bounds keep most pairs."""
+    """``(query_id, doc_id, rank, score)``: the rows of ``dense_topk``.
+
+    The second round scans the asked cells past the queries, which then go to every task and multiply only those that
+    ask for the cell at hand; a query side beyond the broadcast bound goes to its cells instead (``plan='pairs'``), unless
+    the bounds keep more than ``worthwhile`` of all pairs, when ``dense_topk`` is the cheaper way.
+    """
     queries = queries.select("query_id", "embedding")
-    nearest = _scored_cells(stored(_bounded(queries, index.cells, first, False), "first-cells"), index, k, exclude_self)
-    nearest = stored(nearest, "first-scores")
+    if _bounds(index.cells) is None:
+        return dense_topk(queries, index.vectors, k, exclude_self=exclude_self)
+    nearest = stored(_scored_cells(asked_cells(queries, index.cells, first), index, k, exclude_self), "first-scores")
     floor = (
         top_rows(nearest, ["query_id"], [F.desc("score"), F.asc("doc_id")], k).groupBy("query_id")
         .agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
     )
-    with_floor = queries.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    later = stored(_bounded(with_floor, index.cells, first, True), "later-cells")
-    if later.count() > worthwhile * queries.count() * index.cells.count():
+    asked = queries.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    asked = stored(asked, "floors")
+    demand = cell_demand(asked, index.cells, first)
+    small = plan == "scan" or plan == "auto" and measured_bytes(queries) <= BROADCAST_BYTES
+    if small:
+        rest = _scan_cells(asked, index, k, exclude_self, first, sorted(demand))
+    elif sum(demand.values()) > worthwhile * queries.count() * index.cells.count():
         return dense_topk(queries, index.vectors, k, exclude_self=exclude_self)
-    best = nearest.unionByName(_scored_cells(later, index, k, exclude_self))
-    ranked = top_rows(best, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    else:
+        rest = _scored_cells(asked_cells(asked, index.cells, first, True), index, k, exclude_self)
+    ranked = top_rows(nearest.unionByName(rest), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
     return ranked.select("query_id", "doc_id", "rank", "score")
 
 
+def _scan_cells(asked: DataFrame, index: BoundedCells, k: int, exclude_self: bool, first: int, wanted: list[int]) -> DataFrame:
+    """Second round without a shuffle: each task holds the queries, their floors and their best rows so far."""
+    table = asked.toArrow().combine_chunks()  # bounded: the caller measured it
+    shared = asked.sparkSession.sparkContext.broadcast(table)
+    bounds, number = _bounds(index.cells)
+    collect = running_best(k)
+
+    def scan(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        held = shared.value
+        if not held.num_rows:
+            return
+        ids = held["query_id"].to_numpy()
+        matrix = _matrix(held["embedding"].combine_chunks())
+        chosen = np.zeros((len(ids), int(number.max()) + 1), bool)
+        for at in range(0, len(ids), 1024):
+            part = held.slice(at, 1024).combine_chunks().to_batches()[0]
+            chosen[at : at + 1024, number] = _chosen(bounds, part, first, True)
+        add, results = collect(ids)
+        for batch in batches:
+            cell = batch["cell"].to_numpy()
+            edges = np.flatnonzero(np.diff(cell) != 0) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(cell)]):
+                if lo == hi:
+                    continue
+                docs, vectors = batch["doc_id"].slice(lo, hi - lo).to_numpy(), _matrix(batch["embedding"].slice(lo, hi - lo))
+                asks = np.flatnonzero(chosen[:, cell[lo]])
+                step = max(1, (1 << 22) // len(docs))
+                for at in range(0, len(asks), step):
+                    some = asks[at : at + step]
+                    scores = matrix[some] @ vectors.T
+                    if exclude_self:
+                        scores[ids[some, None] == docs[None, :]] = -np.inf
+                    add(some, docs, scores)
+        yield from results()
+
+    return index.vectors.where(F.col("cell").isin(wanted)).select("doc_id", "embedding", "cell").mapInArrow(scan, _RUN)
+
+
 def _scored_cells(pairs: DataFrame, index: BoundedCells, k: int, exclude_self: bool) -> DataFrame:
     """Best k of each (query, cell); only folders of cells that some query asks for are read."""
-    asked = pairs.select(F.col("frag").alias("cell")).distinct()
-    cells = [r["cell"] for r in asked.collect()]  # folders, at most a few for each of the measured centroids
+    pairs = stored(pairs, "cell-pairs")
+    cells = [r["frag"] for r in pairs.select("frag").distinct().collect()]  # folders, at most a few for each of the measured centroids
     wanted = index.vectors.where(F.col("cell").isin(cells))
     last = index.cells.agg(F.max("cell")).first()[0]
     return score_fragments(pairs, wanted.withColumnRenamed("cell", "frag"), k, 1 + (last or 0), exclude_self)

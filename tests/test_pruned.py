@@ -34,16 +34,16 @@ def test_bm25_rows_equal(spark, texts, tmp_path, block, first, k):
     docs, queries = texts
     index = lexical.build_lexical_index(docs)
     pruned.save_blocks(index, str(tmp_path), block)
-    blocks = pruned.load_blocks(spark, str(tmp_path), index)
+    blocks = pruned.load_blocks(spark, str(tmp_path))
     got = rows(pruned.bm25_pruned(queries, blocks, k, first=first))
     assert got == rows(lexical.bm25_topk(queries, index, k, plan="scan"))
 
 
 def test_bm25_blocks_are_skipped(spark, texts, tmp_path):
     docs, queries = texts
-    index = lexical.build_lexical_index(docs)
+    index = lexical.build_lexical_index(docs.orderBy("doc_id"))
     pruned.save_blocks(index, str(tmp_path), 16)
-    blocks = pruned.load_blocks(spark, str(tmp_path), index)
+    blocks = pruned.load_blocks(spark, str(tmp_path))
     terms = lexical.query_terms(queries.where("query_id < 30"))
     best, later, _ = pruned.asked_blocks(terms, blocks, 10, True)
     total = blocks.doc_terms.select("block").distinct().count()
@@ -73,8 +73,9 @@ def test_dense_rows_equal(spark, tmp_path, spread):
     queries = corpus.where("doc_id % 9 = 0").withColumnRenamed("doc_id", "query_id")
     pruned.save_cells(corpus, str(tmp_path), 40)
     index = pruned.load_cells(spark, str(tmp_path))
-    for worthwhile in (0.0, 0.5, 1.0):  # without the bounds, as decided by their yield, always with them
-        got = rows(pruned.dense_pruned(queries, index, 7, exclude_self=True, worthwhile=worthwhile))
+    # Past the queries; to the cells, never, as decided by the yield of the bounds, and always.
+    for plan, worthwhile in (("auto", 0.5), ("pairs", 0.0), ("pairs", 0.5), ("pairs", 1.0)):
+        got = rows(pruned.dense_pruned(queries, index, 7, exclude_self=True, plan=plan, worthwhile=worthwhile))
         assert got == rows(dense.dense_topk(queries, corpus, 7, exclude_self=True))
     assert rows(pruned.dense_pruned(queries.limit(0), index, 7)) == []
 
@@ -86,12 +87,14 @@ def test_dense_cells_are_skipped(spark, tmp_path, monkeypatch):
     pruned.save_cells(corpus, str(tmp_path), 40)
     index = pruned.load_cells(spark, str(tmp_path))
     assert index.vectors.count() == 1200 and index.cells.agg(F.max("n")).first()[0] <= 200  # crowded cells are split
-    scored = []
-    real = pruned._scored_cells
-    monkeypatch.setattr(pruned, "_scored_cells", lambda pairs, *rest: scored.append(pairs.count()) or real(pairs, *rest))
+    asked = []
+    real = pruned.cell_demand
+    monkeypatch.setattr(pruned, "cell_demand", lambda *a: asked.append(real(*a)) or asked[-1])
     monkeypatch.setattr(pruned, "dense_topk", None)  # no fallback
-    assert rows(pruned.dense_pruned(queries, index, 5)) == rows(dense.dense_topk(queries, corpus, 5))
-    assert len(scored) == 2 and sum(scored) < 0.4 * queries.count() * index.cells.count()
+    for plan in ("scan", "pairs"):
+        assert rows(pruned.dense_pruned(queries, index, 5, plan=plan)) == rows(dense.dense_topk(queries, corpus, 5))
+    pairs = queries.count() * index.cells.count()
+    assert all(sum(d.values()) + 3 * queries.count() < 0.4 * pairs for d in asked)
 
 
 def test_few_vectors(spark, tmp_path):
