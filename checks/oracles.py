@@ -274,6 +274,9 @@ def _feature_text(lang: str) -> str:
 ORACLES["url_features_text"] = f"""WITH {URLS}, {FULL}
 SELECT page_id, variant, {_feature_text('en')} AS en, {_feature_text('fr')} AS fr FROM feat"""
 ORACLES["lexicon_hits"] = f"WITH {URLS}, {FULL} SELECT word, count(*) AS n FROM (SELECT unnest(hits) AS word FROM feat) GROUP BY word"
+ORACLES["long_lexicon_hits"] = f"""WITH {URLS}, words AS (SELECT DISTINCT unnest({_words('text')}) AS word FROM benchmark),
+texts AS (SELECT page_id, variant, lower(url) AS t FROM urls UNION ALL SELECT item_id, 100, lower(text) FROM benchmark)
+SELECT page_id, variant, count(*) AS n, sum(length(word))::BIGINT AS letters, min(word) AS first FROM texts JOIN words ON contains(t, word) GROUP BY ALL"""
 ORACLES["route_messages"] = f"""WITH {URLS}, m AS (
 SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'
 UNION ALL SELECT page_id * 10 + variant + 100000000, url FROM urls),
@@ -380,6 +383,7 @@ ORACLES["sample_stratified"] = f"""WITH {CORPUS}
 SELECT doc_id, label FROM corpus WHERE label IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id), doc_id) <= 50"""
 
+ORACLES["sample_threshold"] = ORACLES["sample_stratified"].replace("<= 50", "<= 300")
 ORACLES["sample_head"] = f"SELECT * FROM ({ORACLES['sample_stratified']}) ORDER BY doc_id LIMIT 100"
 
 
@@ -565,11 +569,18 @@ SELECT query_id, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 5 T
 
 # --- sinks read back ---------------------------------------------------------------------
 
+ORACLES["kb_pages_stream"] = "WITH {} SELECT source_name, chunk_id, chunk FROM ch".format(_chunks("""
+    SELECT 'conv' || conv_id || '.pdf' AS source_name, string_agg(text || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""",
+    "ch", "source_name"))
 ORACLES["kb_two_sources"] = """WITH {} SELECT source_name, chunk_id, chunk FROM ch""".format(_chunks("""
     SELECT doc_id::VARCHAR AS source_name, CASE WHEN doc_id % 3 <> 0 THEN text WHEN doc_id % 2 = 0 THEN 'gone'
         WHEN doc_id % 10 = 3 THEN 'zz again ' || text ELSE 'again ' || text END AS text
     FROM documents WHERE doc_id % 5 <> 0""", "ch", "source_name"))
 ORACLES["registry_round_trip"] = ORACLES["registry_listing"]
+ORACLES["retrieval_report_round_trip"] = ORACLES["retrieval_benchmark"]
+ORACLES["registry_compacted"] = ORACLES["registry_listing"]
+ORACLES["history_page"] = f"SELECT * FROM ({ORACLES['history_recent']}) ORDER BY ts DESC, seq DESC LIMIT 200"
+ORACLES["embed_incremental"] = ORACLES["embed_documents"]
 ORACLES["report_round_trip"] = ORACLES["classification_summary"]
 ORACLES["history_append"] = ORACLES["history_recent"]
 ORACLES["history_clear"] = f"SELECT * FROM ({ORACLES['history_recent']}) WHERE label = 'phishing'"

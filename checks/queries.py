@@ -19,6 +19,7 @@ from msgscreen.operators import (
     dense,
     fusion,
     lexical,
+    long_lexicon,
     profile,
     pruned,
     registry,
@@ -28,7 +29,8 @@ from msgscreen.operators import (
 from msgscreen.plans import retrieve, screen
 from msgscreen.sources import corpus as corpus_source
 from msgscreen.sources import index as index_source
-from msgscreen.sources import segments
+from msgscreen.sources import registry_store, segments
+from msgscreen.sources import vectors as vector_source
 from msgscreen.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,6 +178,18 @@ def embed_documents(spark, d):
     )
 
 
+@query
+def embed_incremental(spark, d):
+    """A part of the documents first, then all of them: each text is encoded once."""
+    home = scale.scratch_path(spark, "vectors")
+    docs = V.documents(spark, d)
+    vector_source.encode_once(docs.where("doc_id % 3 = 0"), V.ENCODER, home)
+    embedded = vector_source.encode_once(docs, V.ENCODER, home).drop("text")
+    return embedded.select("doc_id", F.posexplode("embedding").alias("pos", "value")).where("value > 0").select(
+        "doc_id", F.col("pos").cast("bigint").alias("pos"), F.round(F.col("value").cast("double"), 6).alias("value")
+    )
+
+
 @query
 def l2_normalise(spark, d):
     scaled = V.table(spark, d, "embeddings").select(
@@ -280,14 +294,15 @@ def load_corpus(spark, d):
 
 @query
 def corpus_header_rows(spark, d):
-    """CSV whose column names stand in the second record, one file below a preamble."""
+    """CSV files whose column names stand in the second record, below a preamble."""
     path = scale.scratch_path(spark, "csv")
     names = schema.CORPUS.fieldNames()
     full = corpus_source.with_norm_text(V.corpus(spark, d)).select(*[F.col(n).cast("string").alias(n) for n in names])
-    top = spark.createDataFrame([("0", *["preamble"] + [None] * (len(names) - 2)), ("1", *names[1:])], ", ".join(f"`{n}` string" for n in names))
-    top = top.withColumn("doc_id", F.when(F.col("doc_id") == "0", "exported corpus").otherwise("doc_id"))
-    rows = top.withColumn("_o", F.when(F.col("text") == "preamble", 0).otherwise(1)).unionByName(full.withColumn("_o", F.lit(2)))
-    lines = rows.repartitionByRange(1, "_o").sortWithinPartitions("_o").drop("_o")
+    files = max(4, -(-full.count() // 50_000))
+    above = [[i, o, *line] for i in range(files) for o, line in ((0, ["exported corpus", "preamble", *[None] * (len(names) - 2)]), (1, names))]
+    top = spark.createDataFrame(above, "_f int, _o int, " + ", ".join(f"`{n}` string" for n in names))
+    rows = top.unionByName(full.withColumns({"_f": F.pmod(F.xxhash64("doc_id"), F.lit(files)).cast("int"), "_o": F.lit(2)}))
+    lines = rows.repartitionById(files, F.col("_f")).sortWithinPartitions("_o").drop("_f", "_o")
     lines.write.option("header", False).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("nullValue", "").csv(path)
     return corpus_source.load_corpus(spark, path, "csv", header_row=1).select("doc_id", "label", "language", "channel", "norm_text")
 
@@ -356,6 +371,17 @@ def lexicon_hits(spark, d):
     return hits.groupBy("word").agg(F.count("*").alias("n"))
 
 
+@query
+def long_lexicon_hits(spark, d):
+    """A list of every word of the benchmark texts, looked for in all URLs and benchmark texts."""
+    words = V.queries(spark, d).select(F.explode(text.tokens(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("pos"))
+    texts = V.urls(spark, d).select("page_id", "variant", F.col("url").alias("text")).unionByName(
+        V.queries(spark, d).select(F.col("query_id").alias("page_id"), F.lit(100).cast("bigint").alias("variant"), "text")
+    )
+    hits = long_lexicon.long_lexicon_hits(texts, words)
+    return hits.groupBy("page_id", "variant").agg(F.count("*").alias("n"), F.sum(F.length("word")).alias("letters"), F.min("word").alias("first"))
+
+
 @query
 def route_messages(spark, d):
     messages = V.user_turns(spark, d).unionByName(
@@ -463,6 +489,12 @@ def sample_stratified(spark, d):
     return sampling.stratified_sample(V.corpus(spark, d).select("doc_id", "label"), 50)
 
 
+@query
+def sample_threshold(spark, d):
+    """More rows a class than a ranking should hold: by the hash that the n-th row has."""
+    return sampling.threshold_sample(V.corpus(spark, d).select("doc_id", "label"), 300)
+
+
 @query
 def retrieval_metrics(spark, d):
     corpus = V.labelled_vectors(spark, d)
@@ -637,6 +669,21 @@ def kb_ingest_stream(spark, d):
     return arrivals.load_chunks(spark, home).select("source_name", "chunk_id", "chunk")
 
 
+@query
+def kb_pages_stream(spark, d):
+    """Pages of all documents in odd order over several batches."""
+    home = scale.scratch_path(spark, "kb-pages")
+    pages = V.doc_pages(spark, d)
+    counted = pages.groupBy("name").agg(F.count("*").alias("n_pages"))
+    dealt = pages.join(counted, "name").withColumn("_f", F.pmod(F.xxhash64("name", "page_no"), F.lit(4)).cast("int"))
+    dealt.repartitionById(4, F.col("_f")).drop("_f").write.parquet(f"{home}/pages")
+    kind = spark.read.parquet(f"{home}/pages").schema
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{home}/pages")
+    stored = lambda: spark.read.schema(kind).parquet(f"{home}/pages")
+    arrivals.ingest_pages(stream, stored, f"{home}/kb", f"{home}/checkpoint", V.ENCODER).awaitTermination()
+    return arrivals.load_chunks(spark, f"{home}/kb").select("source_name", "chunk_id", "chunk")
+
+
 @query
 def kb_two_sources(spark, d):
     """Two sources under one folder: names re-added, emptied, given twice, deleted."""
@@ -685,6 +732,37 @@ def report_round_trip(spark, d):
     return spark.read.schema(report.schema).option("header", True).option("escape", '"').csv(path)
 
 
+@query
+def retrieval_report_round_trip(spark, d):
+    path = scale.scratch_path(spark, "report")
+    report = retrieval_benchmark(spark, d)
+    corpus_source.write_csv(report, path)
+    return spark.read.schema(report.schema).option("header", True).option("escape", '"').csv(path)
+
+
+@query
+def registry_compacted(spark, d):
+    """Snapshots taken while operations arrive; covered log folders deleted."""
+    path = scale.scratch_path(spark, "registry-store")
+    log = V.registry_log(spark, d)
+    for i in range(4):
+        registry_store.append(log.where(F.col("seq") % 4 == i), path, i)
+        if i in (1, 2):
+            registry_store.compact(spark, path)
+            registry_store.vacuum(spark, path)
+    return registry.listing(registry_store.load(spark, path))
+
+
+@query
+def history_page(spark, d):
+    """The newest 200 analyses, from the folders of the last days."""
+    path = scale.scratch_path(spark, "history-days")
+    log = V.analysis_log(spark, d)
+    for i in range(2):
+        arrivals.append_history_days(log.where(F.col("seq") % 2 == i), path, i)
+    return arrivals.newest_history(spark, path, 200)
+
+
 @query
 def history_append(spark, d):
     path = scale.scratch_path(spark, "history")

@@ -12,18 +12,20 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from msgscreen import schema
 from msgscreen.operators import registry
-from msgscreen.operators.chunking import chunk_documents
+from msgscreen.operators.chunking import chunk_documents, chunk_pages
 from msgscreen.operators.embed import Encoder
 from msgscreen.plans.screen import route_messages
-from msgscreen.scale import top_rows
+from msgscreen.scale import broadcast_bounded, child_names, stored, top_rows
 from msgscreen.sources import cells
 from msgscreen.sources.corpus import read_or_empty
 
@@ -73,17 +75,24 @@ def add_documents(
     Work grows with the batch, not with the table. ``added_at`` (now) orders versions over all sinks.
     Where the knowledge base has cells (``fit_chunk_cells``), the batch's vectors are filed under theirs here, once.
     """
-    spark = docs.sparkSession
-    at = F.lit(added_at or dt.datetime.now(dt.UTC).replace(tzinfo=None)).cast("timestamp_ntz")
     unique = top_rows(docs, ["source_name"], order or [F.desc("text")], 1).drop("rank")
-    chunks = encoder.encode(chunk_documents(unique), "chunk", keep=["source_name", "chunk_id", "chunk"])
-    _write_version(chunks, f"{path}/chunks", version, sink)
+    return _add_chunks(chunk_documents(unique), unique.select("source_name"), path, encoder, version, sink, added_at)
+
+
+def _add_chunks(
+    chunks: DataFrame, names: DataFrame, path: str, encoder: Encoder, version: int, sink: str, added_at: dt.datetime | None
+) -> DataFrame:
+    """Store the chunks of the documents ``names``, a row for each document, and their registry rows."""
+    spark = chunks.sparkSession
+    at = F.lit(added_at or dt.datetime.now(dt.UTC).replace(tzinfo=None)).cast("timestamp_ntz")
+    encoded = encoder.encode(chunks, "chunk", keep=["source_name", "chunk_id", "chunk"])
+    _write_version(encoded, f"{path}/chunks", version, sink)
     here = f"sink={sink}/version={version}"
     written = spark.read.schema(schema.KB_CHUNKS).parquet(f"{path}/chunks/{here}")
     if cells.has_model(spark, f"{path}/cells"):
         cells.add_vectors(written.select("source_name", "chunk_id", "embedding"), f"{path}/cells", version, sink)
     counted = written.groupBy("source_name").agg(F.count("*").alias("chunks"))
-    rows = unique.select("source_name").join(counted, "source_name", "left").select(
+    rows = names.join(counted, "source_name", "left").select(
         "source_name", F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"), at.alias("added_at")
     )
     log = registry.upsert_rows(rows.select(
@@ -96,6 +105,53 @@ def add_documents(
     return done.select("source_name", "chunks", F.col("chunks").alias("pages"))
 
 
+def complete_documents(pages: DataFrame) -> DataFrame:
+    """``(source_name, n_pages)`` of each document once all its pages have come, in whatever order and batches.
+
+    ``pages(name, page_no, n_pages)`` is a stream; ``n_pages`` is the number of pages the document has. The state of a
+    document is which pages were seen, a bit each, never their text; pages that come twice count once, and a document
+    is reported once.
+    """
+
+    def track(key, frames: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        seen, done = (int.from_bytes(state.get[0], "little"), state.get[1]) if state.exists else (0, False)
+        total = 0
+        for frame in frames:
+            for page in frame["page_no"]:
+                seen |= 1 << int(page)
+            total = max(total, int(frame["n_pages"].max()))
+        now = not done and seen.bit_count() >= total
+        state.update((seen.to_bytes((seen.bit_length() + 7) // 8, "little"), done or now))
+        if now:
+            yield pd.DataFrame({"source_name": [key[0]], "n_pages": [total]})
+
+    told = pages.select("name", "page_no", "n_pages").where("name IS NOT NULL AND page_no >= 0")
+    return told.groupBy("name").applyInPandasWithState(
+        track, "source_name string, n_pages bigint", "seen binary, done boolean", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def ingest_pages(
+    pages: DataFrame, stored_pages: Callable[[], DataFrame], path: str, checkpoint: str, encoder: Encoder, *, sink: str | None = None, once: bool = True
+) -> StreamingQuery:
+    """Add documents whose pages arrive one by one: a document is chunked in the batch that brings its last page.
+
+    ``pages(name, page_no, text, n_pages)`` streams the table that ``stored_pages()`` reads, so that texts wait there and
+    not in the stream's state. Of a page that is stored twice the greater text counts.
+    """
+    name = sink or _sink_name(checkpoint)
+
+    def add(batch: DataFrame, version: int) -> None:
+        ready = stored(batch.select("source_name"), "ready")
+        wanted = stored_pages().join(broadcast_bounded(ready.withColumnRenamed("source_name", "name"), ready.count(), 256), "name", "left_semi")
+        single = wanted.groupBy("name", "page_no").agg(F.max("text").alias("text"))
+        _add_chunks(chunk_pages(single), ready, path, encoder, version, name, None)
+
+    return _start(complete_documents(pages), add, checkpoint, once)
+
+
 def delete_documents(
     spark: SparkSession, path: str, requests: DataFrame, version: int, *, sink: str = "deletes"
 ) -> DataFrame:
@@ -188,3 +244,28 @@ def append_history(analyses: DataFrame, path: str, version: int, sink: str = "ba
 
 def load_history(spark: SparkSession, path: str) -> DataFrame:
     return read_or_empty(spark, path, schema.ANALYSIS_LOG)
+
+
+def append_history_days(analyses: DataFrame, path: str, version: int, sink: str = "batch") -> None:
+    """Append analyses under the folder of their day, so that ``newest_history`` can read from the end.
+
+    A batch that is replayed replaces its own folders ``day=/sink=/version=``.
+    """
+    rows = analyses.select("ts", "seq", "text", "label", "risk_level", F.to_date("ts").alias("day"), F.lit(sink).alias("sink"), F.lit(version).alias("version"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "sink", "version").parquet(path)
+
+
+def newest_history(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The newest ``n`` analyses of a log by day, newest first: days are opened from the last until they hold ``n`` rows."""
+    names = sorted((c.removeprefix("day=") for c in child_names(spark, path) if c.startswith("day=")), reverse=True)
+    dated = [c for c in names if c[:1].isdigit()]
+    days = dated + [c for c in names if c not in dated]  # rows without a time come last
+    if not days:
+        return registry.history(spark.createDataFrame([], schema.ANALYSIS_LOG))
+    take, fields = 1, [f for f in schema.ANALYSIS_LOG.fields if f.name not in ("sink", "version")]
+    while True:
+        folders = [f"{path}/day={d}" for d in days[:take]]
+        rows = spark.read.schema(T.StructType(fields)).option("recursiveFileLookup", True).parquet(*folders)
+        if take >= len(days) or rows.limit(n).count() >= n:
+            return registry.history(rows).limit(n)
+        take *= 2
