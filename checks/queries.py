@@ -110,7 +110,7 @@ def bm25_incremental_idf(spark, d):
 @query
 def bm25_compacted_stats(spark, d):
     """Postings of a store after its segments were merged."""
-    store = V.changed_store(spark, d)
+    store = V.changed_store(spark, d, postings=True)
     segments.compact(spark, store)
     return segments.lexical_index(spark, store).postings.groupBy("term").agg(
         F.count("*").alias("df"), F.sum("tf").alias("total_tf"), F.max("dl").cast("bigint").alias("longest")

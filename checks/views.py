@@ -145,13 +145,13 @@ def knowledge_base(spark: SparkSession, sf_dir: str) -> str:
 _STORES: dict = {}
 
 
-def changed_store(spark: SparkSession, sf_dir: str) -> str:
+def changed_store(spark: SparkSession, sf_dir: str, postings: bool = False) -> str:
     """Index store of a folder whose files came, changed and went until it held the documents, no more.
 
     At first a quarter of the documents is missing, a quarter has other texts, and files and rows of copies
     are there that go later, as whole files or by their ids.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, postings)
     if key in _STORES:
         return _STORES[key]
     docs, home = documents(spark, sf_dir), scratch_path(spark, "changing")
@@ -163,7 +163,7 @@ def changed_store(spark: SparkSession, sf_dir: str) -> str:
 
     def refresh() -> None:
         corpus = spark.read.schema("doc_id bigint, text string, batch string").parquet(folder)
-        segments.refresh(corpus, folder, store)
+        segments.refresh(corpus, folder, store, postings=postings)
 
     copies = docs.where("doc_id % 20 = 2").withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
     put(quarter(0), "0")

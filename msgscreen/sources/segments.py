@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from msgscreen import schema
-from msgscreen.operators.lexical import LexicalIndex, build_doc_terms, document_frequencies, idf_of
+from msgscreen.operators.lexical import LexicalIndex, build_doc_terms, document_frequencies, idf_of, postings_of
 from msgscreen.scale import broadcast_bounded, child_names, path_exists, remove, stored
 
 FILES = T.StructType([T.StructField("file", T.StringType()), T.StructField("path", T.StringType()), T.StructField("segment", T.LongType())])
@@ -107,12 +107,14 @@ def live_doc_terms(spark: SparkSession, store: str, version: Version, files: lis
     return _live(spark, store, "doc_terms", schema.DOC_TERMS, version, files)
 
 
-def _write_segment(doc_terms: DataFrame, store: str, segment: int) -> DataFrame:
+def _write_segment(doc_terms: DataFrame, store: str, segment: int, with_postings: bool) -> DataFrame:
     """Store ``(doc_id, dl, terms, file)`` as one segment; returns the stored rows."""
     spark = doc_terms.sparkSession
     path = f"{store}/doc_terms/segment={segment}"
     doc_terms.select("doc_id", "dl", "terms", "file").write.mode("overwrite").partitionBy("file").parquet(path)
     rows = spark.read.schema(T.StructType([*schema.DOC_TERMS.fields, PLACE[1]])).parquet(path)
+    if not with_postings:
+        return rows
     postings = rows.select("file", "doc_id", "dl", F.inline("terms")).select("term", "doc_id", "tf", "dl", "file")
     ranged = postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
     ranged.write.mode("overwrite").parquet(f"{store}/postings/segment={segment}")
@@ -151,12 +153,14 @@ def _changed_counts(before: Version | None, plus: list[DataFrame], minus: list[D
     return merged.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
 
-def refresh(corpus: DataFrame, folder: str, store: str, text: str = "text") -> Version:
+def refresh(corpus: DataFrame, folder: str, store: str, text: str = "text", postings: bool = True) -> Version:
     """Bring the store up to date with the files below ``folder``.
 
-    ``corpus(doc_id, text)`` is a plain scan of the folder (``spark.read``), made after the files changed.
+    ``corpus(doc_id, text)`` is a plain scan of the folder (``spark.read``), made after the files changed. A store made
+    without ``postings`` keeps none: searches by scan or by blocks do not need the copy that is ranged by term.
     """
     spark = corpus.sparkSession
+    postings = postings if not versions(spark, store) else path_exists(spark, f"{store}/postings")
     before = load_version(spark, store)
     now = files_in(spark, folder)
     if before is None:
@@ -179,7 +183,7 @@ def refresh(corpus: DataFrame, folder: str, store: str, text: str = "text") -> V
     if fresh or before is None:
         read = corpus.select("doc_id", F.col(text).alias("text"), file_of_row().alias("file"))
         read = read if before is None else read.where(F.col("file").isin(fresh))
-        segment = _write_segment(build_doc_terms(read, keep=["file"]), store, number)
+        segment = _write_segment(build_doc_terms(read, keep=["file"]), store, number, postings)
         plus.append(segment)
         rows, length = _sizes(segment)
         n, tokens = n + rows, tokens + length
@@ -208,7 +212,7 @@ def compact(spark: SparkSession, store: str) -> Version:
     """All live rows as one segment; texts are not read."""
     before = load_version(spark, store)
     number = before.number + 1
-    _write_segment(live_doc_terms(spark, store, before), store, number)
+    _write_segment(live_doc_terms(spark, store, before), store, number, path_exists(spark, f"{store}/postings"))
     files = before.files.withColumn("segment", F.lit(number).cast("bigint"))
     counts = before.term_stats.select("term", "df")
     return _write_version(store, number, files, before.removed.limit(0), counts, before.totals["n"], before.totals["tokens"])
@@ -231,8 +235,7 @@ def lexical_index(spark: SparkSession, store: str, number: int | None = None) ->
     version = load_version(spark, store, number)
     if version is None:
         raise ValueError(f"no complete version in {store}")
-    return LexicalIndex(
-        live_doc_terms(spark, store, version).select(*schema.DOC_TERMS.fieldNames()),
-        _live(spark, store, "postings", schema.POSTINGS, version).select(*schema.POSTINGS.fieldNames()),
-        version.term_stats, version.corpus_stats, stored=True,
-    )
+    doc_terms = live_doc_terms(spark, store, version).select(*schema.DOC_TERMS.fieldNames())
+    ranged = path_exists(spark, f"{store}/postings")
+    postings = _live(spark, store, "postings", schema.POSTINGS, version).select(*schema.POSTINGS.fieldNames()) if ranged else postings_of(doc_terms)
+    return LexicalIndex(doc_terms, postings, version.term_stats, version.corpus_stats, stored=ranged)

@@ -119,6 +119,17 @@ def test_reads_new_files_only(spark, tmp_path):
     assert "PartitionFilters: [file" in plan or "PartitionFilters: [isnotnull(file" in plan
 
 
+def test_store_without_postings(spark, tmp_path):
+    corpus = Corpus(spark, tmp_path)
+    corpus.put("a", made(range(0, 9)))
+    segments.refresh(corpus.scan(), corpus.home, corpus.store, postings=False)
+    corpus.put("b", made(range(10, 19)))
+    corpus.refresh()
+    segments.compact(spark, corpus.store)
+    assert not os.path.exists(f"{corpus.store}/postings")
+    assert corpus.now() == corpus.anew()
+
+
 def test_broken_refresh_leaves_the_version_before(spark, tmp_path, monkeypatch):
     corpus = Corpus(spark, tmp_path)
     corpus.put("a", made(range(0, 9)))
