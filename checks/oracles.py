@@ -102,6 +102,7 @@ def _dense(queries: str, name: str = "den", docs: str = "dv_v", doc_id: str = "d
 DENSE = f"WITH {DOC_VECTORS}, {_dense(BENCH)} SELECT query_id, doc_id, rank, score FROM den"
 ORACLES["dense_topk"] = DENSE
 ORACLES["dense_topk_blocked"] = DENSE
+ORACLES["dense_topk_stored"] = DENSE
 ORACLES["embed_documents"] = f"WITH {DOC_VECTORS} SELECT doc_id, pos, round(v::DOUBLE, 6) AS value FROM dv_v"
 ORACLES["l2_normalise"] = """
 WITH x AS (SELECT vec_id, unnest(embedding) * label AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),

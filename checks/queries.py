@@ -130,6 +130,13 @@ def dense_topk(spark, d):
     return dense.dense_topk(*_encoded(spark, d), plan="broadcast")
 
 
+@query
+def dense_topk_stored(spark, d):
+    """Queries encoded, documents as their vectors were stored."""
+    _, stored = V.retrieval_system(spark, d)
+    return dense.dense_topk(V.ENCODER.encode(V.queries(spark, d), "text", keep=["query_id"]), stored)
+
+
 @query
 def dense_topk_blocked(spark, d):
     return dense.dense_topk(*_encoded(spark, d), plan="fragments", fragments=8, blocks=4)

@@ -42,18 +42,20 @@ def running_best(k: int):
     """
     best = best_k(k)
 
-    def collect(query_ids):
+    def collect(query_ids, floor=None):
+        """``floor``: scores known to be reached by k rows of each query elsewhere; what lies below is dropped."""
         import numpy as np
         import pyarrow as pa
 
         n = len(query_ids)
+        known = np.full(n, -np.inf) if floor is None else floor
         ids = np.full((n, k), np.iinfo("int64").max, dtype="int64")
         scores = np.full((n, k), -np.inf)
 
         def add(at, block_ids, block_scores):
             """``at``: the first of consecutive queries, or the numbers of those that the rows of scores belong to."""
             lines = np.arange(at, at + len(block_scores)) if np.ndim(at) == 0 else at
-            rows, new_ids, new_scores = best(block_ids, block_scores, scores[lines, -1])
+            rows, new_ids, new_scores = best(block_ids, block_scores, np.maximum(scores[lines, -1], known[lines]))
             touched = np.unique(rows)
             if not len(touched):
                 return

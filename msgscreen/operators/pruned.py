@@ -367,7 +367,7 @@ def _scan_cells(asked: DataFrame, index: BoundedCells, k: int, exclude_self: boo
         for at in range(0, len(ids), 1024):
             part = held.slice(at, 1024).combine_chunks().to_batches()[0]
             chosen[at : at + 1024, number] = _chosen(bounds, part, first, True)
-        add, results = collect(ids)
+        add, results = collect(ids, held["floor"].to_numpy())
         for batch in batches:
             cell = batch["cell"].to_numpy()
             edges = np.flatnonzero(np.diff(cell) != 0) + 1
