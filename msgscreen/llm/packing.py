@@ -15,6 +15,7 @@ an empty table gives no pieces.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -31,7 +32,7 @@ CAPACITY = 2048
 #: Tokens packed together.
 BLOCK_TOKENS = 1 << 22
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-#: Distinct word pieces whose ids a task remembers.
+#: Distinct word pieces whose ids a worker process remembers.
 MEMORY_PIECES = 1 << 19
 
 PIECES = (
@@ -44,6 +45,22 @@ _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 
 
+#: A blank and letters: such pieces, one behind the other, are cut apart again by the tokenizer's own rule.
+_WORD = re.compile(rf" [{_LETTER}]+")
+#: Pieces that go through the tokenizer as one text.
+JOINED_PIECES = 2000
+
+
+class Known(dict):
+    """Ids of pieces. A piece that is not known gives None and is noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> None:
+        self.new.append(piece)
+
+
 class Tokens:
     """Ids of whole texts. Word pieces repeat, so each is looked up once and its ids are kept."""
 
@@ -56,20 +73,65 @@ class Tokens:
         self.model.encode_special_tokens = not added_tokens
         added = sorted({t.content for t in self.model.get_added_tokens_decoder().values() if t.content})
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
+
+    def learn(self, pieces: list[str]) -> None:
+        """Ids of pieces not met yet; words in long rows, since a call for each costs more than its ids."""
+        word, other = [], []
+        fits = _WORD.fullmatch
+        for p in pieces:
+            (word if fits(p) else other).append(p)
+        for a in range(0, len(word), JOINED_PIECES):
+            row = word[a : a + JOINED_PIECES]
+            code = self.model.encode("".join(row), add_special_tokens=False)
+            owner = np.array(code.word_ids)
+            if len(owner) and owner[-1] != len(row) - 1:
+                other += row  # another rule than the expected one
+                continue
+            raw = np.array(code.ids, "<u4").tobytes()
+            edge = (4 * np.searchsorted(owner, np.arange(len(row) + 1))).tolist()
+            self.known.update(zip(row, [raw[i:j] for i, j in zip(edge, edge[1:])]))
+        for piece, code in zip(other, self.model.encode_batch(other, add_special_tokens=False)):
+            self.known[piece] = np.array(code.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         cut = [None if _PLAIN.search(t) or self.added and self.added.search(t) else _CUT.findall(t) for t in texts]
-        if len(self.known) > MEMORY_PIECES:
+        if len(self.known) > MEMORY_PIECES:  # the earliest met are the most frequent: they stay
+            kept = list(itertools.islice(self.known.items(), MEMORY_PIECES // 2))
             self.known.clear()
-        new = list(set().union(*[p for p in cut if p is not None]) - self.known.keys())
-        for piece, code in zip(new, self.model.encode_batch(new, add_special_tokens=False)):
-            self.known[piece] = np.array(code.ids, "<u4").tobytes()
+            self.known.update(kept)
+        find, new = self.known.__getitem__, self.known.new
+        found, short = [], []
+        for i, pieces in enumerate(cut):
+            before = len(new)
+            found.append(None if pieces is None else list(map(find, pieces)))
+            if len(new) > before:
+                short.append((i, len(new) - before))
+        if short:
+            self.learn(list(set(new)))
+            for i, missing in short:  # only the gaps are looked up again
+                pieces, row, at = cut[i], found[i], -1
+                for _ in range(missing):
+                    at = row.index(None, at + 1)
+                    row[at] = find(pieces[at])
+            new.clear()
         whole = iter(self.model.encode_batch([t for t, p in zip(texts, cut) if p is None], add_special_tokens=False))
-        find = self.known.__getitem__
-        return [
-            np.array(next(whole).ids, "<u4") if p is None else np.frombuffer(b"".join(map(find, p)), "<u4") for p in cut
-        ]
+        return [np.array(next(whole).ids, "<u4") if f is None else np.frombuffer(b"".join(f), "<u4") for f in found]
+
+
+def worker_tokens(path: str, added_tokens: bool) -> Tokens:
+    """The tokenizer of this worker process, with the pieces that its earlier tasks have met.
+
+    Task functions arrive by value with globals of their own, so what lasts over tasks is kept by the process.
+    """
+    import sys
+    import types
+
+    store = sys.modules.setdefault("_msgscreen_worker", types.ModuleType("_msgscreen_worker"))
+    key = (path, added_tokens, os.path.getmtime(path))
+    if getattr(store, "tokens_key", None) != key:
+        store.tokens_key, store.tokens = key, Tokens(path, added_tokens)
+    return store.tokens
 
 
 def cost(length):
@@ -149,7 +211,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
         return pa.RecordBatch.from_arrays(columns, names), 1 + max(p[3] for p in pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Tokens(tokenizer, added_tokens)
+        model = worker_tokens(tokenizer, added_tokens)
         first = TaskContext.get().partitionId() << 36
         keys, ids, held = [], [], 0
         for batch in batches:
