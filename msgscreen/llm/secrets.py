@@ -10,7 +10,9 @@ alphabet of A symbols. Then
 * serial correlation: lag-1 correlation of the symbols' places in the alphabet.
 A token is random if neither chi-squared nor runs rejects uniform symbols at ``REJECT_Z``. How far it is
 from prose is the sum of the three statistics, standardised by what prose of that length and alphabet
-gives (``PROSE_*``), so short tokens need stronger signs than long ones. The resulting p-values of a
+gives (``PROSE_*``), so short tokens need stronger signs than long ones. Letters of one case have no changes of class and no
+order that prose would show, so they are judged by chi-squared alone; digits alone are not tested, as nothing tells
+random ones from long numbers. The resulting p-values of a
 document go through the step-up procedure at false-discovery rate ``FDR``: k tokens are reported if the
 k-th smallest p-value is at most FDR * k / (tokens tested).
 
@@ -58,6 +60,13 @@ ENCODINGS = [
 ]
 EVERY = UPPER + LOWER + DIGITS + "+/-_="
 
+
+def change_rate(alphabet: str) -> float:
+    """Chance that two symbols drawn uniformly differ in class: lower case, upper case, digit, other."""
+    classes = [sum(c in group for c in alphabet) for group in (LOWER, UPPER, DIGITS)]
+    classes.append(len(alphabet) - sum(classes))
+    return 1 - sum((n / len(alphabet)) ** 2 for n in classes)
+
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint>>"
 
 
@@ -91,8 +100,11 @@ def battery(token: Column) -> Column:
     alphabet = F.lit(EVERY)
     for pattern, letters in reversed(ENCODINGS):
         alphabet = F.when(body.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+    rates = F.lit(change_rate(EVERY))
+    for letters in {letters for _, letters in ENCODINGS}:
+        rates = F.when(alphabet == letters, F.lit(change_rate(letters))).otherwise(rates)
     n = F.length(body).cast("double")
-    base = F.struct(body.alias("body"), n.alias("n"), alphabet.alias("alphabet"), F.length(alphabet).cast("double").alias("size"))
+    base = F.struct(body.alias("body"), n.alias("n"), alphabet.alias("alphabet"), F.length(alphabet).cast("double").alias("size"), rates.alias("rate"))
 
     def counted(t: Column) -> Column:
         squares = F.aggregate(
@@ -105,34 +117,39 @@ def battery(token: Column) -> Column:
         shape = F.translate(t["body"], LOWER[1:] + UPPER[1:] + DIGITS[1:] + "+/_=", "a" * 25 + "A" * 25 + "0" * 9 + "----")
         changes = F.length(F.regexp_replace(shape, r"(.)\1*", "x")) - 1
         return F.struct(
-            t["n"].alias("n"), t["size"].alias("size"), (t["size"] / t["n"] * squares - t["n"]).alias("chi2"),
+            t["n"].alias("n"), t["size"].alias("size"), t["rate"].alias("rate"), (t["size"] / t["n"] * squares - t["n"]).alias("chi2"),
             changes.cast("double").alias("changes"), places.alias("places"),
         )
 
-    def correlated(t: Column) -> Column:
+    # The mean is a field before it is used for each symbol: as an expression there it would be summed anew for each.
+    def averaged(t: Column) -> Column:
         mean = F.aggregate(t["places"], F.lit(0.0), lambda a, x: a + x) / t["n"]
+        return F.struct(*[t[c].alias(c) for c in ("n", "size", "rate", "chi2", "changes", "places")], mean.alias("mean"))
+
+    def correlated(t: Column) -> Column:
+        mean = t["mean"]
         spread = F.aggregate(t["places"], F.lit(0.0), lambda a, x: a + x * x) - t["n"] * mean * mean
         count = F.greatest(F.size(t["places"]) - 1, F.lit(0))
         both = F.zip_with(F.slice(t["places"], F.lit(1), count), F.slice(t["places"], F.lit(2), count), lambda x, y: (x - mean) * (y - mean))
         r = F.when(spread > 1e-9, F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / spread).otherwise(F.lit(1.0))
-        return F.struct(*[t[c].alias(c) for c in ("n", "size", "chi2", "changes")], r.alias("correlation"))
+        return F.struct(*[t[c].alias(c) for c in ("n", "size", "rate", "chi2", "changes")], r.alias("correlation"))
 
     def judged(t: Column) -> Column:
         n, size = t["n"], t["size"]
         free = size - 1
         uniform = (F.pow(t["chi2"] / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
-        rate = F.when(size >= 60, 0.62).when(size == 36, 0.40).when(size == 32, 0.30).when(size == 16, 0.47).otherwise(0.0)
+        rate = t["rate"]
         runs = (t["changes"] - (n - 1) * rate) / F.sqrt((n - 1) * F.greatest(rate * (1 - rate), F.lit(0.05)))
         prose_chi2 = free + (n - 1) * (size * PROSE_COLLISION - 1)
         z1 = (prose_chi2 - t["chi2"]) / (size * F.sqrt((n - 1) / n * 2 * PROSE_COLLISION))
         z2 = (t["changes"] - (n - 1) * PROSE_CHANGES) / F.sqrt((n - 1) * PROSE_CHANGES * (1 - PROSE_CHANGES))
         z3 = (PROSE_CORRELATION - t["correlation"]) * F.sqrt(n)
-        p = tail((z1 + z2 + z3) / F.sqrt(F.lit(3.0)))
-        random = (n >= MIN_TOKEN) & (uniform <= REJECT_Z) & (F.abs(runs) <= REJECT_Z) & (rate > 0)
+        p = tail(F.when(rate > 0, (z1 + z2 + z3) / F.sqrt(F.lit(3.0))).otherwise(z1))
+        random = (n >= MIN_TOKEN) & (uniform <= REJECT_Z) & (F.abs(runs) <= REJECT_Z)
         return F.struct(*[t[c].alias(c) for c in ("size", "chi2", "changes", "correlation")], random.alias("random"), p.alias("p"))
 
-    one = F.transform(F.array(base), lambda t: F.when(t["n"] >= 2, counted(t)))
-    two = F.transform(F.filter(one, lambda t: t.isNotNull()), correlated)
+    one = F.transform(F.array(base), lambda t: F.when((t["n"] >= 2) & (t["alphabet"] != DIGITS), counted(t)))
+    two = F.transform(F.transform(F.filter(one, lambda t: t.isNotNull()), averaged), correlated)
     return F.get(F.transform(two, judged), F.lit(0))
 
 

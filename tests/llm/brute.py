@@ -170,3 +170,47 @@ def rebuilt(rows):
         h = zlib.crc32(str(c).encode()) % 6
         out[c] = own.get(c - c % 100, [])[:h] + turns[h:]
     return out
+
+
+def random_tokens(text, fdr=0.01, reject=4.0, least=20):
+    """[(start, stop)] of the tokens that the battery of randomness tests reports, from its description."""
+    import math
+    import string
+
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    encodings = [
+        digits, digits + "abcdef", digits + "ABCDEF", lower, upper + "234567", digits + lower, digits + upper, digits + upper + lower,
+        upper + lower + digits + "+/", upper + lower + digits + "-_", upper + lower + digits + "+/-_=",
+    ]
+    kind = lambda c: 0 if c in lower else 1 if c in upper else 2 if c in digits else 3
+    tested = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text or ""):
+        if len(m[0]) < least:
+            continue
+        body = m[0].rstrip("=")
+        n = len(body)
+        letters = next((e for e in encodings if set(body) <= set(e)), None)
+        if n < 2 or letters == digits:
+            continue
+        size = len(letters)
+        counts = [body.count(c) for c in letters]
+        chi2 = size / n * sum(c * c for c in counts) - n
+        changes = sum(kind(a) != kind(b) for a, b in zip(body, body[1:]))
+        places = [letters.index(c) + 1 for c in body]
+        mean = sum(places) / n
+        spread = sum(x * x for x in places) - n * mean * mean
+        r = sum((x - mean) * (y - mean) for x, y in zip(places, places[1:])) / spread if spread > 1e-9 else 1.0
+        free = size - 1
+        uniform = ((chi2 / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+        shares = [sum(kind(c) == k for c in letters) / size for k in range(4)]
+        rate = 1 - sum(x * x for x in shares)
+        runs = (changes - (n - 1) * rate) / math.sqrt((n - 1) * max(rate * (1 - rate), 0.05))
+        z1 = (free + (n - 1) * (size * 0.075 - 1) - chi2) / (size * math.sqrt((n - 1) / n * 2 * 0.075))
+        z2 = (changes - (n - 1) * 0.1) / math.sqrt((n - 1) * 0.09)
+        z3 = (0.5 - r) * math.sqrt(n)
+        z = max(-12.0, min(12.0, (z1 + z2 + z3) / math.sqrt(3) if rate > 1e-12 else z1))
+        p = 1 / (1 + math.exp(1.5976 * z + 0.07056 * z**3))
+        tested.append((m.start(), m.end(), n >= least and uniform <= reject and abs(runs) <= reject, p))
+    ps = sorted(p for _, _, ok, p in tested if ok)
+    limit = max((p for k, p in enumerate(ps) if p <= fdr * (k + 1) / len(tested)), default=-1.0)
+    return [(a, b) for a, b, ok, p in tested if ok and p <= limit]
