@@ -35,6 +35,8 @@ from msgscreen.scale import BROADCAST_BYTES, broadcast_bounded, measured, measur
 
 #: Documents of a block: a power of two.
 BLOCK_DOCS = 128
+#: Documents whose terms are sorted together while the maxima of their blocks are taken.
+PEAK_DOCS = 1024
 #: Terms of a query, by weight, that choose its blocks of the first round, and how many it chooses.
 LEADING_TERMS = 4
 FIRST_BLOCKS = 4
@@ -61,7 +63,7 @@ def _peaks(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in (whole.slice(at, PEAK_DOCS) for whole in batches for at in range(0, whole.num_rows, PEAK_DOCS)):
         sizes = batch["terms"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         flat = batch["terms"].flatten()
         coded = flat.field("term").dictionary_encode()

@@ -71,7 +71,7 @@ def clustered(spark, n, dim, spread, seed=1):
 def test_dense_rows_equal(spark, tmp_path, spread):
     corpus = clustered(spark, 900, 16, spread)
     queries = corpus.where("doc_id % 9 = 0").withColumnRenamed("doc_id", "query_id")
-    pruned.save_cells(corpus, str(tmp_path), 40)
+    pruned.store_cells(ann.cells_of(corpus, corpus.where("doc_id < 40").withColumnRenamed("doc_id", "cell")), str(tmp_path))
     index = pruned.load_cells(spark, str(tmp_path))
     # Past the queries; to the cells, never, as decided by the yield of the bounds, and always.
     for plan, worthwhile in (("auto", 0.5), ("pairs", 0.0), ("pairs", 0.5), ("pairs", 1.0)):
