@@ -209,10 +209,22 @@ def common_prefixes(s: np.ndarray, order: np.ndarray, starts: np.ndarray, limit:
 # --- strings, minimizers, segments ----------------------------------------------------
 
 
+class Powers:
+    """Powers of a base modulo 2**64, kept from block to block."""
+
+    def __init__(self):
+        self.kept: dict[int, np.ndarray] = {}
+
+    def first(self, base: int, n: int) -> np.ndarray:
+        if base not in self.kept or len(self.kept[base]) < n:
+            self.kept[base] = powers(base, n + n // 4)
+        return self.kept[base][:n]
+
+
 class Segments:
-    """Runs of ``WIDTH``-byte strings with one minimizer, over a block of pieces of texts."""
+    """Runs of ``WIDTH``-byte strings with one minimizer, over a block of pieces of texts; keys only where they are asked for."""
 
-    def __init__(self, pieces: list[bytes], width: int, gram: int):
+    def __init__(self, pieces: list[bytes], width: int, gram: int, table: Powers):
         self.blob = b"".join(pieces)
         data = np.frombuffer(self.blob, np.uint8).astype(np.uint64) + np.uint64(1)
         n = len(data)
@@ -222,10 +234,8 @@ class Segments:
         self.count = 0
         if n < width:
             return
-        runs = []
-        for base in (_ONE, _TWO):
-            runs.append((np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * powers(base, n), dtype=np.uint64))), powers(pow(base, -1, 2**64), n + 1)))
-        run, down = runs[0]
+        self._data, self._table = data, table
+        run, down = self._first = self._sums(_ONE)
         h = mix((run[gram:] - run[:-gram]) * down[: n - gram + 1])
         bits = max(1, int(n).bit_length())
         low = (h >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(h), dtype=np.uint64)
@@ -251,9 +261,21 @@ class Segments:
         self.stop = self.begin + self.strings + width - 1
         self.local = self.begin - offsets[self.piece]
         self.minimizer = h[position[head]]
-        self.keys = np.empty((self.count, 2), np.uint64)
-        for j, (run, down) in enumerate(runs):
-            self.keys[:, j] = mix((run[self.stop] - run[self.begin]) * down[self.begin] + (self.stop - self.begin).astype(np.uint64))
+
+    def _sums(self, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the bytes times the powers of ``base``, and the powers that undo their shift."""
+        n = len(self._data)
+        run = np.zeros(n + 1, np.uint64)
+        np.cumsum(self._data * self._table.first(base, n), dtype=np.uint64, out=run[1:])
+        return run, self._table.first(pow(base, -1, 2**64), n + 1)
+
+    def keys(self, rows: np.ndarray) -> np.ndarray:
+        """Two 64-bit hashes of each of these segments."""
+        begin, stop = self.begin[rows], self.stop[rows]
+        out = np.empty((len(rows), 2), np.uint64)
+        for j, (run, down) in enumerate((self._first, self._sums(_TWO))):
+            out[:, j] = mix((run[stop] - run[begin]) * down[begin] + (stop - begin).astype(np.uint64))
+        return out
 
 
 class Chunk:
@@ -269,9 +291,9 @@ class Chunk:
 
     def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, Segments]]:
         """(document, offset of the segment in it, segments) of each block."""
-        raw = [self.texts[d][a : a + PIECE] for d, a in self.pieces]
+        raw, table = [self.texts[d][a : a + PIECE] for d, a in self.pieces], Powers()
         for lo, hi in blocks(raw):
-            found = Segments(raw[lo:hi], self.width, self.gram)
+            found = Segments(raw[lo:hi], self.width, self.gram, table)
             if found.count:
                 doc = np.array([d for d, _ in self.pieces[lo:hi]])[found.piece]
                 base = np.array([a for _, a in self.pieces[lo:hi]])[found.piece]
@@ -292,8 +314,8 @@ def _sorted_unique(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, order[fresh], number
 
 
-def shard_masks(segments: list[bytes], ids: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each distinct segment the smallest id of each of its strings, over all segments given."""
+def shard_masks(segments: list[bytes], ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id of each string of the distinct segments, over all of them, and where each segment's strings begin."""
     blob = b"\xff".join(segments) + b"\xff"
     s = np.frombuffer(blob, np.uint8) + np.uint8(1)  # the separator, never a byte of UTF-8, becomes 0
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
@@ -313,7 +335,7 @@ def shard_masks(segments: list[bytes], ids: np.ndarray, width: int) -> list[np.n
     least = np.minimum.reduceat(ids[owner[row]], np.flatnonzero(fresh))
     out = np.empty(len(owner), np.int64)
     out[row] = least[np.cumsum(fresh) - 1]
-    return np.split(out, np.cumsum(strings)[:-1])
+    return out, np.concatenate(([0], np.cumsum(strings)))
 
 
 # --- the distributed steps ------------------------------------------------------------
@@ -418,9 +440,10 @@ def repeats(
             at = np.minimum(np.searchsorted(shared, found.minimizer), len(shared) - 1)
             use = np.flatnonzero(shared[at] == found.minimizer)
             # Distinct segments of the block first: most repeats are near.
-            order, firsts, _ = _sorted_unique(found.keys[use], chunk.ids[doc[use]])
+            hashes = found.keys(use)
+            order, firsts, _ = _sorted_unique(hashes, chunk.ids[doc[use]])
             use = use[firsts]
-            keys.append(found.keys[use])
+            keys.append(hashes[firsts])
             owners.append(chunk.ids[doc[use]])
             minimizers.append(found.minimizer[use])
             blob = found.blob
@@ -450,13 +473,15 @@ def repeats(
                     least[t] = o
         segments = list(least)
         number = {t: i for i, t in enumerate(segments)}
-        smallest = shard_masks(segments, np.fromiter(least.values(), np.int64, len(least)), width)
+        smallest, begin = shard_masks(segments, np.fromiter(least.values(), np.int64, len(least)), width)
         rows = []
         for c, keys, owners, texts in sent:
-            masks = np.zeros(len(texts), np.uint32)
-            for j, (t, o) in enumerate(zip(texts, owners.tolist())):
-                for bit in np.flatnonzero(smallest[number[t]] < o).tolist():
-                    masks[j] |= np.uint32(1 << bit)
+            at = np.fromiter(map(number.__getitem__, texts), np.int64, len(texts))
+            strings = begin[at + 1] - begin[at]
+            first = np.cumsum(strings) - strings
+            place = np.arange(int(strings.sum())) - np.repeat(first, strings)
+            later = smallest[np.repeat(begin[at], strings) + place] < np.repeat(owners, strings)
+            masks = np.bitwise_or.reduceat(np.where(later, np.uint32(1) << place.astype(np.uint32), np.uint32(0)), first)
             use = np.flatnonzero(masks)
             if len(use):
                 rows.append((c, 2, keys[use].tobytes(), masks[use].tobytes()))
@@ -469,7 +494,7 @@ def repeats(
         told = np.frombuffer(b"".join(x for x, _ in said[2]), np.uint64).reshape(-1, 2)
         masks = np.frombuffer(b"".join(y for _, y in said[2]), np.uint32)
         cover: dict[int, np.ndarray] = {}
-        kept_blocks = [(doc, offset, found.keys, found.strings) for doc, offset, found in chunk.blocks()]
+        kept_blocks = [(doc, offset, found.keys(np.arange(found.count)), found.strings) for doc, offset, found in chunk.blocks()]
         if kept_blocks:
             doc, offset, keys, strings = (np.concatenate(x) for x in zip(*kept_blocks))
             del kept_blocks
