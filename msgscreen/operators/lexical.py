@@ -38,6 +38,9 @@ IDF_FLOOR = 0.25
 #: Tokens of the documents held by one fragment while its queries stream past.
 FRAGMENT_TOKENS = 8_000_000
 
+#: Bytes that a token of a document counts for when it is weighed which side of the fragments plan is copied.
+TOKEN_BYTES = 16
+
 #: Below this many query-term rows the term-clustered postings are read instead of all documents.
 FEW_QUERY_TERMS = 256
 
@@ -222,10 +225,38 @@ def _scored_by_scan(terms: DataFrame, index: LexicalIndex, k: int, k1: float, b:
     return index.doc_terms.mapInArrow(scan, "query_id bigint, doc_id bigint, score double")
 
 
-def _fragment_count(index: LexicalIndex) -> int:
+def _token_count(index: LexicalIndex) -> int:
     """From the lengths alone; the term lists are not read for it."""
-    tokens_ = index.doc_terms.agg(F.sum(F.col("dl").cast("bigint"))).first()[0] or 0
-    return max(1, math.ceil(tokens_ / FRAGMENT_TOKENS))
+    return index.doc_terms.agg(F.sum(F.col("dl").cast("bigint"))).first()[0] or 0
+
+
+def cut_to_vocabulary(doc_terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``doc_terms`` without the terms that ``vocabulary(term)`` lacks, and without documents that are left with none.
+
+    Lengths stay those of the whole texts, so scores stay the same. Nothing is cut by a vocabulary beyond the broadcast bound.
+    """
+    doc_terms = doc_terms.select("doc_id", "dl", "terms", *[c for c in doc_terms.columns if c not in ("doc_id", "dl", "terms")])
+    if measured(vocabulary)[1] > BROADCAST_BYTES:
+        return doc_terms
+    shared = doc_terms.sparkSession.sparkContext.broadcast(vocabulary.select("term").toArrow()["term"].combine_chunks())
+
+    def cut(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known = shared.value
+        known = pa.concat_arrays(known.chunks) if isinstance(known, pa.ChunkedArray) else known
+        for batch in batches:
+            sizes = batch["terms"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = batch["terms"].flatten()
+            keep = pc.is_in(flat.field("term"), value_set=known)
+            left = np.bincount(np.repeat(np.arange(batch.num_rows), sizes)[keep.to_numpy(zero_copy_only=False)], minlength=batch.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left))), pa.int32()), flat.filter(keep))
+            at = batch.schema.get_field_index("terms")
+            yield pa.RecordBatch.from_arrays([lists if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names).filter(pa.array(left > 0))
+
+    return doc_terms.mapInArrow(cut, doc_terms.schema)
 
 
 _SIDE_TERMS = "array<struct<term:string,tf:int,w:double>>"
@@ -250,11 +281,15 @@ def query_side(weights: DataFrame, average: Column) -> DataFrame:
 
 
 def _scored_by_fragments(
-    terms: DataFrame, index: LexicalIndex, k: int, k1: float, b: float, fragments: int, blocks: int
+    terms: DataFrame, index: LexicalIndex, k: int, k1: float, b: float, fragments: int, blocks: int, small: bool
 ) -> DataFrame:
-    """One shuffle by (fragment, query block); inside a partition documents come first, then queries stream past."""
-    asked = query_side(query_weights(terms, index, False), average_length(index))
-    asked, docs = block_pairs(asked, document_side(index.doc_terms), fragments, blocks)
+    """One shuffle by (fragment, query block); inside a partition documents come first, then queries stream past.
+
+    Of a document only the terms that some query asks for travel.
+    """
+    asked = query_side(query_weights(terms, index, small), average_length(index))
+    docs = document_side(cut_to_vocabulary(index.doc_terms, terms.select("term").distinct()))
+    asked, docs = block_pairs(asked, docs, fragments, blocks)
     ordered = (
         docs.drop("doc_id").unionByName(asked.drop("query_id"))
         .repartitionById(fragments * blocks, F.col("frag"))  # one pair of blocks per task, no collisions
@@ -331,16 +366,15 @@ def bm25_topk(
 
     Scores are rounded to 6 digits before ranking; ties go to the lower ``doc_id``.
     Only documents that share a term with the query are listed; ``pad`` fills short
-    lists with zero-score documents, lowest ids first.
+    lists with zero-score documents, lowest ids first. ``fragments`` is a least number: no
+    fragment holds many more than ``FRAGMENT_TOKENS`` tokens.
     """
     terms = query_terms(queries, text)
     tasks = 1
-    if plan != "fragments" or blocks is None:
-        rows, size = measured(terms)
-        small = size <= BROADCAST_BYTES
-        if plan == "auto":
-            few = index.stored and rows <= FEW_QUERY_TERMS
-            plan = "join" if few else "scan" if small else "fragments"
+    rows, size = measured(terms)
+    if plan == "auto":
+        few = index.stored and rows <= FEW_QUERY_TERMS
+        plan = "join" if few else "scan" if size <= BROADCAST_BYTES else "fragments"
     if plan in ("scan", "join"):
         # Query sides beyond the bound go in batches of whole queries that fit, one scan each.
         batches = max(1, math.ceil(size / BROADCAST_BYTES))
@@ -349,10 +383,12 @@ def bm25_topk(
         one = (lambda t: _scored_by_scan(t, index, k, k1, b)) if plan == "scan" else (lambda t: _scored_by_join(t, index, k1, b))
         scored = reduce(DataFrame.unionByName, [one(t) for t in sides])
     elif plan == "fragments":
-        count = fragments or _fragment_count(index)
-        per = blocks or block_count(size)
+        length = _token_count(index)
+        count, per = max(fragments or 1, math.ceil(length / FRAGMENT_TOKENS)), blocks or block_count(size)
         tasks = count * per
-        scored = _scored_by_fragments(terms, index, k, k1, b, count, per)
+        if size * count < length * TOKEN_BYTES:  # copying the queries to smaller fragments costs less than copying documents to each block
+            count, per = tasks, 1
+        scored = _scored_by_fragments(terms, index, k, k1, b, count, per, size <= BROADCAST_BYTES)
     else:
         raise ValueError(f"unknown plan {plan!r}")
     order = [F.desc("score"), F.asc("doc_id")]

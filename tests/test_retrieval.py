@@ -249,3 +249,25 @@ def test_a_task_meets_one_block_of_queries(spark):
     met = q.join(c, "frag")
     assert met.count() == 50 * 90 and met.select("query_id", "doc_id").distinct().count() == 50 * 90
     assert met.groupBy("frag").agg(F.countDistinct("query_id").alias("n")).agg(F.max("n")).first()[0] < 30
+
+
+def test_fragments_send_only_asked_terms_and_copy_the_smaller_side(spark, monkeypatch):
+    """Documents travel once, cut to the terms of the queries, though the queries come in four blocks."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} " + " ".join(f"x{i}y{j}" for j in range(50))) for i in range(200)] + [(900, "else"), (901, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(4)], "query_id long, text string")
+    index, sent, pairs = lexical.build_lexical_index(docs), [], lexical.block_pairs
+
+    def caught(asked, corpus, fragments, blocks):
+        both = pairs(asked, corpus, fragments, blocks)
+        sent.append(both[1])
+        return both
+
+    monkeypatch.setattr(lexical, "block_pairs", caught)
+    got = run_of(lexical.bm25_topk(queries, index, 10, plan="fragments", fragments=3, blocks=4))
+    assert got == run_of(lexical.bm25_topk(queries, index, 10, plan="scan"))
+    words = sent[0].select("doc_id", F.explode("terms.term").alias("term"))
+    assert words.where("term NOT LIKE 'w%'").count() == 0
+    assert sent[0].count() == sent[0].select("doc_id").distinct().count() < 202
+    monkeypatch.setattr(lexical, "FRAGMENT_TOKENS", 1000)  # fragments stay bounded, whatever number was asked for
+    lexical.bm25_topk(queries, index, 10, plan="fragments", fragments=3, blocks=1)
+    assert sent[1].select("frag").distinct().count() > 3
