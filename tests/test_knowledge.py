@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import pytest
@@ -262,3 +263,23 @@ def test_screening_stream_with_retrieval_equals_batch(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/log").select(columns).collect()
     want = analyse(spark.createDataFrame(messages, "query_id long, text string")).select(columns).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 40
+
+
+def test_loading_chunks_shuffles_no_text(spark, tmp_path):
+    """Old versions, deleted and chunkless documents go by a broadcast of their names; beyond the bound the rows are the same."""
+    home, long = str(tmp_path / "kb"), "some words of a document " * 9
+    put = lambda rows, version: arrivals.add_documents(spark.createDataFrame(rows, "source_name string, text string"), home, HashingEncoder(8), version)
+    put([(f"d{i}", f"{i} {long}") for i in range(6)] + [(None, long)], 0)
+    plain = arrivals.load_chunks(spark, home)
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString() and plain.count() == 6
+    put([("d1", "gone"), ("d2", f"new {long}")], 1)
+    requests = spark.createDataFrame([("d3", dt.datetime(2100, 1, 1), 1)], "name string, requested_at timestamp_ntz, seq long")
+    arrivals.delete_documents(spark, home, requests, 2)
+    some = arrivals.load_chunks(spark, home)
+    shown = some._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
+    live = arrivals._live_documents(spark, home)
+    every = spark.read.parquet(f"{home}/chunks").withColumn("sink", F.col("sink").cast("string"))
+    want = every.join(live, ["source_name", "sink", "version"], "left_semi")
+    key = lambda df: sorted(map(tuple, df.select("source_name", "version", "chunk_id", "chunk").collect()))
+    assert key(some) == key(want) and {r[0] for r in key(some)} == {"d0", "d2", "d4", "d5"}
