@@ -25,8 +25,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from msgscreen.functions.text import term_counts, tokens
+from msgscreen import schema
+from msgscreen.functions.text import split_tokens, term_counts, tokens
 from msgscreen.operators.blocks import best_k, running_best
 from msgscreen.scale import BROADCAST_BYTES, block_count, block_pairs, measured, merged_best, top_rows
 
@@ -41,6 +43,10 @@ FRAGMENT_TOKENS = 8_000_000
 #: Bytes that a token of a document counts for when it is weighed which side of the fragments plan is copied.
 TOKEN_BYTES = 16
 
+#: Documents whose tokens are counted together, and documents whose postings of a term share a row.
+COUNTED_DOCS = 2048
+POSTED_DOCS = 8192
+
 #: Below this many query-term rows the term-clustered postings are read instead of all documents.
 FEW_QUERY_TERMS = 256
 
@@ -55,15 +61,86 @@ class LexicalIndex:
 
 
 def build_doc_terms(docs: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """Term counts of every document, one row each, with the columns ``keep``; no shuffle."""
-    words = docs.select("doc_id", tokens(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("_t"), *keep)
-    return words.select("doc_id", F.size("_t").alias("dl"), term_counts(F.col("_t")).alias("terms"), *keep)
+    """Term counts of every document, one row each, with the columns ``keep``; no shuffle.
+
+    Terms stand in the order of their bytes, as ``term_counts`` gives them; tokens are counted by blocks of documents.
+    """
+    words = docs.select("doc_id", F.lower(F.col(text)).alias("_t"), *keep)
+
+    def count(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for part in (whole.slice(at, COUNTED_DOCS) for whole in batches for at in range(0, whole.num_rows, COUNTED_DOCS)):
+            sizes, coded = split_tokens(part["_t"])
+            order = pc.sort_indices(coded.dictionary).to_numpy()
+            place = np.empty(len(order), "int64")
+            place[order] = np.arange(len(order))
+            wide = max(1, len(order))
+            found, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * wide + place[coded.indices.to_numpy()], return_counts=True)
+            ends = np.cumsum(np.bincount(found // wide, minlength=len(sizes)))
+            pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(order[found % wide])), pa.array(tf, pa.int32())], ["term", "tf"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes, pa.int32()), lists, *[part[c] for c in keep]], ["doc_id", "dl", "terms", *keep])
+
+    kind = [words.schema["doc_id"], *schema.DOC_TERMS.fields[1:], *[words.schema[c] for c in keep]]
+    return words.mapInArrow(count, T.StructType(kind))
 
 
 def postings_of(doc_terms: DataFrame) -> DataFrame:
     return doc_terms.select("doc_id", "dl", F.inline("terms")).select("term", "doc_id", "tf", "dl")
 
 
+def posting_blocks(doc_terms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(term, first, n, ids, tfs, dls, *by)``: postings, those of a term in neighbouring documents as one row.
+
+    The lists go by id, ``first`` is the lowest, ``n`` their length; ``by`` names columns that are equal in a list.
+    """
+    rows = doc_terms.select("doc_id", "dl", "terms", *by)
+
+    def grouped(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for part in (whole.slice(at, POSTED_DOCS) for whole in batches for at in range(0, whole.num_rows, POSTED_DOCS)):
+            sizes = part["terms"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = part["terms"].flatten()
+            if not len(flat):
+                continue
+            coded = flat.field("term").dictionary_encode()
+            by_id = pc.sort_indices(part["doc_id"], null_placement="at_start").to_numpy()
+            place = np.empty(len(by_id), "int64")
+            place[by_id] = np.arange(len(by_id))
+            group = np.zeros(len(by_id), "int64")
+            for c in by:
+                mark = part[c].dictionary_encode("encode")
+                group = group * max(1, len(mark.dictionary)) + mark.indices.to_numpy()
+            row = np.repeat(np.arange(len(by_id)), sizes)
+            key = group[row] * len(coded.dictionary) + coded.indices.to_numpy()
+            order = np.lexsort((place[row], key))
+            key, row = key[order], row[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            ends = np.append(first[1:], len(key))
+            at, head = pa.array(row), pa.array(row[first])
+            offsets = pa.array(np.concatenate(([0], ends)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, c) for c in (part["doc_id"].take(at), flat.field("tf").take(pa.array(order)), part["dl"].take(at))]
+            terms = coded.dictionary.take(pa.array(key[first] % len(coded.dictionary)))
+            yield pa.RecordBatch.from_arrays(
+                [terms, part["doc_id"].take(head), pa.array(ends - first, pa.int32()), *lists, *[part[c].take(head) for c in by]],
+                ["term", "first", "n", "ids", "tfs", "dls", *by],
+            )
+
+    return rows.mapInArrow(grouped, T.StructType([*schema.POSTING_BLOCKS.fields, *[rows.schema[c] for c in by]]))
+
+
+def postings_in(blocks: DataFrame, *keep: str) -> DataFrame:
+    """The single postings of ``posting_blocks``."""
+    single = F.inline(F.arrays_zip("ids", "tfs", "dls")).alias("doc_id", "tf", "dl")
+    return blocks.select("term", single, *keep)
+
+
 def length_stats(doc_terms: DataFrame) -> DataFrame:
     return doc_terms.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
@@ -118,21 +195,79 @@ def average_length(index: LexicalIndex):
     return index.corpus_stats.select("avgdl").scalar().cast("double")
 
 
-def _scored_by_join(terms: DataFrame, index: LexicalIndex, k1: float, b: float) -> DataFrame:
-    weights = query_weights(terms, index, True)
-    tf = F.col("tf").cast("double")
-    part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / average_length(index)))
-    # Cut the postings to the query vocabulary, bring each document to one task, and only
-    # then meet the queries, so pairs are summed where they arise.
-    vocabulary = F.broadcast(terms.select("term").distinct())
-    return (
-        index.postings.join(vocabulary, "term", "left_semi")
-        .repartition("doc_id")
-        .join(F.broadcast(weights), "term")
-        .groupBy("doc_id", "query_id")
-        .agg(F.round(F.sum(part), 6).alias("score"))
-        .select("query_id", "doc_id", "score")
+def _shared_weights(terms: DataFrame, index: LexicalIndex):
+    """Broadcast table ``(query_id, term, w, avgdl)``, a row for each query and term."""
+    table = (
+        query_weights(terms, index, True)
+        .groupBy("query_id", "term").agg(F.sum("w").alias("w"))
+        .withColumn("avgdl", average_length(index))
+        .toArrow()  # bounded: the caller measured the query terms
     )
+    return terms.sparkSession.sparkContext.broadcast(table.combine_chunks())
+
+
+def _scored_by_join(terms: DataFrame, index: LexicalIndex, k: int, k1: float, b: float) -> DataFrame:
+    """Postings of the query vocabulary, brought to the task of their document, which keeps k rows per query."""
+    shared, collect = _shared_weights(terms, index), running_best(k)
+    _, gains, by_code, scores = _block_scorer(k1, b)
+    no_id = -(1 << 63)  # stands for a missing id inside the task
+    vocabulary = F.broadcast(terms.select("term").distinct())
+
+    def whole_documents(batches: Iterator) -> Iterator:
+        """Batches of rows by ``doc_id``, cut where a document ends."""
+        import numpy as np
+        import pyarrow as pa
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch["doc_id"].fill_null(no_id).to_numpy()
+            last = int(np.searchsorted(ids, ids[-1]))
+            before = held and held[-1]["doc_id"].fill_null(no_id)[0].as_py() == ids[-1]
+            if last or held and not before:
+                yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def score(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        weights = shared.value
+        if not weights.num_rows:
+            return
+        query_ids, q_no = np.unique(weights["query_id"].fill_null(no_id).to_numpy(), return_inverse=True)
+        coded = pa.concat_arrays(weights["term"].chunks).dictionary_encode()
+        code, w, mean = coded.indices.to_numpy(), weights["w"].to_numpy(), weights["avgdl"][0].as_py()
+        groups = []
+        for at in range(0, len(query_ids), 1024):
+            mine = (q_no >= at) & (q_no < at + 1024)
+            groups.append((at, min(1024, len(query_ids) - at), by_code(code[mine], q_no[mine] - at, w[mine])))
+        add, results = collect(query_ids)
+        for rows in whole_documents(batches):
+            found = pc.index_in(rows["term"].combine_chunks(), value_set=coded.dictionary)
+            rows = rows.append_column("code", found).filter(found.is_valid())
+            ids, doc = np.unique(rows["doc_id"].fill_null(no_id).to_numpy(), return_inverse=True)
+            term, tf, dl = (rows[c].to_numpy() for c in ("code", "tf", "dl"))
+            gain = gains(np.arange(len(tf)), tf, dl, mean)
+            for lo in range(0, len(ids), 2048):
+                first, last = np.searchsorted(doc, (lo, lo + 2048))
+                key = term[first:last].astype("int64") * 2048 + (doc[first:last] - lo)
+                key, back = np.unique(key, return_inverse=True)
+                total = np.bincount(back, gain[first:last], len(key))  # rows that share an id add up
+                documents, block = by_code(key // 2048, key % 2048, total), ids[lo : lo + 2048]
+                for at, size, queries in groups:
+                    add(at, block, scores(queries, documents, (size, len(block))))
+        for batch in results():
+            marked = [pc.if_else(pc.equal(batch[c], no_id), None, batch[c]) for c in ("query_id", "doc_id")]
+            yield pa.RecordBatch.from_arrays([*marked, batch["score"]], ["query_id", "doc_id", "score"])
+
+    met = index.postings.join(vocabulary, "term", "left_semi").repartition("doc_id").sortWithinPartitions("doc_id")
+    return met.select("term", "doc_id", "tf", "dl").mapInArrow(score, "query_id bigint, doc_id bigint, score double")
 
 
 def _block_scorer(k1: float, b: float):
@@ -380,7 +515,7 @@ def bm25_topk(
         batches = max(1, math.ceil(size / BROADCAST_BYTES))
         part = F.pmod(F.xxhash64("query_id"), F.lit(batches))
         sides = [terms.where(part == i) for i in range(batches)] if batches > 1 else [terms]
-        one = (lambda t: _scored_by_scan(t, index, k, k1, b)) if plan == "scan" else (lambda t: _scored_by_join(t, index, k1, b))
+        one = (lambda t: _scored_by_scan(t, index, k, k1, b)) if plan == "scan" else (lambda t: _scored_by_join(t, index, k, k1, b))
         scored = reduce(DataFrame.unionByName, [one(t) for t in sides])
     elif plan == "fragments":
         length = _token_count(index)

@@ -13,11 +13,12 @@ from msgscreen.operators.fusion import case_part
 from msgscreen.operators.lexical import (
     LexicalIndex,
     build_doc_terms,
+    idf_of,
     length_stats,
-    postings_of,
-    term_stats_of,
+    posting_blocks,
+    postings_in,
 )
-from msgscreen.scale import path_exists
+from msgscreen.scale import path_exists, remove, scratch_path
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> str:
@@ -59,21 +60,17 @@ def encoder_mark(encoder: Encoder, name: str | None = None) -> str:
 def save_lexical_index(docs: DataFrame, path: str, text: str = "text") -> None:
     """Write the index tables. Texts are tokenised once; the rest derives from the stored counts.
 
-    ``postings`` is ranged by (term, doc_id): a query reads few files, and a stop word that
-    touches most documents spreads over many files instead of filling one.
+    ``posting_blocks`` is ranged by (term, first document): a query reads few files, and a stop word that
+    touches most documents spreads over many files instead of filling one. A row holds a list of postings, so
+    the shuffle sorts lists, and the document frequencies are sums of their lengths.
     """
     spark = docs.sparkSession
     build_doc_terms(docs, text).write.mode("overwrite").parquet(f"{path}/doc_terms")
     doc_terms = spark.read.schema(schema.DOC_TERMS).parquet(f"{path}/doc_terms")
-    (
-        postings_of(doc_terms)
-        .repartitionByRange("term", "doc_id")
-        .sortWithinPartitions("term", "doc_id")
-        .write.mode("overwrite")
-        .parquet(f"{path}/postings")
-    )
+    save_posting_blocks(doc_terms, f"{path}/posting_blocks")
+    blocks = spark.read.schema(schema.POSTING_BLOCKS).parquet(f"{path}/posting_blocks")
     lengths = length_stats(doc_terms)
-    term_stats, _ = term_stats_of(doc_terms, lengths)
+    term_stats, _ = idf_of(blocks.groupBy("term").agg(F.sum("n").alias("df")), lengths.select("n").scalar())
     term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
     # The mean of the raw idf needs no second pass over documents: df and n give it back.
     stored = spark.read.schema(schema.TERM_STATS).parquet(f"{path}/term_stats")
@@ -83,13 +80,23 @@ def save_lexical_index(docs: DataFrame, path: str, text: str = "text") -> None:
     lengths.withColumn("avg_idf", mean.scalar()).write.mode("overwrite").parquet(f"{path}/corpus_stats")
 
 
+def save_posting_blocks(doc_terms: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """``posting_blocks`` ranged by (term, first document), formed once although ranging reads its input twice."""
+    spark, scratch = doc_terms.sparkSession, scratch_path(doc_terms.sparkSession, "postings")
+    rows = posting_blocks(doc_terms, by)
+    rows.write.parquet(scratch)
+    formed = spark.read.schema(rows.schema).parquet(scratch)
+    formed.repartitionByRange("term", "first").sortWithinPartitions("term", "first").write.mode("overwrite").parquet(path)
+    remove(spark, scratch)
+
+
 def load_lexical_index(spark: SparkSession, path: str) -> LexicalIndex:
     def table(name: str, table_schema) -> DataFrame:
         return spark.read.schema(table_schema).parquet(f"{path}/{name}")
 
     return LexicalIndex(
         table("doc_terms", schema.DOC_TERMS),
-        table("postings", schema.POSTINGS),
+        postings_in(table("posting_blocks", schema.POSTING_BLOCKS)),
         table("term_stats", schema.TERM_STATS),
         table("corpus_stats", schema.CORPUS_STATS),
         stored=True,
@@ -116,7 +123,9 @@ def build_retrieval_system(
     spark = docs.sparkSession
     home = f"{path}/{mark or fingerprint(docs, text)}"
     lexical, vectors = f"{home}/lexical", f"{home}/vectors/{encoder_mark(encoder, encoder_name)}"
-    if force_rebuild or not path_exists(spark, f"{lexical}/corpus_stats/_SUCCESS"):
+    # Indexes of before ``posting_blocks`` have their postings one by one; they are built anew.
+    whole = all(path_exists(spark, f"{lexical}/{name}/_SUCCESS") for name in ("posting_blocks", "corpus_stats"))
+    if force_rebuild or not whole:
         save_lexical_index(docs, lexical, text)
     if force_rebuild or not path_exists(spark, f"{vectors}/_SUCCESS"):
         encoder.encode(docs.select("doc_id", text), text, keep=["doc_id"]).write.mode("overwrite").parquet(vectors)

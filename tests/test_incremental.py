@@ -172,3 +172,22 @@ def test_pages_in_odd_order(spark, tmp_path):
     spark.createDataFrame([("open", 1, "words " * 40, 3)], kind).coalesce(1).write.parquet(f"{folder}/batch=5")
     later = run(6)
     assert later.where("source_name = 'open'").count() == 2 and later.count() == got.where("source_name <> 'open'").count() + 2
+
+
+def test_stored_postings_are_lists(spark, tmp_path):
+    """A row of the stored postings is a list of neighbouring documents; what is read from them are single postings."""
+    from msgscreen.functions.text import term_counts, tokens
+    from msgscreen.operators import lexical
+    from msgscreen.sources import index as stored_index
+
+    texts = [(i, f"common Éa éa w{i % 3} w{i % 3} x{i}") for i in range(40)] + [(None, "common lost"), (90, None), (91, " "), (7, "common twice")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    plain = docs.select("doc_id", tokens(F.lower(F.coalesce("text", F.lit("")))).alias("t")).select("doc_id", F.size("t").alias("dl"), term_counts(F.col("t")).alias("terms"))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(lexical.build_doc_terms(docs)) == key(plain)
+    stored_index.save_lexical_index(docs, str(tmp_path))
+    got = stored_index.load_lexical_index(spark, str(tmp_path))
+    assert key(got.postings) == key(lexical.postings_of(plain))
+    assert key(got.term_stats.select("term", "df")) == key(lexical.document_frequencies(plain))
+    rows = spark.read.parquet(f"{tmp_path}/posting_blocks").where("term = 'common'")
+    assert rows.count() < rows.agg(F.sum("n")).first()[0] == 42

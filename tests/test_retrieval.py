@@ -271,3 +271,18 @@ def test_fragments_send_only_asked_terms_and_copy_the_smaller_side(spark, monkey
     monkeypatch.setattr(lexical, "FRAGMENT_TOKENS", 1000)  # fragments stay bounded, whatever number was asked for
     lexical.bm25_topk(queries, index, 10, plan="fragments", fragments=3, blocks=1)
     assert sent[1].select("frag").distinct().count() > 3
+
+
+def test_joined_pairs_stay_in_their_task(spark):
+    """Tasks of the join plan give k rows a query, not a row for each pair; documents that share an id add up."""
+    docs = [(i, f"the w{i % 4}") for i in range(300)] + [(7, "the w3 w3"), (None, "the w1")]
+    index = lexical.build_lexical_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    queries = spark.createDataFrame([(q, "the w1 w2") for q in range(20)] + [(3, "w2")], "query_id long, text string")
+    terms = lexical.query_terms(queries)
+    found = lexical._scored_by_join(terms, index, 4, 1.5, 0.75)
+    assert found.count() <= 20 * 4 * found.rdd.getNumPartitions() < 20 * 301
+    tf, mean = F.col("tf").cast("double"), lexical.average_length(index)
+    part = F.col("w") * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * F.col("dl") / mean))
+    pairs = index.postings.join(lexical.query_weights(terms, index, True), "term").groupBy("doc_id", "query_id").agg(F.round(F.sum(part), 6).alias("score"))
+    want = lexical.merged_best(pairs.select("query_id", "doc_id", "score"), 4, 1)
+    assert sorted(map(str, lexical.bm25_topk(queries, index, 4, plan="join").collect())) == sorted(map(str, want.collect()))
