@@ -2,7 +2,7 @@
 
 Layout of a store:
 
-* ``doc_terms/segment=<n>/file=<key>``, ``postings/segment=<n>``: term counts of the files that one refresh found new,
+* ``doc_terms/segment=<n>/file=<key>``, ``posting_blocks/segment=<n>``: term counts of the files that one refresh found new,
   written once and never changed. The key of a file is a digest of its path, size and time of change, so a
   changed file is a new file and its old rows are dead.
 * ``versions/<n>``: a snapshot of what is live: ``files``, ``removed`` (documents removed by id), ``term_stats`` and
@@ -19,14 +19,16 @@ driver, which lists the files of each scan anyway.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from msgscreen import schema
-from msgscreen.operators.lexical import LexicalIndex, build_doc_terms, document_frequencies, idf_of, postings_of
+from msgscreen.operators.lexical import LexicalIndex, build_doc_terms, idf_of, postings_in, postings_of
 from msgscreen.scale import broadcast_bounded, child_names, path_exists, remove, stored
+from msgscreen.sources.index import save_posting_blocks
 
 FILES = T.StructType([T.StructField("file", T.StringType()), T.StructField("path", T.StringType()), T.StructField("segment", T.LongType())])
 REMOVED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("file", T.StringType())])
@@ -97,6 +99,8 @@ def _live(
         rows = rows.where(F.col("file").isin(files))
     listed = broadcast_bounded(version.files.select("segment", "file"), version.totals["files"], ROW_BYTES)
     rows = rows.join(listed, ["segment", "file"], "left_semi")
+    if name == "posting_blocks":
+        rows = postings_in(rows, "file")
     if version.totals["removed"]:
         removed = broadcast_bounded(version.removed, version.totals["removed"], ROW_BYTES)
         rows = rows.join(removed, ["doc_id", "file"], "left_anti")
@@ -115,9 +119,7 @@ def _write_segment(doc_terms: DataFrame, store: str, segment: int, with_postings
     rows = spark.read.schema(T.StructType([*schema.DOC_TERMS.fields, PLACE[1]])).parquet(path)
     if not with_postings:
         return rows
-    postings = rows.select("file", "doc_id", "dl", F.inline("terms")).select("term", "doc_id", "tf", "dl", "file")
-    ranged = postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-    ranged.write.mode("overwrite").parquet(f"{store}/postings/segment={segment}")
+    save_posting_blocks(rows, f"{store}/posting_blocks/segment={segment}", ("file",))
     return rows
 
 
@@ -131,7 +133,7 @@ def _write_version(
 ) -> Version:
     spark, home = files.sparkSession, f"{store}/versions/{number}"
     removed.write.mode("overwrite").parquet(f"{home}/removed")
-    term_stats, mean = idf_of(counts, F.lit(n))
+    term_stats, mean = idf_of(stored(counts, "counts"), F.lit(n))  # read three times below
     term_stats.write.mode("overwrite").parquet(f"{home}/term_stats")
     average = F.lit(tokens / n if n else None).cast("double")
     number_of = {"files": files.count(), "removed": spark.read.schema(REMOVED).parquet(f"{home}/removed").count(), "tokens": tokens}
@@ -143,13 +145,11 @@ def _write_version(
 
 def _changed_counts(before: Version | None, plus: list[DataFrame], minus: list[DataFrame]) -> DataFrame:
     """Document frequencies after documents came and went; each side is a frame of ``doc_terms``."""
-    parts = [document_frequencies(rows) for rows in plus]
-    parts += [document_frequencies(rows).withColumn("df", -F.col("df")) for rows in minus]
+    sides = [(rows, 1) for rows in plus] + [(rows, -1) for rows in minus]
+    parts = [rows.select(F.explode("terms.term").alias("term"), F.lit(sign).cast("bigint").alias("df")) for rows, sign in sides]
     if before is not None:
         parts.append(before.term_stats.select("term", "df"))
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
+    merged = reduce(DataFrame.unionByName, parts)  # the vocabulary is shuffled once, whatever came and went
     return merged.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
 
@@ -160,7 +160,7 @@ def refresh(corpus: DataFrame, folder: str, store: str, text: str = "text", post
     without ``postings`` keeps none: searches by scan or by blocks do not need the copy that is ranged by term.
     """
     spark = corpus.sparkSession
-    postings = postings if not versions(spark, store) else path_exists(spark, f"{store}/postings")
+    postings = postings if not versions(spark, store) else path_exists(spark, f"{store}/posting_blocks")
     before = load_version(spark, store)
     now = files_in(spark, folder)
     if before is None:
@@ -199,7 +199,9 @@ def refresh(corpus: DataFrame, folder: str, store: str, text: str = "text", post
 def remove_documents(spark: SparkSession, store: str, ids: DataFrame) -> Version:
     """Take documents ``(doc_id)`` out of the index, wherever they are stored; unknown ids do nothing."""
     before = load_version(spark, store)
-    gone = stored(live_doc_terms(spark, store, before).join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), "removed")
+    wanted = stored(ids.select("doc_id").distinct(), "removed-ids")
+    wanted = broadcast_bounded(wanted, wanted.count(), 32)  # the documents stay where they are
+    gone = stored(live_doc_terms(spark, store, before).join(wanted, "doc_id", "left_semi"), "removed")
     rows, length = _sizes(gone)
     if not rows:
         return before
@@ -212,7 +214,7 @@ def compact(spark: SparkSession, store: str) -> Version:
     """All live rows as one segment; texts are not read."""
     before = load_version(spark, store)
     number = before.number + 1
-    _write_segment(live_doc_terms(spark, store, before), store, number, path_exists(spark, f"{store}/postings"))
+    _write_segment(live_doc_terms(spark, store, before), store, number, path_exists(spark, f"{store}/posting_blocks"))
     files = before.files.withColumn("segment", F.lit(number).cast("bigint"))
     counts = before.term_stats.select("term", "df")
     return _write_version(store, number, files, before.removed.limit(0), counts, before.totals["n"], before.totals["tokens"])
@@ -224,7 +226,7 @@ def vacuum(spark: SparkSession, store: str, keep: int = 1) -> None:
     used = {str(r["segment"]) for n in known[-keep:] for r in load_version(spark, store, n).files.select("segment").distinct().collect()}
     for n in known[:-keep]:
         remove(spark, f"{store}/versions/{n}")
-    for name in ("doc_terms", "postings"):
+    for name in ("doc_terms", "posting_blocks", "postings"):
         for child in child_names(spark, f"{store}/{name}"):
             if child.startswith("segment=") and child.removeprefix("segment=") not in used:
                 remove(spark, f"{store}/{name}/{child}")
@@ -236,6 +238,6 @@ def lexical_index(spark: SparkSession, store: str, number: int | None = None) ->
     if version is None:
         raise ValueError(f"no complete version in {store}")
     doc_terms = live_doc_terms(spark, store, version).select(*schema.DOC_TERMS.fieldNames())
-    ranged = path_exists(spark, f"{store}/postings")
-    postings = _live(spark, store, "postings", schema.POSTINGS, version).select(*schema.POSTINGS.fieldNames()) if ranged else postings_of(doc_terms)
+    ranged = path_exists(spark, f"{store}/posting_blocks")
+    postings = _live(spark, store, "posting_blocks", schema.POSTING_BLOCKS, version).select(*schema.POSTINGS.fieldNames()) if ranged else postings_of(doc_terms)
     return LexicalIndex(doc_terms, postings, version.term_stats, version.corpus_stats, stored=ranged)

@@ -158,3 +158,28 @@ def test_empty_corpus_and_emptied_corpus(spark, tmp_path):
     queries = spark.createDataFrame([(1, "the w1")], "query_id bigint, text string")
     assert lexical.bm25_topk(queries, index, 5, plan="scan").collect() == []
     assert index.corpus_stats.where(F.col("n") == 0).count() == 1
+
+
+def test_changes_shuffle_the_vocabulary_once_and_no_documents(spark, tmp_path, monkeypatch):
+    corpus = Corpus(spark, tmp_path)
+    corpus.put("a", made(range(0, 30)))
+    corpus.put("b", made(range(30, 60)))
+    plans, keep = {}, segments.stored
+
+    def caught(df, purpose):
+        plans[purpose] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, purpose)
+
+    monkeypatch.setattr(segments, "stored", caught)
+    corpus.refresh()
+    corpus.put("c", made(range(60, 90)))
+    corpus.drop("a")
+    corpus.refresh()
+    assert plans["counts"].count("Exchange hashpartitioning(term") == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the ids were many
+    try:
+        segments.remove_documents(spark, corpus.store, spark.createDataFrame([(35,), (70,)], "doc_id bigint"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plans["removed"] and "BroadcastHashJoin [doc_id" in plans["removed"]
+    assert corpus.now() == corpus.anew({35, 70})
