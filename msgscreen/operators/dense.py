@@ -25,6 +25,12 @@ from msgscreen.scale import BROADCAST_BYTES, block_count, block_pairs, measured_
 #: Bytes of vectors held by one fragment while its queries stream past.
 FRAGMENT_BYTES = 128 << 20
 
+#: Products (query, vector) of one task of a scan and of one pair of blocks, about.
+SCAN_PAIRS = 500_000_000
+BLOCK_PAIRS = 4_000_000_000
+#: Vectors that one task of a file scan may hold without being counted.
+SCAN_ROWS = 100_000
+
 _RUN_SCHEMA = "query_id bigint, doc_id bigint, score double"
 
 
@@ -48,6 +54,9 @@ def _scan_with_broadcast(queries: DataFrame, corpus: DataFrame, k: int, exclude_
     spark = corpus.sparkSession
     table = queries.toArrow()  # bounded: the caller measured it
     matrix = _matrix()
+    tasks = math.ceil(table.num_rows * corpus.count() / SCAN_PAIRS) if table.num_rows * SCAN_ROWS > SCAN_PAIRS else 1
+    if tasks > 1:  # many products over few files
+        corpus = corpus.repartition(tasks)
     shared = spark.sparkContext.broadcast(
         (table["query_id"].to_numpy(), matrix(table["embedding"]))
     )
@@ -163,6 +172,8 @@ def dense_topk(
         partial = _scan_with_broadcast(queries, corpus, k, exclude_self)
     elif plan == "fragments":
         count, per = fragments or fragment_count(corpus), blocks or block_count(size)
+        if fragments is None:
+            count = max(count, math.ceil(queries.count() * corpus.count() / (per * BLOCK_PAIRS)))
         tasks = count * per
         partial = score_fragments(*block_pairs(queries, corpus, count, per), k, tasks, exclude_self)
     else:

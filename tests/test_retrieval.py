@@ -273,6 +273,46 @@ def test_fragments_send_only_asked_terms_and_copy_the_smaller_side(spark, monkey
     assert sent[1].select("frag").distinct().count() > 3
 
 
+def test_best_rows_without_selection_are_the_same(monkeypatch):
+    """A bound from a sample or a floor replaces the selection of the k-th score, with ties and pairs that do not count."""
+    import numpy as np
+
+    from msgscreen.operators import blocks
+
+    rng = np.random.default_rng(3)
+    scores = np.round(rng.normal(size=(9, 9000)), 3)
+    scores[1] = 0.5
+    scores[2, rng.permutation(9000)[:8990]] = -np.inf
+    ids = rng.permutation(9000)
+    plain = [sorted(((-round(s, 6), i) for s, i in zip(line, ids) if np.isfinite(s)))[:7] for line in scores]
+    calls, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *rest, **named: calls.append(a.shape[1]) or partition(a, *rest, **named))
+    for lines in ([0, 5, 6, 7, 8], range(9), [1], [2]):
+        rows, docs, top = blocks.best_k(7)(ids, scores[list(lines)])
+        got = [[(-t, d) for r, d, t in zip(rows, docs, top) if r == i] for i in range(len(list(lines)))]
+        assert got == [plain[i] for i in lines]
+        if list(lines) == [0, 5, 6, 7, 8]:
+            assert max(calls) < 9000  # no selection over a whole line
+    floor = np.array([-plain[i][-1][0] for i in (0, 5)])
+    calls.clear()
+    rows, docs, _ = blocks.best_k(7)(ids[:3000], scores[[0, 5], :3000], floor)
+    assert not calls and set(docs) <= {i for at in (0, 5) for _, i in plain[at]}
+
+
+def test_products_are_spread_over_tasks(spark, monkeypatch):
+    vectors = random_vectors(spark, 200, 8, "doc_id", 4).coalesce(1)
+    queries = vectors.withColumnRenamed("doc_id", "query_id")
+    want = run_of(dense.dense_topk(queries, vectors, 5, plan="broadcast", exclude_self=True))
+    monkeypatch.setattr(dense, "SCAN_PAIRS", 30_000)
+    monkeypatch.setattr(dense, "BLOCK_PAIRS", 30_000)
+    sent, score = [], dense.score_fragments
+    monkeypatch.setattr(dense, "score_fragments", lambda q, c, k, n, x: sent.append(n) or score(q, c, k, n, x))
+    run = dense._scan_with_broadcast(queries, vectors, 5, True)
+    assert run.rdd.getNumPartitions() == 3
+    assert run_of(dense.dense_topk(queries, vectors, 5, plan="broadcast", exclude_self=True)) == want
+    assert run_of(dense.dense_topk(queries, vectors, 5, plan="fragments", exclude_self=True)) == want and sent == [3]
+
+
 def test_joined_pairs_stay_in_their_task(spark):
     """Tasks of the join plan give k rows a query, not a row for each pair; documents that share an id add up."""
     docs = [(i, f"the w{i % 4}") for i in range(300)] + [(7, "the w3 w3"), (None, "the w1")]
