@@ -55,3 +55,10 @@ def test_long_tokens_cost_in_proportion(spark):
     start = time.perf_counter()
     assert spans(spark, [f"data:{drawn(letters, 1_000_000)} end"]) == {0: [(5, 1_000_005)]}
     assert time.perf_counter() - start < 120
+
+
+def test_plan_holds_the_battery_once(spark):
+    """A value that is used more than once is bound, not written out: the plan holds each shape test once."""
+    frame = spark.createDataFrame([(1, "text")], "doc_id bigint, text string")
+    plan = secrets.masked(secrets.scanned(frame))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[A-Z2-7]") == 1
