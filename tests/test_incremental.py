@@ -191,3 +191,20 @@ def test_stored_postings_are_lists(spark, tmp_path):
     assert key(got.term_stats.select("term", "df")) == key(lexical.document_frequencies(plain))
     rows = spark.read.parquet(f"{tmp_path}/posting_blocks").where("term = 'common'")
     assert rows.count() < rows.agg(F.sum("n")).first()[0] == 42
+
+
+def test_pages_are_counted_in_shared_states(spark, tmp_path):
+    """Many documents share a state; each is reported once, in the batch that brings its last page."""
+    kind = "name string, page_no long, n_pages long"
+    batches = [[(f"d{i}", 0, 2) for i in range(1500)] + [("long", 70, 2), (None, 0, 1)], [(f"d{i}", 1, 2) for i in range(0, 1500, 2)] + [("d1", 0, 2), ("long", 1, 2)], [(f"d{i}", p, 2) for i in range(1500) for p in range(2)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/pages/batch={i}")
+    told = []
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/pages/batch=*")
+    writer = arrivals.complete_documents(stream).writeStream.foreachBatch(lambda batch, version: told.append(sorted(map(tuple, batch.collect()))))
+    query = writer.option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    even, odd = ([(f"d{i}", 2) for i in range(a, 1500, 2)] for a in (0, 1))
+    assert [t for t in told if t] == [sorted([*even, ("long", 2)]), sorted(odd)]
+    assert max(states) <= arrivals.COUNT_GROUPS < 1500
