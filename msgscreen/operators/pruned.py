@@ -83,7 +83,7 @@ def save_blocks(index: LexicalIndex, path: str, block_docs: int = BLOCK_DOCS) ->
     """Store the documents of an index in blocks of neighbours, the largest counts of each block, and the statistics.
 
     Documents stay in the order and the tasks they are read in, so only the block maxima are shuffled, once, to lie
-    ranged by term.
+    together by term.
     """
     spark = index.doc_terms.sparkSession
     # The number of a row: its partition above, its place in the partition in the 33 bits below.
@@ -92,7 +92,8 @@ def save_blocks(index: LexicalIndex, path: str, block_docs: int = BLOCK_DOCS) ->
     numbered = index.doc_terms.select(*schema.DOC_TERMS.fieldNames(), F.monotonically_increasing_id().alias("_at"))
     numbered.withColumns({"block": block, "shelf": shelf}).drop("_at").write.mode("overwrite").partitionBy("shelf").parquet(f"{path}/doc_terms")
     rows = spark.read.schema(DOC_BLOCKS).parquet(f"{path}/doc_terms")
-    peaks = rows.select("block", "dl", "terms").mapInArrow(_peaks, BLOCK_MAX).repartitionByRange("term", "block")
+    # By term, not ranged: a range would take the maxima twice, once to find its bounds. A term has a row a block at most.
+    peaks = rows.select("block", "dl", "terms").mapInArrow(_peaks, BLOCK_MAX).repartition("term")
     most = peaks.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))  # where a block lies in two batches
     most.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/block_max")
     lengths = length_stats(rows)
