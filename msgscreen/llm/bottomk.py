@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from msgscreen.llm.common import BLANK, LOWER, Words, blocks, checkpointed, encoded, scratch
+from msgscreen.llm.common import BLANK, LOWER, Words, blocks, checkpointed, scratch, text_blocks
 
 WORDS = 5
 K = 64
@@ -91,11 +91,12 @@ def _sketcher(size: int, k: int):
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct([("n", pa.int64()), ("sig", pa.binary()), ("sketch", pa.list_(pa.int64()))])
         for batch in batches:
-            rows = [
-                {"n": len(u), "sig": hashlib.blake2b(u.tobytes(), digest_size=16).digest(), "sketch": u[:k].view(np.int64)}
-                for u in sets_of(encoded(batch), size)
-            ]
-            yield pa.array(rows, kind)
+            for texts in text_blocks(batch):
+                rows = [  # copies, since a view would keep the whole set
+                    {"n": len(u), "sig": hashlib.blake2b(u.tobytes(), digest_size=16).digest(), "sketch": u[:k].view(np.int64).copy()}
+                    for u in sets_of(texts, size)
+                ]
+                yield pa.array(rows, kind)
 
     return F.arrow_udf(sketch, SKETCH)
 
@@ -256,7 +257,7 @@ def linked(
 
 
 def _zipped(values: pa.Array) -> pa.Array:
-    return pa.array([zlib.compress(t, 1) for t in encoded(values)], pa.binary())
+    return pa.array([zlib.compress(t, 1) for texts in text_blocks(values) for t in texts], pa.binary())
 
 
 def _bits(values: pa.Array) -> pa.Array:
@@ -296,8 +297,9 @@ def _full_postings(members: DataFrame, texts: DataFrame, size: int, percent: int
 
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = [u.view(np.int64) for u in sets_of([zlib.decompress(t) for t in batch.to_pylist()], size)]
-            yield pa.array(rows, pa.list_(pa.int64()))
+            for zipped in text_blocks(batch):
+                rows = [u.view(np.int64) for u in sets_of([zlib.decompress(t) for t in zipped], size)]
+                yield pa.array(rows, pa.list_(pa.int64()))
 
     whole = texts.join(asked, "id").select("id", F.arrow_udf(sets, "array<bigint>")(F.col("payload")).alias("s"))
     values = checkpointed(whole.select("id", F.size("s").cast("bigint").alias("n"), F.explode("s").alias("value")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from msgscreen.llm.common import ALNUM, LOWER, Words, blocks, encoded, scratch
+from msgscreen.llm.common import ALNUM, LOWER, Words, encoded, scratch, text_blocks
 
 WINDOW_WORDS = 10
 #: Largest test set, in bytes of its texts, that one broadcast carries. A window keeps its words and
@@ -89,10 +89,8 @@ def _scanner(test_set):
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = TestSet(*test_set.value)
         for values in batches:
-            texts, found = encoded(values), []
-            for a, b in blocks(texts):
-                found += held.scan(texts[a:b])
-            yield pa.array(found, _HITS)
+            for texts in text_blocks(values):
+                yield pa.array(held.scan(texts), _HITS)
 
     return scan
 

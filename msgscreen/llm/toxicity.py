@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from msgscreen.llm.common import text_blocks
+
 #: Bounds of the fitting: labelled rows, and words with a weight of their own.
 MAX_ROWS = 20_000
 MAX_WORDS = 1 << 15
@@ -195,6 +197,7 @@ def scored(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = ToxicityModel(weights, bias)
         for texts in batches:
-            yield pa.array(held.scores(texts.to_pylist()), pa.float64())
+            for block in text_blocks(texts):
+                yield pa.array(held.scores([t.decode() for t in block]), pa.float64())
 
     return docs.withColumn(out, score(F.col(text)))
