@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from msgscreen.llm.common import BLANK, LOWER, Words, blocks, encoded, mix
+from msgscreen.llm.common import BLANK, BLOCK_BYTES, LOWER, Words, blocks, encoded, mix
 
 CHUNK_BYTES = 8 << 20
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -67,9 +68,11 @@ class EliasFano:
         if self.low_bits:
             low = values & np.uint64((1 << self.low_bits) - 1)
             place, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            np.bitwise_or.at(words, place, low << shift)
-            over = shift > 0
-            np.bitwise_or.at(words, place[over] + 1, low[over] >> (np.uint64(64) - shift[over]))
+            if self.n:
+                first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+                words[place[first]] = np.bitwise_or.reduceat(low << shift, first)
+            over = shift + np.uint64(self.low_bits) > 64  # one value of a word at most
+            words[place[over] + 1] |= low[over] >> (np.uint64(64) - shift[over])
         before = np.concatenate(([0], np.cumsum(_BYTE_COUNT[unary])))
         self.parts = {}
         for part, array in (("high", unary), ("low", words), ("rank", before)):
@@ -77,10 +80,19 @@ class EliasFano:
             np.save(path, array)
             self.parts[part] = np.load(path, mmap_mode="r")
 
+    def whole(self) -> np.ndarray:
+        """All values in one pass over the bits."""
+        high = np.flatnonzero(np.unpackbits(self.parts["high"], bitorder="little")) - np.arange(self.n)
+        return self._with_low(high, np.arange(self.n))
+
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        if len(i) * 4 >= self.n:  # a pass is cheaper than so many single values
+            return self.whole()[i]
         rank = self.parts["rank"]
         byte = np.searchsorted(rank, i, side="right") - 1
-        high = byte * 8 + _BYTE_SELECT[self.parts["high"][byte], i - rank[byte]] - i
+        return self._with_low(byte * 8 + _BYTE_SELECT[self.parts["high"][byte], i - rank[byte]] - i, i)
+
+    def _with_low(self, high: np.ndarray, i: np.ndarray) -> np.ndarray:
         value = high.astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
             at = i.astype(np.uint64) * np.uint64(self.low_bits)
@@ -96,6 +108,14 @@ class EliasFano:
         lo = np.zeros(len(wanted), np.int64) if lo is None else lo.copy()
         hi = np.full(len(wanted), self.n, np.int64) if hi is None else hi.copy()
         end = hi.copy()
+        if len(wanted) * 8 >= self.n:
+            values = self.whole()
+            lo = np.clip(np.searchsorted(values, wanted), lo, hi)
+            out = np.full(len(wanted), -1, np.int64)
+            maybe = np.flatnonzero(lo < end)
+            same = values[lo[maybe]] == wanted[maybe]
+            out[maybe[same]] = lo[maybe[same]]
+            return out
         look = np.flatnonzero(lo < hi)
         while len(look):
             mid = (lo[look] + hi[look]) >> 1
@@ -127,8 +147,7 @@ class Level:
     def find(self, place: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Places of the words after contexts at ``place``, -1 where the n-gram does not occur."""
         out = np.full(len(word), -1, np.int64)
-        wide, of = np.unique(word, return_inverse=True)
-        number = self.words.find(wide)[of]
+        number = self.words.find(word)
         use = np.flatnonzero((place >= 0) & (number >= 0))
         place, number = place[use], number[use]
         out[use] = self.successors.find(self._wanted(place, number), self.pointers[place].astype(np.int64), self.pointers[place + 1].astype(np.int64))
@@ -152,8 +171,7 @@ class Trie:
         self.third = Level(folder, "third", len(context), pair, last, words, quantised(often))
 
     def places_of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        wide, of = np.unique(context, return_inverse=True)
-        return self.second.find(self.contexts.find(wide)[of], word)
+        return self.second.find(self.contexts.find(context), word)
 
 
 # --- tokens ---------------------------------------------------------------------------
@@ -162,13 +180,13 @@ class Trie:
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, context, word) of every token, the end of each text among them."""
     docs, contexts, words, base = [], [], [], 0
-    for a, b in blocks(texts):
+    for a, b in blocks(texts, BLOCK_BYTES // 4):
         found = Words([t.translate(LOWER) for t in texts[a:b]], BLANK == 0)
         h = found.hash | np.uint64(4)  # never BEGIN or END
         ends = np.cumsum(found.counts)
         words.append(np.insert(h, ends, END))
         contexts.append(np.insert(h, ends - found.counts, BEGIN))
-        docs.append(base + np.insert(found.doc, ends, np.arange(b - a)))
+        docs.append((base + np.insert(found.doc, ends, np.arange(b - a))).astype(np.int32))
         base += b - a
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -217,6 +235,21 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(values[a]), slice(a, b)
 
 
+def _within(order: np.ndarray) -> np.ndarray:
+    """The place of each row in the order."""
+    out = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
+    out[order] = np.arange(len(order), dtype=out.dtype)
+    return out
+
+
+def _order(place: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """By place, then by the bytes of the word that are sent."""
+    if not len(place) or int(place.max()) >> (64 - 8 * WORD_BYTES):
+        return np.lexsort((word, place))
+    key = place.astype(np.uint64) << np.uint64(8 * WORD_BYTES) | word >> np.uint64(64 - 8 * WORD_BYTES)
+    return np.argsort(key, kind="stable")  # every task that orders the same rows gets the same order
+
+
 class ChunkCounts:
     """Distinct words and bigrams of a chunk in the order in which they are sent to shards."""
 
@@ -234,11 +267,15 @@ class ChunkCounts:
         context, word = self.context[first], self.word[first]
         split = np.isin(context, hot)
         shard = np.where(split, _shard(keys, shards), _shard(context, shards))
-        order = np.lexsort((word, context, shard))
-        self.pair_at = np.argsort(order)[at] if len(order) else at
+        if shards <= 1 << 16:  # contexts are told apart by the bytes that are sent
+            order = np.argsort(shard.astype(np.uint64) << np.uint64(48) | context >> np.uint64(16), kind="stable")
+        else:
+            order = np.lexsort((context, shard))
+        self.pair_at = _within(order)[at]
         self.pairs = context[order], word[order]
         self.pair_shard = shard[order]
         self.pair_count = np.bincount(self.pair_at[use], minlength=len(keys))
+        del values, keys, first, at, context, word, split, shard, order  # the trigrams take as much again
         # Trigrams, by the place of the pair that begins them; those of two frequent words travel on their own.
         self.third = np.flatnonzero(self.context != BEGIN)
         keys, first, at = np.unique(pair_key(pair[self.third - 1], self.word[self.third]), return_index=True, return_inverse=True)
@@ -246,8 +283,9 @@ class ChunkCounts:
         place, word, key = self.pair_at[first - 1], self.word[first], pair[first - 1]
         loose = np.isin(self.context[first - 1], hot) & np.isin(self.context[first], hot)
         shard = np.where(loose, _shard(keys, shards), self.pair_shard[place])
-        order = np.lexsort((word, np.where(loose, key, place.astype(np.uint64)), shard, loose))
-        self.triple_at = np.argsort(order)[at] if len(order) else at
+        nested, free = np.flatnonzero(~loose), np.flatnonzero(loose)  # places of pairs go by shard
+        order = np.concatenate([nested[_order(place[nested], word[nested])], free[np.lexsort((word[free], key[free], shard[free]))]])
+        self.triple_at = _within(order)[at]
         self.triples = place[order], key[order], word[order]
         self.triple_shard, self.n_nested = shard[order], int((~loose).sum())
         self.triple_count = np.bincount(self.triple_at[use[self.third]], minlength=len(keys))
@@ -271,25 +309,45 @@ def _long(raw: bytes, size: int) -> np.ndarray:
 def _small(counts: np.ndarray) -> bytes:
     """Counts in one byte each; 255 and more follow in full."""
     large = counts >= 255
-    return np.int64(len(counts)).tobytes() + np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes()
+    packed = zlib.compress(np.where(large, 255, counts).astype(np.uint8).tobytes(), 1)
+    return np.int64(len(packed)).tobytes() + packed + counts[large].astype(np.int64).tobytes()
 
 
 def _large(raw: bytes) -> np.ndarray:
     n = int(np.frombuffer(raw[:8], np.int64)[0])
-    counts = np.frombuffer(raw[8 : 8 + n], np.uint8).astype(np.int64)
+    counts = np.frombuffer(zlib.decompress(raw[8 : 8 + n]), np.uint8).astype(np.int64)
     counts[counts == 255] = np.frombuffer(raw[8 + n :], np.int64)
     return counts
 
 
+def _listed(words: np.ndarray) -> bytes:
+    """Words as numbers into a list of the distinct ones, the most frequent first; numbers byte by byte, deflated."""
+    values, at, often = np.unique(words >> np.uint64(64 - 8 * WORD_BYTES), return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")
+    number = _within(order)[at].astype(np.uint32)
+    wide = 2 if len(values) <= 1 << 16 else 4
+    planes = np.ascontiguousarray(number.view(np.uint8).reshape(-1, 4)[:, :wide].T)
+    return np.int64(len(values)).tobytes() + _short(values[order] << np.uint64(64 - 8 * WORD_BYTES), WORD_BYTES) + zlib.compress(planes.tobytes(), 1)
+
+
+def _unlisted(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    values = _long(raw[8 : 8 + n * WORD_BYTES], WORD_BYTES)
+    planes = np.frombuffer(zlib.decompress(raw[8 + n * WORD_BYTES :]), np.uint8).reshape(2 if n <= 1 << 16 else 4, -1)
+    number = np.zeros((planes.shape[1], 4), np.uint8)
+    number[:, : len(planes)] = planes.T
+    return values[number.view(np.uint32).ravel()]
+
+
 def _merged(context: np.ndarray, word: np.ndarray, seen: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
     """Distinct (context, word) in order, their summed counts, and the place of every given pair among them."""
-    order = np.lexsort((word, context))
+    order = _order(context if context.dtype != np.uint64 else np.unique(context, return_inverse=True)[1], word)
     c, w = context[order], word[order]
     if not len(order):
         return (c, w), np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))))
-    at = np.empty(len(order), np.int64)
-    at[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    at = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
+    at[order] = np.repeat(np.arange(len(first), dtype=at.dtype), np.diff(np.append(first, len(order))))
     return (c[first], w[first]), np.add.reduceat(seen[order].astype(np.int64), first), at
 
 
@@ -347,7 +405,7 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
     if not len(ends):  # fewer texts than the cut: they are no hot context either
         hot, hot_counts = hot[hot != BEGIN], hot_counts[hot != BEGIN]
     texts = given.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).repartition(n, "chunk")
-    note = "shard int, chunk int, kind int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
+    note = "shard int, chunk int, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
 
     def counts_of(table: pa.Table) -> ChunkCounts:
         raw = [t or b"" for t in table.column("text").cast(pa.large_binary()).to_pylist()]
@@ -358,7 +416,7 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
         chunk, held = table.column("chunk")[0].as_py(), counts_of(table)
         rows = []
         for s, r in _runs(held.word_shard):
-            rows.append((s, chunk, 1, held.words[r].tobytes(), _small(held.word_count[r]), *[None] * 5))
+            rows.append((s, chunk, 1, held.words[r].tobytes(), _small(held.word_count[r]), *[None] * 4))
         context, word = held.pairs
         place, key, last = held.triples
         for s, r in _runs(held.pair_shard):
@@ -367,31 +425,35 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
             size = np.diff(np.append(first, len(own)))
             a, b = np.searchsorted(place[: held.n_nested], (r.start, r.stop))
             below = np.bincount(place[a:b] - r.start, minlength=r.stop - r.start)
-            rows.append((s, chunk, 2, _short(own[first], CONTEXT_BYTES), _small(size), _short(word[r], WORD_BYTES), _small(held.pair_count[r]),
-                         _small(below), _short(last[a:b], WORD_BYTES), _small(held.triple_count[a:b])))
+            rows.append((s, chunk, 2, _short(own[first], CONTEXT_BYTES), _small(size), _listed(np.concatenate([word[r], last[a:b]])), _small(held.pair_count[r]),
+                         _small(below), _small(held.triple_count[a:b])))
         for s, r in _runs(held.triple_shard[held.n_nested :]):
             r = slice(r.start + held.n_nested, r.stop + held.n_nested)
-            rows.append((s, chunk, 3, key[r].tobytes(), None, _short(last[r], WORD_BYTES), _small(held.triple_count[r]), *[None] * 3))
-        kinds = (pa.int32(),) * 3 + (pa.binary(),) * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "chunk", "kind", *"abcdefg"])
+            rows.append((s, chunk, 3, key[r].tobytes(), None, _listed(last[r]), _small(held.triple_count[r]), *[None] * 2))
+        kinds = (pa.int32(),) * 3 + (pa.binary(),) * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "chunk", "kind", *"abcdef"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         shard = table.column("shard")[0].as_py()
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "kind", *"abcdefg"))))
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "kind", *"abcdef"))))
+        del table
         out = []
         asked = [r for r in rows if r[1] == 1]
         if asked:
             values, at = np.unique(np.frombuffer(b"".join(r[2] for r in asked), np.uint64), return_inverse=True)
-            count = np.bincount(at, np.concatenate([_large(r[3]) for r in asked]), minlength=len(values)).astype(np.uint64)
+            count = np.bincount(at, np.concatenate([_large(r[3]) for r in asked]), minlength=len(values)).astype(np.int64)
             back = np.split(count[at], np.cumsum([len(r[2]) // 8 for r in asked])[:-1])
-            out += [(r[0], 1, shard, b.tobytes()) for r, b in zip(asked, back)]
+            out += [(r[0], 1, shard, _small(b)) for r, b in zip(asked, back)]
         sums = np.zeros((4, CLASSES), np.int64)
         asked = [r for r in rows if r[1] == 2]
         if asked:
             context = np.concatenate([np.repeat(_long(r[2], CONTEXT_BYTES), _large(r[3])) for r in asked])
-            word = np.concatenate([_long(r[4], WORD_BYTES) for r in asked])
-            (c, w), count, at = _merged(context, word, np.concatenate([_large(r[5]) for r in asked]))
+            seen, deeper = ([_large(r[k]) for r in asked] for k in (5, 7))
+            parts = [np.split(_unlisted(r[4]), [len(x)]) for r, x in zip(asked, seen)]
+            word, last = (np.concatenate(x) for x in zip(*parts))
+            ends = [np.cumsum([len(x) for x in counts])[:-1] for counts in (seen, deeper)]
+            (c, w), count, at = _merged(context, word, np.concatenate(seen))
             owner, of = np.unique(c, return_inverse=True)
             whole = np.bincount(of, count, minlength=len(owner))
             short = _long(_short(hot, CONTEXT_BYTES), CONTEXT_BYTES)  # in the same order
@@ -400,8 +462,8 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
                 known = short[place] == owner
                 whole[known] = hot_counts[place[known]]
             below = np.repeat(at, np.concatenate([_large(r[6]) for r in asked]))
-            last = np.concatenate([_long(r[7], WORD_BYTES) for r in asked])
-            (pair, x), often, at3 = _merged(below, last, np.concatenate([_large(r[8]) for r in asked]))
+            (pair, x), often, at3 = _merged(below, last, np.concatenate(deeper))
+            del seen, deeper, parts, context, word, last, below
             sums[:2] = _sums(size_class(whole[of]), count)
             sums[2:] = _sums(size_class(count[pair]), often)
             trained, deep = count > 0, often > 0
@@ -414,13 +476,12 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
                     del trie
                 else:
                     second, third = np.zeros(len(at), np.uint16), np.zeros(len(at3), np.uint16)
-            ends = [np.cumsum([len(r[k]) // WORD_BYTES for r in asked])[:-1] for k in (4, 7)]
             for kind, answers, cut in ((2, second, ends[0]), (3, third, ends[1])):
-                out += [(r[0], kind, shard, b.tobytes()) for r, b in zip(asked, np.split(answers, cut))]
+                out += [(r[0], kind, shard, _small(b)) for r, b in zip(asked, np.split(answers, cut))]
         asked = [r for r in rows if r[1] == 3]
         if asked:
             context = np.concatenate([np.frombuffer(r[2], np.uint64) for r in asked])
-            word = np.concatenate([_long(r[4], WORD_BYTES) for r in asked])
+            word = np.concatenate([_unlisted(r[4]) for r in asked])
             (c, w), count, at = _merged(context, word, np.concatenate([_large(r[5]) for r in asked]))
             # How often the pair occurs in all is known to the chunks' other shards: the sums go by pair.
             owner, of = np.unique(c, return_inverse=True)
@@ -436,7 +497,7 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
                 else:
                     answers = np.zeros(len(at), np.uint16)
             back = np.split(answers, np.cumsum([len(r[2]) // 8 for r in asked])[:-1])
-            out += [(r[0], 4, shard, b.tobytes()) for r, b in zip(asked, back)]
+            out += [(r[0], 4, shard, _small(b)) for r, b in zip(asked, back)]
         out.append((shard % n, 5, shard, sums.tobytes()))  # to any chunk
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["chunk", "kind", "shard", "a"])
@@ -468,8 +529,8 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
             sums[:, r["class"]] = r["once"], r["every"]
         weights, deep = (weights_of(*sums[:, k : k + CLASSES]) for k in (0, CLASSES))
         said = sorted(zip(*(notes.column(c).to_pylist() for c in ("kind", "shard", "a"))), key=lambda r: r[:2])
-        count = np.frombuffer(b"".join(a for k, _, a in said if k == 1), np.uint64).astype(np.int64)
-        code, nested, loose = (np.frombuffer(b"".join(a for k, _, a in said if k == kind), np.uint16) for kind in (2, 3, 4))
+        none = [np.zeros(0, np.int64)]
+        count, code, nested, loose = (np.concatenate(none + [_large(a) for k, _, a in said if k == kind]) for kind in (1, 2, 3, 4))
         single = (count + 1) / (n_train + n_distinct + 1)
         of_word = count[held.word_at]
         # A context is the word before; a text's beginning counts as often as the end.
@@ -484,6 +545,7 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
         g = np.where(before > 0, deep[size_class(before)], 1.0)
         often = restored(np.concatenate([nested, loose])[held.triple_at])
         p[held.third] = (1 - g) * np.minimum(often / np.maximum(before, 1), 1) + g * p[held.third]
+        del before, g, pairs, often, code, nested, loose
         by_doc = lambda x: np.bincount(held.doc, x, minlength=m)
         columns = [
             pa.array(table.column("id").to_pylist(), pa.int64()), pa.array(table.column("train").to_pylist(), pa.bool_()),

@@ -293,3 +293,31 @@ def test_packing_balances_cost():
         load[s] = load.get(s, 0) + packing.cost(length)
     loads = sorted(load.values())[20:]
     assert sum(loads) / len(loads) > 2048 and max(loads) <= packing.cost(2048)
+
+
+def test_messages_are_small(tmp_path):
+    """Words that recur cost a number, not a hash; counts of mostly one value cost next to nothing."""
+    rng = np.random.default_rng(8)
+    known = ngram_lm._long(rng.integers(0, 256, 300 * ngram_lm.WORD_BYTES, np.uint8).tobytes(), ngram_lm.WORD_BYTES)
+    words = known[np.minimum(rng.zipf(1.3, 20000), 300) - 1]
+    raw = ngram_lm._listed(words)
+    assert (ngram_lm._unlisted(raw) == words).all() and len(raw) < 1.7 * len(words)
+    many = rng.integers(0, 1 << 40, 70000, np.uint64) << np.uint64(24)
+    assert (ngram_lm._unlisted(ngram_lm._listed(many)) == many).all()
+    counts = np.where(rng.random(20000) < 0.01, 100000, rng.integers(1, 3, 20000))
+    raw = ngram_lm._small(counts)
+    assert (ngram_lm._large(raw) == counts).all() and len(raw) < 0.5 * len(counts)
+    assert len(ngram_lm._large(ngram_lm._small(np.zeros(0, np.int64)))) == 0
+
+
+def test_many_searches_are_one_pass(tmp_path):
+    rng = np.random.default_rng(9)
+    values = np.unique(rng.integers(0, 1 << 50, 3000, np.uint64))
+    held = ngram_lm.EliasFano(str(tmp_path), "x", values)
+    assert (held.whole() == values).all()
+    wanted = np.concatenate([values, values + np.uint64(1)])
+    lo = rng.integers(0, len(values), len(wanted))
+    hi = np.minimum(lo + rng.integers(0, 2000, len(wanted)), len(values))
+    few = np.concatenate([held.find(wanted[k : k + 100], lo[k : k + 100], hi[k : k + 100]) for k in range(0, len(wanted), 100)])
+    assert (held.find(wanted, lo, hi) == few).all() and (few >= 0).any() and (few < 0).any()
+    assert (held[np.arange(0, len(values), 50)] == values[::50]).all()
