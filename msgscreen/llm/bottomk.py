@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from msgscreen.llm.common import BLANK, LOWER, Words, blocks, checkpointed, scratch, text_blocks
+from msgscreen.llm.common import BLANK, LOWER, Tables, Words, blocks, text_blocks
 
 WORDS = 5
 K = 64
@@ -163,36 +163,41 @@ def _verifier(size: int, percent: int):
     return judge
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(id, comp): smallest id reachable over ``links`` (a, b). Label rounds with pointer jumps."""
-    both = checkpointed(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("comp"))
-    label = checkpointed(label)
+    tables = tables or Tables(links.sparkSession, "components")
+    both = tables.put("both", links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = tables.put("round", both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("comp")))
     while True:
         near = both.join(label.select(F.col("id").alias("b"), F.col("comp").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
         lower = label.join(near, "id", "left").select("id", "comp", F.least("comp", "near").alias("low"))
         jump = label.select(F.col("id").alias("low"), F.col("comp").alias("far"))
-        after = checkpointed(lower.join(jump, "low", "left").select("id", F.least("low", "far").alias("comp"), F.col("comp").alias("was")))
+        after = tables.put("round", lower.join(jump, "low", "left").select("id", F.least("low", "far").alias("comp"), F.col("comp").alias("was")))
         moved = after.where("comp <> was").limit(1).count()
         label = after.select("id", "comp")
         if not moved:
+            tables.drop("both")
             return label
 
 
-def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merged(label: DataFrame | None, links: DataFrame, tables: Tables) -> DataFrame:
     """Labels after more links: the links are contracted to components first."""
     if label is None:
-        return components(links)
+        merged = tables.put("label", components(links, tables))
+        tables.drop("round")
+        return merged
     of = lambda side: label.select(F.col("id").alias(side), F.col("comp").alias(f"{side}_comp"))
     short = (
         links.join(of("a"), "a", "left").join(of("b"), "b", "left")
         .select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).where("a <> b").distinct()
     )
-    fresh = components(short)
+    fresh = components(tables.put("short", short), tables)
     moved = fresh.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
     old = label.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
     new = fresh.join(label.select("id"), "id", "left_anti")
-    return checkpointed(old.unionAll(new))
+    merged = tables.put("label", old.unionAll(new))
+    tables.drop("short", "round")
+    return merged
 
 
 def linked(
@@ -201,30 +206,26 @@ def linked(
     """One row a document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     given = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    path = scratch(spark, "sketches")
-    given.select("id", _sketcher(size, k)(F.col("text")).alias("s")).select("id", "s.*").write.parquet(path)
-    sketches = spark.read.parquet(path)
+    tables = Tables(spark, "bottomk")
+    sketches = tables.put("sketches", given.select("id", _sketcher(size, k)(F.col("text")).alias("s")).select("id", "s.*"))
     filled = sketches.where("n > 0 AND id IS NOT NULL")
     reps = filled.groupBy("sig").agg(F.min("id").alias("rep"))
     classes = filled.join(reps.select("sig", F.col("rep").alias("id")), ["sig", "id"]).dropDuplicates(["sig", "id"])
-    classes = checkpointed(classes.select("id", "n", "sketch"))
+    classes = tables.put("classes", classes.select("id", "n", "sketch"))
 
     # Inverted lists: only values that two classes share, only the rarest of each class.
     values = classes.select("id", "n", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     owned = values.join(shared, "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("vs"))
     room = F.size("vs") - required(F.col("n"), k, percent) + 1
-    postings = checkpointed(
-        owned.where(room > 0).select("id", "n", F.explode(F.slice("vs", F.lit(1), room)).alias("v")).select("id", "n", F.col("v.value").alias("value"))
+    postings = tables.put(
+        "postings",
+        owned.where(room > 0).select("id", "n", F.explode(F.slice("vs", F.lit(1), room)).alias("v")).select("id", "n", F.col("v.value").alias("value")),
     )
     partners = postings.select("id").distinct()
     packed = F.arrow_udf(_zipped, "binary")
-    path = scratch(spark, "texts")
-    (
-        given.where("id IS NOT NULL").join(partners, "id").dropDuplicates(["id", "text"])
-        .select("id", packed(F.coalesce("text", F.lit(""))).alias("payload")).write.parquet(path)
-    )
-    texts = spark.read.parquet(path)
+    whole = given.where("id IS NOT NULL").join(partners, "id").dropDuplicates(["id", "text"])
+    texts = tables.put("texts", whole.select("id", packed(F.coalesce("text", F.lit(""))).alias("payload")))
     bits = classes.join(partners, "id").select("id", F.arrow_udf(_bits, "binary")(F.col("sketch")).alias("payload"))
 
     label, rest = None, None
@@ -233,8 +234,9 @@ def linked(
         if turn < HUB_ROUNDS:
             pairs = _hub_pairs(members, turn, percent)
         else:
-            pairs = _pairs_apart(_full_postings(members, texts, size, percent).join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")), percent)
-        likely = checkpointed(_meet(pairs, bits, _estimator(k, percent), "a bigint, b bigint, est double"))
+            pairs = _pairs_apart(_full_postings(members, texts, size, percent, tables).join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")), percent)
+        pairs = tables.put("pairs", pairs)
+        likely = tables.put(f"likely{turn}", _meet(pairs, bits, _estimator(k, percent), "a bigint, b bigint, est double"))
         if turn == 0:
             # Every member tries its likeliest hub first; the others only matter if that leaves it apart.
             best = likely.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
@@ -243,9 +245,10 @@ def linked(
             likely = likely.select("a", "b")
             if rest is not None:
                 likely, rest = likely.unionAll(_apart(rest, label)).distinct(), None
-        links = checkpointed(_meet(likely, texts, _verifier(size, percent), "a bigint, b bigint"))
+        links = tables.put("links", _meet(tables.put("judged", likely), texts, _verifier(size, percent), "a bigint, b bigint"))
         if label is None or not links.isEmpty():
-            label = _merged(label, links)
+            label = _merged(label, links, tables)
+    tables.drop(*set(tables.paths) - {"sketches", "label"})
 
     named = reps.join(label.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("sig", F.coalesce("comp", "rep").alias("comp"))
     found = filled.select("id", "n", "sig").join(named, "sig").select("id", "n", "comp")
@@ -286,7 +289,7 @@ def _hub_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.select("a", F.col("id").alias("b")).distinct()
 
 
-def _full_postings(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _full_postings(members: DataFrame, texts: DataFrame, size: int, percent: int, tables: Tables) -> DataFrame:
     """Exact lists for the members of lists that components still share: (id, n, value, rest), ``rest`` values from here on.
 
     Of the shingles that two of these documents share, each is listed under its rarest: so many that a partner
@@ -302,12 +305,12 @@ def _full_postings(members: DataFrame, texts: DataFrame, size: int, percent: int
                 yield pa.array(rows, pa.list_(pa.int64()))
 
     whole = texts.join(asked, "id").select("id", F.arrow_udf(sets, "array<bigint>")(F.col("payload")).alias("s"))
-    values = checkpointed(whole.select("id", F.size("s").cast("bigint").alias("n"), F.explode("s").alias("value")))
+    values = tables.put("values", whole.select("id", F.size("s").cast("bigint").alias("n"), F.explode("s").alias("value")))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     owned = values.join(shared, "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("vs"))
     room = F.size("vs") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     listed = owned.where(room > 0).select("id", "n", F.size("vs").alias("m"), F.posexplode(F.slice("vs", F.lit(1), room)).alias("at", "v"))
-    return checkpointed(listed.select("id", "n", F.col("v.value").alias("value"), (F.col("m") - F.col("at")).cast("bigint").alias("rest")))
+    return tables.put("listed", listed.select("id", "n", F.col("v.value").alias("value"), (F.col("m") - F.col("at")).cast("bigint").alias("rest")))
 
 
 def _pairs_apart(members: DataFrame, percent: int) -> DataFrame:
