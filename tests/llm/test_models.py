@@ -1,7 +1,9 @@
 """Operators that learn or pack: held-out accuracy, round trips, normalisation, odd rows."""
 
 import math
+import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -321,3 +323,39 @@ def test_many_searches_are_one_pass(tmp_path):
     few = np.concatenate([held.find(wanted[k : k + 100], lo[k : k + 100], hi[k : k + 100]) for k in range(0, len(wanted), 100)])
     assert (held.find(wanted, lo, hi) == few).all() and (few >= 0).any() and (few < 0).any()
     assert (held[np.arange(0, len(values), 50)] == values[::50]).all()
+
+
+def test_rising_hashes_are_sent_as_steps():
+    """Hashes in order take less than their bytes; falls, repeats and none come back the same."""
+    rng = np.random.default_rng(8)
+    for size in (8, ngram_lm.CONTEXT_BYTES, ngram_lm.WORD_BYTES):
+        cut = np.uint64(64 - 8 * size)
+        rising = np.sort(rng.integers(0, 1 << 64, 12000, np.uint64)) >> cut << cut
+        raw = ngram_lm._rising(rising, size)
+        assert len(raw) < (size - 1) * len(rising)
+        for hashes in (rising, rising[::-1], np.repeat(rising[:5], 3), rising[:1], rising[:0]):
+            back, rest = ngram_lm._risen(ngram_lm._rising(hashes, size) + b"rest", size)
+            assert (back == hashes).all() and len(back) == len(hashes) and rest == b"rest"
+    words = rising[rng.permutation(len(rising))]
+    raw = ngram_lm._listed(words)
+    assert (ngram_lm._unlisted(raw) == words).all() and len(raw) < 5.9 * len(words)
+
+
+def test_orders_without_stable_sorts():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 2, 5000):
+        key = rng.integers(0, max(1, n // 3), n).astype(np.uint64) << np.uint64(40)
+        assert (ngram_lm._stable(key) == np.argsort(key, kind="stable")).all()
+        values, first, at = ngram_lm._distinct(key)
+        assert (values == np.unique(key)).all() and (key[first] == values).all() and (values[at] == key).all()
+
+
+def test_first_pass_frees_its_shuffle(spark):
+    tops = [t.getPath() for t in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {x for top in tops for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+    had, until = shuffles(), time.time() + 20
+    given = spark.createDataFrame([(f"a b c {i}", True) for i in range(100)], "text string, train boolean")
+    assert ngram_lm._first_pass(given, 16, 50)[:2] == (500, 104)
+    while shuffles() - had and time.time() < until:  # freed beside the next work
+        time.sleep(0.2)
+    assert not shuffles() - had
