@@ -50,6 +50,16 @@ _BYTE_COUNT = _BYTE_RANK.sum(axis=1).astype(np.int64)
 _BYTE_SELECT = np.array([[([b for b in range(8) if v >> b & 1] + [0] * 8)[r] for r in range(8)] for v in range(256)], np.int64)
 
 
+def _searched(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """``searchsorted``, in the order of what is wanted: from one place to a near one."""
+    if not (wanted[1:] < wanted[:-1]).any():
+        return np.searchsorted(values, wanted)
+    order = np.argsort(wanted)
+    out = np.empty(len(wanted), np.int64)
+    out[order] = np.searchsorted(values, wanted[order])
+    return out
+
+
 class EliasFano:
     """Non-decreasing uint64 values: packed low bits, unary high bits, both mapped from files."""
 
@@ -110,7 +120,7 @@ class EliasFano:
         end = hi.copy()
         if len(wanted) * 8 >= self.n:
             values = self.whole()
-            lo = np.clip(np.searchsorted(values, wanted), lo, hi)
+            lo = np.clip(_searched(values, wanted), lo, hi)
             out = np.full(len(wanted), -1, np.int64)
             maybe = np.flatnonzero(lo < end)
             same = values[lo[maybe]] == wanted[maybe]
@@ -166,7 +176,8 @@ class Trie:
         pair, last, often = below
         contexts, place = np.unique(context, return_inverse=True)
         self.contexts = EliasFano(folder, "contexts", contexts)
-        words = EliasFano(folder, "words", np.unique(np.concatenate([word, last])))
+        every = np.sort(np.concatenate([word, last]))  # np.unique hashes first, which takes longer
+        words = EliasFano(folder, "words", every[np.append(every[1:] != every[:-1], [True] * bool(len(every)))])
         self.second = Level(folder, "second", len(contexts), place, word, words, quantised(count))
         self.third = Level(folder, "third", len(context), pair, last, words, quantised(often))
 
@@ -250,7 +261,11 @@ def _stable(key: np.ndarray) -> np.ndarray:
     held = key[order]
     run = np.zeros(len(key), np.uint64)
     np.cumsum(held[1:] != held[:-1], out=run[1:])
-    return (np.sort(run << np.uint64(32) | order.astype(np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    run <<= np.uint64(32)
+    run |= order.astype(np.uint64)
+    run.sort()
+    run &= np.uint64(0xFFFFFFFF)
+    return run.astype(np.int64)
 
 
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

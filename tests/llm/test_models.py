@@ -350,6 +350,13 @@ def test_orders_without_stable_sorts():
         assert (values == np.unique(key)).all() and (key[first] == values).all() and (values[at] == key).all()
 
 
+def test_searches_in_the_order_of_what_is_wanted():
+    rng = np.random.default_rng(10)
+    values = np.unique(rng.integers(0, 9000, 3000).astype(np.uint64))
+    for wanted in (rng.integers(0, 9500, 5000).astype(np.uint64), values, values[:0], values[::-1]):
+        assert (ngram_lm._searched(values, wanted) == np.searchsorted(values, wanted)).all()
+
+
 def test_first_pass_frees_its_shuffle(spark):
     tops = [t.getPath() for t in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
     shuffles = lambda: {x for top in tops for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_") and x.endswith(".data")}
